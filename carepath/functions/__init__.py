@@ -16,9 +16,10 @@ from carepath.functions.vector import (
     concat_vectors,
     dot,
     gate,
-    layer_norm,
     linear1,
     lit_vector,
+    layer_norm,
+    vector_mean,
     weighted_sum,
 )
 
@@ -30,10 +31,11 @@ __all__ = [
     "count_vectorizer_tokens",
     "dot",
     "gate",
-    "layer_norm",
     "linear1",
     "lit_vector",
     "nan_to",
+    "layer_norm",
+    "vector_mean",
     "percent",
     "relu",
     "rounded_array_string",

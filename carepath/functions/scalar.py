@@ -42,9 +42,13 @@ def percent(numerator: ColumnOrName, denominator: ColumnOrName) -> Column:
     return F.lit(100.0) * F.try_divide(_c(numerator).cast("double"), _c(denominator).cast("double"))
 
 
+# Fixed value: the whitespace set that separates word tokens (ASCII space, tab, LF, CR, FF, VT).
+WHITESPACE_RUN = r"[ \t\n\r\f\x0B]+"
+
+
 def word_tokens(text: ColumnOrName) -> Column:
     """Whitespace word tokens of a whole text (empty strings removed)."""
-    return F.filter(F.split(F.trim(_c(text)), r"\s+"), lambda t: F.length(t) > 0)
+    return F.filter(F.split(_c(text), WHITESPACE_RUN), lambda t: F.length(t) > 0)
 
 
 def count_vectorizer_tokens(text: ColumnOrName) -> Column:

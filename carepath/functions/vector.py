@@ -30,12 +30,17 @@ def linear1(x: ColumnOrName, weights: Sequence[float], bias: float) -> Column:
     return dot(x, lit_vector(weights)) + F.lit(float(bias))
 
 
+def _per_element(value: Column, like: Column) -> Column:
+    """``value`` repeated once per element of ``like``. A per-row scalar enters a lambda as an argument this
+    way, so it is evaluated once per row even after Catalyst inlines it, not once per element."""
+    return F.array_repeat(value, F.size(like))
+
+
 def weighted_sum(a: ColumnOrName, b: ColumnOrName, gate: ColumnOrName) -> Column:
     """gate * b + (1 - gate) * a, element-wise."""
-    g = _c(gate)
-    return F.zip_with(
-        _c(a).cast("array<double>"), _c(b).cast("array<double>"), lambda x, y: g * y + (F.lit(1.0) - g) * x
-    )
+    a, b = _c(a).cast("array<double>"), _c(b).cast("array<double>")
+    ab = F.arrays_zip(a.alias("a"), b.alias("b"), _per_element(_c(gate).cast("double"), a).alias("g"))
+    return F.transform(ab, lambda s: s["g"] * s["b"] + (F.lit(1.0) - s["g"]) * s["a"])
 
 
 def gate(code_vec: ColumnOrName, note_vec: ColumnOrName, weights: Sequence[float], bias: float) -> Column:
@@ -48,13 +53,23 @@ def vector_mean(x: ColumnOrName) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / F.size(x)
 
 
-def layer_norm(x: ColumnOrName, eps: float = 1e-5, gain: float = 1.0, shift: float = 0.0) -> Column:
-    """(x - mean) / sqrt(biased variance + eps) * gain + shift, per vector."""
+def centered(x: ColumnOrName) -> Column:
+    """x - mean(x), element-wise (the mean enters once per row)."""
     x = _c(x).cast("array<double>")
-    mean = vector_mean(x)
-    var = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean)) / F.size(x)
+    return F.zip_with(x, _per_element(vector_mean(x), x), lambda v, m: v - m)
+
+
+def normalize_centered(c: ColumnOrName, eps: float = 1e-5, gain: float = 1.0, shift: float = 0.0) -> Column:
+    """c / sqrt(mean(c^2) + eps) * gain + shift for an already centered vector (biased variance)."""
+    c = _c(c)
+    var = F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v * v) / F.size(c)
     inv = F.lit(1.0) / F.sqrt(var + F.lit(eps))
-    return F.transform(x, lambda v: (v - mean) * inv * F.lit(gain) + F.lit(shift))
+    return F.zip_with(c, _per_element(inv, c), lambda v, s: v * s * F.lit(gain) + F.lit(shift))
+
+
+def layer_norm(x: ColumnOrName, eps: float = 1e-5, gain: float = 1.0, shift: float = 0.0) -> Column:
+    """(x - mean) / sqrt(biased variance + eps) * gain + shift, per vector."""
+    return normalize_centered(centered(x), eps, gain, shift)
 
 
 def l2_norm(x: ColumnOrName) -> Column:

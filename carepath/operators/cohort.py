@@ -59,7 +59,7 @@ def split_by_position(
 
 
 def split_check(cohort: DataFrame, admissions: DataFrame) -> DataFrame:
-    """Leakage checks as (check, n): admissions on both sides, and subjects on both sides of the split."""
+    """Leakage checks as (check_name, n): admissions on both sides, and subjects on both sides of the split."""
     per_adm = cohort.groupBy("hadm_id").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
     shared_adm = per_adm.where(F.col("lo") != F.col("hi")).agg(F.count(F.lit(1)).cast("long").alias("n"))
     per_subject = (
@@ -69,8 +69,8 @@ def split_check(cohort: DataFrame, admissions: DataFrame) -> DataFrame:
         .agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
     )
     shared_subj = per_subject.where(F.col("lo") != F.col("hi")).agg(F.count(F.lit(1)).cast("long").alias("n"))
-    return shared_adm.select(F.lit("shared_admissions").alias("check"), "n").unionByName(
-        shared_subj.select(F.lit("shared_subjects").alias("check"), "n")
+    return shared_adm.select(F.lit("shared_admissions").alias("check_name"), "n").unionByName(
+        shared_subj.select(F.lit("shared_subjects").alias("check_name"), "n")
     )
 
 

@@ -99,6 +99,21 @@ def average_precision(scores: DataFrame, y: str = "y", p: str = "p") -> DataFram
     )
 
 
+def ranking_summary(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """ROC-AUC and average precision from one prefix-sum pass -> (n_pos, n_neg, roc_auc, average_precision)."""
+    t, tot = prefix_sum_by_score(scores, y, p)
+    auc = F.sum(F.col("fp").cast("double") * (F.col("ctp").cast("double") - F.col("tp").cast("double") / 2.0))
+    ap = F.sum(
+        F.col("tp").cast("double") * F.col("ctp").cast("double") / (F.col("ctp") + F.col("cfp")).cast("double")
+    )
+    return t.agg(
+        F.lit(tot["n_pos"]).cast("long").alias("n_pos"),
+        F.lit(tot["n_neg"]).cast("long").alias("n_neg"),
+        F.round(F.try_divide(auc, F.lit(float(tot["n_pos"]) * float(tot["n_neg"]))), 9).alias("roc_auc"),
+        F.round(F.try_divide(ap, F.lit(float(tot["n_pos"]))), 9).alias("average_precision"),
+    )
+
+
 def roc_area(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Trapezoid area under the ROC points; each point's predecessor is (cfp - fp, ctp - tp)."""
     t, tot = prefix_sum_by_score(scores, y, p)
