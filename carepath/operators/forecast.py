@@ -79,8 +79,10 @@ def rank_candidates(model: NextCodeModel, contexts: DataFrame) -> DataFrame:
     allc = parts[0]
     for p in parts[1:]:
         allc = allc.unionByName(p)
-    best = allc.groupBy(*keys, "cand").agg(F.min(F.struct("level", "rank")).alias("_b"))
-    w = Window.partitionBy(*keys).orderBy(F.col("_b.level"), F.col("_b.rank"))
+    # One sortable long per candidate, (level, rank) -> level * 2^20 + rank: a hash aggregate, not a sort one.
+    key = F.col("level").cast("long") * F.lit(1 << 20) + F.col("rank")
+    best = allc.groupBy(*keys, "cand").agg(F.min(key).alias("_b"))
+    w = Window.partitionBy(*keys).orderBy("_b")
     return (
         best.withColumn("rank", F.row_number().over(w).cast("long"))
         .where(F.col("rank") <= F.lit(model.k))
@@ -89,22 +91,46 @@ def rank_candidates(model: NextCodeModel, contexts: DataFrame) -> DataFrame:
 
 
 def score_pairs(model: NextCodeModel, pairs: DataFrame) -> DataFrame:
-    """Rank of each pair's true next code in its context's list (NULL when outside the k best)."""
+    """Rank of each pair's true next code in its context's list (NULL when outside the k best), per row."""
     keys = list(model.context_cols + ("prev",))
     cands = rank_candidates(model, pairs)
     hit = cands.select(*keys, F.col("cand").alias("next"), F.col("rank").alias("hit_rank"))
-    return pairs.join(hit, keys + ["next"], "left")
+    return pairs.join(broadcast_if_small(materialize(hit)), keys + ["next"], "left")
+
+
+def score_pair_counts(model: NextCodeModel, pairs: DataFrame) -> DataFrame:
+    """Like ``score_pairs`` but on distinct (context, next) with a multiplicity ``m``.
+
+    Pairs are combined map-side before any shuffle, so a hot code holding a third of all steps adds one row
+    per partition, not a third of the data, to the exchange; the candidate table (at most k rows per
+    context) is joined to the combined rows.
+    """
+    keys = list(model.context_cols + ("prev",))
+    combined = materialize(pairs.groupBy(*keys, "next").agg(F.count(F.lit(1)).alias("m")))
+    cands = rank_candidates(model, combined)
+    hit = cands.select(*keys, F.col("cand").alias("next"), F.col("rank").alias("hit_rank"))
+    return combined.join(broadcast_if_small(materialize(hit)), keys + ["next"], "left")
 
 
 def topk_accuracy(scored: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """Micro-averaged top-k accuracy % over prediction steps -> (n_tokens, top1_pct, top5_pct, top10_pct)."""
-    aggs = [F.count(F.lit(1)).cast("long").alias("n_tokens")]
+    """Micro-averaged top-k accuracy % over prediction steps -> (n_tokens, top1_pct, top5_pct, top10_pct).
+
+    Accepts per-row scores (``score_pairs``) or combined ones with a multiplicity ``m`` (``score_pair_counts``).
+    """
+    m = F.col("m") if "m" in scored.columns else F.lit(1)
+    total = F.sum(m)
+    aggs = [total.cast("long").alias("n_tokens")]
     for k in ks:
-        hits = F.sum(F.when(F.col("hit_rank") <= F.lit(k), 1).otherwise(0))
-        aggs.append(F.round(percent(hits, F.count(F.lit(1))), 6).alias(f"top{k}_pct"))
+        hits = F.sum(F.when(F.col("hit_rank") <= F.lit(k), m).otherwise(F.lit(0)))
+        aggs.append(F.round(percent(hits, total), 6).alias(f"top{k}_pct"))
     return scored.agg(*aggs)
 
 
+def evaluate_topk(model: NextCodeModel, pairs: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """Top-k accuracy of ``model`` on ``pairs`` via the combined (pre-aggregated) scoring."""
+    return topk_accuracy(score_pair_counts(model, pairs), ks)
+
+
 def cross_entropy(train_pairs: DataFrame, eval_pairs: DataFrame, vocab_size: int, lam: float = 0.7) -> DataFrame:
     """Mean -ln p(next | prev) over ``eval_pairs`` -> (n_tokens, cross_entropy).
 
@@ -117,7 +143,8 @@ def cross_entropy(train_pairs: DataFrame, eval_pairs: DataFrame, vocab_size: int
     n_train = c_pair.agg(F.sum("c_pair")).first()[0] or 0  # one scalar from the small pair-count table
     c_prev = c_pair.groupBy("prev").agg(F.sum("c_pair").alias("c_prev"))
     c_next = c_pair.groupBy("next").agg(F.sum("c_pair").alias("c_next"))
-    ev = eval_pairs.select("prev", "next")
+    # Evaluation steps are combined map-side to distinct (prev, next) with a multiplicity before the joins.
+    ev = eval_pairs.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("m"))
     joined = (
         ev.join(c_pair, ["prev", "next"], "left")
         .join(c_prev, "prev", "left")
@@ -129,6 +156,6 @@ def cross_entropy(train_pairs: DataFrame, eval_pairs: DataFrame, vocab_size: int
     cond = F.coalesce(F.col("c_pair"), F.lit(0)).cast("double") / F.col("c_prev").cast("double")
     p = F.when(F.col("c_prev").isNull(), uni).otherwise(F.lit(lam) * cond + F.lit(1.0 - lam) * uni)
     return joined.agg(
-        F.count(F.lit(1)).cast("long").alias("n_tokens"),
-        F.round(F.avg(-F.log(p)), 9).alias("cross_entropy"),
+        F.sum("m").cast("long").alias("n_tokens"),
+        F.round(F.sum(F.col("m") * -F.log(p)) / F.sum("m"), 9).alias("cross_entropy"),
     )

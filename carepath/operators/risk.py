@@ -84,7 +84,7 @@ def fit_risk(
     train_x = _features(train, note_vectors).withColumn("w", F.coalesce(wmap[F.col("label")], F.lit(1.0)))
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="codes", outputCol="bag", binary=True)
     inputs = ["bag", "note_vec"] if note_vectors is not None else ["bag"]
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
     lr = LogisticRegression(
         featuresCol="features",
         labelCol="label_d",
@@ -93,7 +93,7 @@ def fit_risk(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-9,
+        tol=1e-6,
     )
     prepared = assembler.transform(cv.transform(train_x)).withColumn("label_d", F.col("label").cast("double"))
     lr_model = lr.fit(prepared)

@@ -24,7 +24,7 @@ from carepath.functions.scalar import word_tokens
 MAX_BROADCAST_CELLS = 32_000_000
 
 
-def vectorize_notes(notes: DataFrame, num_features: int = 1 << 12, text_col: str = "text") -> DataFrame:
+def vectorize_notes(notes: DataFrame, num_features: int = 1 << 10, text_col: str = "text") -> DataFrame:
     """Spark-native note vectors over the whole text: word tokens -> hashed term counts -> IDF -> ARRAY<FLOAT>.
 
     IDF is fitted on the rows given (fit on train notes for a leak-free setup). -> (hadm_id, vec)

@@ -196,12 +196,12 @@ def q_next_code_model(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_forecast_topk_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     _, model, _, test = _fitted(spark, sf, "F3", False)
-    return fc.topk_accuracy(fc.score_pairs(model, test))
+    return fc.evaluate_topk(model, test)
 
 
 def q_forecast_topk_accuracy_notes(spark: SparkSession, sf: str) -> DataFrame:
     _, model, _, test = _fitted(spark, sf, "F1b", True)
-    return fc.topk_accuracy(fc.score_pairs(model, test))
+    return fc.evaluate_topk(model, test)
 
 
 def q_forecast_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:

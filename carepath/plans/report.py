@@ -39,7 +39,7 @@ def forecast_report(spark: SparkSession, sf_dir: str, fixture: str = "F1b", k: i
     rows = []
     for model_name, ctx in ((UNIMODAL, ()), (MULTIMODAL, ("cluster",))):
         model = fc.fit_next_code(train, k, ctx)
-        acc = fc.topk_accuracy(fc.score_pairs(model, test))
+        acc = fc.evaluate_topk(model, test)
         rows.append(_report_row(acc, FORECASTING, model_name, "top1_pct", "top5_pct", "top10_pct"))
     return rows[0].unionByName(rows[1])
 
