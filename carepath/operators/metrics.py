@@ -18,13 +18,19 @@ DEFAULT_BUCKETS = 1024
 
 
 def prefix_sum_by_score(
-    scores: DataFrame, y: str = "y", p: str = "p", buckets: int = DEFAULT_BUCKETS
+    scores: DataFrame,
+    y: str = "y",
+    p: str = "p",
+    buckets: int = DEFAULT_BUCKETS,
+    group_cols: tuple[str, ...] = (),
 ) -> tuple[DataFrame, dict]:
-    """Per distinct score, descending: (p, tp, fp, ctp, cfp, idx) and totals {n_pos, n_neg, n_points}.
+    """Per group and distinct score, descending: (group..., p, tp, fp, ctp, cfp, idx, n_pos, n_neg, n_points).
 
-    ``ctp``/``cfp`` count positives/negatives with score >= p; ``idx`` is the 1-based position of the score.
+    ``ctp``/``cfp`` count positives/negatives of the group with score >= p; ``idx`` is the 1-based position of
+    the score inside its group. The second value holds overall totals (used for bucketing and ungrouped use).
     """
-    by_score = scores.groupBy(F.col(p).cast("double").alias("p")).agg(
+    g = list(group_cols)
+    by_score = scores.groupBy(*g, F.col(p).cast("double").alias("p")).agg(
         F.sum(F.col(y).cast("long")).alias("tp"),
         F.sum(F.lit(1) - F.col(y).cast("long")).alias("fp"),
     )
@@ -48,32 +54,64 @@ def prefix_sum_by_score(
         scaled = F.floor((F.lit(float(hi)) - F.col("p")) * F.lit(float(buckets)) / F.lit(float(hi - lo)))
         bucket = F.least(scaled, F.lit(buckets - 1))
     b = by_score.withColumn("_b", bucket.cast("int"))
-    inside = Window.partitionBy("_b").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*g, "_b").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     b = (
         b.withColumn("_rtp", F.sum("tp").over(inside))
         .withColumn("_rfp", F.sum("fp").over(inside))
-        .withColumn("_ridx", F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("p"))))
+        .withColumn("_ridx", F.row_number().over(Window.partitionBy(*g, "_b").orderBy(F.desc("p"))))
     )
-    per_bucket = b.groupBy("_b").agg(F.sum("tp").alias("_btp"), F.sum("fp").alias("_bfp"), F.count(F.lit(1)).alias("_bn"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = b.groupBy(*g, "_b").agg(
+        F.sum("tp").alias("_btp"), F.sum("fp").alias("_bfp"), F.count(F.lit(1)).alias("_bn")
+    )
+    before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*g)
     offsets = per_bucket.select(
+        *g,
         "_b",
         F.coalesce(F.sum("_btp").over(before), F.lit(0)).alias("_otp"),
         F.coalesce(F.sum("_bfp").over(before), F.lit(0)).alias("_ofp"),
         F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_on"),
+        F.sum("_btp").over(whole).alias("n_pos"),
+        F.sum("_bfp").over(whole).alias("n_neg"),
+        F.sum("_bn").over(whole).alias("n_points"),
     )
-    # At most ``buckets`` rows: a bounded broadcast.
-    out = b.join(F.broadcast(offsets), "_b").select(
+    # Ungrouped: at most ``buckets`` rows, a bounded broadcast. Grouped: groups x buckets rows, left to the planner.
+    offsets = F.broadcast(offsets) if not g else offsets
+    out = b.join(offsets, [*g, "_b"]).select(
+        *g,
         "p",
         F.col("tp").cast("long").alias("tp"),
         F.col("fp").cast("long").alias("fp"),
         (F.col("_otp") + F.col("_rtp")).cast("long").alias("ctp"),
         (F.col("_ofp") + F.col("_rfp")).cast("long").alias("cfp"),
         (F.col("_on") + F.col("_ridx")).cast("long").alias("idx"),
+        F.col("n_pos").cast("long").alias("n_pos"),
+        F.col("n_neg").cast("long").alias("n_neg"),
+        F.col("n_points").cast("long").alias("n_points"),
     )
     return out, totals
 
 
+def ranking_by_group(scores: DataFrame, group_cols: tuple[str, ...], y: str = "y", p: str = "p") -> DataFrame:
+    """ROC-AUC and average precision per group (e.g. per epoch or per split) from one grouped prefix-sum pass
+    -> (group..., n_pos, n_neg, roc_auc, average_precision); NULL metrics for a group missing a class."""
+    t, _ = prefix_sum_by_score(scores, y, p, group_cols=group_cols)
+    auc = F.sum(F.col("fp").cast("double") * (F.col("ctp").cast("double") - F.col("tp").cast("double") / 2.0))
+    ap = F.sum(
+        F.col("tp").cast("double") * F.col("ctp").cast("double") / (F.col("ctp") + F.col("cfp")).cast("double")
+    )
+    g = t.groupBy(*group_cols).agg(
+        F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"), auc.alias("_auc"), ap.alias("_ap")
+    )
+    return g.select(
+        *group_cols,
+        "n_pos",
+        "n_neg",
+        F.round(F.try_divide(F.col("_auc"), (F.col("n_pos") * F.col("n_neg")).cast("double")), 9).alias("roc_auc"),
+        F.round(F.try_divide(F.col("_ap"), F.col("n_pos").cast("double")), 9).alias("average_precision"),
+    )
+
+
 def roc_auc(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """ROC-AUC with half credit for ties -> (n_pos, n_neg, roc_auc); NULL when a class is absent."""
     t, tot = prefix_sum_by_score(scores, y, p)

@@ -10,8 +10,9 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import HashingTF, IDF
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +50,20 @@ def vectorize_notes_with(
     return notes.select("hadm_id", udf(F.col(text_col)).alias("vec"))
 
 
+def fit_note_clusters(note_vectors: DataFrame, train_ids: DataFrame, k: int = 10, seed: int = 42,
+                      max_iter: int = 20) -> KMeansModel:
+    """KMeans on the train split's note vectors only (no test information enters the clusters)."""
+    train = note_vectors.join(train_ids.select("hadm_id"), "hadm_id", "left_semi")
+    data = train.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(data)
+
+
+def assign_clusters(model: KMeansModel, note_vectors: DataFrame) -> DataFrame:
+    """(hadm_id, cluster) for every vector."""
+    data = note_vectors.select("hadm_id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    return model.transform(data).select("hadm_id", F.col("prediction").cast("long").alias("cluster"))
+
+
 def gated_fusion(
     df: DataFrame, code_col: str, note_col: str, weights: Sequence[float], bias: float, out_col: str = "fused"
 ) -> DataFrame:

@@ -278,6 +278,17 @@ b AS (SELECT p, y, len(list_filter(list_transform(range(1, 10), lambda i: CAST(i
                                    lambda e: e < p)) AS bin FROM scp)
 SELECT CAST(bin AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n, round(avg(p), 6) AS mean_p,
        round(avg(y), 6) AS frac_pos FROM b GROUP BY bin""",
+    "ranking_by_group": f"""WITH {_scores().strip()},
+gl AS (SELECT d.lang, s.p, sum(s.y) AS tp, sum(1 - s.y) AS fp FROM scp s JOIN documents d ON d.doc_id = s.hadm_id
+       GROUP BY d.lang, s.p),
+cl AS (SELECT lang, p, tp, fp,
+              sum(tp) OVER (PARTITION BY lang ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ctp,
+              sum(fp) OVER (PARTITION BY lang ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cfp,
+              sum(tp) OVER (PARTITION BY lang) AS n_pos, sum(fp) OVER (PARTITION BY lang) AS n_neg FROM gl)
+SELECT lang, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg,
+       round(CASE WHEN n_pos * n_neg = 0 THEN NULL ELSE sum(fp * (ctp - tp / 2.0)) / (n_pos * n_neg) END, 9) AS roc_auc,
+       round(CASE WHEN n_pos = 0 THEN NULL ELSE sum(tp * ctp / (ctp + cfp)) / n_pos END, 9) AS average_precision
+FROM cl GROUP BY lang, n_pos, n_neg""",
     "log_loss": f"""WITH {_scores().strip()}
 SELECT CAST(count(*) AS BIGINT) AS n, round(avg(greatest(z, 0.0) - z * y + ln(1 + exp(-abs(z)))), 9) AS log_loss
 FROM scp""",

@@ -211,6 +211,17 @@ def q_forecast_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return fc.cross_entropy(train, test, p.vocab.size, LAMBDA)
 
 
+def q_final_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole study on F1 (vectors for every admission): the four-row task/model report."""
+    import uuid
+
+    from carepath.plans.workflow import run_study
+    from carepath.session import checkpoint_dir
+
+    out = f"{checkpoint_dir(spark).rstrip('/')}/study-{uuid.uuid4().hex}"
+    return run_study(spark, inputs(spark, sf, "F1"), out, note_vectors=tables.note_vectors(spark, sf)).report
+
+
 def q_compare_models(spark: SparkSession, sf: str) -> DataFrame:
     return compare_models(forecast_report(spark, sf, "F1b", TOPK))
 
@@ -280,6 +291,12 @@ def q_calibration(spark: SparkSession, sf: str) -> DataFrame:
     return me.calibration(_scores(spark, sf))
 
 
+def q_ranking_by_group(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-group ROC-AUC / average precision (the per-epoch train AUC pattern), grouped by document language."""
+    lang = tables.read_table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("hadm_id"), "lang")
+    return me.ranking_by_group(_scores(spark, sf).join(lang, "hadm_id"), ("lang",))
+
+
 def q_log_loss(spark: SparkSession, sf: str) -> DataFrame:
     return me.log_loss(_scores(spark, sf), "y", "z")
 
@@ -370,6 +387,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forecast_topk_accuracy_notes": q_forecast_topk_accuracy_notes,
     "forecast_cross_entropy": q_forecast_cross_entropy,
     "compare_models": q_compare_models,
+    "final_report": q_final_report,
     "bag_of_codes_topk_vocab": q_bag_of_codes_topk_vocab,
     "risk_codes_only": q_risk_codes_only,
     "risk_with_notes": q_risk_with_notes,
@@ -379,6 +397,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "roc_points": q_roc_points,
     "roc_area": q_roc_area,
     "calibration": q_calibration,
+    "ranking_by_group": q_ranking_by_group,
     "log_loss": q_log_loss,
     "truncate_notes": q_truncate_notes,
     "vectorize_notes": q_vectorize_notes,
