@@ -2,13 +2,14 @@
 
 All threshold metrics share one prefix-sum table over *distinct* scores, built without a global single-task
 window: scores are aggregated to (score, positives, negatives) with map-side combining, cut into equal-width
-score buckets, cumulated inside each bucket in parallel, and shifted by the totals of all higher buckets
+score buckets (approximate-quantile edges), cumulated inside each bucket in parallel, and shifted by the totals of all higher buckets
 (one row per bucket: a bounded broadcast). Ties share one row, so they get the half credit / step behaviour
 of the usual definitions. Scores must not be NaN (apply ``nan_to`` first).
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +37,6 @@ def prefix_sum_by_score(
     )
     by_score = materialize(by_score)
     tot = by_score.agg(
-        F.min("p").alias("lo"),
-        F.max("p").alias("hi"),
         F.sum("tp").alias("n_pos"),
         F.sum("fp").alias("n_neg"),
         F.count(F.lit(1)).alias("n_points"),
@@ -47,13 +46,18 @@ def prefix_sum_by_score(
         "n_neg": int(tot["n_neg"] or 0),
         "n_points": int(tot["n_points"] or 0),
     }
-    lo, hi = tot["lo"], tot["hi"]
-    if lo is None or hi == lo:
-        bucket = F.lit(0)
+    # Bucket edges are approximate quantiles of the distinct scores (a bounded list of ``buckets`` values),
+    # so every bucket holds about the same number of distinct scores even when scores pile up near 0 or 1.
+    # Exactness does not depend on the edges: they only decide which task cumulates which scores.
+    probs = [i / buckets for i in range(1, buckets)]
+    edges = sorted(set(by_score.approxQuantile("p", probs, 1.0 / (4 * buckets)))) if totals["n_points"] and probs else []
+    if edges:
+        splits = [-float("inf"), *edges, float("inf")]
+        b = Bucketizer(splits=splits, inputCol="p", outputCol="_bd", handleInvalid="keep").transform(by_score)
+        # Descending score order: the highest bucket first.
+        b = b.withColumn("_b", (F.lit(len(splits) - 2) - F.col("_bd")).cast("int")).drop("_bd")
     else:
-        scaled = F.floor((F.lit(float(hi)) - F.col("p")) * F.lit(float(buckets)) / F.lit(float(hi - lo)))
-        bucket = F.least(scaled, F.lit(buckets - 1))
-    b = by_score.withColumn("_b", bucket.cast("int"))
+        b = by_score.withColumn("_b", F.lit(0))
     inside = Window.partitionBy(*g, "_b").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     b = (
         b.withColumn("_rtp", F.sum("tp").over(inside))

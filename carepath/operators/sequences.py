@@ -53,16 +53,30 @@ def next_pairs(sequences: DataFrame) -> DataFrame:
 
 
 def next_pairs_lead(encoded: DataFrame, cohort: DataFrame) -> DataFrame:
-    """The same pairs in row form with ``lead`` over each admission's ordered codes."""
-    w = Window.partitionBy("hadm_id").orderBy("seq_num", "code_id")
-    rows = encoded.join(cohort.select("hadm_id", "split"), "hadm_id").select(
-        "hadm_id",
-        "split",
-        (F.row_number().over(w) - 1).cast("long").alias("pos"),
-        F.col("code_id").alias("prev"),
-        F.lead("code_id").over(w).alias("next"),
+    """The same pairs in row form: each code's successor in (seq_num, code_id) order, without arrays.
+
+    Every code row takes its global position in (hadm_id, seq_num, code_id) order from the distributed
+    ``row_index``; a code's successor is the row at position + 1 with the same admission (an equi-join on the
+    position, a unique key). No step holds a whole admission in one task, so an admission with a third of
+    all rows is spread over the range partitions like any other. A scan-time row id breaks exact ties.
+    """
+    rows = encoded.withColumn("_tie", F.monotonically_increasing_id()).join(
+        cohort.select("hadm_id", "split"), "hadm_id"
+    ).select("hadm_id", "split", "seq_num", "code_id", "_tie")
+    ranked = row_index(rows, ["hadm_id", "seq_num", "code_id", "_tie"], "_rn")
+    first = ranked.groupBy("hadm_id").agg(F.min("_rn").alias("_first"))
+    successor = ranked.select("hadm_id", (F.col("_rn") - F.lit(1)).alias("_rn"), F.col("code_id").alias("next"))
+    return (
+        ranked.join(successor, ["hadm_id", "_rn"])
+        .join(first, "hadm_id")
+        .select(
+            "hadm_id",
+            "split",
+            (F.col("_rn") - F.col("_first")).cast("long").alias("pos"),
+            F.col("code_id").alias("prev"),
+            "next",
+        )
     )
-    return rows.where(F.col("next").isNotNull())
 
 
 def pad_batches(
