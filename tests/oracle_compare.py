@@ -24,13 +24,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"
+
+
 def _norm(v):
     if v is None:
         return (0, "")
     if isinstance(v, float):
         if math.isnan(v):
             return (1, "nan")
-        return (2, f"{round(v, 6):.6f}")
+        return (2, repr(v) if STRICT else f"{round(v, 6):.6f}")
     if isinstance(v, bool):
         return (3, str(v))
     return (3, str(v))
