@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carepath.functions.scalar import percent
-from carepath.operators.ordering import row_index
+from carepath.operators.ordering import row_index_with_total
 
 TRAIN, TEST = "train", "test"
 
@@ -48,8 +48,7 @@ def split_by_position(
             F.when(F.col("rn") <= F.lit(int(train_size)), F.lit(TRAIN)).otherwise(F.lit(TEST)).alias("split"),
             "rn",
         )
-    numbered = row_index(ids.select(col), [col], "rn")
-    n = numbered.count()
+    numbered, n = row_index_with_total(ids.select(col), [col], "rn")
     n_train = int(n * float(train_frac))  # floor for non-negative values
     return numbered.select(
         F.col(col).alias("hadm_id"),

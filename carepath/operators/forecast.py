@@ -24,6 +24,7 @@ from carepath.session import materialize
 class NextCodeModel:
     context_cols: tuple[str, ...]
     levels: tuple[tuple[tuple[str, ...], DataFrame], ...]  # (key columns, table(keys..., cand, rank))
+    level_rows: tuple[int, ...]  # row count of each level table (checked once at fit time)
     global_top: tuple[int, ...]  # the global k best code ids, best first
     k: int
 
@@ -47,14 +48,16 @@ def fit_next_code(train_pairs: DataFrame, k: int = 10, context_cols: Sequence[st
     if ctx:
         level_keys.append(ctx + ("prev",))
     level_keys.append(("prev",))
-    levels = []
+    levels, sizes = [], []
     for keys in level_keys:
         counts = finest if keys == ctx + ("prev",) else finest.groupBy(*keys, "next").agg(F.sum("n").alias("n"))
-        levels.append((keys, materialize(_top_per_key(counts, keys, k))))
+        table = materialize(_top_per_key(counts, keys, k))
+        levels.append((keys, table))
+        sizes.append(table.count())
     overall = finest.groupBy("next").agg(F.sum("n").alias("n"))
     # k rows: the global fallback list is small by construction and travels as a literal.
     top = overall.orderBy(F.desc("n"), F.asc("next")).limit(k).collect()
-    return NextCodeModel(ctx, tuple(levels), tuple(int(r["next"]) for r in top), k)
+    return NextCodeModel(ctx, tuple(levels), tuple(sizes), tuple(int(r["next"]) for r in top), k)
 
 
 def rank_candidates(model: NextCodeModel, contexts: DataFrame) -> DataFrame:
@@ -62,9 +65,9 @@ def rank_candidates(model: NextCodeModel, contexts: DataFrame) -> DataFrame:
     keys = model.context_cols + ("prev",)
     ctx = contexts.select(*keys).distinct()
     parts = []
-    for level, (lkeys, table) in enumerate(model.levels):
+    for level, ((lkeys, table), rows) in enumerate(zip(model.levels, model.level_rows)):
         parts.append(
-            ctx.join(broadcast_if_small(table), list(lkeys)).select(
+            ctx.join(broadcast_if_small(table, known_rows=rows), list(lkeys)).select(
                 *keys, "cand", F.lit(level).alias("level"), "rank"
             )
         )

@@ -33,12 +33,23 @@ def row_index(
     name: str = "rn",
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Add a 1-based position in the global order of ``order_cols`` (their combination must be unique).
+    """Add a 1-based position in the global order of ``order_cols``; see ``row_index_with_total``."""
+    return row_index_with_total(df, order_cols, name, num_partitions)[0]
+
+
+def row_index_with_total(
+    df: DataFrame,
+    order_cols: Sequence[str],
+    name: str = "rn",
+    num_partitions: int | None = None,
+) -> tuple[DataFrame, int]:
+    """Add a 1-based position in the global order of ``order_cols`` and return the row count too.
 
     Distributed: a range shuffle sorts the rows into ordered partitions, each row takes its position inside
-    its partition, the frame is checkpointed so the positions stay fixed under recomputation, and the
-    per-partition counts (one row per partition: a bounded broadcast) turn local positions into global ones.
-    No step funnels the rows through one task.
+    its partition, and the frame is checkpointed so the positions stay fixed under recomputation. The
+    per-partition row counts (one number per partition, so bounded by the partition count, never by the data)
+    come back to the driver and turn local positions into global ones through a literal offset array.
+    Rows tied on ``order_cols`` get distinct, arbitrary positions among themselves.
     """
     spark = df.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -47,24 +58,17 @@ def row_index(
         .sortWithinPartitions(*order_cols)
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    staged = materialize(staged)
-    staged = staged.withColumn("_part", F.shiftright("_mid", _POS_BITS)).withColumn(
-        "_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
-    )
-    counts = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ),
-    ).select("_part", "_off")
-    # One row per partition: the size bound is the partition count.
-    return (
-        staged.join(F.broadcast(offsets), "_part")
-        .withColumn(name, (F.col("_off") + F.col("_pos") + F.lit(1)).cast("long"))
-        .drop("_mid", "_part", "_pos", "_off")
-    )
+    staged = materialize(staged).withColumn("_part", F.shiftright("_mid", _POS_BITS).cast("int"))
+    counts = dict(staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect())
+    n_parts = max(counts) + 1 if counts else 0
+    offsets, running = [], 0
+    for part in range(n_parts):
+        offsets.append(running)
+        running += counts.get(part, 0)
+    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_part") + 1) if offsets else F.lit(0)
+    pos = F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
+    out = staged.withColumn(name, (offset + pos + F.lit(1)).cast("long")).drop("_mid", "_part")
+    return out, running
 
 
 def shuffle_key(id_col: str | Column, seed: int) -> Column:

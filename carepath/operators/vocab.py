@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carepath.operators.cohort import TRAIN
-from carepath.operators.ordering import broadcast_if_small, row_index
-from carepath.session import materialize
+from carepath.operators.ordering import broadcast_if_small, row_index_with_total
 
 # Fixed values of the reference's numbering: 0 pads, known codes take 1..n, the unknown token takes n+1.
 PAD_ID = 0
@@ -55,8 +54,8 @@ def build_vocab(diagnoses: DataFrame, cohort: DataFrame, split: str = TRAIN, cod
         .where(F.col("code").isNotNull())
         .distinct()
     )
-    table = materialize(row_index(codes, ["code"], "code_id").select("code", "code_id"))
-    return Vocabulary(table, table.count())
+    table, n = row_index_with_total(codes, ["code"], "code_id")
+    return Vocabulary(table.select("code", "code_id"), n)
 
 
 def encode_codes(diagnoses: DataFrame, vocab: Vocabulary, code_col: str = "icd_code") -> DataFrame:
