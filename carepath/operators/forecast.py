@@ -121,7 +121,7 @@ def topk_accuracy(scored: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFram
     Accepts per-row scores (``score_pairs``) or combined ones with a multiplicity ``m`` (``score_pair_counts``).
     """
     m = F.col("m") if "m" in scored.columns else F.lit(1)
-    total = F.sum(m)
+    total = F.coalesce(F.sum(m), F.lit(0))
     aggs = [total.cast("long").alias("n_tokens")]
     for k in ks:
         hits = F.sum(F.when(F.col("hit_rank") <= F.lit(k), m).otherwise(F.lit(0)))
@@ -159,6 +159,6 @@ def cross_entropy(train_pairs: DataFrame, eval_pairs: DataFrame, vocab_size: int
     cond = F.coalesce(F.col("c_pair"), F.lit(0)).cast("double") / F.col("c_prev").cast("double")
     p = F.when(F.col("c_prev").isNull(), uni).otherwise(F.lit(lam) * cond + F.lit(1.0 - lam) * uni)
     return joined.agg(
-        F.sum("m").cast("long").alias("n_tokens"),
-        F.round(F.sum(F.col("m") * -F.log(p)) / F.sum("m"), 9).alias("cross_entropy"),
+        F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.round(F.try_divide(F.sum(F.col("m") * -F.log(p)), F.sum("m").cast("double")), 9).alias("cross_entropy"),
     )
