@@ -73,6 +73,22 @@ def split_check(cohort: DataFrame, admissions: DataFrame) -> DataFrame:
     )
 
 
+def note_coverage(cohort: DataFrame, note_ids: DataFrame) -> DataFrame:
+    """Per split: admissions with and without a note, and note rows beyond one per admission (a positional
+    lookup of notes by id would multiply those) -> (split, n, with_note, without_note, note_rows,
+    duplicate_note_rows). Notes are counted per id map-side before the join."""
+    per_id = note_ids.groupBy("hadm_id").agg(F.count(F.lit(1)).alias("_c"))
+    joined = cohort.select("hadm_id", "split").join(per_id, "hadm_id", "left")
+    c = F.coalesce(F.col("_c"), F.lit(0))
+    return joined.groupBy("split").agg(
+        F.count(F.lit(1)).cast("long").alias("n"),
+        F.sum((c > 0).cast("long")).cast("long").alias("with_note"),
+        F.sum((c == 0).cast("long")).cast("long").alias("without_note"),
+        F.sum(c).cast("long").alias("note_rows"),
+        F.sum(F.greatest(c - F.lit(1), F.lit(0))).cast("long").alias("duplicate_note_rows"),
+    )
+
+
 def attach_labels(df: DataFrame, labels: DataFrame, default: int = 0) -> DataFrame:
     """Left join the 0/1 label; a missing label becomes ``default`` and is flagged in ``label_missing``."""
     lab = labels.select("hadm_id", F.col("label").alias("_label"))

@@ -60,6 +60,33 @@ def fit_next_code(train_pairs: DataFrame, k: int = 10, context_cols: Sequence[st
     return NextCodeModel(ctx, tuple(levels), tuple(sizes), tuple(int(r["next"]) for r in top), k)
 
 
+def save_next_code(model: NextCodeModel, path: str) -> None:
+    """Store the model as Parquet: one folder per level table plus a small metadata table."""
+    spark = model.levels[0][1].sparkSession
+    for i, (keys, table) in enumerate(model.levels):
+        table.write.mode("overwrite").parquet(f"{path}/level={i}")
+    meta = spark.createDataFrame(
+        [(i, ",".join(keys), rows) for i, ((keys, _), rows) in enumerate(zip(model.levels, model.level_rows))],
+        "level int, keys string, rows long",
+    )
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/levels")
+    spark.createDataFrame(
+        [(r, c) for r, c in enumerate(model.global_top, start=1)] or [(0, None)], "rank long, cand long"
+    ).where(F.col("cand").isNotNull()).coalesce(1).write.mode("overwrite").parquet(f"{path}/global")
+    spark.createDataFrame([(",".join(model.context_cols), model.k)], "context string, k int").coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/meta")
+
+
+def load_next_code(spark, path: str) -> NextCodeModel:
+    meta = spark.read.parquet(f"{path}/meta").first()
+    lv = sorted(spark.read.parquet(f"{path}/levels").collect(), key=lambda r: r["level"])
+    levels = tuple((tuple(r["keys"].split(",")), spark.read.parquet(f"{path}/level={r['level']}")) for r in lv)
+    top = tuple(int(r["cand"]) for r in spark.read.parquet(f"{path}/global").orderBy("rank").collect())
+    ctx = tuple(c for c in meta["context"].split(",") if c)
+    return NextCodeModel(ctx, levels, tuple(int(r["rows"]) for r in lv), top, int(meta["k"]))
+
+
 def rank_candidates(model: NextCodeModel, contexts: DataFrame) -> DataFrame:
     """Ranked candidate list for each distinct context in ``contexts`` -> (context..., prev, cand, rank)."""
     keys = model.context_cols + ("prev",)

@@ -114,6 +114,17 @@ def pad_batches(
     )
 
 
+def unpad_batches(batches: DataFrame, label_pad: int = LABEL_PAD) -> DataFrame:
+    """Padded batches back to prediction steps: positions whose label is the padding label are masked out
+    -> (hadm_id, split, pos, prev, next), equal to ``next_pairs`` of the unpadded sequences."""
+    z = F.arrays_zip(F.col("input_ids").alias("prev"), F.col("labels").alias("next"))
+    steps = batches.select("hadm_id", "split", F.posexplode(z).alias("pos", "_p"))
+    return steps.where(F.col("_p.next") != F.lit(label_pad)).select(
+        "hadm_id", "split", F.col("pos").cast("long").alias("pos"), F.col("_p.prev").alias("prev"),
+        F.col("_p.next").alias("next"),
+    )
+
+
 def top_codes(sequences: DataFrame, k: int = 10, split: str | None = "train") -> DataFrame:
     """The k most frequent input codes (the last code of each sequence is not an input) -> (code_id, n, rank)."""
     src = sequences if split is None else sequences.where(F.col("split") == split)

@@ -20,9 +20,8 @@ from pyspark.sql import types as T
 from carepath.functions.vector import centered, gate, normalize_centered, weighted_sum
 from carepath.functions.scalar import word_tokens
 
-# Cells (items x dimensions) of the item matrix we ship to every task whole (256 MB of doubles);
-# beyond it the blocked plan is used.
-MAX_BROADCAST_CELLS = 32_000_000
+# Cells (items x dimensions) of one item block held by one task (256 MB of doubles).
+MAX_BLOCK_CELLS = 32_000_000
 
 
 def vectorize_notes(notes: DataFrame, num_features: int = 1 << 10, text_col: str = "text") -> DataFrame:
@@ -136,51 +135,63 @@ def topk_by_dot(
     i_id: str = "item_id",
     i_vec: str = "vec",
     item_blocks: int | None = None,
+    query_blocks: int | None = None,
 ) -> DataFrame:
     """Exact k best items per query by dot product -> (query_id, item_id, score, rank).
 
-    Items within a checked size bound travel to every task once (broadcast variable) and each Arrow batch
-    of queries is scored as one matrix product with a per-row partial top-k. Larger item sets are split into
-    blocks; each (query partition, item block) pair scores independently and the per-block top-k lists are
-    merged with a bounded group limit, so no task ever holds more than one block of items.
+    Block matrix product on Spark: items are split into ``item_blocks`` blocks of at most MAX_BLOCK_CELLS
+    cells, queries into ``query_blocks`` hash blocks; every (query block, item block) pair is one cogroup
+    task that scores its block as one numpy matrix product and keeps a per-query top-k; the per-block lists
+    (k rows per query and item block) are merged with a bounded group limit. Nothing passes through the
+    driver and no task holds more than one block of items, whatever the sizes.
     """
     spark = queries.sparkSession
     out_schema = "query_id long, item_id long, score double"
-    size = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(i_vec)).alias("d")).first()
-    n_items, dim = int(size["n"]), int(size["d"] or 0)
-    if item_blocks is None and n_items * max(dim, 1) <= MAX_BROADCAST_CELLS:
-        rows = items.select(F.col(i_id).cast("long").alias("i"), F.col(i_vec).cast("array<double>").alias("v")).collect()
-        i_ids = np.array([r["i"] for r in rows], dtype=np.int64)
-        mat = np.array([r["v"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
-        bc = spark.sparkContext.broadcast((i_ids, mat))
-
-        def score(batches):
-            ids, m = bc.value
-            for pdf in batches:
-                q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]]) if len(pdf) else np.zeros((0, 0))
-                yield _topk_block(pdf["q"].to_numpy(np.int64), q, ids, m, k)
-
-        cand = queries.select(F.col(q_id).cast("long").alias("q"), F.col(q_vec).cast("array<double>").alias("v"))
-        scored = cand.mapInPandas(score, out_schema)
-    else:
-        blocks = item_blocks or max(1, -(-n_items * max(dim, 1) // MAX_BROADCAST_CELLS))
-        qb = queries.select(
-            F.col(q_id).cast("long").alias("q"), F.col(q_vec).cast("array<double>").alias("v"),
-            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"),
-        )
-        ib = items.select(
-            F.col(i_id).cast("long").alias("i"), F.col(i_vec).cast("array<double>").alias("w"),
-            F.pmod(F.xxhash64(F.col(i_id)), F.lit(blocks)).cast("int").alias("blk"),
-        )
-        qparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        qb = qb.withColumn("qblk", F.pmod(F.xxhash64("q"), F.lit(qparts)).cast("int"))
-        ib = ib.select("i", "w", "blk", F.explode(F.sequence(F.lit(0), F.lit(qparts - 1))).alias("qblk"))
-
-        def score_block(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-            q = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["v"]]) if len(qpdf) else np.zeros((0, 0))
-            m = np.stack([np.asarray(v, dtype=np.float64) for v in ipdf["w"]]) if len(ipdf) else np.zeros((0, 0))
-            return _topk_block(qpdf["q"].to_numpy(np.int64), q, ipdf["i"].to_numpy(np.int64), m, k)
-
-        scored = qb.groupBy("qblk", "blk").cogroup(ib.groupBy("qblk", "blk")).applyInPandas(score_block, out_schema)
+    if item_blocks is None:
+        size = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(i_vec)).alias("d")).first()
+        cells = int(size["n"]) * max(int(size["d"] or 0), 1)
+        item_blocks = max(1, -(-cells // MAX_BLOCK_CELLS))
+    qparts = query_blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    qb = queries.select(
+        F.col(q_id).cast("long").alias("q"),
+        F.col(q_vec).cast("array<double>").alias("v"),
+        F.pmod(F.xxhash64(F.col(q_id)), F.lit(qparts)).cast("int").alias("qblk"),
+        F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("blk"),
+    )
+    ib = items.select(
+        F.col(i_id).cast("long").alias("i"),
+        F.col(i_vec).cast("array<double>").alias("w"),
+        F.pmod(F.xxhash64(F.col(i_id)), F.lit(item_blocks)).cast("int").alias("blk"),
+        F.explode(F.sequence(F.lit(0), F.lit(qparts - 1))).alias("qblk"),
+    )
+
+    def score_block(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
+        q = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["v"]]) if len(qpdf) else np.zeros((0, 0))
+        m = np.stack([np.asarray(v, dtype=np.float64) for v in ipdf["w"]]) if len(ipdf) else np.zeros((0, 0))
+        return _topk_block(qpdf["q"].to_numpy(np.int64), q, ipdf["i"].to_numpy(np.int64), m, k)
+
+    scored = qb.groupBy("qblk", "blk").cogroup(ib.groupBy("qblk", "blk")).applyInPandas(score_block, out_schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= F.lit(k))
+
+
+def fuse_sequence_positions(
+    sequences: DataFrame,
+    code_vectors: DataFrame,
+    note_vectors: DataFrame,
+    weights: Sequence[float],
+    bias: float,
+) -> DataFrame:
+    """Per input position: the code's vector (lookup by id) gated against the admission's note vector, which is
+    repeated over every position by the join on ``hadm_id`` -> (hadm_id, pos, code_id, gate, fused).
+
+    ``code_vectors`` is (code_id, vec): one row per vocabulary id, so it is broadcast under a checked size.
+    """
+    from carepath.operators.ordering import broadcast_if_small
+
+    positions = sequences.select("hadm_id", F.posexplode("input_ids").alias("pos", "code_id"))
+    codes = broadcast_if_small(code_vectors.select("code_id", F.col("vec").alias("code_vec")))
+    notes = note_vectors.select("hadm_id", F.col("vec").alias("note_vec"))
+    joined = positions.join(codes, "code_id").join(notes, "hadm_id")
+    fused = gated_fusion(joined, "code_vec", "note_vec", weights, bias)
+    return fused.select("hadm_id", F.col("pos").cast("long").alias("pos"), "code_id", "gate", "fused")

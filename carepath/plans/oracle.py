@@ -159,6 +159,14 @@ FROM (SELECT c.split, CAST(count(*) AS BIGINT) AS n, CAST(sum(COALESCE(a.label,
 per AS (SELECT CAST(COALESCE(a.label, 0) AS INTEGER) AS label, CAST(count(*) AS BIGINT) AS n
         FROM cohort c LEFT JOIN adm a ON a.hadm_id = c.hadm_id WHERE c.split = 'train' GROUP BY 1)
 SELECT label, n, round(CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n), 9) AS weight FROM per""",
+    "note_coverage": f"""WITH {prep('F3')},
+nc AS (SELECT l_orderkey AS hadm_id, count(*) AS c FROM lineitem GROUP BY l_orderkey)
+SELECT c.split, CAST(count(*) AS BIGINT) AS n,
+       CAST(sum(CASE WHEN nc.c IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS with_note,
+       CAST(sum(CASE WHEN nc.c IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_note,
+       CAST(sum(COALESCE(nc.c, 0)) AS BIGINT) AS note_rows,
+       CAST(sum(greatest(COALESCE(nc.c, 0) - 1, 0)) AS BIGINT) AS duplicate_note_rows
+FROM cohort c LEFT JOIN nc ON nc.hadm_id = c.hadm_id GROUP BY c.split""",
     "vocab_train_only": f"WITH {prep('F2')} SELECT code, code_id FROM vocab_unk",
     "encode_with_unknown": f"""WITH {prep('F2')}
 SELECT e.hadm_id, c.split, e.seq_num, e.icd_code, e.code_id FROM enc e JOIN cohort c ON c.hadm_id = e.hadm_id""",

@@ -71,6 +71,12 @@ def q_cohort_stats(spark: SparkSession, sf: str) -> DataFrame:
     return co.cohort_stats(build_cohort(inp), inp.labels)
 
 
+def q_note_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """F3 cohort against its note rows (one per line item): missing notes and rows that would multiply."""
+    inp = inputs(spark, sf, "F3")
+    return co.note_coverage(build_cohort(inp), inp.note_ids)
+
+
 def q_class_weights(spark: SparkSession, sf: str) -> DataFrame:
     inp = inputs(spark, sf, "F3")
     return co.class_weights(build_cohort(inp), inp.labels).withColumn("weight", F.round("weight", 9))
@@ -370,6 +376,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_check": q_split_check,
     "cohort_stats": q_cohort_stats,
     "class_weights": q_class_weights,
+    "note_coverage": q_note_coverage,
     "vocab_train_only": q_vocab_train_only,
     "encode_with_unknown": q_encode_with_unknown,
     "ordered_sequences": q_ordered_sequences,

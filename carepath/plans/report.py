@@ -65,6 +65,16 @@ def combine_reports(*reports: DataFrame) -> DataFrame:
     return out
 
 
+def filter_report(report: DataFrame, task: str | None = None, model_contains: str | None = None) -> DataFrame:
+    """Rows of one task and/or whose model name contains a substring."""
+    out = report
+    if task is not None:
+        out = out.where(F.col("task") == F.lit(task))
+    if model_contains is not None:
+        out = out.where(F.col("model").contains(model_contains))
+    return out
+
+
 def compare_models(report: DataFrame, base: str = UNIMODAL, other: str = MULTIMODAL) -> DataFrame:
     """Per task and metric, the two models side by side (chosen by name, not row position) and the relative
     gain % -> (task, metric, unimodal, multimodal, gain_pct)."""

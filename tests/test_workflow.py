@@ -115,3 +115,50 @@ def test_risk_matches_newton_solution(spark):
         beta -= np.linalg.solve(hess, grad)
     assert list(lr.coefficients) == pytest.approx(list(beta[:d]), abs=2e-4)
     assert lr.intercept == pytest.approx(beta[d], abs=2e-4)
+
+
+def test_next_code_model_round_trip(spark):
+    from carepath.operators import forecast as fc
+
+    pairs = spark.createDataFrame(
+        [(1, "train", 0, 1, 2), (2, "train", 0, 1, 3), (3, "train", 0, 1, 2), (4, "test", 0, 1, 3)],
+        "hadm_id long, split string, pos long, prev long, next long")
+    model = fc.fit_next_code(pairs.where("split = 'train'"), 10)
+    path = tempfile.mkdtemp(prefix="carepath-model-") + "/m"
+    fc.save_next_code(model, path)
+    back = fc.load_next_code(spark, path)
+    a = fc.evaluate_topk(model, pairs.where("split = 'test'")).first()
+    b = fc.evaluate_topk(back, pairs.where("split = 'test'")).first()
+    assert a == b and back.global_top == model.global_top and back.k == model.k
+
+
+def test_unpad_batches_gives_back_pairs(spark):
+    from carepath.operators.sequences import next_pairs, pad_batches, unpad_batches
+    from carepath.plans.fixtures import prepare
+
+    s = prepare(spark, SF_SMALL, "F2").sequences
+    a = sorted(map(tuple, next_pairs(s).collect()))
+    b = sorted(map(tuple, unpad_batches(pad_batches(s, batch_size=8, seed=3)).collect()))
+    assert a == b
+
+
+def test_fuse_sequence_positions_repeats_note(spark):
+    from carepath.operators.vectors import fuse_sequence_positions
+
+    seqs = spark.createDataFrame([(1, "train", [5, 6], [6, 7])], "hadm_id long, split string, input_ids array<long>, labels array<long>")
+    codes = spark.createDataFrame([(5, [1.0, 2.0]), (6, [0.0, 1.0])], "code_id long, vec array<double>")
+    notes = spark.createDataFrame([(1, [3.0, 5.0])], "hadm_id long, vec array<double>")
+    got = {r.pos: r for r in fuse_sequence_positions(seqs, codes, notes, [.1, .2, .3, .4], .05).collect()}
+    assert got[0].gate == pytest.approx(0.969231140642852, abs=1e-12)
+    assert got[0].fused == pytest.approx([2.9384622812857044, 4.907693421928556], abs=1e-12)
+    assert got[1].code_id == 6 and len(got) == 2
+
+
+def test_report_filters(spark):
+    from carepath.plans.report import filter_report
+
+    rep = spark.createDataFrame(
+        [("Forecasting", "Unimodal", 1.0, 2.0, 3.0), ("Mortality", "Multimodal", .9, .5, 0.0)],
+        "task string, model string, metric_1 double, metric_2 double, metric_3 double")
+    assert [r.model for r in filter_report(rep, task="Mortality").collect()] == ["Multimodal"]
+    assert [r.task for r in filter_report(rep, model_contains="Unimodal").collect()] == ["Forecasting"]
