@@ -89,9 +89,19 @@ def note_coverage(cohort: DataFrame, note_ids: DataFrame) -> DataFrame:
     )
 
 
+def unique_labels(labels: DataFrame, order_col: str | None = None) -> DataFrame:
+    """One label per admission. With ``order_col`` the last row in that order wins (the reference's
+    dictionary keeps the last value it reads); without one, a positive wins, so the result does not depend
+    on file order. Partial aggregation keeps a repeated id cheap."""
+    if order_col is None:
+        return labels.groupBy("hadm_id").agg(F.max("label").alias("label"))
+    return labels.groupBy("hadm_id").agg(F.max_by("label", order_col).alias("label"))
+
+
 def attach_labels(df: DataFrame, labels: DataFrame, default: int = 0) -> DataFrame:
-    """Left join the 0/1 label; a missing label becomes ``default`` and is flagged in ``label_missing``."""
-    lab = labels.select("hadm_id", F.col("label").alias("_label"))
+    """Left join the 0/1 label; a missing label becomes ``default`` and is flagged in ``label_missing``.
+    Labels are made unique per admission first, so a repeated id cannot multiply rows."""
+    lab = unique_labels(labels.select("hadm_id", "label")).select("hadm_id", F.col("label").alias("_label"))
     return (
         df.join(lab, "hadm_id", "left")
         .withColumn("label_missing", F.col("_label").isNull())

@@ -92,19 +92,23 @@ def run_study(
     sequences = spark.read.parquet(os.path.join(out_dir, "sequences"))
     drops = modality_drop_counts(sequences, vecs, inp.labels)
 
-    # Forecasting: codes only, and keyed by the note cluster (KMeans fitted on train vectors).
+    # Forecasting: codes only, and keyed by the note cluster (KMeans fitted on train vectors). As in the
+    # reference's data loader, both models see only sequences that have a note vector (inner join).
     pairs = next_pairs(sequences)
     km = fit_note_clusters(vecs, cohort.where(F.col("split") == TRAIN), config.note_clusters, config.seed)
-    clusters = assign_clusters(km, vecs)
-    pairs = pairs.join(clusters, "hadm_id", "left")
+    clusters = materialize(assign_clusters(km, vecs))
+    pairs = pairs.join(clusters, "hadm_id")
     train, test = pairs.where(F.col("split") == TRAIN), pairs.where(F.col("split") == TEST)
     rows = []
     for name, ctx in ((UNIMODAL, ()), (MULTIMODAL, ("cluster",))):
         model = fc.fit_next_code(train, config.k, ctx)
         rows.append(_row(fc.evaluate_topk(model, test), FORECASTING, name, ("top1_pct", "top5_pct", "top10_pct")))
 
-    # Mortality: class-weighted logistic regression with and without the note vector.
-    bags = materialize(rk.bag_of_codes(inp.diagnoses, cohort, inp.labels))
+    # Mortality: class-weighted logistic regression with and without the note vector, both on the admissions
+    # that have a vector (one evaluation population for the two report rows, as in the reference's report).
+    bags = materialize(
+        rk.bag_of_codes(inp.diagnoses, cohort, inp.labels).join(vecs.select("hadm_id"), "hadm_id", "left_semi")
+    )
     for name, v in ((MULTIMODAL, vecs), (UNIMODAL, None)):
         model = rk.fit_risk(bags, v, k=config.max_features)
         scores = materialize(rk.score_risk(model, bags, v, split=TEST))
