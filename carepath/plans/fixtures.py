@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from carepath.operators.cohort import intersect_ids, split_by_position
 from carepath.operators.sequences import build_sequences, next_pairs
@@ -45,6 +46,27 @@ def inputs(spark: SparkSession, sf_dir: str, fixture: str) -> Inputs:
     )
 
 
+def clinical_inputs(
+    spark: SparkSession, admissions_path: str, notes_path: str, diagnoses_path: str, landed_dir: str | None = None
+) -> Inputs:
+    """Inputs from the raw clinical extracts (CSV, possibly gzip). With ``landed_dir`` each table is landed
+    once as Parquet (gzip CSV is unsplittable) and read back from there: only the note ids, not the note text,
+    travel into the cohort step."""
+    from carepath.sources import clinical
+
+    adm = clinical.read_admissions(spark, admissions_path)
+    note_ids = clinical.read_notes(spark, notes_path, with_text=False).select("hadm_id")
+    diag = clinical.read_diagnoses(spark, diagnoses_path)
+    if landed_dir:
+        for name, df in (("admissions", adm), ("note_ids", note_ids), ("diagnoses", diag)):
+            clinical.land_parquet(df, f"{landed_dir}/{name}")
+        adm = spark.read.parquet(f"{landed_dir}/admissions")
+        note_ids = spark.read.parquet(f"{landed_dir}/note_ids")
+        diag = spark.read.parquet(f"{landed_dir}/diagnoses")
+    labels = adm.select("hadm_id", F.col("hospital_expire_flag").alias("label"))
+    return Inputs(admissions=adm, labels=labels, note_ids=note_ids, diagnoses=diag)
+
+
 def build_cohort(inp: Inputs, train_frac: float = 0.8) -> DataFrame:
     """Ids in both admissions and notes, split by position. Materialized: every later stage reads it."""
     ids = intersect_ids(inp.admissions.select("hadm_id"), inp.note_ids)

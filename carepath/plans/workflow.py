@@ -122,3 +122,40 @@ def run_study(
     write_report_csv(report, os.path.join(out_dir, "final_metrics"))
     comparison = compare_models(report)
     return StudyResult(cohort, report, comparison, drops)
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Command line: the whole study from the raw extracts.
+
+    python -m carepath.plans.workflow --admissions A.csv.gz --notes N.csv.gz --diagnoses D.csv.gz --out DIR
+        [--train-size 50000 --test-size 5000 | --train-frac 0.8] [--vectors VEC.parquet]
+    """
+    import argparse
+
+    from carepath.plans.fixtures import clinical_inputs
+    from carepath.sources import clinical
+
+    ap = argparse.ArgumentParser(prog="carepath.plans.workflow")
+    ap.add_argument("--admissions", required=True)
+    ap.add_argument("--notes", required=True)
+    ap.add_argument("--diagnoses", required=True)
+    ap.add_argument("--out", required=True)
+    ap.add_argument("--vectors", help="Parquet (hadm_id, vec); default: TF-IDF of the note text")
+    ap.add_argument("--train-size", type=int)
+    ap.add_argument("--test-size", type=int)
+    ap.add_argument("--train-frac", type=float, default=0.8)
+    args = ap.parse_args(argv)
+    spark = SparkSession.builder.appName("carepath-study").getOrCreate()
+    inp = clinical_inputs(spark, args.admissions, args.notes, args.diagnoses, landed_dir=f"{args.out}/landed")
+    cfg = StudyConfig(
+        train_frac=None if args.train_size else args.train_frac, train_size=args.train_size, test_size=args.test_size
+    )
+    vectors = spark.read.parquet(args.vectors) if args.vectors else None
+    notes = None if vectors is not None else clinical.read_notes(spark, args.notes).select("hadm_id", "text")
+    result = run_study(spark, inp, args.out, note_vectors=vectors, notes=notes, config=cfg)
+    result.report.show(truncate=False)
+    result.comparison.show(truncate=False)
+
+
+if __name__ == "__main__":
+    main()

@@ -162,3 +162,40 @@ def test_report_filters(spark):
         "task string, model string, metric_1 double, metric_2 double, metric_3 double")
     assert [r.model for r in filter_report(rep, task="Mortality").collect()] == ["Multimodal"]
     assert [r.task for r in filter_report(rep, model_contains="Unimodal").collect()] == ["Forecasting"]
+
+
+def test_study_from_clinical_csv(spark):
+    """The hand fixture as raw CSV extracts (quoted multi-line notes, codes with leading zeros) -> whole study."""
+    from carepath.plans.fixtures import clinical_inputs
+    from carepath.plans.workflow import StudyConfig, run_study
+    from carepath.sources.clinical import read_notes
+
+    d = tempfile.mkdtemp(prefix="carepath-csv-")
+    with open(f"{d}/admissions.csv", "w") as f:
+        f.write("subject_id,hadm_id,admittime,hospital_expire_flag\n")
+        for s_, h, fl in [(1, 101, 0), (1, 102, 1), (2, 103, 0), (2, 104, 0), (4, 105, 1), (5, 107, 0)]:
+            f.write(f"{s_},{h},2150-01-01,{fl}\n")
+    with open(f"{d}/discharge.csv", "w") as f:
+        f.write("note_id,subject_id,hadm_id,text\n")
+        for h in [101, 102, 103, 104, 105, 106]:
+            f.write(f'n{h},1,{h},"Patient {h}\nsaid ""fine"", discharged home with code {h % 7}"\n')
+    with open(f"{d}/diagnoses_icd.csv", "w") as f:
+        f.write("subject_id,hadm_id,seq_num,icd_code,icd_version\n")
+        for h, sq_, c in [(101, 1, "4019"), (101, 2, "0389"), (101, 3, "25000"), (102, 2, "25000"), (102, 1, "4019"),
+                          (103, 1, "I10"), (104, 1, "4019"), (104, 2, "Z99"), (104, 3, "0389"), (105, 1, "25000"),
+                          (105, 2, "4019"), (107, 1, "E119")]:
+            f.write(f"1,{h},{sq_},{c},9\n")
+    inp = clinical_inputs(spark, f"{d}/admissions.csv", f"{d}/discharge.csv", f"{d}/diagnoses_icd.csv",
+                          landed_dir=f"{d}/landed")
+    notes = read_notes(spark, f"{d}/discharge.csv").select("hadm_id", "text")
+    res = run_study(spark, inp, f"{d}/out", notes=notes,
+                    config=StudyConfig(train_frac=None, train_size=3, test_size=2, note_clusters=2, max_features=10))
+    assert {r.split: r["count"] for r in res.cohort.groupBy("split").count().collect()} == {"train": 3, "test": 2}
+    vocab = {r.code: r.code_id for r in spark.read.parquet(f"{d}/out/vocab").collect()}
+    assert vocab == {"0389": 1, "25000": 2, "4019": 3, "I10": 4, "<UNK>": 5}
+    seqs = {r.hadm_id: (r.input_ids, r.labels) for r in spark.read.parquet(f"{d}/out/sequences").collect()}
+    assert seqs == {101: ([3, 1], [1, 2]), 102: ([3], [2]), 104: ([3, 5], [5, 1]), 105: ([2], [3])}
+    rows = {(r.task, r.model) for r in res.report.collect()}
+    assert len(rows) == 4
+    header = spark.read.option("header", True).csv(f"{d}/out/final_metrics").columns
+    assert header == ["Task", "Model", "Top-1 / AUC", "Top-5 / AUPRC", "Top-10"]
