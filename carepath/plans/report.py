@@ -98,6 +98,31 @@ def compare_models(report: DataFrame, base: str = UNIMODAL, other: str = MULTIMO
     )
 
 
+def format_report(report: DataFrame, digits: int = 4) -> DataFrame:
+    """Display strings for the report (task, model, then each metric with ``digits`` decimals); forecasting
+    metrics are percentages and get a % sign."""
+    pct = F.col("task") == F.lit(FORECASTING)
+    out = [F.col("task"), F.col("model")]
+    for m in ("metric_1", "metric_2", "metric_3"):
+        text = F.format_string(f"%.{digits}f", F.col(m))
+        out.append(F.when(pct, F.concat(text, F.lit("%"))).otherwise(text).alias(m))
+    return report.select(*out)
+
+
+def format_cohort_stats(stats: DataFrame, vocab_size_with_unknown: int | None = None) -> DataFrame:
+    """Cohort table for display: n with thousands separators, positives, rate with two decimals and a % sign,
+    and the vocabulary size when given."""
+    cols = [
+        F.col("split"),
+        F.format_number(F.col("n"), 0).alias("n"),
+        F.format_number(F.col("n_pos"), 0).alias("positives"),
+        F.concat(F.format_string("%.2f", F.col("rate_pct")), F.lit("%")).alias("rate"),
+    ]
+    if vocab_size_with_unknown is not None:
+        cols.append(F.format_number(F.lit(vocab_size_with_unknown), 0).alias("vocab_size"))
+    return stats.select(*cols)
+
+
 def write_report_csv(report: DataFrame, path: str) -> None:
     """The results file with the reference's header (a handful of rows: one output file is fine)."""
     report.select(

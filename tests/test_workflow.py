@@ -199,3 +199,16 @@ def test_study_from_clinical_csv(spark):
     assert len(rows) == 4
     header = spark.read.option("header", True).csv(f"{d}/out/final_metrics").columns
     assert header == ["Task", "Model", "Top-1 / AUC", "Top-5 / AUPRC", "Top-10"]
+
+
+def test_format_report(spark):
+    from carepath.plans.report import format_cohort_stats, format_report
+
+    rep = spark.createDataFrame(
+        [("Forecasting", "Unimodal", 6.5723444, 17.26, 24.9), ("Mortality", "Multimodal", .96305, .5131, 0.0)],
+        "task string, model string, metric_1 double, metric_2 double, metric_3 double")
+    got = {r.model: (r.metric_1, r.metric_3) for r in format_report(rep).collect()}
+    assert got == {"Unimodal": ("6.5723%", "24.9000%"), "Multimodal": ("0.9631", "0.0000")}
+    stats = spark.createDataFrame([("train", 50000, 1234, 2.468)], "split string, n long, n_pos long, rate_pct double")
+    r = format_cohort_stats(stats, 12345).first()
+    assert (r.n, r.positives, r.rate, r.vocab_size) == ("50,000", "1,234", "2.47%", "12,345")
