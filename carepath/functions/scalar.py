@@ -48,7 +48,7 @@ WHITESPACE_RUN = r"[ \t\n\r\f\x0B]+"
 
 def word_tokens(text: ColumnOrName) -> Column:
     """Whitespace word tokens of a whole text (empty strings removed)."""
-    return F.filter(F.split(_c(text), WHITESPACE_RUN), lambda t: F.length(t) > 0)
+    return F.array_remove(F.split(_c(text), WHITESPACE_RUN), "")
 
 
 def count_vectorizer_tokens(text: ColumnOrName) -> Column:

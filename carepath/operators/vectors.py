@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from carepath.functions.vector import centered, gate, normalize_centered, weighted_sum
 from carepath.functions.scalar import word_tokens
+from carepath.session import materialize
 
 # Cells (items x dimensions) of one item block held by one task (256 MB of doubles).
 MAX_BLOCK_CELLS = 32_000_000
@@ -30,7 +31,8 @@ def vectorize_notes(notes: DataFrame, num_features: int = 1 << 10, text_col: str
     IDF is fitted on the rows given (fit on train notes for a leak-free setup). -> (hadm_id, vec)
     """
     toks = notes.select("hadm_id", word_tokens(F.lower(F.col(text_col))).alias("tokens"))
-    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features).transform(toks)
+    # Text -> sparse counts once (a large reduction), reused by the IDF fit and the transform.
+    tf = materialize(HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features).transform(toks).drop("tokens"))
     idf = IDF(inputCol="tf", outputCol="tfidf").fit(tf)
     return idf.transform(tf).select("hadm_id", vector_to_array("tfidf", "float32").alias("vec"))
 
