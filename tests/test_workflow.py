@@ -212,3 +212,23 @@ def test_format_report(spark):
     stats = spark.createDataFrame([("train", 50000, 1234, 2.468)], "split string, n long, n_pos long, rate_pct double")
     r = format_cohort_stats(stats, 12345).first()
     assert (r.n, r.positives, r.rate, r.vocab_size) == ("50,000", "1,234", "2.47%", "12,345")
+
+
+def test_vectorize_notes_tfidf_values(spark):
+    """Whole-text TF-IDF: a word in 1 of 3 notes gets count * ln(4/2); a word in every note gets 0."""
+    import math
+
+    from pyspark.ml.feature import HashingTF
+
+    from carepath.operators.vectors import vectorize_notes
+
+    notes = spark.createDataFrame(
+        [(1, "alpha alpha common"), (2, "beta common\ncommon"), (3, "Common gamma\tdelta")], "hadm_id long, text string"
+    )
+    dim = 1 << 10
+    vecs = {r.hadm_id: r.vec for r in vectorize_notes(notes, num_features=dim).collect()}
+    htf = HashingTF(numFeatures=dim)
+    assert vecs[1][htf.indexOf("alpha")] == pytest.approx(2 * math.log(4 / 2), rel=1e-6)
+    assert vecs[1][htf.indexOf("common")] == 0.0
+    assert vecs[3][htf.indexOf("gamma")] == pytest.approx(math.log(4 / 2), rel=1e-6)
+    assert all(len(v) == dim for v in vecs.values())
