@@ -1,87 +1,79 @@
 """Exact distributed ranking metrics: ROC-AUC, average precision, ROC points, trapezoid area, calibration, log loss.
 
 All threshold metrics share one prefix-sum table over *distinct* scores, built without a global single-task
-window: scores are aggregated to (score, positives, negatives) with map-side combining, cut into equal-width
-score buckets (approximate-quantile edges), cumulated inside each bucket in parallel, and shifted by the totals of all higher buckets
-(one row per bucket: a bounded broadcast). Ties share one row, so they get the half credit / step behaviour
+window: scores are aggregated to (score, positives, negatives) with map-side combining, range-partitioned on
+score (descending), cumulated inside each partition in parallel, and shifted by the totals of all earlier
+partitions (one row per partition: a bounded broadcast). Ties share one row, so they get the half credit / step behaviour
 of the usual definitions. Scores must not be NaN (apply ``nan_to`` first).
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carepath.session import materialize
 
-DEFAULT_BUCKETS = 1024
-
-
 def prefix_sum_by_score(
     scores: DataFrame,
     y: str = "y",
     p: str = "p",
-    buckets: int = DEFAULT_BUCKETS,
     group_cols: tuple[str, ...] = (),
+    num_partitions: int | None = None,
 ) -> tuple[DataFrame, dict]:
     """Per group and distinct score, descending: (group..., p, tp, fp, ctp, cfp, idx, n_pos, n_neg, n_points).
 
     ``ctp``/``cfp`` count positives/negatives of the group with score >= p; ``idx`` is the 1-based position of
-    the score inside its group. The second value holds overall totals (used for bucketing and ungrouped use).
+    the score inside its group. The second value holds overall totals.
+
+    Distributed prefix sum: rows (one per distinct (group, score), combined map-side) are range-partitioned
+    on (group, score descending), so Spark's sampler gives every partition about the same number of rows even
+    when one group holds a third of them or its scores pile up in a narrow range. Each (partition, group)
+    slice is cumulated in parallel, and slice totals (at most partitions + groups rows) shift the slices.
     """
     g = list(group_cols)
+    spark = scores.sparkSession
+    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_score = scores.groupBy(*g, F.col(p).cast("double").alias("p")).agg(
         F.sum(F.col(y).cast("long")).alias("tp"),
         F.sum(F.lit(1) - F.col(y).cast("long")).alias("fp"),
     )
-    by_score = materialize(by_score)
-    tot = by_score.agg(
-        F.sum("tp").alias("n_pos"),
-        F.sum("fp").alias("n_neg"),
-        F.count(F.lit(1)).alias("n_points"),
-    ).first()
-    totals = {
-        "n_pos": int(tot["n_pos"] or 0),
-        "n_neg": int(tot["n_neg"] or 0),
-        "n_points": int(tot["n_points"] or 0),
-    }
-    # Bucket edges are approximate quantiles of the distinct scores (a bounded list of ``buckets`` values),
-    # so every bucket holds about the same number of distinct scores even when scores pile up near 0 or 1.
-    # Exactness does not depend on the edges: they only decide which task cumulates which scores.
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(by_score.approxQuantile("p", probs, 1.0 / (4 * buckets)))) if totals["n_points"] and probs else []
-    if edges:
-        splits = [-float("inf"), *edges, float("inf")]
-        b = Bucketizer(splits=splits, inputCol="p", outputCol="_bd", handleInvalid="keep").transform(by_score)
-        # Descending score order: the highest bucket first.
-        b = b.withColumn("_b", (F.lit(len(splits) - 2) - F.col("_bd")).cast("int")).drop("_bd")
-    else:
-        b = by_score.withColumn("_b", F.lit(0))
-    inside = Window.partitionBy(*g, "_b").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    staged = materialize(
+        by_score.repartitionByRange(parts, *[F.col(c).asc() for c in g], F.col("p").desc()).withColumn(
+            "_part", F.spark_partition_id()
+        )
+    )
+    inside = Window.partitionBy("_part", *g).orderBy(F.desc("p"))
+    running = inside.rowsBetween(Window.unboundedPreceding, 0)
     b = (
-        b.withColumn("_rtp", F.sum("tp").over(inside))
-        .withColumn("_rfp", F.sum("fp").over(inside))
-        .withColumn("_ridx", F.row_number().over(Window.partitionBy(*g, "_b").orderBy(F.desc("p"))))
+        staged.withColumn("_rtp", F.sum("tp").over(running))
+        .withColumn("_rfp", F.sum("fp").over(running))
+        .withColumn("_ridx", F.row_number().over(inside))
     )
-    per_bucket = b.groupBy(*g, "_b").agg(
+    per_slice = staged.groupBy("_part", *g).agg(
         F.sum("tp").alias("_btp"), F.sum("fp").alias("_bfp"), F.count(F.lit(1)).alias("_bn")
     )
-    before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*g)
-    offsets = per_bucket.select(
-        *g,
-        "_b",
-        F.coalesce(F.sum("_btp").over(before), F.lit(0)).alias("_otp"),
-        F.coalesce(F.sum("_bfp").over(before), F.lit(0)).alias("_ofp"),
-        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_on"),
-        F.sum("_btp").over(whole).alias("n_pos"),
-        F.sum("_bfp").over(whole).alias("n_neg"),
-        F.sum("_bn").over(whole).alias("n_points"),
-    )
-    # Ungrouped: at most ``buckets`` rows, a bounded broadcast. Grouped: groups x buckets rows, left to the planner.
-    offsets = F.broadcast(offsets) if not g else offsets
-    out = b.join(offsets, [*g, "_b"]).select(
+    offsets = materialize(
+        per_slice.select(
+            "_part",
+            *g,
+            F.coalesce(F.sum("_btp").over(before), F.lit(0)).alias("_otp"),
+            F.coalesce(F.sum("_bfp").over(before), F.lit(0)).alias("_ofp"),
+            F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_on"),
+            F.sum("_btp").over(whole).alias("n_pos"),
+            F.sum("_bfp").over(whole).alias("n_neg"),
+            F.sum("_bn").over(whole).alias("n_points"),
+        )
+    )
+    tot = offsets.groupBy(*g).agg(
+        F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"), F.first("n_points").alias("n_points")
+    ).agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"), F.sum("n_points").alias("n_points")).first()
+    totals = {k: int(tot[k] or 0) for k in ("n_pos", "n_neg", "n_points")}
+    # Ungrouped, the offsets are one row per partition: a bounded broadcast. Grouped, the planner decides.
+    off = F.broadcast(offsets) if not g else offsets
+    out = b.join(off, ["_part", *g]).select(
         *g,
         "p",
         F.col("tp").cast("long").alias("tp"),

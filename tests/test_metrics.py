@@ -33,10 +33,10 @@ def test_auc_of_complement(scores):
     assert abs(me.roc_auc(scores).first().roc_auc + me.roc_auc(flipped).first().roc_auc - 1) < 1e-9
 
 
-def test_auc_bucketing_does_not_matter(scores):
-    # A single bucket and many buckets give the same prefix sums.
-    a, _ = me.prefix_sum_by_score(scores, buckets=1)
-    b, _ = me.prefix_sum_by_score(scores, buckets=4096)
+def test_prefix_sums_do_not_depend_on_partitioning(scores):
+    # One range partition and many give the same prefix sums.
+    a, _ = me.prefix_sum_by_score(scores, num_partitions=1)
+    b, _ = me.prefix_sum_by_score(scores, num_partitions=13)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
