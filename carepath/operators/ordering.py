@@ -9,22 +9,30 @@ from pyspark.sql import functions as F
 
 from carepath.session import materialize
 
-# Largest row count we ever broadcast without a shuffle join; above it the plain join is used.
+# Largest side we ever broadcast without a shuffle join: rows, and rows x values per row (vector width).
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_CELLS = 16_000_000  # 128 MB of doubles
 
 _POS_BITS = 33  # monotonically_increasing_id = partition_id << 33 | position within partition
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its row count is checked to be at most ``max_rows``.
+def broadcast_if_small(
+    df: DataFrame,
+    max_rows: int = BROADCAST_MAX_ROWS,
+    known_rows: int | None = None,
+    row_width: int = 1,
+) -> DataFrame:
+    """Broadcast ``df`` only when it is checked to be small: at most ``max_rows`` rows and at most
+    BROADCAST_MAX_CELLS values in total, ``row_width`` being the values per row (a vector's length).
 
     ``known_rows`` skips the count when the caller already knows it (e.g. a vocabulary it just built).
     Above the bound the frame is returned as is and Spark plans a shuffle join.
     """
+    limit = min(max_rows, BROADCAST_MAX_CELLS // max(1, row_width))
     rows = known_rows
     if rows is None:
-        rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+        rows = df.limit(limit + 1).count()
+    return F.broadcast(df) if rows <= limit else df
 
 
 def row_index(

@@ -187,12 +187,14 @@ def fuse_sequence_positions(
     """Per input position: the code's vector (lookup by id) gated against the admission's note vector, which is
     repeated over every position by the join on ``hadm_id`` -> (hadm_id, pos, code_id, gate, fused).
 
-    ``code_vectors`` is (code_id, vec): one row per vocabulary id, so it is broadcast under a checked size.
+    ``code_vectors`` is (code_id, vec): one row per vocabulary id, broadcast only when rows x width is under
+    the checked bound, shuffle-joined otherwise.
     """
     from carepath.operators.ordering import broadcast_if_small
 
     positions = sequences.select("hadm_id", F.posexplode("input_ids").alias("pos", "code_id"))
-    codes = broadcast_if_small(code_vectors.select("code_id", F.col("vec").alias("code_vec")))
+    width = code_vectors.select(F.max(F.size("vec"))).first()[0] or 1
+    codes = broadcast_if_small(code_vectors.select("code_id", F.col("vec").alias("code_vec")), row_width=int(width))
     notes = note_vectors.select("hadm_id", F.col("vec").alias("note_vec"))
     joined = positions.join(codes, "code_id").join(notes, "hadm_id")
     fused = gated_fusion(joined, "code_vec", "note_vec", weights, bias)
