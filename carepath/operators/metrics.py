@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carepath.session import materialize
+from carepath.session import materialize, shuffle_partitions
 
 def prefix_sum_by_score(
     scores: DataFrame,
@@ -33,7 +33,7 @@ def prefix_sum_by_score(
     """
     g = list(group_cols)
     spark = scores.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = num_partitions or shuffle_partitions(spark)
     by_score = scores.groupBy(*g, F.col(p).cast("double").alias("p")).agg(
         F.sum(F.col(y).cast("long")).alias("tp"),
         F.sum(F.lit(1) - F.col(y).cast("long")).alias("fp"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carepath.session import materialize
+from carepath.session import materialize, shuffle_partitions
 
 # Largest side we ever broadcast without a shuffle join: rows, and rows x values per row (vector width).
 BROADCAST_MAX_ROWS = 2_000_000
@@ -60,7 +60,7 @@ def row_index_with_total(
     Rows tied on ``order_cols`` get distinct, arbitrary positions among themselves.
     """
     spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = num_partitions or shuffle_partitions(spark)
     staged = (
         df.repartitionByRange(parts, *order_cols)
         .sortWithinPartitions(*order_cols)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from carepath.functions.vector import centered, gate, normalize_centered, weighted_sum
 from carepath.functions.scalar import word_tokens
-from carepath.session import materialize
+from carepath.session import materialize, shuffle_partitions
 
 # Cells (items x dimensions) of one item block held by one task (256 MB of doubles).
 MAX_BLOCK_CELLS = 32_000_000
@@ -153,7 +153,7 @@ def topk_by_dot(
         size = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(i_vec)).alias("d")).first()
         cells = int(size["n"]) * max(int(size["d"] or 0), 1)
         item_blocks = max(1, -(-cells // MAX_BLOCK_CELLS))
-    qparts = query_blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    qparts = query_blocks or shuffle_partitions(spark)
     qb = queries.select(
         F.col(q_id).cast("long").alias("q"),
         F.col(q_vec).cast("array<double>").alias("v"),

@@ -71,9 +71,9 @@ def run_study(
     Note vectors come from ``note_vectors`` (hadm_id, vec) or are computed from ``notes`` (hadm_id, text).
     """
     ids = co.intersect_ids(inp.admissions.select("hadm_id"), inp.note_ids)
-    cohort = materialize(
-        co.split_by_position(ids, config.train_frac, config.train_size, config.test_size)
-    )
+    cohort = co.split_by_position(ids, config.train_frac, config.train_size, config.test_size)
+    if config.train_size is not None:  # the bounded top-(N+M) form is not checkpointed inside
+        cohort = materialize(cohort)
     write_artifact(cohort, os.path.join(out_dir, "cohort"), ["split"])
 
     if note_vectors is None:

@@ -51,6 +51,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return sc.getCheckpointDir() or configured
 
 
+def shuffle_partitions(spark: SparkSession, default: int = 200) -> int:
+    """The session's shuffle partition count (platforms may set a non-numeric value such as 'auto')."""
+    try:
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    except (TypeError, ValueError):
+        return default
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (lineage cut, survives executor loss) into the session's checkpoint folder."""
     checkpoint_dir(df.sparkSession)
