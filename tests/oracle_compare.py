@@ -75,7 +75,13 @@ def main() -> int:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or sorted(oracle_sql())
-    spark = local_session()
+    if os.environ.get("ORACLE_DEFAULT_SESSION") == "1":  # a plain session with Spark's defaults
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session()
     con = duck(sf_dir)
     qs, sqls = queries(), oracle_sql()
     failed = 0
