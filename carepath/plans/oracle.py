@@ -143,6 +143,9 @@ e AS (SELECT vec_id, CAST(x AS DOUBLE) AS x, i
 ORACLE_SQL: dict[str, str] = {
     "cohort_intersection": f"WITH {prep('F3')} SELECT hadm_id FROM ids",
     "cohort_split": f"WITH {prep('F3')} SELECT hadm_id, split, rn FROM cohort",
+    "cohort_split_fixed": f"""WITH {prep('F3')}
+SELECT hadm_id, CASE WHEN rn <= 50000 THEN 'train' ELSE 'test' END AS split, rn FROM cohort WHERE rn <= 55000""",
+    "unpad_batches": f"WITH {prep('F2')} SELECT hadm_id, split, pos, prev, next FROM pairs",
     "split_check": f"""WITH {prep('F3')}
 SELECT 'shared_admissions' AS check_name, CAST(count(*) AS BIGINT) AS n
 FROM (SELECT hadm_id FROM cohort GROUP BY hadm_id HAVING min(split) <> max(split)) a

@@ -61,6 +61,17 @@ def q_cohort_split(spark: SparkSession, sf: str) -> DataFrame:
     return build_cohort(inputs(spark, sf, "F3"))
 
 
+# The reference's split sizes (first 50,000 sorted ids train, the next 5,000 test).
+REFERENCE_TRAIN_SIZE, REFERENCE_TEST_SIZE = 50_000, 5_000
+
+
+def q_cohort_split_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference's fixed-size split: a distributed top-(N+M) by id, then positions inside that bound."""
+    inp = inputs(spark, sf, "F3")
+    ids = co.intersect_ids(inp.admissions.select("hadm_id"), inp.note_ids)
+    return co.split_by_position(ids, train_size=REFERENCE_TRAIN_SIZE, test_size=REFERENCE_TEST_SIZE)
+
+
 def q_split_check(spark: SparkSession, sf: str) -> DataFrame:
     inp = inputs(spark, sf, "F3")
     return co.split_check(build_cohort(inp), inp.admissions)
@@ -136,6 +147,12 @@ def q_pad_batches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_unpad_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Padded batches (hash-shuffled order) masked back to prediction steps: equal to the unpadded pairs."""
+    b = sq.pad_batches(prepare(spark, sf, "F2").sequences, batch_size=BATCH_SIZE, seed=7)
+    return sq.unpad_batches(b)
+
+
 def q_top_codes(spark: SparkSession, sf: str) -> DataFrame:
     p = prepare(spark, sf, "F3")
     top = sq.top_codes(p.sequences, k=TOPK)
@@ -373,6 +390,7 @@ def q_topk_by_dot(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cohort_intersection": q_cohort_intersection,
     "cohort_split": q_cohort_split,
+    "cohort_split_fixed": q_cohort_split_fixed,
     "split_check": q_split_check,
     "cohort_stats": q_cohort_stats,
     "class_weights": q_class_weights,
@@ -384,6 +402,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "next_pairs_lead": q_next_pairs_lead,
     "last_value_per_key": q_last_value_per_key,
     "pad_batches": q_pad_batches,
+    "unpad_batches": q_unpad_batches,
     "top_codes": q_top_codes,
     "length_histogram": q_length_histogram,
     "length_density": q_length_density,
