@@ -316,6 +316,20 @@ g AS (SELECT vec_id,
 SELECT g.vec_id, round(g.gate, 9) AS gate, CAST(c.i AS BIGINT) AS dim,
        round(g.gate * n.x + (1.0 - g.gate) * c.x, 6) AS value
 FROM g JOIN e c ON c.vec_id = g.vec_id AND c.i < 32 JOIN e n ON n.vec_id = g.vec_id AND n.i = c.i + 32""",
+    "fused_positions": f"""WITH {prep('F1b')},
+ps AS (SELECT hadm_id, CAST(i - 1 AS BIGINT) AS pos, input_ids[i] AS code_id
+       FROM (SELECT hadm_id, input_ids, unnest(range(1, len(input_ids) + 1)) AS i FROM sequences) u),
+j AS (SELECT ps.hadm_id, ps.pos, ps.code_id, c.embedding AS cvec, n.embedding AS nvec
+      FROM ps JOIN embeddings c ON c.vec_id = ps.code_id JOIN embeddings n ON n.vec_id = ps.hadm_id),
+cells AS (SELECT hadm_id, pos, code_id, CAST(x AS DOUBLE) AS x, i
+          FROM (SELECT hadm_id, pos, code_id, unnest(list_concat(cvec, nvec)) AS x,
+                       unnest(range(0, len(cvec) + len(nvec))) AS i FROM j) u),
+g AS (SELECT hadm_id, pos, code_id,
+             1.0 / (1.0 + exp(-(sum(x * (CAST((i % 7) - 3 AS DOUBLE) / 10.0)) + CAST(0.05 AS DOUBLE)))) AS gate
+      FROM cells GROUP BY hadm_id, pos, code_id)
+SELECT g.hadm_id, g.pos, g.code_id, round(g.gate, 9) AS gate, CAST(d AS BIGINT) AS dim,
+       round(g.gate * CAST(j.nvec[d + 1] AS DOUBLE) + (1.0 - g.gate) * CAST(j.cvec[d + 1] AS DOUBLE), 6) AS value
+FROM g JOIN j ON j.hadm_id = g.hadm_id AND j.pos = g.pos, range(0, 64) t(d)""",
     "layer_norm": f"""WITH {_embedding_cells().strip()},
 mu AS (SELECT vec_id, avg(x) AS mean FROM e GROUP BY vec_id),
 va AS (SELECT e.vec_id, avg((e.x - mu.mean) * (e.x - mu.mean)) AS var FROM e JOIN mu ON mu.vec_id = e.vec_id

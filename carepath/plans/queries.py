@@ -367,6 +367,19 @@ def q_gated_fusion(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_fused_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Per input position of F1b: the code's vector (``embeddings`` row keyed by code id, a stand-in for a
+    code-vector table) gated against the admission's note vector repeated over its positions."""
+    p = prepare(spark, sf, "F1b")
+    emb = _embeddings(spark, sf)
+    codes = emb.select(F.col("vec_id").alias("code_id"), "vec")
+    notes = emb.select(F.col("vec_id").alias("hadm_id"), "vec")
+    fused = vx.fuse_sequence_positions(p.sequences, codes, notes, gate_weights(128), GATE_BIAS)
+    return fused.select(
+        "hadm_id", "pos", "code_id", F.round("gate", 9).alias("gate"), F.posexplode("fused").alias("dim", "_v")
+    ).select("hadm_id", "pos", "code_id", "gate", F.col("dim").cast("long").alias("dim"), F.round("_v", 6).alias("value"))
+
+
 def q_layer_norm(spark: SparkSession, sf: str) -> DataFrame:
     return _long_form(vx.layer_normalize(_embeddings(spark, sf), "vec"), "vec_id", "vec")
 
@@ -428,6 +441,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truncate_notes": q_truncate_notes,
     "vectorize_notes": q_vectorize_notes,
     "gated_fusion": q_gated_fusion,
+    "fused_positions": q_fused_positions,
     "layer_norm": q_layer_norm,
     "max_pool": q_max_pool,
     "project_vectors": q_project_vectors,
