@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import HashingTF, IDF
+from pyspark.ml.feature import IDF, PCA, HashingTF, PCAModel
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,6 +108,20 @@ def project_vectors(df: DataFrame, col: str, weight: np.ndarray, bias: np.ndarra
     return df.withColumn(out_col, _proj(F.col(col)))
 
 
+def fit_projection(note_vectors: DataFrame, train_ids: DataFrame, k: int) -> "PCAModel":
+    """Fitted alternative to a supplied projection matrix: PCA on the train split's vectors (d x k matrix)."""
+    train = note_vectors.join(train_ids.select("hadm_id"), "hadm_id", "left_semi")
+    data = train.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    return PCA(k=k, inputCol="features", outputCol="proj").fit(data)
+
+
+def apply_projection(model: "PCAModel", df: DataFrame, col: str = "vec", out_col: str = "proj") -> DataFrame:
+    """Project every row's vector with a fitted PCA -> ``out_col`` as ARRAY<DOUBLE>."""
+    data = df.withColumn("_features", array_to_vector(F.col(col).cast("array<double>")))
+    out = model.copy({model.inputCol: "_features", model.outputCol: "_proj"}).transform(data)
+    return out.withColumn(out_col, vector_to_array("_proj")).drop("_features", "_proj")
+
+
 def _topk_block(q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, items: np.ndarray, k: int) -> pd.DataFrame:
     """Exact top-k of one query block against one item block; ties by item id ascending."""
     if len(q_ids) == 0 or len(i_ids) == 0:

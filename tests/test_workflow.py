@@ -232,3 +232,17 @@ def test_vectorize_notes_tfidf_values(spark):
     assert vecs[1][htf.indexOf("common")] == 0.0
     assert vecs[3][htf.indexOf("gamma")] == pytest.approx(math.log(4 / 2), rel=1e-6)
     assert all(len(v) == dim for v in vecs.values())
+
+
+def test_pca_projection_fit_on_train(spark):
+    from carepath.operators.vectors import apply_projection, fit_projection
+
+    rows = [(i, [float(i), 2.0 * i, 0.5]) for i in range(1, 9)]
+    vecs = spark.createDataFrame(rows, "hadm_id long, vec array<double>")
+    train = spark.createDataFrame([(i,) for i in range(1, 6)], "hadm_id long")
+    model = fit_projection(vecs, train, 1)
+    out = {r.hadm_id: r.proj for r in apply_projection(model, vecs).collect()}
+    assert all(len(v) == 1 for v in out.values())
+    # points on one line: the first component is linear in i
+    diffs = [out[i + 1][0] - out[i][0] for i in range(1, 8)]
+    assert max(diffs) - min(diffs) < 1e-9 and abs(abs(diffs[0]) - 5 ** 0.5) < 1e-9
