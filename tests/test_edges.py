@@ -75,3 +75,27 @@ def test_many_distinct_scores_match_brute_force(spark):
         ap += (tp - tp_prev) / len(pos) * (tp / (tp + fp))
         tp_prev = tp
     assert abs(me.average_precision(df).first().average_precision - ap) < 1e-9
+
+
+def test_hot_admission_row_form_equals_array_form(spark):
+    """One admission with a third of all code rows (and exact ties in seq_num): the row form of next pairs,
+    which spreads that admission over range partitions, equals the array form."""
+    from carepath.operators import cohort as co
+    from carepath.operators import sequences as sq
+    from carepath.operators.vocab import build_vocab, encode_codes
+
+    rows = [(1, i // 2, f"c{i % 17}") for i in range(3000)]  # hot admission, every seq_num used twice
+    rows += [(h, j, f"c{(h * 7 + j) % 23}") for h in range(2, 1002) for j in range(6)]
+    diag = spark.createDataFrame(rows, "hadm_id long, seq_num int, icd_code string").repartition(7)
+    ids = diag.select("hadm_id").distinct()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        cohort = co.split_by_position(ids, train_frac=0.7)
+        enc = encode_codes(diag, build_vocab(diag, cohort))
+        a = sorted(map(tuple, sq.next_pairs(sq.build_sequences(enc, cohort)).collect()))
+        b = sorted(map(tuple, sq.next_pairs_lead(enc, cohort).select("hadm_id", "split", "pos", "prev", "next").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(a) == 2999 + 1000 * 5
+    assert a == b
