@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,21 +75,31 @@ def build_cohort(inp: Inputs, train_frac: float = 0.8) -> DataFrame:
     return split_by_position(ids, train_frac=train_frac)
 
 
-@dataclass(frozen=True)
 class Prepared:
-    inputs: Inputs
-    cohort: DataFrame
-    vocab: Vocabulary
-    encoded: DataFrame  # hadm_id, seq_num, icd_code, code_id (cohort admissions only)
-    sequences: DataFrame  # hadm_id, split, input_ids, labels
-    pairs: DataFrame  # hadm_id, split, pos, prev, next
+    """The shared preparation plan. The cohort and vocabulary are built on creation; the sequences (a
+    checkpointed artifact) are built on first use, so a query that needs only the cohort or the
+    vocabulary runs no sequence job."""
+
+    def __init__(self, inputs: Inputs, cohort: DataFrame, vocab: Vocabulary, encoded: DataFrame):
+        self.inputs = inputs
+        self.cohort = cohort
+        self.vocab = vocab
+        self.encoded = encoded  # hadm_id, seq_num, icd_code, code_id (all diagnoses)
+
+    @cached_property
+    def sequences(self) -> DataFrame:
+        """hadm_id, split, input_ids, labels."""
+        return materialize(build_sequences(self.encoded, self.cohort))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """hadm_id, split, pos, prev, next."""
+        return next_pairs(self.sequences)
 
 
 def prepare(spark: SparkSession, sf_dir: str, fixture: str, train_frac: float = 0.8) -> Prepared:
-    """cohort -> train vocabulary -> encoded codes -> ordered sequences (>= 2 codes) -> next-step pairs."""
+    """cohort -> train vocabulary -> encoded codes -> (on use) ordered sequences (>= 2 codes) -> next-step pairs."""
     inp = inputs(spark, sf_dir, fixture)
     cohort = build_cohort(inp, train_frac)
     vocab = build_vocab(inp.diagnoses, cohort)
-    encoded = encode_codes(inp.diagnoses, vocab)
-    sequences = materialize(build_sequences(encoded, cohort))
-    return Prepared(inp, cohort, vocab, encoded, sequences, next_pairs(sequences))
+    return Prepared(inp, cohort, vocab, encode_codes(inp.diagnoses, vocab))
