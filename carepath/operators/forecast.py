@@ -87,6 +87,14 @@ def load_next_code(spark, path: str) -> NextCodeModel:
     return NextCodeModel(ctx, levels, tuple(int(r["rows"]) for r in lv), top, int(meta["k"]))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (a missing note cluster is a context of its own, as it
+    is a group of its own when counting). Still planned as a hash/sort-merge equi-join."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def rank_candidates(model: NextCodeModel, contexts: DataFrame) -> DataFrame:
     """Ranked candidate list for each distinct context in ``contexts`` -> (context..., prev, cand, rank)."""
     keys = model.context_cols + ("prev",)
@@ -94,7 +102,7 @@ def rank_candidates(model: NextCodeModel, contexts: DataFrame) -> DataFrame:
     parts = []
     for level, ((lkeys, table), rows) in enumerate(zip(model.levels, model.level_rows)):
         parts.append(
-            ctx.join(broadcast_if_small(table, known_rows=rows), list(lkeys)).select(
+            _join_null_safe(ctx, broadcast_if_small(table, known_rows=rows), list(lkeys), "inner").select(
                 *keys, "cand", F.lit(level).alias("level"), "rank"
             )
         )
@@ -125,7 +133,7 @@ def score_pairs(model: NextCodeModel, pairs: DataFrame) -> DataFrame:
     keys = list(model.context_cols + ("prev",))
     cands = rank_candidates(model, pairs)
     hit = cands.select(*keys, F.col("cand").alias("next"), F.col("rank").alias("hit_rank"))
-    return pairs.join(broadcast_if_small(materialize(hit)), keys + ["next"], "left")
+    return _join_null_safe(pairs, broadcast_if_small(materialize(hit)), keys + ["next"], "left")
 
 
 def score_pair_counts(model: NextCodeModel, pairs: DataFrame) -> DataFrame:
@@ -139,7 +147,7 @@ def score_pair_counts(model: NextCodeModel, pairs: DataFrame) -> DataFrame:
     combined = materialize(pairs.groupBy(*keys, "next").agg(F.count(F.lit(1)).alias("m")))
     cands = rank_candidates(model, combined)
     hit = cands.select(*keys, F.col("cand").alias("next"), F.col("rank").alias("hit_rank"))
-    return combined.join(broadcast_if_small(materialize(hit)), keys + ["next"], "left")
+    return _join_null_safe(combined, broadcast_if_small(materialize(hit)), keys + ["next"], "left")
 
 
 def topk_accuracy(scored: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:

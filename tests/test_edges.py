@@ -99,3 +99,12 @@ def test_hot_admission_row_form_equals_array_form(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert len(a) == 2999 + 1000 * 5
     assert a == b
+
+
+def test_missing_cluster_is_its_own_context(spark):
+    rows = [(1, "train", 0, 1, 2, None), (2, "train", 0, 1, 2, None), (3, "train", 0, 1, 3, 7),
+            (4, "test", 0, 1, 2, None), (5, "test", 0, 1, 3, 7)]
+    pairs = spark.createDataFrame(rows, "hadm_id long, split string, pos long, prev long, next long, cluster long")
+    model = fc.fit_next_code(pairs.where("split = 'train'"), 1, ("cluster",))
+    r = fc.evaluate_topk(model, pairs.where("split = 'test'"), ks=(1,)).first()
+    assert r.n_tokens == 2 and r.top1_pct == 100.0
