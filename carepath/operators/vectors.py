@@ -122,21 +122,30 @@ def apply_projection(model: "PCAModel", df: DataFrame, col: str = "vec", out_col
     return out.withColumn(out_col, vector_to_array("_proj")).drop("_features", "_proj")
 
 
+# Query rows scored per matrix product inside a block: bounds the score matrix to this many rows x items.
+QUERY_CHUNK = 256
+
+
 def _topk_block(q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, items: np.ndarray, k: int) -> pd.DataFrame:
-    """Exact top-k of one query block against one item block; ties by item id ascending."""
+    """Exact top-k of one query block against one item block; ties by item id ascending.
+
+    Queries are scored ``QUERY_CHUNK`` rows at a time, so memory stays at chunk x items scores whatever the
+    block sizes. Per row, everything tied with the k-th best score stays in play before the final ordering,
+    so the id tie-break is exact.
+    """
     if len(q_ids) == 0 or len(i_ids) == 0:
         return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-    s = q @ items.T
     kk = min(k, len(i_ids))
     rows_q, rows_i, rows_s = [], [], []
-    for r in range(len(q_ids)):
-        # Everything tied with the k-th best stays in play, so the id tie-break is exact.
-        kth = np.partition(s[r], len(i_ids) - kk)[len(i_ids) - kk]
-        cand = np.nonzero(s[r] >= kth)[0]
-        order = cand[np.lexsort((i_ids[cand], -s[r, cand]))][:kk]
-        rows_q.append(np.full(kk, q_ids[r]))
-        rows_i.append(i_ids[order])
-        rows_s.append(s[r, order])
+    for lo in range(0, len(q_ids), QUERY_CHUNK):
+        s = q[lo : lo + QUERY_CHUNK] @ items.T
+        kth = np.partition(s, len(i_ids) - kk, axis=1)[:, len(i_ids) - kk]
+        for r in range(s.shape[0]):
+            cand = np.nonzero(s[r] >= kth[r])[0]
+            order = cand[np.lexsort((i_ids[cand], -s[r, cand]))][:kk]
+            rows_q.append(np.full(kk, q_ids[lo + r]))
+            rows_i.append(i_ids[order])
+            rows_s.append(s[r, order])
     return pd.DataFrame(
         {"query_id": np.concatenate(rows_q), "item_id": np.concatenate(rows_i), "score": np.concatenate(rows_s)}
     )

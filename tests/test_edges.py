@@ -108,3 +108,22 @@ def test_missing_cluster_is_its_own_context(spark):
     model = fc.fit_next_code(pairs.where("split = 'train'"), 1, ("cluster",))
     r = fc.evaluate_topk(model, pairs.where("split = 'test'"), ks=(1,)).first()
     assert r.n_tokens == 2 and r.top1_pct == 100.0
+
+
+def test_topk_block_chunked_with_ties(monkeypatch):
+    import numpy as np
+
+    from carepath.operators import vectors as vx
+
+    monkeypatch.setattr(vx, "QUERY_CHUNK", 3)
+    rng = np.random.default_rng(1)
+    q = rng.integers(-2, 3, size=(10, 4)).astype(float)  # small integers: many exact ties
+    items = rng.integers(-2, 3, size=(30, 4)).astype(float)
+    q_ids, i_ids = np.arange(100, 110), np.arange(30)[::-1].copy()
+    got = vx._topk_block(q_ids, q, i_ids, items, 5)
+    for r, qid in enumerate(q_ids):
+        s = items @ q[r]
+        want = sorted(range(30), key=lambda j: (-s[j], i_ids[j]))[:5]
+        sub = got[got.query_id == qid]
+        assert list(sub.item_id) == [i_ids[j] for j in want]
+        assert list(sub.score) == [s[j] for j in want]
