@@ -56,7 +56,7 @@ def row_index_with_total(
     Distributed: a range shuffle sorts the rows into ordered partitions, each row takes its position inside
     its partition, and the frame is checkpointed so the positions stay fixed under recomputation. The
     per-partition row counts (one number per partition, so bounded by the partition count, never by the data)
-    come back to the driver and turn local positions into global ones through a literal offset array.
+    come back to the driver and return as a broadcast offset table that turns local positions into global ones.
     Rows tied on ``order_cols`` get distinct, arbitrary positions among themselves.
     """
     spark = df.sparkSession
@@ -68,14 +68,18 @@ def row_index_with_total(
     )
     staged = materialize(staged).withColumn("_part", F.shiftright("_mid", _POS_BITS).cast("int"))
     counts = dict(staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect())
-    n_parts = max(counts) + 1 if counts else 0
     offsets, running = [], 0
-    for part in range(n_parts):
-        offsets.append(running)
-        running += counts.get(part, 0)
-    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_part") + 1) if offsets else F.lit(0)
+    for part in sorted(counts):
+        offsets.append((part, running))
+        running += counts[part]
+    # One row per partition, broadcast once per executor (a plan literal would travel with every task).
+    table = spark.createDataFrame(offsets or [(0, 0)], "_part int, _off long")
     pos = F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
-    out = staged.withColumn(name, (offset + pos + F.lit(1)).cast("long")).drop("_mid", "_part")
+    out = (
+        staged.join(F.broadcast(table), "_part")
+        .withColumn(name, (F.col("_off") + pos + F.lit(1)).cast("long"))
+        .drop("_mid", "_part", "_off")
+    )
     return out, running
 
 
