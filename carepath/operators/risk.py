@@ -71,17 +71,18 @@ def fit_risk(
 ) -> RiskModel:
     """Binary bag-of-codes (+ note vector when given) -> class-weighted L2 logistic regression on train.
 
-    Objective matches 1/2 |b|^2 + sum_i w_i l_i (C = 1, balanced weights): regParam = 1 / sum(w),
+    With note vectors the training rows are the train admissions that have one; the feature vocabulary and
+    the balanced class weights are computed on exactly those rows. Objective matches 1/2 |b|^2 + sum_i w_i l_i (C = 1, balanced weights): regParam = 1 / sum(w),
     no standardization, no elastic net. The document-frequency vocabulary (k terms) is the only thing
     brought to the driver, and it is bounded by k.
     """
-    train = bags.where(F.col("split") == TRAIN)
+    train = _features(bags.where(F.col("split") == TRAIN), note_vectors)
     vocab = [r["term"] for r in doc_freq_vocab(train, k, split=None).orderBy("rank").collect()]
     # Balanced weights over the training rows the model sees (one row per class comes back).
     wrows = class_weights(train.select("hadm_id", "split"), train.select("hadm_id", "label")).collect()
     total_w = float(sum(r["weight"] * r["n"] for r in wrows))
     wmap = F.create_map(*[x for r in wrows for x in (F.lit(int(r["label"])), F.lit(float(r["weight"])))])
-    train_x = _features(train, note_vectors).withColumn("w", F.coalesce(wmap[F.col("label")], F.lit(1.0)))
+    train_x = train.withColumn("w", F.coalesce(wmap[F.col("label")], F.lit(1.0)))
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="codes", outputCol="bag", binary=True)
     inputs = ["bag", "note_vec"] if note_vectors is not None else ["bag"]
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")
