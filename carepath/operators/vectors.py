@@ -25,15 +25,19 @@ from carepath.session import materialize, shuffle_partitions
 MAX_BLOCK_CELLS = 32_000_000
 
 
-def vectorize_notes(notes: DataFrame, num_features: int = 1 << 10, text_col: str = "text") -> DataFrame:
+def vectorize_notes(
+    notes: DataFrame, num_features: int = 1 << 10, text_col: str = "text", fit_ids: DataFrame | None = None
+) -> DataFrame:
     """Spark-native note vectors over the whole text: word tokens -> hashed term counts -> IDF -> ARRAY<FLOAT>.
 
-    IDF is fitted on the rows given (fit on train notes for a leak-free setup). -> (hadm_id, vec)
+    The IDF is fitted on the notes of ``fit_ids`` (the train split, so no test document frequency leaks in)
+    or, without it, on every row given; it is applied to every row. -> (hadm_id, vec)
     """
     toks = notes.select("hadm_id", word_tokens(F.lower(F.col(text_col))).alias("tokens"))
     # Text -> sparse counts once (a large reduction), reused by the IDF fit and the transform.
     tf = materialize(HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features).transform(toks).drop("tokens"))
-    idf = IDF(inputCol="tf", outputCol="tfidf").fit(tf)
+    fit_rows = tf if fit_ids is None else tf.join(fit_ids.select("hadm_id"), "hadm_id", "left_semi")
+    idf = IDF(inputCol="tf", outputCol="tfidf").fit(fit_rows)
     return idf.transform(tf).select("hadm_id", vector_to_array("tfidf", "float32").alias("vec"))
 
 

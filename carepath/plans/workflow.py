@@ -79,7 +79,10 @@ def run_study(
     if note_vectors is None:
         if notes is None:
             raise ValueError("give note_vectors or notes")
-        note_vectors = vectorize_notes(notes.join(cohort.select("hadm_id"), "hadm_id", "left_semi"))
+        note_vectors = vectorize_notes(
+            notes.join(cohort.select("hadm_id"), "hadm_id", "left_semi"),
+            fit_ids=cohort.where(F.col("split") == TRAIN),
+        )
     vecs = note_vectors.join(cohort.select("hadm_id"), "hadm_id", "left_semi")
     write_artifact(vecs.join(cohort.select("hadm_id", "split"), "hadm_id"), os.path.join(out_dir, "note_vectors"),
                    ["split"])

@@ -246,3 +246,18 @@ def test_pca_projection_fit_on_train(spark):
     # points on one line: the first component is linear in i
     diffs = [out[i + 1][0] - out[i][0] for i in range(1, 8)]
     assert max(diffs) - min(diffs) < 1e-9 and abs(abs(diffs[0]) - 5 ** 0.5) < 1e-9
+
+
+def test_vectorize_notes_idf_fitted_on_train_only(spark):
+    import math
+
+    from pyspark.ml.feature import HashingTF
+
+    from carepath.operators.vectors import vectorize_notes
+
+    notes = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "alpha alpha")], "hadm_id long, text string")
+    train = spark.createDataFrame([(1,), (2,)], "hadm_id long")
+    vecs = {r.hadm_id: r.vec for r in vectorize_notes(notes, num_features=64, fit_ids=train).collect()}
+    i = HashingTF(numFeatures=64).indexOf("alpha")
+    # df(alpha) over the 2 train notes is 1: idf = ln(3/2), applied to the test note too
+    assert vecs[3][i] == pytest.approx(2 * math.log(3 / 2), rel=1e-6)
