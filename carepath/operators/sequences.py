@@ -136,6 +136,12 @@ def top_codes(sequences: DataFrame, k: int = 10, split: str | None = "train") ->
     return ranked.where(F.col("rank") <= F.lit(k))
 
 
+def input_lengths(sequences: DataFrame, split: str | None = "train") -> DataFrame:
+    """(hadm_id, length): number of input codes per sequence, the value the length profiles describe."""
+    src = sequences if split is None else sequences.where(F.col("split") == split)
+    return src.select("hadm_id", F.size("input_ids").cast("long").alias("length"))
+
+
 def _histogram_edges(lo: F.Column, hi: F.Column, bins: int) -> F.Column:
     """Inner edges i * (hi - lo) / bins + lo, i = 1..bins-1, computed as an evenly spaced grid does."""
     step = (hi - lo).cast("double") / F.lit(float(bins))

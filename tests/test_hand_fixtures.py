@@ -135,3 +135,10 @@ def test_doc_frequency_not_term_frequency(spark):
         [(1, "train", ["x", "x", "x", "x"]), (2, "train", ["y"]), (3, "train", ["y"]), (4, "train", ["z", "y"]),
          (5, "train", ["z"])], "hadm_id long, split string, codes array<string>")
     assert [r.term for r in rk.doc_freq_vocab(docs, 2).orderBy("rank").collect()] == ["y", "z"]
+
+
+def test_input_length_histogram(world):
+    lens = sq.input_lengths(world["seqs"])
+    assert sorted(r.length for r in lens.collect()) == [1, 2]
+    h = {r.bin: r.n for r in sq.length_histogram(lens, bins=50).collect()}
+    assert h == {0: 1, 49: 1}
