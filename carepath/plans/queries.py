@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.functions.scalar import array_to_string, clamp, clamped_probability, sigmoid, word_tokens
+from carepath.functions.scalar import array_to_string, clamp, clamped_probability, word_tokens
 from carepath.operators import cohort as co
 from carepath.operators import forecast as fc
 from carepath.operators import metrics as me
