@@ -11,14 +11,18 @@ from carepath.operators.ordering import batch_ids, row_index, shuffle_key
 from carepath.operators.vocab import LABEL_PAD, PAD_ID
 
 
-def ordered_codes(encoded: DataFrame, key: str = "hadm_id", order_cols: tuple[str, ...] = ("seq_num",)) -> DataFrame:
-    """Per key, the code ids ordered by ``order_cols`` then ``code_id`` (ties broken, so the order is total).
+def ordered_codes(
+    encoded: DataFrame, keys: tuple[str, ...] = ("hadm_id",), order_cols: tuple[str, ...] = ("seq_num",)
+) -> DataFrame:
+    """Per key, the code ids ordered by ``order_cols`` then ``code_id`` (ties broken, so the order is total)
+    -> (keys..., codes).
 
-    The list is built by ``collect_list`` per key: bounded by the events of one admission.
+    The list is built by ``collect_list`` per key (partial aggregation before the shuffle): it holds the
+    events of one admission, the reference's sequence model.
     """
     ev = F.struct(*[F.col(c) for c in order_cols], F.col("code_id"))
-    return encoded.groupBy(key).agg(F.sort_array(F.collect_list(ev)).alias("_ev")).select(
-        key, F.transform("_ev", lambda e: e["code_id"]).alias("codes")
+    return encoded.groupBy(*keys).agg(F.sort_array(F.collect_list(ev)).alias("_ev")).select(
+        *keys, F.transform("_ev", lambda e: e["code_id"]).alias("codes")
     )
 
 
@@ -28,18 +32,13 @@ def build_sequences(encoded: DataFrame, cohort: DataFrame, min_codes: int = 2) -
     Admissions with fewer than ``min_codes`` codes are dropped (nothing to predict).
     """
     joined = encoded.join(cohort.select("hadm_id", "split"), "hadm_id")
-    ev = F.struct("seq_num", "code_id")
-    seqs = joined.groupBy("hadm_id", "split").agg(F.sort_array(F.collect_list(ev)).alias("_ev"))
-    codes = F.transform("_ev", lambda e: e["code_id"])
-    n = F.size("_ev")
-    return (
-        seqs.where(n >= F.lit(min_codes))
-        .select(
-            "hadm_id",
-            "split",
-            F.slice(codes, 1, n - 1).alias("input_ids"),
-            F.slice(codes, 2, n - 1).alias("labels"),
-        )
+    seqs = ordered_codes(joined, ("hadm_id", "split"))
+    n = F.size("codes")
+    return seqs.where(n >= F.lit(min_codes)).select(
+        "hadm_id",
+        "split",
+        F.slice("codes", 1, n - 1).alias("input_ids"),
+        F.slice("codes", 2, n - 1).alias("labels"),
     )
 
 
