@@ -26,12 +26,19 @@ def ordered_codes(
     )
 
 
-def build_sequences(encoded: DataFrame, cohort: DataFrame, min_codes: int = 2) -> DataFrame:
+def _with_split(encoded: DataFrame, cohort: DataFrame | None) -> DataFrame:
+    if "split" in encoded.columns:
+        return encoded
+    return encoded.join(cohort.select("hadm_id", "split"), "hadm_id")
+
+
+def build_sequences(encoded: DataFrame, cohort: DataFrame | None = None, min_codes: int = 2) -> DataFrame:
     """(hadm_id, split, input_ids, labels): inputs drop the last code, labels drop the first.
 
-    Admissions with fewer than ``min_codes`` codes are dropped (nothing to predict).
+    Admissions with fewer than ``min_codes`` codes are dropped (nothing to predict). ``encoded`` either
+    carries ``split`` already or is joined to ``cohort`` here.
     """
-    joined = encoded.join(cohort.select("hadm_id", "split"), "hadm_id")
+    joined = _with_split(encoded, cohort)
     seqs = ordered_codes(joined, ("hadm_id", "split"))
     n = F.size("codes")
     return seqs.where(n >= F.lit(min_codes)).select(
@@ -51,7 +58,7 @@ def next_pairs(sequences: DataFrame) -> DataFrame:
     )
 
 
-def next_pairs_lead(encoded: DataFrame, cohort: DataFrame) -> DataFrame:
+def next_pairs_lead(encoded: DataFrame, cohort: DataFrame | None = None) -> DataFrame:
     """The same pairs in row form: each code's successor in (seq_num, code_id) order, without arrays.
 
     Every code row takes its global position in (hadm_id, seq_num, code_id) order from the distributed
@@ -59,9 +66,9 @@ def next_pairs_lead(encoded: DataFrame, cohort: DataFrame) -> DataFrame:
     position, a unique key). No step holds a whole admission in one task, so an admission with a third of
     all rows is spread over the range partitions like any other. A scan-time row id breaks exact ties.
     """
-    rows = encoded.withColumn("_tie", F.monotonically_increasing_id()).join(
-        cohort.select("hadm_id", "split"), "hadm_id"
-    ).select("hadm_id", "split", "seq_num", "code_id", "_tie")
+    rows = _with_split(encoded.withColumn("_tie", F.monotonically_increasing_id()), cohort).select(
+        "hadm_id", "split", "seq_num", "code_id", "_tie"
+    )
     ranked = row_index(rows, ["hadm_id", "seq_num", "code_id", "_tie"], "_rn")
     first = ranked.groupBy("hadm_id").agg(F.min("_rn").alias("_first"))
     successor = ranked.select("hadm_id", (F.col("_rn") - F.lit(1)).alias("_rn"), F.col("code_id").alias("next"))

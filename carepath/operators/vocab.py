@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +46,20 @@ class Vocabulary:
         return broadcast_if_small(self.table, known_rows=self.size)
 
 
-def build_vocab(diagnoses: DataFrame, cohort: DataFrame, split: str = TRAIN, code_col: str = "icd_code") -> Vocabulary:
-    """Distinct codes of one split's admissions, numbered 1..n in binary string order."""
-    ids = cohort.where(F.col("split") == split).select("hadm_id")
+def build_vocab(
+    diagnoses: DataFrame, cohort: DataFrame | None = None, split: str = TRAIN, code_col: str = "icd_code"
+) -> Vocabulary:
+    """Distinct codes of one split's admissions, numbered 1..n in binary string order.
+
+    ``diagnoses`` either carries ``split`` already (joined to the cohort once, see ``with_split``) or is
+    semi-joined to the split's ids from ``cohort``.
+    """
+    if "split" in diagnoses.columns:
+        rows = diagnoses.where(F.col("split") == split)
+    else:
+        rows = diagnoses.join(cohort.where(F.col("split") == split).select("hadm_id"), "hadm_id", "left_semi")
     codes = (
-        diagnoses.join(ids, "hadm_id", "left_semi")
-        .select(F.col(code_col).alias("code"))
+        rows.select(F.col(code_col).alias("code"))
         .where(F.col("code").isNotNull())
         .distinct()
     )
@@ -58,6 +67,17 @@ def build_vocab(diagnoses: DataFrame, cohort: DataFrame, split: str = TRAIN, cod
     return Vocabulary(table.select("code", "code_id"), n)
 
 
+def with_split(diagnoses: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Diagnoses of cohort admissions with their ``split``, joined once and persisted (memory, then disk).
+
+    The vocabulary and the sequences both read this one join, so the diagnosis rows cross the network once;
+    when Spark hash-partitions the join by ``hadm_id``, the per-admission grouping of the sequences reuses
+    that partitioning. The persisted copy is a cache, not a dependency: a lost executor's blocks are
+    recomputed from lineage.
+    """
+    return diagnoses.join(cohort.select("hadm_id", "split"), "hadm_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def encode_codes(diagnoses: DataFrame, vocab: Vocabulary, code_col: str = "icd_code") -> DataFrame:
     """Add ``code_id``; codes outside the vocabulary map to the unknown id."""
     lookup = vocab.lookup().withColumnRenamed("code", code_col)

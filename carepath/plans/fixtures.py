@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from carepath.operators.cohort import intersect_ids, split_by_position
 from carepath.operators.sequences import build_sequences, next_pairs
-from carepath.operators.vocab import Vocabulary, build_vocab, encode_codes
+from carepath.operators.vocab import Vocabulary, build_vocab, encode_codes, with_split
 from carepath.session import materialize
 from carepath.sources import tables
 
@@ -84,7 +84,7 @@ class Prepared:
         self.inputs = inputs
         self.cohort = cohort
         self.vocab = vocab
-        self.encoded = encoded  # hadm_id, seq_num, icd_code, code_id (all diagnoses)
+        self.encoded = encoded  # hadm_id, seq_num, icd_code, split, code_id (cohort admissions)
 
     @cached_property
     def sequences(self) -> DataFrame:
@@ -101,5 +101,6 @@ def prepare(spark: SparkSession, sf_dir: str, fixture: str, train_frac: float =
     """cohort -> train vocabulary -> encoded codes -> (on use) ordered sequences (>= 2 codes) -> next-step pairs."""
     inp = inputs(spark, sf_dir, fixture)
     cohort = build_cohort(inp, train_frac)
-    vocab = build_vocab(inp.diagnoses, cohort)
-    return Prepared(inp, cohort, vocab, encode_codes(inp.diagnoses, vocab))
+    joined = with_split(inp.diagnoses, cohort)  # diagnoses cross the network once for vocab and sequences
+    vocab = build_vocab(joined)
+    return Prepared(inp, cohort, vocab, encode_codes(joined, vocab))

@@ -102,9 +102,7 @@ def q_vocab_train_only(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_encode_with_unknown(spark: SparkSession, sf: str) -> DataFrame:
     p = prepare(spark, sf, "F2")
-    return p.encoded.join(p.cohort.select("hadm_id", "split"), "hadm_id").select(
-        "hadm_id", "split", "seq_num", "icd_code", "code_id"
-    )
+    return p.encoded.select("hadm_id", "split", "seq_num", "icd_code", "code_id")
 
 
 def q_ordered_sequences(spark: SparkSession, sf: str) -> DataFrame:

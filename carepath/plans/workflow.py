@@ -21,7 +21,7 @@ from carepath.operators.cohort import TEST, TRAIN
 from carepath.operators.examples import modality_drop_counts
 from carepath.operators.sequences import build_sequences, next_pairs
 from carepath.operators.vectors import assign_clusters, fit_note_clusters, vectorize_notes
-from carepath.operators.vocab import build_vocab, encode_codes
+from carepath.operators.vocab import build_vocab, encode_codes, with_split
 from carepath.plans.fixtures import Inputs
 from carepath.plans.report import FORECASTING, MORTALITY, MULTIMODAL, UNIMODAL, compare_models, write_report_csv
 from carepath.session import materialize
@@ -88,11 +88,13 @@ def run_study(
                    ["split"])
     vecs = spark.read.parquet(os.path.join(out_dir, "note_vectors")).select("hadm_id", "vec")
 
-    vocab = build_vocab(inp.diagnoses, cohort)
+    joined = with_split(inp.diagnoses, cohort)  # one network pass of the diagnoses for vocab and sequences
+    vocab = build_vocab(joined)
     write_artifact(vocab.with_unknown(), os.path.join(out_dir, "vocab"))
-    sequences = build_sequences(encode_codes(inp.diagnoses, vocab), cohort)
+    sequences = build_sequences(encode_codes(joined, vocab))
     write_artifact(sequences, os.path.join(out_dir, "sequences"), ["split"])
     sequences = spark.read.parquet(os.path.join(out_dir, "sequences"))
+    joined.unpersist()
     drops = modality_drop_counts(sequences, vecs, inp.labels)
 
     # Forecasting: codes only, and keyed by the note cluster (KMeans fitted on train vectors). As in the
