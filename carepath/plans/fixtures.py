@@ -88,8 +88,11 @@ class Prepared:
 
     @cached_property
     def sequences(self) -> DataFrame:
-        """hadm_id, split, input_ids, labels."""
-        return materialize(build_sequences(self.encoded, self.cohort))
+        """hadm_id, split, input_ids, labels. Once checkpointed, the persisted cohort join is released (a
+        later reader of ``encoded`` recomputes it)."""
+        out = materialize(build_sequences(self.encoded, self.cohort))
+        self.encoded.unpersist()
+        return out
 
     @cached_property
     def pairs(self) -> DataFrame:
