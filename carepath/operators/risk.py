@@ -20,13 +20,18 @@ MAX_FEATURES = 5000
 MAX_ITER = 1000
 
 
-def bag_of_codes(diagnoses: DataFrame, cohort: DataFrame, labels: DataFrame, tokenize: bool = False) -> DataFrame:
+def bag_of_codes(
+    diagnoses: DataFrame, cohort: DataFrame | None, labels: DataFrame, tokenize: bool = False
+) -> DataFrame:
     """(hadm_id, split, codes ARRAY<STRING> distinct and sorted, label): every cohort admission with a code.
 
     ``tokenize=True`` applies the count vectorizer's own token rule to the space-joined codes (lower case, runs
     of two or more word characters), reproducing what a text vectorizer sees; the default keeps codes whole.
     """
-    joined = diagnoses.join(cohort.select("hadm_id", "split"), "hadm_id")
+    if "split" in diagnoses.columns:  # already joined to the cohort (``vocab.with_split``)
+        joined = diagnoses
+    else:
+        joined = diagnoses.join(cohort.select("hadm_id", "split"), "hadm_id")
     bags = joined.groupBy("hadm_id", "split").agg(F.collect_set("icd_code").alias("_codes"))
     codes = F.col("_codes")
     if tokenize:

@@ -94,6 +94,11 @@ def run_study(
     sequences = build_sequences(encode_codes(joined, vocab))
     write_artifact(sequences, os.path.join(out_dir, "sequences"), ["split"])
     sequences = spark.read.parquet(os.path.join(out_dir, "sequences"))
+    # The bag of codes reads the same persisted join (all codes, one-code admissions included), restricted to
+    # admissions with a vector: one evaluation population for both mortality rows, as in the reference's report.
+    bags = materialize(
+        rk.bag_of_codes(joined, None, inp.labels).join(vecs.select("hadm_id"), "hadm_id", "left_semi")
+    )
     joined.unpersist()
     drops = modality_drop_counts(sequences, vecs, inp.labels)
 
@@ -109,11 +114,7 @@ def run_study(
         model = fc.fit_next_code(train, config.k, ctx)
         rows.append(_row(fc.evaluate_topk(model, test), FORECASTING, name, ("top1_pct", "top5_pct", "top10_pct")))
 
-    # Mortality: class-weighted logistic regression with and without the note vector, both on the admissions
-    # that have a vector (one evaluation population for the two report rows, as in the reference's report).
-    bags = materialize(
-        rk.bag_of_codes(inp.diagnoses, cohort, inp.labels).join(vecs.select("hadm_id"), "hadm_id", "left_semi")
-    )
+    # Mortality: class-weighted logistic regression with and without the note vector.
     for name, v in ((MULTIMODAL, vecs), (UNIMODAL, None)):
         model = rk.fit_risk(bags, v, k=config.max_features)
         scores = materialize(rk.score_risk(model, bags, v, split=TEST))
