@@ -160,7 +160,7 @@ def main(argv: list[str] | None = None) -> None:
     notes = None if vectors is not None else clinical.read_notes(spark, args.notes).select("hadm_id", "text")
     result = run_study(spark, inp, args.out, note_vectors=vectors, notes=notes, config=cfg)
     result.report.show(truncate=False)
-    result.comparison.show(truncate=False)
+    result.comparison.orderBy("task", "metric").show(truncate=False)
 
 
 if __name__ == "__main__":
