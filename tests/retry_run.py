@@ -47,7 +47,20 @@ def main() -> None:
     model = fc.fit_next_code(pairs.where("split = 'train'"), 10)
     acc = fc.evaluate_topk(model, pairs.where("split = 'test'")).first()
     digest = seqs.select(F.sum(F.pmod(F.xxhash64("hadm_id", "split", "input_ids", "labels"), F.lit(1_000_000_007))).alias("h")).first()["h"]
-    print(json.dumps({"acc": list(acc), "vocab": vocab.size, "sequences": seqs.count(), "digest": digest}))
+    from carepath.functions.scalar import clamped_probability
+    from carepath.operators import metrics as me
+    from carepath.operators.sequences import pad_batches
+    from carepath.sources import tables
+
+    raw = tables.score_fixture(spark, sf).withColumn("hadm_id", flaky("hadm_id"))
+    scores = raw.select("hadm_id", "y", clamped_probability("z").alias("p"))
+    summary = list(me.ranking_summary(scores).first())
+    batches = pad_batches(seqs, batch_size=8, seed=3)
+    bdigest = batches.select(
+        F.sum(F.pmod(F.xxhash64("hadm_id", "batch_id", "pos_in_batch", "input_ids"), F.lit(1_000_000_007))).alias("h")
+    ).first()["h"]
+    print(json.dumps({"acc": list(acc), "vocab": vocab.size, "sequences": seqs.count(), "digest": digest,
+                      "ranking": summary, "batches": bdigest}))
     spark.stop()
 
 
