@@ -24,6 +24,7 @@ from carepath.operators.examples import assemble_examples, modality_drop_counts
 from carepath.operators.vocab import decode_codes
 from carepath.plans.fixtures import build_cohort, inputs, prepare
 from carepath.plans.report import compare_models, forecast_report
+from carepath.session import materialize
 from carepath.sources import tables
 
 # Parameters of the registered queries (fixed here so Spark and the oracle SQL use the same ones).
@@ -258,7 +259,8 @@ def q_bag_of_codes_topk_vocab(spark: SparkSession, sf: str) -> DataFrame:
 
 def _risk(spark: SparkSession, sf: str, with_notes: bool) -> DataFrame:
     inp = inputs(spark, sf, "F1")
-    bags = rk.bag_of_codes(inp.diagnoses, build_cohort(inp), inp.labels)
+    # The bags feed the vocabulary, weight, fit and scoring jobs: checkpoint them once.
+    bags = materialize(rk.bag_of_codes(inp.diagnoses, build_cohort(inp), inp.labels))
     vecs = tables.note_vectors(spark, sf) if with_notes else None
     model = rk.fit_risk(bags, vecs)
     return rk.score_risk(model, bags, vecs).select("hadm_id", "y", F.round("p", 9).alias("p"))

@@ -13,6 +13,7 @@ from carepath.operators import metrics as me
 from carepath.operators import risk as rk
 from carepath.plans.fixtures import build_cohort, inputs, prepare
 from carepath.schemas import REPORT_CSV_HEADER
+from carepath.session import materialize
 from carepath.sources import tables
 
 # The reference's task and model names.
@@ -48,7 +49,7 @@ def mortality_report(spark: SparkSession, sf_dir: str, fixture: str = "F1") -> D
     """Two rows: ROC-AUC and average precision of the risk model with and without the note vector.
     The third metric is 0.0, as in the reference's results file."""
     inp = inputs(spark, sf_dir, fixture)
-    bags = rk.bag_of_codes(inp.diagnoses, build_cohort(inp), inp.labels)
+    bags = materialize(rk.bag_of_codes(inp.diagnoses, build_cohort(inp), inp.labels))
     vecs = tables.note_vectors(spark, sf_dir)
     rows = []
     for model_name, v in ((MULTIMODAL, vecs), (UNIMODAL, None)):
