@@ -19,10 +19,13 @@ from pyspark.sql import types as T
 
 from carepath.functions.vector import centered, gate, normalize_centered, weighted_sum
 from carepath.functions.scalar import word_tokens
-from carepath.session import materialize, shuffle_partitions
+from carepath.session import materialize
 
-# Cells (items x dimensions) of one item block held by one task (256 MB of doubles).
+# Cells (items x dimensions) of one item block held by one task (256 MB of doubles); also the bound under
+# which the whole item matrix is broadcast.
 MAX_BLOCK_CELLS = 32_000_000
+# Query rows per block in the blocked plan (each item block is copied once per query block).
+QUERY_BLOCK_ROWS = 50_000
 
 
 def vectorize_notes(
@@ -164,42 +167,59 @@ def topk_by_dot(
     i_id: str = "item_id",
     i_vec: str = "vec",
     item_blocks: int | None = None,
-    query_blocks: int | None = None,
+    query_block_rows: int = QUERY_BLOCK_ROWS,
 ) -> DataFrame:
     """Exact k best items per query by dot product -> (query_id, item_id, score, rank).
 
-    Block matrix product on Spark: items are split into ``item_blocks`` blocks of at most MAX_BLOCK_CELLS
-    cells, queries into ``query_blocks`` hash blocks; every (query block, item block) pair is one cogroup
-    task that scores its block as one numpy matrix product and keeps a per-query top-k; the per-block lists
-    (k rows per query and item block) are merged with a bounded group limit. Nothing passes through the
-    driver and no task holds more than one block of items, whatever the sizes.
+    Item matrices within a checked size (at most MAX_BLOCK_CELLS values, 256 MB of doubles) are broadcast
+    once per executor and every Arrow batch of queries is scored against them: no shuffle of the queries.
+    Larger item sets (or an explicit ``item_blocks``) run as a block matrix product on Spark: items are cut
+    into blocks of at most MAX_BLOCK_CELLS values, queries into blocks of about ``query_block_rows`` rows,
+    every (query block, item block) pair is one cogroup task, and the per-block top-k lists (k rows per query
+    and item block) are merged with a bounded group limit. Either way, no task holds more than one block of
+    items and every score matrix is bounded by ``QUERY_CHUNK`` rows.
     """
     spark = queries.sparkSession
     out_schema = "query_id long, item_id long, score double"
-    if item_blocks is None:
-        size = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(i_vec)).alias("d")).first()
-        cells = int(size["n"]) * max(int(size["d"] or 0), 1)
-        item_blocks = max(1, -(-cells // MAX_BLOCK_CELLS))
-    qparts = query_blocks or shuffle_partitions(spark)
-    qb = queries.select(
-        F.col(q_id).cast("long").alias("q"),
-        F.col(q_vec).cast("array<double>").alias("v"),
-        F.pmod(F.xxhash64(F.col(q_id)), F.lit(qparts)).cast("int").alias("qblk"),
-        F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("blk"),
-    )
-    ib = items.select(
-        F.col(i_id).cast("long").alias("i"),
-        F.col(i_vec).cast("array<double>").alias("w"),
-        F.pmod(F.xxhash64(F.col(i_id)), F.lit(item_blocks)).cast("int").alias("blk"),
-        F.explode(F.sequence(F.lit(0), F.lit(qparts - 1))).alias("qblk"),
-    )
-
-    def score_block(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-        q = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["v"]]) if len(qpdf) else np.zeros((0, 0))
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in ipdf["w"]]) if len(ipdf) else np.zeros((0, 0))
-        return _topk_block(qpdf["q"].to_numpy(np.int64), q, ipdf["i"].to_numpy(np.int64), m, k)
-
-    scored = qb.groupBy("qblk", "blk").cogroup(ib.groupBy("qblk", "blk")).applyInPandas(score_block, out_schema)
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(i_vec)).alias("d")).first()
+    cells = int(size["n"]) * max(int(size["d"] or 0), 1)
+    cand = queries.select(F.col(q_id).cast("long").alias("q"), F.col(q_vec).cast("array<double>").alias("v"))
+    if item_blocks is None and cells <= MAX_BLOCK_CELLS:
+        # Proven bound: at most MAX_BLOCK_CELLS values pass the driver once, then one copy per executor.
+        rows = items.select(F.col(i_id).cast("long").alias("i"), F.col(i_vec).cast("array<double>").alias("w")).collect()
+        bc = spark.sparkContext.broadcast(
+            (np.array([r["i"] for r in rows], dtype=np.int64), np.array([r["w"] for r in rows], dtype=np.float64))
+        )
+
+        def score(batches):
+            ids, mat = bc.value
+            for pdf in batches:
+                q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]]) if len(pdf) else np.zeros((0, 0))
+                yield _topk_block(pdf["q"].to_numpy(np.int64), q, ids, mat, k)
+
+        scored = cand.mapInPandas(score, out_schema)
+    else:
+        blocks = item_blocks or max(1, -(-cells // MAX_BLOCK_CELLS))
+        n_queries = queries.count()
+        qparts = max(1, -(-n_queries // max(1, query_block_rows)))
+        qb = cand.select(
+            "q", "v",
+            F.pmod(F.xxhash64("q"), F.lit(qparts)).cast("int").alias("qblk"),
+            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"),
+        )
+        ib = items.select(
+            F.col(i_id).cast("long").alias("i"),
+            F.col(i_vec).cast("array<double>").alias("w"),
+            F.pmod(F.xxhash64(F.col(i_id)), F.lit(blocks)).cast("int").alias("blk"),
+            F.explode(F.sequence(F.lit(0), F.lit(qparts - 1))).alias("qblk"),
+        )
+
+        def score_block(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
+            q = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["v"]]) if len(qpdf) else np.zeros((0, 0))
+            m = np.stack([np.asarray(v, dtype=np.float64) for v in ipdf["w"]]) if len(ipdf) else np.zeros((0, 0))
+            return _topk_block(qpdf["q"].to_numpy(np.int64), q, ipdf["i"].to_numpy(np.int64), m, k)
+
+        scored = qb.groupBy("qblk", "blk").cogroup(ib.groupBy("qblk", "blk")).applyInPandas(score_block, out_schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= F.lit(k))
 

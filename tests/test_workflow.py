@@ -28,7 +28,7 @@ def test_topk_by_dot_blocked_equals_broadcast(spark):
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     a = topk_by_dot(e, e, 4, q_id="id", i_id="id")
-    b = topk_by_dot(e, e, 4, q_id="id", i_id="id", item_blocks=3)
+    b = topk_by_dot(e, e, 4, q_id="id", i_id="id", item_blocks=3, query_block_rows=64)
     norm = lambda df: sorted((r.query_id, r.item_id, r.rank, round(r.score, 9)) for r in df.collect())
     assert norm(a) == norm(b)
 
