@@ -94,6 +94,10 @@ class Prepared:
         self.encoded.unpersist()
         return out
 
+    def release(self) -> None:
+        """Drop the persisted cohort join (readers of ``encoded`` then recompute it from lineage)."""
+        self.encoded.unpersist()
+
     @cached_property
     def pairs(self) -> DataFrame:
         """hadm_id, split, pos, prev, next."""

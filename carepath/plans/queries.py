@@ -98,7 +98,9 @@ def q_class_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_vocab_train_only(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare(spark, sf, "F2").vocab.with_unknown()
+    p = prepare(spark, sf, "F2")
+    p.release()  # the vocabulary is checkpointed; the cohort join is not needed any more
+    return p.vocab.with_unknown()
 
 
 def q_encode_with_unknown(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,7 +242,10 @@ def q_final_report(spark: SparkSession, sf: str) -> DataFrame:
     from carepath.plans.workflow import run_study
     from carepath.session import checkpoint_dir
 
-    out = f"{checkpoint_dir(spark).rstrip('/')}/study-{uuid.uuid4().hex}"
+    base = checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("final_report writes its artifacts under spark.checkpoint.dir; set it to a shared folder")
+    out = f"{base.rstrip('/')}/study-{uuid.uuid4().hex}"
     return run_study(spark, inputs(spark, sf, "F1"), out, note_vectors=tables.note_vectors(spark, sf)).report
 
 
