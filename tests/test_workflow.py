@@ -261,3 +261,18 @@ def test_vectorize_notes_idf_fitted_on_train_only(spark):
     i = HashingTF(numFeatures=64).indexOf("alpha")
     # df(alpha) over the 2 train notes is 1: idf = ln(3/2), applied to the test note too
     assert vecs[3][i] == pytest.approx(2 * math.log(3 / 2), rel=1e-6)
+
+
+def test_streaming_landing_multiline_notes(spark):
+    from carepath.schemas import NOTES
+    from carepath.streaming.landing import land_csv_stream
+
+    root = tempfile.mkdtemp(prefix="carepath-stream-notes-")
+    src, out, ck = (os.path.join(root, d) for d in ("in", "out", "ck"))
+    os.makedirs(src)
+    cols = ["note_id", "subject_id", "hadm_id", "text"]
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write(",".join(cols) + '\nn1,1,11,"first line\nsecond ""quoted"" line"\nn2,2,12,"plain"\n')
+    land_csv_stream(spark, src, cols, NOTES, out, ck, multiline=True).awaitTermination()
+    rows = sorted((r.hadm_id, r.text) for r in spark.read.parquet(out).collect())
+    assert rows == [(11, 'first line\nsecond "quoted" line'), (12, "plain")]
