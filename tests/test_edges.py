@@ -127,3 +127,19 @@ def test_topk_block_chunked_with_ties(monkeypatch):
         sub = got[got.query_id == qid]
         assert list(sub.item_id) == [i_ids[j] for j in want]
         assert list(sub.score) == [s[j] for j in want]
+
+
+def test_empty_inputs(spark):
+    from carepath.operators import cohort as co
+    from carepath.operators import sequences as sq
+    from carepath.operators.vocab import build_vocab, encode_codes
+
+    ids = spark.createDataFrame([], "hadm_id long")
+    cohort = co.split_by_position(ids, train_frac=0.8)
+    assert cohort.count() == 0
+    diag = spark.createDataFrame([], "hadm_id long, seq_num int, icd_code string")
+    vocab = build_vocab(diag, cohort)
+    assert vocab.size == 0 and vocab.unk_id == 1
+    seqs = sq.build_sequences(encode_codes(diag, vocab), cohort)
+    assert seqs.count() == 0
+    assert sq.pad_batches(seqs).count() == 0
