@@ -143,3 +143,11 @@ def test_empty_inputs(spark):
     seqs = sq.build_sequences(encode_codes(diag, vocab), cohort)
     assert seqs.count() == 0
     assert sq.pad_batches(seqs).count() == 0
+
+
+def test_empty_scores(spark):
+    df = spark.createDataFrame([], "hadm_id long, y double, p double")
+    r = me.ranking_summary(df).first()
+    assert (r.n_pos, r.n_neg, r.roc_auc, r.average_precision) == (0, 0, None, None)
+    assert me.calibration(df).count() == 0
+    assert [tuple(x) for x in me.roc_points(df).collect()] == [(None, 0.0, 0.0)]
