@@ -80,23 +80,27 @@ class Prepared:
     checkpointed artifact) are built on first use, so a query that needs only the cohort or the
     vocabulary runs no sequence job."""
 
-    def __init__(self, inputs: Inputs, cohort: DataFrame, vocab: Vocabulary, encoded: DataFrame):
+    def __init__(
+        self, inputs: Inputs, cohort: DataFrame, vocab: Vocabulary, encoded: DataFrame, joined: DataFrame | None = None
+    ):
         self.inputs = inputs
         self.cohort = cohort
         self.vocab = vocab
         self.encoded = encoded  # hadm_id, seq_num, icd_code, split, code_id (cohort admissions)
+        self._joined = joined  # the persisted cohort join ``encoded`` derives from
 
     @cached_property
     def sequences(self) -> DataFrame:
         """hadm_id, split, input_ids, labels. Once checkpointed, the persisted cohort join is released (a
         later reader of ``encoded`` recomputes it)."""
         out = materialize(build_sequences(self.encoded, self.cohort))
-        self.encoded.unpersist()
+        self.release()
         return out
 
     def release(self) -> None:
         """Drop the persisted cohort join (readers of ``encoded`` then recompute it from lineage)."""
-        self.encoded.unpersist()
+        if self._joined is not None:
+            self._joined.unpersist()
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -110,4 +114,4 @@ def prepare(spark: SparkSession, sf_dir: str, fixture: str, train_frac: float =
     cohort = build_cohort(inp, train_frac)
     joined = with_split(inp.diagnoses, cohort)  # diagnoses cross the network once for vocab and sequences
     vocab = build_vocab(joined)
-    return Prepared(inp, cohort, vocab, encode_codes(joined, vocab))
+    return Prepared(inp, cohort, vocab, encode_codes(joined, vocab), joined)
