@@ -105,6 +105,7 @@ def q_vocab_train_only(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_encode_with_unknown(spark: SparkSession, sf: str) -> DataFrame:
     p = prepare(spark, sf, "F2")
+    p.release()  # the result is one projection of the join: no reuse worth a cache
     return p.encoded.select("hadm_id", "split", "seq_num", "icd_code", "code_id")
 
 
@@ -125,7 +126,9 @@ def q_next_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_next_pairs_lead(spark: SparkSession, sf: str) -> DataFrame:
     p = prepare(spark, sf, "F3")
-    return sq.next_pairs_lead(p.encoded, p.cohort)
+    pairs = sq.next_pairs_lead(p.encoded, p.cohort)  # positions are checkpointed inside
+    p.release()
+    return pairs
 
 
 def q_last_value_per_key(spark: SparkSession, sf: str) -> DataFrame:
