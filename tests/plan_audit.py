@@ -12,6 +12,16 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def single_partition_inputs(spark, query, sf: str) -> list[str]:
+    """Input columns of every single-partition exchange in the query's physical plan."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        query(spark, sf).explain("formatted")
+    txt = buf.getvalue()
+    pattern = r"^\((\d+)\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: SinglePartition"
+    return [m.group(2) for m in re.finditer(pattern, txt, flags=re.M)]
+
+
 def main() -> None:
     from carepath.plans.queries import QUERIES
     from carepath.session import local_session
@@ -19,16 +29,8 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session()
     for name, q in QUERIES.items():
-        buf = io.StringIO()
-        with contextlib.redirect_stdout(buf):
-            q(spark, sf).explain("formatted")
-        txt = buf.getvalue()
-        nodes = dict(re.findall(r"^\((\d+)\) (\w[\w ]*)", txt, flags=re.M))
-        singles = []
-        for m in re.finditer(r"^\((\d+)\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: SinglePartition", txt, flags=re.M):
-            singles.append(m.group(2)[:70])
-        n_ex = len(re.findall(r"^\(\d+\) Exchange", txt, flags=re.M))
-        print(f"{name}: {n_ex} exchanges; single-partition: {singles or 'none'}")
+        singles = [c[:70] for c in single_partition_inputs(spark, q, sf)]
+        print(f"{name}: single-partition: {singles or 'none'}")
 
 
 if __name__ == "__main__":
