@@ -8,10 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import common, extendible, hd_langid
+from carepath.llm import bagminhash, common, extendible, hd_langid, quality_rules
 from carepath.sources.tables import read_table
 
 
+def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return bagminhash.classes(read_table(spark, sf, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.verdicts(read_table(spark, sf, "documents"))
+
+
 def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     out = common.held_out("doc_id", 4, 2).alias("held_out")
@@ -25,6 +33,8 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_quality_rules": op6_quality_rules,
     "op8_language": op8_language,
     "op10_sharding": op10_sharding,
 }
