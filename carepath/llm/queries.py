@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import bagminhash, common, extendible, hd_langid, quality_rules
+from carepath.llm import bagminhash, common, decontaminate, extendible, hd_langid, quality_rules
 from carepath.sources.tables import read_table
 
 
@@ -27,6 +27,10 @@ def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     return hd_langid.predict(docs, model, keep=(out,))
 
 
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.matches(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
     return extendible.shard(docs, n_bytes=F.col("n_bytes"))
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
     "op8_language": op8_language,
+    "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
 
