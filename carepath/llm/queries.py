@@ -8,10 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import bagminhash, common, decontaminate, extendible, hd_langid, quality_rules
+from carepath.llm import bagminhash, common, decontaminate, extendible, hd_langid, pii_crf, quality_rules
 from carepath.sources.tables import read_table
 
 
+def op2_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    model = pii_crf.fit(pii_crf.labelled_table(spark))
+    found = pii_crf.find(read_table(spark, sf, "documents"), model)
+    counts = [f"n_{k}" for k in pii_crf.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return bagminhash.classes(read_table(spark, sf, "documents"))
 
@@ -37,6 +44,7 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_personal_data": op2_personal_data,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
     "op8_language": op8_language,
