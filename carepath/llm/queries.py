@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import bagminhash, common, decontaminate, extendible, hd_langid, pii_crf, quality_rules
+from carepath.llm import bagminhash, bpe_lexicon, common, decontaminate, extendible, hd_langid, pii_crf, quality_rules
 from carepath.sources.tables import read_table
 
 
@@ -19,6 +19,17 @@ def op2_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    out = bpe_lexicon.decode(bpe_lexicon.encode(read_table(spark, sf, "documents")))
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return bagminhash.classes(read_table(spark, sf, "documents"))
 
@@ -45,6 +56,7 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_personal_data": op2_personal_data,
+    "op4_bpe": op4_bpe,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
     "op8_language": op8_language,
