@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carepath.llm.common import byte_slices, hashed, lists, stage, text_or_empty, words
+from carepath.llm.common import byte_slices, hashed, lists, narrow, stage, text_or_empty, without, words
 from carepath.llm.components import components
 
 SHINGLE = 5
@@ -258,11 +258,11 @@ def links(docs: DataFrame, representatives: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): the class id is the smallest doc_id of the class."""
-    signed = stage(sign(narrow_docs(docs)))
+    signed = stage(sign(narrow(docs, "doc_id", "text")))
     worded = signed.where(F.col("n_words") > 0)
     texts = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = stage(worded.join(texts, ["k1", "k2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
-    near = links(narrow_docs(docs), members.where(F.col("bands").isNotNull()).select("rep", "bands"))
+    near = links(narrow(docs, "doc_id", "text"), members.where(F.col("bands").isNotNull()).select("rep", "bands"))
     first = members.groupBy("doc_id").agg(F.min("rep").alias("home"), F.max("rep").alias("last"))
     same_id = members.join(first.where(F.col("home") < F.col("last")), "doc_id").where(F.col("rep") != F.col("home"))
     label = components(near.union(same_id.select(F.col("home").alias("a"), F.col("rep").alias("b"))))
@@ -270,15 +270,17 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.join(label, "node", "left").select("doc_id", F.coalesce("label", "node", "doc_id").alias("class_id"))
 
 
-def narrow_docs(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text")
-
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one document per class, the one with the smallest id (one of its rows if it has several).
 
     Documents without an id are kept: nothing can be said about them.
     """
-    kept = classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id")
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    dropped = classes(docs).where(F.col("doc_id") != F.col("class_id")).select("doc_id")
+    left = without(docs, dropped, {"doc_id": F.col("doc_id")})
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
+    again = stage(ids.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not again.take(1):
+        return left
+    one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return without(left, again, {"doc_id": F.col("doc_id")}).unionByName(one)

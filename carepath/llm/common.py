@@ -90,3 +90,19 @@ def lists(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
 def narrow(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so extra columns of the input can never clash with the operator's own."""
     return df.select(*names)
+
+
+# A set of keys is broadcast up to this many bytes; beyond it the join shuffles.
+BROADCAST_BYTES = 8 * 1024 * 1024
+
+
+def without(docs: DataFrame, keys: DataFrame, on: dict[str, Column], key_bytes: int = 24) -> DataFrame:
+    """``docs`` without the rows whose key is in ``keys``. ``on`` gives, for each key column, the value in ``docs``;
+    nulls match nulls. The keys are staged and counted: a small set is broadcast, so the texts stay where they are."""
+    keys = stage(keys.select([F.col(k).alias(f"_key_{k}") for k in on]).distinct())
+    side = F.broadcast(keys) if keys.count() * key_bytes <= BROADCAST_BYTES else keys
+    condition = None
+    for name, value in on.items():
+        same = value.eqNullSafe(F.col(f"_key_{name}"))
+        condition = same if condition is None else condition & same
+    return docs.join(side, condition, "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carepath.llm.bagminhash import mix
-from carepath.llm.common import byte_slices, hashed, lists, stage, text_or_empty
+from carepath.llm.common import byte_slices, hashed, lists, stage, text_or_empty, without
 
 N = 3
 MAX_GRAMS = 2_000_000
@@ -253,7 +253,5 @@ def _item_words(empty: int):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item. A document with a null id is dropped only if some document
-    with a null id matches: null ids are one identity here."""
-    leaked = matches(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(F.col("_leaked")), "left_anti").select(docs.columns)
+    """``docs`` without those that hold a benchmark item. Rows that share an id (or have none) share the verdict."""
+    return without(docs, matches(docs, benchmark).select("doc_id"), {"doc_id": F.col("doc_id")})

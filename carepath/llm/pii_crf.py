@@ -457,3 +457,22 @@ def find(docs: DataFrame, model: Crf, keep: Sequence[str | Column] = ("doc_id",)
     return rows.mapInArrow(run, f"{schema}, {kinds}, base_spans string, spans string, masked string")
 
 
+def redact(docs: DataFrame, model: Crf) -> DataFrame:
+    """``docs`` with every span of the text replaced by its kind; ``n_chars``, if there, is the new length. A null
+    text stays null; all other columns pass unchanged."""
+    names = docs.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, "text"):
+            own = texts(batch)
+            found = all_spans(own, model)
+            new = [mask(t, both) if both else t for t, (_, both) in zip(own, found)]
+            lost = batch.column(names.index("text")).is_null().to_pylist()
+            columns = dict(zip(names, batch.columns))
+            columns["text"] = pa.array([None if no else t for t, no in zip(new, lost)], pa.string())
+            if "n_chars" in columns:
+                kind = columns["n_chars"].type
+                columns["n_chars"] = pa.array([None if no else len(t) for t, no in zip(new, lost)]).cast(kind)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carepath.llm import statistics as st
-from carepath.llm.common import stage
+from carepath.llm.common import stage, text_or_empty, without
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_CHARS, MIN_TOKENS, MIN_DOCS = 150, 60, 20
@@ -47,9 +47,15 @@ def language_key(lang: Column) -> Column:
     return F.when(lang.isin(sorted(st.COMMON_WORDS)), lang).otherwise(F.lit("und"))
 
 
+def text_key(text: Column) -> Column:
+    """A hash that tells texts under one id (or under no id) apart."""
+    return F.xxhash64(text)
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, counts, base_failed, _lang, chars, n_tokens, common), one row per document, staged."""
-    stats = st.base_statistics(docs, (F.col("doc_id"), language_key(F.col("lang")).alias("_lang"))).drop("_wh")
+    """(doc_id, text key, counts, base_failed, _lang, chars, n_tokens, common), one row per document, staged."""
+    own = (F.col("doc_id"), text_key(text_or_empty()).alias("_text_key"), language_key(F.col("lang")).alias("_lang"))
+    stats = st.base_statistics(docs, own).drop("_wh")
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return stage(st.histograms(stats).withColumn("base_failed", failed))
 
@@ -102,9 +108,15 @@ def score(measured: DataFrame) -> DataFrame:
     rows = rows.withColumn("word_distance", F.when(F.col("_ok") & (F.col("n_tokens") >= MIN_TOKENS), _distance(doubled)))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("char_distance") > MAX_CHAR_DISTANCE, F.lit(False))
     kept = kept & ~F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
-    return rows.select("doc_id", *COUNTS, "base_failed", "char_distance", "word_distance", kept.alias("kept"))
+    return rows.select("doc_id", "_text_key", *COUNTS, "base_failed", "char_distance", "word_distance", kept.alias("kept"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """(doc_id, counts, base_failed, char_distance, word_distance, kept) of every document."""
-    return score(measure(docs))
+    return score(measure(docs)).drop("_text_key")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that the rules reject, all columns and rows otherwise as they are."""
+    rejected = score(measure(docs)).where(~F.col("kept")).select("doc_id", "_text_key")
+    return without(docs, rejected, {"doc_id": F.col("doc_id"), "_text_key": text_key(text_or_empty())})

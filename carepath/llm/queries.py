@@ -8,10 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import bagminhash, bpe_lexicon, common, decontaminate, extendible, hd_langid, pii_crf, quality_rules
+from carepath.llm import bagminhash, bpe_lexicon, common, decontaminate, extendible, hd_langid, pii_crf, quality_classifier, quality_rules
 from carepath.sources.tables import read_table
 
 
+def op1_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    held = common.held_out("doc_id", 3, 1)
+    return quality_classifier.classify(
+        read_table(spark, sf, "documents"),
+        read_table(spark, sf, "labels"),
+        learn=~held,
+        fold=F.shiftright(common.fold("doc_id", 3), 1),
+        keep=(held.alias("held_out"),),
+    )
+
+
 def op2_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     model = pii_crf.fit(pii_crf.labelled_table(spark))
     found = pii_crf.find(read_table(spark, sf, "documents"), model)
@@ -55,6 +66,7 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_personal_data": op2_personal_data,
     "op4_bpe": op4_bpe,
     "op5_near_duplicates": op5_near_duplicates,
