@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import bagminhash, bpe_lexicon, common, decontaminate, extendible, hd_langid, pii_crf, quality_classifier, quality_rules
+from carepath.llm import bagminhash, bpe_lexicon, chat_trees, common, decontaminate, extendible, hd_langid, pii_crf, quality_classifier, quality_rules
 from carepath.sources.tables import read_table
 
 
@@ -30,6 +30,16 @@ def op2_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+# The conversation that the contract adds, whose texts look like control strings.
+EXTRA_CONVERSATION = tuple((-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant")))
+
+
+def op3_chat_trees(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame(list(EXTRA_CONVERSATION), "conv_id long, turn long, role string, text string"))
+    return chat_trees.read_back(chat_trees.format_paths(chat_trees.chain(rows)))
+
+
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     out = bpe_lexicon.decode(bpe_lexicon.encode(read_table(spark, sf, "documents")))
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
@@ -68,6 +78,7 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_personal_data": op2_personal_data,
+    "op3_chat_trees": op3_chat_trees,
     "op4_bpe": op4_bpe,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
