@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import bagminhash, bpe_lexicon, chat_trees, common, decontaminate, extendible, hd_langid, pii_crf, quality_classifier, quality_rules
+from carepath.llm import attention_lm, bagminhash, bpe_lexicon, chat_trees, common, decontaminate, extendible, hd_langid, pii_crf, quality_classifier, quality_rules
 from carepath.sources.tables import read_table
 
 
@@ -59,6 +59,10 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.verdicts(read_table(spark, sf, "documents"))
 
 
+def op7_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    return attention_lm.scores(read_table(spark, sf, "documents"), common.held_out("doc_id", 7, 2))
+
+
 def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     out = common.held_out("doc_id", 4, 2).alias("held_out")
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
+    "op7_language_model": op7_language_model,
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
