@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from carepath.functions.scalar import percent
 from carepath.operators.ordering import row_index_with_total
 
-TRAIN, TEST = "train", "test"
+TRAIN, TEST, UNUSED = "train", "test", "unused"
 
 
 def intersect_ids(*frames: DataFrame, col: str = "hadm_id") -> DataFrame:
@@ -32,29 +32,15 @@ def split_by_position(
 ) -> DataFrame:
     """Sort ids ascending; the first block is train, the next block is test -> (hadm_id, split, rn).
 
-    Two modes:
-      * ``train_size``/``test_size`` (the reference's fixed 50,000 / 5,000): only the first N+M ids are kept.
-        The sort is bounded first (a distributed top-(N+M)), so the single-partition numbering that follows
-        sees at most N+M rows.
-      * ``train_frac``: every id is kept; the first floor(frac * n) are train. Positions come from the
-        distributed ``row_index``.
+    With ``train_size``/``test_size`` (the reference's fixed 50,000 / 5,000) ids beyond both blocks are ``unused``:
+    every id keeps a row. With ``train_frac`` the first floor(frac * n) are train and all others test. Positions
+    come from the distributed ``row_index`` either way.
     """
-    if train_size is not None:
-        keep = int(train_size) + int(test_size or 0)
-        bounded = ids.select(col).orderBy(col).limit(keep)
-        numbered = bounded.withColumn("rn", F.row_number().over(Window.orderBy(col)).cast("long"))
-        return numbered.select(
-            F.col(col).alias("hadm_id"),
-            F.when(F.col("rn") <= F.lit(int(train_size)), F.lit(TRAIN)).otherwise(F.lit(TEST)).alias("split"),
-            "rn",
-        )
     numbered, n = row_index_with_total(ids.select(col), [col], "rn")
-    n_train = int(n * float(train_frac))  # floor for non-negative values
-    return numbered.select(
-        F.col(col).alias("hadm_id"),
-        F.when(F.col("rn") <= F.lit(n_train), F.lit(TRAIN)).otherwise(F.lit(TEST)).alias("split"),
-        "rn",
-    )
+    n_train = int(train_size) if train_size is not None else int(n * float(train_frac))
+    n_used = n_train + int(test_size or 0) if train_size is not None else n
+    split = F.when(F.col("rn") <= F.lit(n_train), F.lit(TRAIN)).when(F.col("rn") <= F.lit(n_used), F.lit(TEST))
+    return numbered.select(F.col(col).alias("hadm_id"), split.otherwise(F.lit(UNUSED)).alias("split"), "rn")
 
 
 def split_check(cohort: DataFrame, admissions: DataFrame) -> DataFrame:

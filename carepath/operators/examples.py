@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from carepath.operators.cohort import attach_labels
 
 
-def assemble_examples(sequences: DataFrame, note_vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    """Sequences that have a note vector (inner join), with the label (missing -> 0).
+def unique_vectors(note_vectors: DataFrame, order_col: str | None = None) -> DataFrame:
+    """One vector per admission -> (hadm_id, vec): the last one in ``order_col`` order (the reference's dictionary
+    keeps the last it reads). Without an order, or between ties, the largest vector wins, so the result does not
+    depend on file order."""
+    vec = F.col("vec").cast("array<float>")
+    order = F.struct(F.col(order_col), vec) if order_col else vec
+    return note_vectors.groupBy("hadm_id").agg(F.max_by(vec, order).alias("vec"))
+
+
+def assemble_examples(
+    sequences: DataFrame, note_vectors: DataFrame, labels: DataFrame, vector_order: str | None = None
+) -> DataFrame:
+    """Sequences that have a note vector (inner join), with the label (missing -> 0). Several vectors or labels of an
+    admission count as one, so no example is multiplied.
 
-    Ids are joined first; the wide vector column rides along only on the rows that survive.
     -> (hadm_id, split, input_ids, labels, vec ARRAY<FLOAT>, label INT, label_missing)
     """
-    vecs = note_vectors.select("hadm_id", F.col("vec").cast("array<float>").alias("vec"))
-    return attach_labels(sequences.join(vecs, "hadm_id"), labels)
+    return attach_labels(sequences.join(unique_vectors(note_vectors, vector_order), "hadm_id"), labels)
 
 
 def modality_drop_counts(sequences: DataFrame, note_vectors: DataFrame, labels: DataFrame) -> DataFrame:

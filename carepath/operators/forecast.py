@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carepath.functions.scalar import percent
-from carepath.operators.ordering import broadcast_if_small
 from carepath.session import materialize
 
 
@@ -24,7 +23,6 @@ from carepath.session import materialize
 class NextCodeModel:
     context_cols: tuple[str, ...]
     levels: tuple[tuple[tuple[str, ...], DataFrame], ...]  # (key columns, table(keys..., cand, rank))
-    level_rows: tuple[int, ...]  # row count of each level table (checked once at fit time)
     global_top: tuple[int, ...]  # the global k best code ids, best first
     k: int
 
@@ -48,16 +46,15 @@ def fit_next_code(train_pairs: DataFrame, k: int = 10, context_cols: Sequence[st
     if ctx:
         level_keys.append(ctx + ("prev",))
     level_keys.append(("prev",))
-    levels, sizes = [], []
+    levels = []
     for keys in level_keys:
         counts = finest if keys == ctx + ("prev",) else finest.groupBy(*keys, "next").agg(F.sum("n").alias("n"))
         table = materialize(_top_per_key(counts, keys, k))
         levels.append((keys, table))
-        sizes.append(table.count())
     overall = finest.groupBy("next").agg(F.sum("n").alias("n"))
     # k rows: the global fallback list is small by construction and travels as a literal.
     top = overall.orderBy(F.desc("n"), F.asc("next")).limit(k).collect()
-    return NextCodeModel(ctx, tuple(levels), tuple(sizes), tuple(int(r["next"]) for r in top), k)
+    return NextCodeModel(ctx, tuple(levels), tuple(int(r["next"]) for r in top), k)
 
 
 def save_next_code(model: NextCodeModel, path: str) -> None:
@@ -66,8 +63,7 @@ def save_next_code(model: NextCodeModel, path: str) -> None:
     for i, (keys, table) in enumerate(model.levels):
         table.write.mode("overwrite").parquet(f"{path}/level={i}")
     meta = spark.createDataFrame(
-        [(i, ",".join(keys), rows) for i, ((keys, _), rows) in enumerate(zip(model.levels, model.level_rows))],
-        "level int, keys string, rows long",
+        [(i, ",".join(keys)) for i, (keys, _) in enumerate(model.levels)], "level int, keys string"
     )
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/levels")
     spark.createDataFrame(
@@ -84,7 +80,7 @@ def load_next_code(spark, path: str) -> NextCodeModel:
     levels = tuple((tuple(r["keys"].split(",")), spark.read.parquet(f"{path}/level={r['level']}")) for r in lv)
     top = tuple(int(r["cand"]) for r in spark.read.parquet(f"{path}/global").orderBy("rank").collect())
     ctx = tuple(c for c in meta["context"].split(",") if c)
-    return NextCodeModel(ctx, levels, tuple(int(r["rows"]) for r in lv), top, int(meta["k"]))
+    return NextCodeModel(ctx, levels, top, int(meta["k"]))
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -100,9 +96,9 @@ def rank_candidates(model: NextCodeModel, contexts: DataFrame) -> DataFrame:
     keys = model.context_cols + ("prev",)
     ctx = contexts.select(*keys).distinct()
     parts = []
-    for level, ((lkeys, table), rows) in enumerate(zip(model.levels, model.level_rows)):
+    for level, (lkeys, table) in enumerate(model.levels):
         parts.append(
-            _join_null_safe(ctx, broadcast_if_small(table, known_rows=rows), list(lkeys), "inner").select(
+            _join_null_safe(ctx, table, list(lkeys), "inner").select(
                 *keys, "cand", F.lit(level).alias("level"), "rank"
             )
         )
@@ -133,7 +129,7 @@ def score_pairs(model: NextCodeModel, pairs: DataFrame) -> DataFrame:
     keys = list(model.context_cols + ("prev",))
     cands = rank_candidates(model, pairs)
     hit = cands.select(*keys, F.col("cand").alias("next"), F.col("rank").alias("hit_rank"))
-    return _join_null_safe(pairs, broadcast_if_small(materialize(hit)), keys + ["next"], "left")
+    return _join_null_safe(pairs, hit, keys + ["next"], "left")
 
 
 def score_pair_counts(model: NextCodeModel, pairs: DataFrame) -> DataFrame:
@@ -147,7 +143,7 @@ def score_pair_counts(model: NextCodeModel, pairs: DataFrame) -> DataFrame:
     combined = materialize(pairs.groupBy(*keys, "next").agg(F.count(F.lit(1)).alias("m")))
     cands = rank_candidates(model, combined)
     hit = cands.select(*keys, F.col("cand").alias("next"), F.col("rank").alias("hit_rank"))
-    return _join_null_safe(combined, broadcast_if_small(materialize(hit)), keys + ["next"], "left")
+    return _join_null_safe(combined, hit, keys + ["next"], "left")
 
 
 def topk_accuracy(scored: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
@@ -165,7 +161,10 @@ def topk_accuracy(scored: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFram
 
 
 def evaluate_topk(model: NextCodeModel, pairs: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """Top-k accuracy of ``model`` on ``pairs`` via the combined (pre-aggregated) scoring."""
+    """Top-k accuracy of ``model`` on ``pairs`` via the combined (pre-aggregated) scoring. No k may exceed the model's:
+    its lists end there."""
+    if max(ks, default=0) > model.k:
+        raise ValueError(f"the model keeps {model.k} candidates, asked for top-{max(ks)}")
     return topk_accuracy(score_pair_counts(model, pairs), ks)
 
 

@@ -1,4 +1,4 @@
-"""Distributed positions, size-checked broadcast, deterministic shuffles and fixed-size batches."""
+"""Distributed positions, deterministic shuffles and fixed-size batches."""
 
 from __future__ import annotations
 
@@ -9,32 +9,9 @@ from pyspark.sql import functions as F
 
 from carepath.session import materialize, shuffle_partitions
 
-# Largest side we ever broadcast without a shuffle join: rows, and rows x values per row (vector width).
-BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_MAX_CELLS = 16_000_000  # 128 MB of doubles
-
 _POS_BITS = 33  # monotonically_increasing_id = partition_id << 33 | position within partition
 
 
-def broadcast_if_small(
-    df: DataFrame,
-    max_rows: int = BROADCAST_MAX_ROWS,
-    known_rows: int | None = None,
-    row_width: int = 1,
-) -> DataFrame:
-    """Broadcast ``df`` only when it is checked to be small: at most ``max_rows`` rows and at most
-    BROADCAST_MAX_CELLS values in total, ``row_width`` being the values per row (a vector's length).
-
-    ``known_rows`` skips the count when the caller already knows it (e.g. a vocabulary it just built).
-    Above the bound the frame is returned as is and Spark plans a shuffle join.
-    """
-    limit = min(max_rows, BROADCAST_MAX_CELLS // max(1, row_width))
-    rows = known_rows
-    if rows is None:
-        rows = df.limit(limit + 1).count()
-    return F.broadcast(df) if rows <= limit else df
-
-
 def row_index(
     df: DataFrame,
     order_cols: Sequence[str],
@@ -45,42 +22,50 @@ def row_index(
     return row_index_with_total(df, order_cols, name, num_partitions)[0]
 
 
-def row_index_with_total(
-    df: DataFrame,
-    order_cols: Sequence[str],
-    name: str = "rn",
-    num_partitions: int | None = None,
-) -> tuple[DataFrame, int]:
-    """Add a 1-based position in the global order of ``order_cols`` and return the row count too.
-
-    Distributed: a range shuffle sorts the rows into ordered partitions, each row takes its position inside
-    its partition, and the frame is checkpointed so the positions stay fixed under recomputation. The
-    per-partition row counts (one number per partition, so bounded by the partition count, never by the data)
-    come back to the driver and return as a broadcast offset table that turns local positions into global ones.
-    Rows tied on ``order_cols`` get distinct, arbitrary positions among themselves.
-    """
-    spark = df.sparkSession
-    parts = num_partitions or shuffle_partitions(spark)
+def sorted_partitions(df: DataFrame, order_cols: Sequence[str], num_partitions: int | None = None) -> DataFrame:
+    """Rows range-partitioned and sorted by ``order_cols``, checkpointed, with ``_mid`` (increasing in that order)
+    and ``_part`` (the number of the range partition). Both survive recomputation."""
+    parts = num_partitions or shuffle_partitions(df.sparkSession)
     staged = (
         df.repartitionByRange(parts, *order_cols)
         .sortWithinPartitions(*order_cols)
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    staged = materialize(staged).withColumn("_part", F.shiftright("_mid", _POS_BITS).cast("int"))
+    return materialize(staged).withColumn("_part", F.shiftright("_mid", _POS_BITS).cast("int"))
+
+
+def with_positions(staged: DataFrame, name: str = "rn") -> tuple[DataFrame, int]:
+    """Add the 1-based global position to the rows of ``sorted_partitions`` and return the row count too.
+
+    The row count of each partition (one number per partition) comes back to the driver and returns as a broadcast
+    table of offsets.
+    """
     counts = dict(staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect())
     offsets, running = [], 0
     for part in sorted(counts):
         offsets.append((part, running))
         running += counts[part]
     # One row per partition, broadcast once per executor (a plan literal would travel with every task).
-    table = spark.createDataFrame(offsets or [(0, 0)], "_part int, _off long")
+    table = staged.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _off long")
     pos = F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
-    out = (
-        staged.join(F.broadcast(table), "_part")
-        .withColumn(name, (F.col("_off") + pos + F.lit(1)).cast("long"))
-        .drop("_mid", "_part", "_off")
-    )
-    return out, running
+    out = staged.join(F.broadcast(table), "_part").withColumn(name, (F.col("_off") + pos + F.lit(1)).cast("long"))
+    return out.drop("_off"), running
+
+
+def row_index_with_total(
+    df: DataFrame,
+    order_cols: Sequence[str],
+    name: str = "rn",
+    num_partitions: int | None = None,
+) -> tuple[DataFrame, int]:
+    """Add a 1-based position in the global order of ``order_cols`` and return the row count too.
+
+    Distributed: a range shuffle sorts the rows into ordered partitions, each row takes its position inside
+    its partition, and the frame is checkpointed so the positions stay fixed under recomputation.
+    Rows tied on ``order_cols`` get distinct, arbitrary positions among themselves.
+    """
+    out, total = with_positions(sorted_partitions(df, order_cols, num_partitions), name)
+    return out.drop("_mid", "_part"), total
 
 
 def shuffle_key(id_col: str | Column, seed: int) -> Column:

@@ -1,5 +1,5 @@
-"""Risk (mortality) models on Spark ML: bag of codes, document-frequency feature cut, weighted logistic
-regression with or without the note vector, and scoring with the reference's clamp / NaN guard."""
+"""Risk (mortality) models on Spark ML: bag of codes, document frequencies, weighted logistic regression with or
+without the note vector, and scoring with the reference's clamp / NaN guard."""
 
 from __future__ import annotations
 
@@ -9,49 +9,70 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carepath.functions.scalar import clamped_probability, count_vectorizer_tokens
+from carepath.functions.scalar import clamped_probability, count_vectorizer_tokens, sigmoid
 from carepath.operators.cohort import TRAIN, attach_labels, class_weights
+from carepath.operators.examples import unique_vectors
+from carepath.operators.ordering import row_index
+from carepath.session import materialize
 
-# Fixed values of the reference's baseline: feature cut and iteration cap.
-MAX_FEATURES = 5000
+# Fixed value of the reference's baseline: iteration cap.
 MAX_ITER = 1000
 
 
+def code_rows(diagnoses: DataFrame, cohort: DataFrame | None) -> DataFrame:
+    """(hadm_id, split, code): the distinct codes of cohort admissions, one row each. Repeats are dropped map-side and
+    the shuffle is on all three columns, so an admission with a third of the rows spreads over all tasks."""
+    if "split" not in diagnoses.columns:
+        diagnoses = diagnoses.join(cohort.select("hadm_id", "split"), "hadm_id")
+    return diagnoses.select("hadm_id", "split", F.col("icd_code").alias("code")).distinct()
+
+
 def bag_of_codes(
     diagnoses: DataFrame, cohort: DataFrame | None, labels: DataFrame, tokenize: bool = False
 ) -> DataFrame:
-    """(hadm_id, split, codes ARRAY<STRING> distinct and sorted, label): every cohort admission with a code.
+    """(hadm_id, split, codes ARRAY<STRING> distinct and sorted, label): every cohort admission with a diagnosis row.
 
     ``tokenize=True`` applies the count vectorizer's own token rule to the space-joined codes (lower case, runs
     of two or more word characters), reproducing what a text vectorizer sees; the default keeps codes whole.
+    An array holds distinct codes, so the vocabulary bounds it, not the admission's rows.
     """
-    if "split" in diagnoses.columns:  # already joined to the cohort (``vocab.with_split``)
-        joined = diagnoses
-    else:
-        joined = diagnoses.join(cohort.select("hadm_id", "split"), "hadm_id")
-    bags = joined.groupBy("hadm_id", "split").agg(F.collect_set("icd_code").alias("_codes"))
-    codes = F.col("_codes")
+    rows = code_rows(diagnoses, cohort)
+    bags = rows.groupBy("hadm_id", "split").agg(F.sort_array(F.collect_list("code")).alias("codes"))
     if tokenize:
-        codes = count_vectorizer_tokens(F.array_join(codes, " "))
-    bags = bags.select("hadm_id", "split", F.array_sort(F.array_distinct(codes)).alias("codes"))
+        tokens = count_vectorizer_tokens(F.array_join("codes", " "))
+        bags = bags.withColumn("codes", F.array_sort(F.array_distinct(tokens)))
     return attach_labels(bags, labels).drop("label_missing")
 
 
-def doc_freq_vocab(bags: DataFrame, k: int = MAX_FEATURES, split: str | None = TRAIN) -> DataFrame:
-    """The k terms with the highest document frequency -> (term, df, rank); ties by term ascending.
+def doc_freq_vocab(rows: DataFrame, k: int | None = None, split: str | None = TRAIN) -> DataFrame:
+    """Terms by document frequency -> (term, df, rank); ties by term ascending. All terms, or the k most frequent.
 
-    Counting distinct terms per document makes term frequency equal document frequency, so the cut is the one
-    a binary vectorizer makes (a raw term-count cut would pick other terms).
+    ``rows`` has distinct (hadm_id, code) rows (``code_rows``) or bags with a ``codes`` array. Distinct terms per
+    document make term frequency equal document frequency, so the cut is the one a binary vectorizer makes. A cut
+    ranks k rows; the full ranking comes from distributed positions.
     """
-    src = bags if split is None else bags.where(F.col("split") == split)
-    dfreq = src.select(F.explode(F.array_distinct("codes")).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).cast("long").alias("df")
-    )
-    ranked = dfreq.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("df"), "term")).cast("long"))
-    return ranked.where(F.col("rank") <= F.lit(k))
+    src = rows if split is None else rows.where(F.col("split") == split)
+    code = F.explode(F.array_distinct("codes")) if "codes" in rows.columns else F.col("code")
+    terms = src.select(code.alias("term")).where(F.col("term").isNotNull())
+    dfreq = terms.groupBy("term").agg(F.count(F.lit(1)).cast("long").alias("df"))
+    if k is None:
+        ordered = row_index(dfreq.withColumn("_order", -F.col("df")), ["_order", "term"], "rank")
+        return ordered.select("term", "df", "rank")
+    best = dfreq.orderBy(F.desc("df"), "term").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("df"), "term")).cast("long"))
+
+
+def risk_features(rows: DataFrame, labels: DataFrame, split: str = TRAIN) -> DataFrame:
+    """The risk model's training matrix in long form: (hadm_id, term, y, weight), one row per feature that is 1, with
+    the balanced class weight of the admission."""
+    own = rows.where((F.col("split") == split) & F.col("code").isNotNull())
+    admissions = attach_labels(own.select("hadm_id", "split").distinct(), labels)
+    weights = class_weights(admissions.select("hadm_id", "split"), labels, split).select("label", "weight")
+    rowwise = admissions.join(F.broadcast(weights), "label").select("hadm_id", F.col("label").alias("y"), "weight")
+    return own.join(rowwise, "hadm_id").select("hadm_id", F.col("code").alias("term"), "y", "weight")
 
 
 @dataclass(frozen=True)
@@ -65,23 +86,27 @@ def _features(bags: DataFrame, note_vectors: DataFrame | None) -> DataFrame:
     if note_vectors is None:
         return bags
     # Inner join: examples without a note vector are dropped (the reference's modality filter).
-    return bags.join(note_vectors.select("hadm_id", array_to_vector("vec").alias("note_vec")), "hadm_id")
+    # Several vectors of one admission count as one, so no admission trains twice.
+    vectors = unique_vectors(note_vectors).select("hadm_id", array_to_vector("vec").alias("note_vec"))
+    return bags.join(vectors, "hadm_id")
 
 
 def fit_risk(
     bags: DataFrame,
     note_vectors: DataFrame | None = None,
-    k: int = MAX_FEATURES,
+    k: int | None = None,
     max_iter: int = MAX_ITER,
 ) -> RiskModel:
     """Binary bag-of-codes (+ note vector when given) -> class-weighted L2 logistic regression on train.
 
     With note vectors the training rows are the train admissions that have one; the feature vocabulary and
-    the balanced class weights are computed on exactly those rows. Objective matches 1/2 |b|^2 + sum_i w_i l_i (C = 1, balanced weights): regParam = 1 / sum(w),
-    no standardization, no elastic net. The document-frequency vocabulary (k terms) is the only thing
-    brought to the driver, and it is bounded by k.
+    the balanced class weights are computed on exactly those rows. Objective matches 1/2 |b|^2 + sum_i w_i l_i
+    (C = 1, balanced weights): regParam = 1 / sum(w), no standardization, no elastic net. Every term of the train
+    vocabulary is a sparse feature unless ``k`` cuts to the most frequent; the terms come to the driver because the
+    fitted model has one coefficient for each there. The training rows are materialised once for vocabulary, weights
+    and fit.
     """
-    train = _features(bags.where(F.col("split") == TRAIN), note_vectors)
+    train = materialize(_features(bags.where(F.col("split") == TRAIN), note_vectors))
     vocab = [r["term"] for r in doc_freq_vocab(train, k, split=None).orderBy("rank").collect()]
     # Balanced weights over the training rows the model sees (one row per class comes back).
     wrows = class_weights(train.select("hadm_id", "split"), train.select("hadm_id", "label")).collect()
@@ -119,3 +144,52 @@ def score_risk(model: RiskModel, bags: DataFrame, note_vectors: DataFrame | None
         margin.alias("margin"),
         clamped_probability(margin).alias("p"),
     )
+
+
+def save_risk(model: RiskModel, path: str) -> None:
+    """Store the fitted pipeline, the vocabulary (rank, term) and whether notes are used, under ``path``."""
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    spark = SparkSession.active()
+    terms = spark.createDataFrame(list(enumerate(model.vocabulary, 1)), "rank long, term string")
+    terms.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    spark.createDataFrame([(model.with_notes,)], "with_notes boolean").write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_risk(spark: SparkSession, path: str) -> RiskModel:
+    terms = spark.read.parquet(f"{path}/vocabulary").orderBy("rank").collect()
+    with_notes = spark.read.parquet(f"{path}/meta").first()["with_notes"]
+    return RiskModel(PipelineModel.load(f"{path}/pipeline"), with_notes, tuple(r["term"] for r in terms))
+
+
+def fit_check(model: RiskModel, bags: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """(n, n_pos, n_features, weight_sum, stationary) of a codes-only model on its training rows.
+
+    ``stationary``: at the fitted coefficients b, every part of the objective's gradient,
+    b_j + sum over admissions with term j of w (p - y), is below ``tolerance`` times the weight sum; p is the
+    unclamped probability.
+    """
+    spark = bags.sparkSession
+    train = bags.where(F.col("split") == TRAIN)
+    weights = class_weights(train.select("hadm_id", "split"), train.select("hadm_id", "label"))
+    rows = score_risk(model, bags, split=TRAIN).select("hadm_id", "y", sigmoid("margin").alias("p"))
+    rows = materialize(rows.join(F.broadcast(weights.select(F.col("label").cast("double").alias("y"), "weight")), "y"))
+    totals = rows.agg(
+        F.count(F.lit(1)).cast("long").alias("n"),
+        F.sum("y").cast("long").alias("n_pos"),
+        F.sum("weight").alias("weight_sum"),
+        F.sum(F.col("weight") * (F.col("p") - F.col("y"))).alias("intercept"),
+    )
+    b = model.pipeline.stages[-1].coefficients.toArray().tolist()
+    coefficients = spark.createDataFrame(list(zip(model.vocabulary, b)) or [("", 0.0)], "term string, b double")
+    slopes = (
+        train.select("hadm_id", F.explode("codes").alias("term"))
+        .join(rows, "hadm_id")
+        .groupBy("term")
+        .agg(F.sum(F.col("weight") * (F.col("p") - F.col("y"))).alias("g"))
+        .join(coefficients, "term")
+        .agg(F.max(F.abs(F.col("g") + F.col("b"))).alias("steepest"), F.count(F.lit(1)).cast("long").alias("n_features"))
+    )
+    both = totals.withColumn("_one", F.lit(1)).join(slopes.withColumn("_one", F.lit(1)), "_one")
+    steepest = F.greatest(F.abs("intercept"), F.coalesce("steepest", F.lit(0.0)))
+    stationary = steepest <= F.lit(tolerance) * F.col("weight_sum")
+    return both.select("n", "n_pos", "n_features", F.round("weight_sum", 6).alias("weight_sum"), stationary.alias("stationary"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from carepath.operators.ordering import batch_ids, row_index, shuffle_key
+from carepath.operators.ordering import batch_ids, row_index, shuffle_key, sorted_partitions, with_positions
 from carepath.operators.vocab import LABEL_PAD, PAD_ID
 
 
@@ -61,27 +61,35 @@ def next_pairs(sequences: DataFrame) -> DataFrame:
 def next_pairs_lead(encoded: DataFrame, cohort: DataFrame | None = None) -> DataFrame:
     """The same pairs in row form: each code's successor in (seq_num, code_id) order, without arrays.
 
-    Every code row takes its global position in (hadm_id, seq_num, code_id) order from the distributed
-    ``row_index``; a code's successor is the row at position + 1 with the same admission (an equi-join on the
-    position, a unique key). No step holds a whole admission in one task, so an admission with a third of
-    all rows is spread over the range partitions like any other. A scan-time row id breaks exact ties.
+    Code rows are range-partitioned and sorted by (hadm_id, seq_num, code_id); a scan-time row id breaks exact ties.
+    A successor is the next row of the same range partition. Two small tables cross partitions: the first row of each
+    (the successor of the last row before it), and the start of each admission that begins a partition. So an
+    admission with a third of all rows lies in as many tasks as any other rows, and no exchange is on ``hadm_id``.
     """
     rows = _with_split(encoded.withColumn("_tie", F.monotonically_increasing_id()), cohort).select(
         "hadm_id", "split", "seq_num", "code_id", "_tie"
     )
-    ranked = row_index(rows, ["hadm_id", "seq_num", "code_id", "_tie"], "_rn")
-    first = ranked.groupBy("hadm_id").agg(F.min("_rn").alias("_first"))
-    successor = ranked.select("hadm_id", (F.col("_rn") - F.lit(1)).alias("_rn"), F.col("code_id").alias("next"))
-    return (
-        ranked.join(successor, ["hadm_id", "_rn"])
-        .join(first, "hadm_id")
-        .select(
-            "hadm_id",
-            "split",
-            (F.col("_rn") - F.col("_first")).cast("long").alias("pos"),
-            F.col("code_id").alias("prev"),
-            "next",
-        )
+    ranked, _ = with_positions(sorted_partitions(rows, ["hadm_id", "seq_num", "code_id", "_tie"]), "_rn")
+    heads = ranked.groupBy("_part").agg(
+        F.min("_rn").alias("_rn"), F.min_by(F.struct("hadm_id", "code_id"), "_rn").alias("_head")
+    )
+    # At most one row per range partition each.
+    next_head = heads.select((F.col("_rn") - 1).alias("_rn"), F.col("_head").alias("_next_head"))
+    split_up = heads.select(F.col("_head.hadm_id").alias("hadm_id")).distinct()
+    starts = ranked.join(F.broadcast(split_up), "hadm_id").groupBy("hadm_id").agg(F.min("_rn").alias("_start"))
+    here = Window.partitionBy("_part").orderBy("_rn")
+    own = F.struct("hadm_id", "code_id")
+    new = ~F.col("hadm_id").eqNullSafe(F.lag("hadm_id").over(here)) | F.lag("_rn").over(here).isNull()
+    staged = ranked.withColumn("_next", F.lead(own).over(here)).withColumn("_new", F.when(new, F.col("_rn")))
+    staged = staged.withColumn("_first", F.last("_new", ignorenulls=True).over(here))
+    staged = staged.join(F.broadcast(next_head), "_rn", "left").join(F.broadcast(starts), "hadm_id", "left")
+    follow = F.coalesce("_next", "_next_head")
+    return staged.where(follow["hadm_id"] == F.col("hadm_id")).select(
+        "hadm_id",
+        "split",
+        (F.col("_rn") - F.coalesce("_start", "_first")).cast("long").alias("pos"),
+        F.col("code_id").alias("prev"),
+        follow["code_id"].alias("next"),
     )
 
 
@@ -131,15 +139,13 @@ def unpad_batches(batches: DataFrame, label_pad: int = LABEL_PAD) -> DataFrame:
     )
 
 
-def top_codes(sequences: DataFrame, k: int = 10, split: str | None = "train") -> DataFrame:
-    """The k most frequent input codes (the last code of each sequence is not an input) -> (code_id, n, rank)."""
-    src = sequences if split is None else sequences.where(F.col("split") == split)
-    counts = src.select(F.explode("input_ids").alias("code_id")).groupBy("code_id").agg(
-        F.count(F.lit(1)).cast("long").alias("n")
-    )
-    # Global top-k: Spark plans a per-partition limit before the single final sort (bounded by k per task).
-    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "code_id")).cast("long"))
-    return ranked.where(F.col("rank") <= F.lit(k))
+def top_codes(pairs: DataFrame, k: int = 10, split: str | None = "train") -> DataFrame:
+    """The k most frequent input codes (``prev`` of the pairs: the last code of a sequence is no input)
+    -> (code_id, n, rank). Counting is combined map-side; the ranking sees k rows."""
+    src = pairs if split is None else pairs.where(F.col("split") == split)
+    counts = src.groupBy(F.col("prev").alias("code_id")).agg(F.count(F.lit(1)).cast("long").alias("n"))
+    best = counts.orderBy(F.desc("n"), "code_id").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "code_id")).cast("long"))
 
 
 def input_lengths(sequences: DataFrame, split: str | None = "train") -> DataFrame:
@@ -148,35 +154,33 @@ def input_lengths(sequences: DataFrame, split: str | None = "train") -> DataFram
     return src.select("hadm_id", F.size("input_ids").cast("long").alias("length"))
 
 
-def _histogram_edges(lo: F.Column, hi: F.Column, bins: int) -> F.Column:
-    """Inner edges i * (hi - lo) / bins + lo, i = 1..bins-1, computed as an evenly spaced grid does."""
-    step = (hi - lo).cast("double") / F.lit(float(bins))
-    return F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: i.cast("double") * step + lo)
+def _per_value(lengths: DataFrame, value_col: str) -> tuple[DataFrame, Row]:
+    """(v, c): counts of the distinct values, combined map-side; and the row (n, lo, hi, mean) of them all."""
+    per_value = lengths.groupBy(F.col(value_col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    total = F.sum("c")
+    mean = F.sum(F.col("c") * F.col("v")) / total
+    stats = per_value.agg(total.alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), mean.alias("mean")).first()
+    return per_value, stats
 
 
 def length_histogram(lengths: DataFrame, value_col: str = "length", bins: int = 50) -> DataFrame:
     """Equal-width histogram over [min, max], the last bin closed on the right -> (bin, lo, hi, n).
 
-    Values are counted per distinct value first (map-side partial aggregation), so only distinct values
-    meet the edge grid; the bin of a value is the number of inner edges at or below it.
+    Values are counted per distinct value first, so only distinct values meet the edges; the bin of a value is the
+    number of inner edges at or below it. Equal values v use [v - 0.5, v + 0.5]; no value gives no bins. Only the
+    range (two numbers) passes the driver.
     """
-    per_value = lengths.groupBy(F.col(value_col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    everything = Window.partitionBy()
-    with_range = per_value.withColumn("_lo", F.min("v").over(everything)).withColumn("_hi", F.max("v").over(everything))
-    edges = _histogram_edges(F.col("_lo"), F.col("_hi"), bins)
-    binned = with_range.withColumn(
-        "bin", F.size(F.filter(edges, lambda e: e <= F.col("v").cast("double"))).cast("long")
-    )
-    step = (F.col("_hi") - F.col("_lo")).cast("double") / F.lit(float(bins))
-    return binned.groupBy("bin").agg(
-        F.first(F.col("_lo").cast("double") + F.col("bin").cast("double") * step).alias("lo"),
-        F.first(
-            F.when(F.col("bin") == F.lit(bins - 1), F.col("_hi").cast("double")).otherwise(
-                F.col("_lo").cast("double") + (F.col("bin") + F.lit(1)).cast("double") * step
-            )
-        ).alias("hi"),
-        F.sum("c").cast("long").alias("n"),
-    )
+    per_value, stats = _per_value(lengths, value_col)
+    if not stats.n:
+        return per_value.select(F.lit(0).cast("long").alias("bin"), F.col("v").alias("lo"), F.col("v").alias("hi"), F.col("c").alias("n"))
+    lo, hi = (stats.lo, stats.hi) if stats.hi > stats.lo else (stats.lo - 0.5, stats.lo + 0.5)
+    step = (hi - lo) / float(bins)
+    edges = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: i.cast("double") * F.lit(step) + F.lit(lo))
+    bin_of = F.size(F.filter(edges, lambda e: e <= F.col("v"))).cast("long")
+    counts = per_value.groupBy(bin_of.alias("bin")).agg(F.sum("c").cast("long").alias("n"))
+    b = F.col("bin").cast("double")
+    upper = F.when(F.col("bin") == F.lit(bins - 1), F.lit(hi)).otherwise(F.lit(lo) + (b + 1) * F.lit(step))
+    return counts.select("bin", (F.lit(lo) + b * F.lit(step)).alias("lo"), upper.alias("hi"), "n")
 
 
 def length_density(
@@ -184,42 +188,25 @@ def length_density(
 ) -> DataFrame:
     """Gaussian kernel density of the values on an evenly spaced grid over [min, max], scaled to counts.
 
-    Bandwidth = n^(-1/5) * sample standard deviation (Scott's factor). The curve is scaled by n * bin width
-    so it overlays a count histogram with ``bins`` bins. Values are aggregated to (value, count) first;
-    each distinct value then emits one contribution per grid point (a generated array, no join).
+    Bandwidth = n^(-1/5) * sample standard deviation (Scott's factor), from deviations from the mean (a second pass
+    over the distinct values). The curve is scaled by n * bin width so it overlays a count histogram with ``bins``
+    bins. Each distinct value emits one contribution per grid point, in the task that holds it, combined before the
+    shuffle. Fewer than two values, or equal ones, have no density: no rows.
     """
-    per_value = lengths.groupBy(F.col(value_col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    everything = Window.partitionBy()
-    n = F.sum("c").over(everything)
-    mean = F.sum(F.col("c") * F.col("v")).over(everything) / n
-    sumsq = F.sum(F.col("c") * F.col("v") * F.col("v")).over(everything)
-    stats = per_value.select(
-        "v",
-        "c",
-        n.alias("_n"),
-        F.min("v").over(everything).alias("_lo"),
-        F.max("v").over(everything).alias("_hi"),
-        mean.alias("_mean"),
-        sumsq.alias("_sumsq"),
-    )
-    var = (F.col("_sumsq") - F.col("_n") * F.col("_mean") * F.col("_mean")) / (F.col("_n") - F.lit(1))
-    bw = F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.sqrt(var)
-    gstep = (F.col("_hi") - F.col("_lo")) / F.lit(float(grid_points - 1))
-    contrib = stats.select(
-        "v",
-        "c",
-        "_n",
-        "_lo",
-        "_hi",
-        bw.alias("_bw"),
-        F.posexplode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("_i", "_gi"),
-    ).withColumn("x", F.when(F.col("_gi") == F.lit(grid_points - 1), F.col("_hi")).otherwise(
-        F.col("_lo") + F.col("_gi").cast("double") * gstep
-    ))
-    z = (F.col("x") - F.col("v")) / F.col("_bw")
-    kernel = F.exp(F.lit(-0.5) * z * z) / (F.col("_bw") * F.lit(math.sqrt(2.0 * math.pi)))
-    binw = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    return contrib.groupBy(F.col("_gi").cast("long").alias("point")).agg(
-        F.first("x").alias("x"),
-        (F.sum(F.col("c") * kernel) * F.first(binw)).alias("density_count"),
+    per_value, stats = _per_value(lengths, value_col)
+    if not stats.n or stats.n < 2 or stats.hi == stats.lo:
+        return per_value.where(F.lit(False)).select(
+            F.col("c").alias("point"), F.col("v").alias("x"), F.col("v").alias("density_count")
+        )
+    squares = per_value.agg(F.sum(F.col("c") * F.pow(F.col("v") - F.lit(stats["mean"]), 2))).first()[0]
+    width = float(stats.n) ** -0.2 * math.sqrt(squares / (stats.n - 1))
+    step = (stats.hi - stats.lo) / float(grid_points - 1)
+    cells = per_value.select("v", "c", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("point"))
+    x = F.when(F.col("point") == F.lit(grid_points - 1), F.lit(stats.hi)).otherwise(
+        F.lit(stats.lo) + F.col("point").cast("double") * F.lit(step)
     )
+    z = (x - F.col("v")) / F.lit(width)
+    kernel = F.exp(F.lit(-0.5) * z * z) / F.lit(width * math.sqrt(2.0 * math.pi))
+    sums = cells.groupBy("point").agg(F.sum(F.col("c") * kernel).alias("k"))
+    bin_width = (stats.hi - stats.lo) / float(bins)
+    return sums.select(F.col("point").cast("long").alias("point"), x.alias("x"), (F.col("k") * F.lit(bin_width)).alias("density_count"))

@@ -1,7 +1,7 @@
 """Vector operators: note vectorisation, projection, gated fusion, layer norm, masked max-pool, exact top-k by dot.
 
-Column-expression forms stay in whole-stage codegen; only the dense matrix products (projection, top-k scoring)
-use Arrow-batched pandas functions, where numpy does a block of rows at a time.
+Vector arithmetic uses Spark's array functions in the JVM (higher-order functions, which run outside generated code);
+only the dense matrix products (projection, top-k scoring) use Arrow-batched pandas functions.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import IDF, PCA, HashingTF, PCAModel
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,27 +21,50 @@ from carepath.functions.vector import centered, gate, normalize_centered, weight
 from carepath.functions.scalar import word_tokens
 from carepath.session import materialize
 
-# Cells (items x dimensions) of one item block held by one task (256 MB of doubles); also the bound under
-# which the whole item matrix is broadcast.
-MAX_BLOCK_CELLS = 32_000_000
-# Query rows per block in the blocked plan (each item block is copied once per query block).
+# Cells (items x dimensions) of one item block held by one task (64 MB of doubles).
+MAX_BLOCK_CELLS = 8_000_000
+# Query rows per block (each item block is copied once per query block).
 QUERY_BLOCK_ROWS = 50_000
 
 
+def note_terms(notes: DataFrame, text_col: str = "text") -> DataFrame:
+    """(hadm_id, term, tf): counts of the lower-case words of each admission's notes, whole texts."""
+    words = notes.select("hadm_id", F.explode(word_tokens(F.lower(F.col(text_col)))).alias("term"))
+    return words.groupBy("hadm_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_weights(terms: DataFrame, notes: DataFrame, fit_ids: DataFrame | None = None) -> DataFrame:
+    """(hadm_id, term, weight): tf * ln((n + 1) / (df + 1)) over exact terms.
+
+    Document frequencies and n are those of ``fit_ids`` (the train split) or of all notes; a term unseen there has
+    df 0. Both are plain aggregations; the weights are a join on the term.
+    """
+    ids = notes.select("hadm_id").distinct()
+    fit_terms = terms
+    if fit_ids is not None:
+        ids = ids.join(fit_ids.select("hadm_id"), "hadm_id", "left_semi")
+        fit_terms = terms.join(fit_ids.select("hadm_id"), "hadm_id", "left_semi")
+    n = ids.count()
+    df = fit_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((F.lit(float(n)) + 1) / (F.coalesce("df", F.lit(0)) + 1))
+    return terms.join(df, "term", "left").select("hadm_id", "term", (F.col("tf") * idf).alias("weight"))
+
+
 def vectorize_notes(
     notes: DataFrame, num_features: int = 1 << 10, text_col: str = "text", fit_ids: DataFrame | None = None
 ) -> DataFrame:
-    """Spark-native note vectors over the whole text: word tokens -> hashed term counts -> IDF -> ARRAY<FLOAT>.
-
-    The IDF is fitted on the notes of ``fit_ids`` (the train split, so no test document frequency leaks in)
-    or, without it, on every row given; it is applied to every row. -> (hadm_id, vec)
+    """Dense note vectors for the models: exact TF-IDF weights per term, then summed into ``num_features`` places by a
+    hash of the term (the model's width; the weights themselves are exact, see ``term_weights``). One vector per
+    admission, all its notes together. -> (hadm_id, vec ARRAY<FLOAT>)
     """
-    toks = notes.select("hadm_id", word_tokens(F.lower(F.col(text_col))).alias("tokens"))
-    # Text -> sparse counts once (a large reduction), reused by the IDF fit and the transform.
-    tf = materialize(HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features).transform(toks).drop("tokens"))
-    fit_rows = tf if fit_ids is None else tf.join(fit_ids.select("hadm_id"), "hadm_id", "left_semi")
-    idf = IDF(inputCol="tf", outputCol="tfidf").fit(fit_rows)
-    return idf.transform(tf).select("hadm_id", vector_to_array("tfidf", "float32").alias("vec"))
+    terms = materialize(note_terms(notes, text_col))
+    place = F.pmod(F.xxhash64("term"), F.lit(num_features)).cast("int")
+    cells = term_weights(terms, notes, fit_ids).groupBy("hadm_id", place.alias("place")).agg(F.sum("weight").alias("v"))
+    rows = cells.groupBy("hadm_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("cells"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(num_features - 1)), lambda i: F.coalesce(F.element_at("cells", i), F.lit(0.0)))
+    every = notes.select("hadm_id").distinct().join(rows, "hadm_id", "left")
+    zero = F.array_repeat(F.lit(0.0), num_features)
+    return every.select("hadm_id", F.coalesce(vec, zero).cast("array<float>").alias("vec"))
 
 
 def vectorize_notes_with(
@@ -136,26 +159,25 @@ QUERY_CHUNK = 256
 def _topk_block(q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, items: np.ndarray, k: int) -> pd.DataFrame:
     """Exact top-k of one query block against one item block; ties by item id ascending.
 
-    Queries are scored ``QUERY_CHUNK`` rows at a time, so memory stays at chunk x items scores whatever the
-    block sizes. Per row, everything tied with the k-th best score stays in play before the final ordering,
-    so the id tie-break is exact.
+    Queries are scored ``QUERY_CHUNK`` rows at a time, so memory stays at chunk x items scores whatever the block
+    sizes. Items are in id order, so the stable sort of the candidates breaks ties by id; a row whose k-th score is
+    tied with more items than ``argpartition`` returned takes them all in before the cut.
     """
-    if len(q_ids) == 0 or len(i_ids) == 0:
-        return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+    order = np.argsort(i_ids, kind="stable")
+    i_ids, items = i_ids[order], items[order]
     kk = min(k, len(i_ids))
-    rows_q, rows_i, rows_s = [], [], []
+    out = []
     for lo in range(0, len(q_ids), QUERY_CHUNK):
         s = q[lo : lo + QUERY_CHUNK] @ items.T
-        kth = np.partition(s, len(i_ids) - kk, axis=1)[:, len(i_ids) - kk]
-        for r in range(s.shape[0]):
-            cand = np.nonzero(s[r] >= kth[r])[0]
-            order = cand[np.lexsort((i_ids[cand], -s[r, cand]))][:kk]
-            rows_q.append(np.full(kk, q_ids[lo + r]))
-            rows_i.append(i_ids[order])
-            rows_s.append(s[r, order])
-    return pd.DataFrame(
-        {"query_id": np.concatenate(rows_q), "item_id": np.concatenate(rows_i), "score": np.concatenate(rows_s)}
-    )
+        kth = -np.partition(-s, kk - 1, axis=1)[:, kk - 1 : kk]
+        row, col = np.nonzero(s >= kth)
+        value = s[row, col]
+        best = np.lexsort((col, -value, row))
+        row, col, value = row[best], col[best], value[best]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < kk
+        out.append((q_ids[lo + row[keep]], i_ids[col[keep]], value[keep]))
+    return pd.DataFrame({n: np.concatenate([x[j] for x in out]) for j, n in enumerate(("query_id", "item_id", "score"))})
 
 
 def topk_by_dot(
@@ -171,61 +193,41 @@ def topk_by_dot(
 ) -> DataFrame:
     """Exact k best items per query by dot product -> (query_id, item_id, score, rank).
 
-    Item matrices within a checked size (at most MAX_BLOCK_CELLS values, 256 MB of doubles) are broadcast
-    once per executor and every Arrow batch of queries is scored against them: no shuffle of the queries.
-    Larger item sets (or an explicit ``item_blocks``) run as a block matrix product on Spark: items are cut
-    into blocks of at most MAX_BLOCK_CELLS values, queries into blocks of about ``query_block_rows`` rows,
-    every (query block, item block) pair is one cogroup task, and the per-block top-k lists (k rows per query
-    and item block) are merged with a bounded group limit. Either way, no task holds more than one block of
-    items and every score matrix is bounded by ``QUERY_CHUNK`` rows.
+    One plan at every size, a block matrix product: items are dealt into blocks of about MAX_BLOCK_CELLS values on
+    the executors, queries into blocks of about ``query_block_rows`` rows, and each (query block, item block) pair is
+    one cogroup task whose k best per query are merged by a bounded group limit. Nothing passes the driver but two
+    counts; no task holds more than one block of either side, and a score matrix is QUERY_CHUNK rows high.
     """
-    spark = queries.sparkSession
     out_schema = "query_id long, item_id long, score double"
     size = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(i_vec)).alias("d")).first()
-    cells = int(size["n"]) * max(int(size["d"] or 0), 1)
-    cand = queries.select(F.col(q_id).cast("long").alias("q"), F.col(q_vec).cast("array<double>").alias("v"))
-    if item_blocks is None and cells <= MAX_BLOCK_CELLS:
-        # Proven bound: at most MAX_BLOCK_CELLS values pass the driver once, then one copy per executor.
-        rows = items.select(F.col(i_id).cast("long").alias("i"), F.col(i_vec).cast("array<double>").alias("w")).collect()
-        bc = spark.sparkContext.broadcast(
-            (np.array([r["i"] for r in rows], dtype=np.int64), np.array([r["w"] for r in rows], dtype=np.float64))
-        )
-
-        def score(batches):
-            ids, mat = bc.value
-            for pdf in batches:
-                q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]]) if len(pdf) else np.zeros((0, 0))
-                yield _topk_block(pdf["q"].to_numpy(np.int64), q, ids, mat, k)
-
-        scored = cand.mapInPandas(score, out_schema)
-    else:
-        blocks = item_blocks or max(1, -(-cells // MAX_BLOCK_CELLS))
-        n_queries = queries.count()
-        qparts = max(1, -(-n_queries // max(1, query_block_rows)))
-        qb = cand.select(
-            "q", "v",
-            F.pmod(F.xxhash64("q"), F.lit(qparts)).cast("int").alias("qblk"),
-            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"),
-        )
-        ib = items.select(
-            F.col(i_id).cast("long").alias("i"),
-            F.col(i_vec).cast("array<double>").alias("w"),
-            F.pmod(F.xxhash64(F.col(i_id)), F.lit(blocks)).cast("int").alias("blk"),
-            F.explode(F.sequence(F.lit(0), F.lit(qparts - 1))).alias("qblk"),
-        )
-
-        def score_block(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-            q = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["v"]]) if len(qpdf) else np.zeros((0, 0))
-            m = np.stack([np.asarray(v, dtype=np.float64) for v in ipdf["w"]]) if len(ipdf) else np.zeros((0, 0))
-            return _topk_block(qpdf["q"].to_numpy(np.int64), q, ipdf["i"].to_numpy(np.int64), m, k)
-
-        scored = qb.groupBy("qblk", "blk").cogroup(ib.groupBy("qblk", "blk")).applyInPandas(score_block, out_schema)
+    blocks = item_blocks or max(1, -(-int(size["n"]) * max(int(size["d"] or 0), 1) // MAX_BLOCK_CELLS))
+    parts = max(1, -(-queries.count() // max(1, query_block_rows)))
+    q_rows = queries.select(
+        F.col(q_id).cast("long").alias("q"),
+        F.col(q_vec).cast("array<double>").alias("v"),
+        F.pmod(F.xxhash64(F.col(q_id)), F.lit(parts)).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+    )
+    i_rows = items.select(
+        F.col(i_id).cast("long").alias("i"),
+        F.col(i_vec).cast("array<double>").alias("w"),
+        F.pmod(F.xxhash64(F.col(i_id)), F.lit(blocks)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
+    )
+
+    def score_block(qs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(own):
+            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        q, m = np.stack(qs["v"].to_numpy()), np.stack(own["w"].to_numpy())
+        return _topk_block(qs["q"].to_numpy(np.int64), q, own["i"].to_numpy(np.int64), m, k)
+
+    scored = q_rows.groupBy("part", "block").cogroup(i_rows.groupBy("part", "block")).applyInPandas(score_block, out_schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= F.lit(k))
 
 
 def fuse_sequence_positions(
-    sequences: DataFrame,
+    positions: DataFrame,
     code_vectors: DataFrame,
     note_vectors: DataFrame,
     weights: Sequence[float],
@@ -234,15 +236,11 @@ def fuse_sequence_positions(
     """Per input position: the code's vector (lookup by id) gated against the admission's note vector, which is
     repeated over every position by the join on ``hadm_id`` -> (hadm_id, pos, code_id, gate, fused).
 
-    ``code_vectors`` is (code_id, vec): one row per vocabulary id, broadcast only when rows x width is under
-    the checked bound, shuffle-joined otherwise.
+    ``positions`` is (hadm_id, pos, code_id), one row per input code; ``code_vectors`` is (code_id, vec), one row per
+    vocabulary id. Join strategies are left to Spark.
     """
-    from carepath.operators.ordering import broadcast_if_small
-
-    positions = sequences.select("hadm_id", F.posexplode("input_ids").alias("pos", "code_id"))
-    width = code_vectors.select(F.max(F.size("vec"))).first()[0] or 1
-    codes = broadcast_if_small(code_vectors.select("code_id", F.col("vec").alias("code_vec")), row_width=int(width))
+    codes = code_vectors.select("code_id", F.col("vec").alias("code_vec"))
     notes = note_vectors.select("hadm_id", F.col("vec").alias("note_vec"))
-    joined = positions.join(codes, "code_id").join(notes, "hadm_id")
+    joined = positions.select("hadm_id", "pos", "code_id").join(codes, "code_id").join(notes, "hadm_id")
     fused = gated_fusion(joined, "code_vec", "note_vec", weights, bias)
     return fused.select("hadm_id", F.col("pos").cast("long").alias("pos"), "code_id", "gate", "fused")

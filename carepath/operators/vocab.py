@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carepath.operators.cohort import TRAIN
-from carepath.operators.ordering import broadcast_if_small, row_index_with_total
+from carepath.operators.ordering import row_index_with_total
 
 # Fixed values of the reference's numbering: 0 pads, known codes take 1..n, the unknown token takes n+1.
 PAD_ID = 0
@@ -41,10 +40,6 @@ class Vocabulary:
         unk = spark.createDataFrame([(UNK_TOKEN, self.unk_id)], "code string, code_id long")
         return self.table.unionByName(unk)
 
-    def lookup(self) -> DataFrame:
-        """The code table, broadcast when its checked size allows."""
-        return broadcast_if_small(self.table, known_rows=self.size)
-
 
 def build_vocab(
     diagnoses: DataFrame, cohort: DataFrame | None = None, split: str = TRAIN, code_col: str = "icd_code"
@@ -68,19 +63,14 @@ def build_vocab(
 
 
 def with_split(diagnoses: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Diagnoses of cohort admissions with their ``split``, joined once and persisted (memory, then disk).
-
-    The vocabulary and the sequences both read this one join, so the diagnosis rows cross the network once;
-    when Spark hash-partitions the join by ``hadm_id``, the per-admission grouping of the sequences reuses
-    that partitioning. The persisted copy is a cache, not a dependency: a lost executor's blocks are
-    recomputed from lineage.
-    """
-    return diagnoses.join(cohort.select("hadm_id", "split"), "hadm_id").persist(StorageLevel.MEMORY_AND_DISK)
+    """Diagnoses of cohort admissions with their ``split``. Nothing is cached: each reader prunes the join to its
+    own columns, and AQE splits the partition of an admission that holds a large part of the rows."""
+    return diagnoses.join(cohort.select("hadm_id", "split"), "hadm_id")
 
 
 def encode_codes(diagnoses: DataFrame, vocab: Vocabulary, code_col: str = "icd_code") -> DataFrame:
     """Add ``code_id``; codes outside the vocabulary map to the unknown id."""
-    lookup = vocab.lookup().withColumnRenamed("code", code_col)
+    lookup = vocab.table.withColumnRenamed("code", code_col)
     return diagnoses.join(lookup, code_col, "left").withColumn(
         "code_id", F.coalesce(F.col("code_id"), F.lit(vocab.unk_id)).cast("long")
     )
@@ -88,5 +78,5 @@ def encode_codes(diagnoses: DataFrame, vocab: Vocabulary, code_col: str = "icd_c
 
 def decode_codes(df: DataFrame, vocab: Vocabulary, id_col: str = "code_id", out_col: str = "code") -> DataFrame:
     """Reverse lookup id -> code (the unknown id decodes to the unknown token)."""
-    table = broadcast_if_small(vocab.with_unknown(), known_rows=vocab.size + 1)
-    return df.join(table.select(F.col("code_id").alias(id_col), F.col("code").alias(out_col)), id_col, "left")
+    table = vocab.with_unknown().select(F.col("code_id").alias(id_col), F.col("code").alias(out_col))
+    return df.join(table, id_col, "left")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carepath.operators.cohort import intersect_ids, split_by_position
-from carepath.operators.sequences import build_sequences, next_pairs
+from carepath.operators.sequences import build_sequences, next_pairs_lead
 from carepath.operators.vocab import Vocabulary, build_vocab, encode_codes, with_split
 from carepath.session import materialize
 from carepath.sources import tables
@@ -35,6 +35,7 @@ class Inputs:
     labels: DataFrame  # hadm_id, label
     note_ids: DataFrame  # hadm_id
     diagnoses: DataFrame  # hadm_id, seq_num, icd_code
+    notes: DataFrame | None = None  # hadm_id, text
 
 
 def inputs(spark: SparkSession, sf_dir: str, fixture: str) -> Inputs:
@@ -50,22 +51,22 @@ def inputs(spark: SparkSession, sf_dir: str, fixture: str) -> Inputs:
 def clinical_inputs(
     spark: SparkSession, admissions_path: str, notes_path: str, diagnoses_path: str, landed_dir: str | None = None
 ) -> Inputs:
-    """Inputs from the raw clinical extracts (CSV, possibly gzip). With ``landed_dir`` each table is landed
-    once as Parquet (gzip CSV is unsplittable) and read back from there: only the note ids, not the note text,
-    travel into the cohort step."""
+    """Inputs from the raw clinical extracts (CSV, possibly gzip). With ``landed_dir`` each table is parsed once and
+    landed as Parquet (gzip CSV is unsplittable); the notes land with their text, and the note ids are a column of
+    that table (the scan reads no text for them)."""
     from carepath.sources import clinical
 
     adm = clinical.read_admissions(spark, admissions_path)
-    note_ids = clinical.read_notes(spark, notes_path, with_text=False).select("hadm_id")
+    notes = clinical.read_notes(spark, notes_path).select("hadm_id", "text")
     diag = clinical.read_diagnoses(spark, diagnoses_path)
     if landed_dir:
-        for name, df in (("admissions", adm), ("note_ids", note_ids), ("diagnoses", diag)):
+        for name, df in (("admissions", adm), ("notes", notes), ("diagnoses", diag)):
             clinical.land_parquet(df, f"{landed_dir}/{name}")
         adm = spark.read.parquet(f"{landed_dir}/admissions")
-        note_ids = spark.read.parquet(f"{landed_dir}/note_ids")
+        notes = spark.read.parquet(f"{landed_dir}/notes")
         diag = spark.read.parquet(f"{landed_dir}/diagnoses")
     labels = adm.select("hadm_id", F.col("hospital_expire_flag").alias("label"))
-    return Inputs(admissions=adm, labels=labels, note_ids=note_ids, diagnoses=diag)
+    return Inputs(adm, labels, notes.select("hadm_id"), diag, notes)
 
 
 def build_cohort(inp: Inputs, train_frac: float = 0.8) -> DataFrame:
@@ -76,42 +77,35 @@ def build_cohort(inp: Inputs, train_frac: float = 0.8) -> DataFrame:
 
 
 class Prepared:
-    """The shared preparation plan. The cohort and vocabulary are built on creation; the sequences (a
-    checkpointed artifact) are built on first use, so a query that needs only the cohort or the
-    vocabulary runs no sequence job."""
+    """The shared preparation plan. The cohort and vocabulary are built on creation; the pairs and the sequences are
+    built on first use, so a query that needs only the cohort or the vocabulary runs neither."""
 
-    def __init__(
-        self, inputs: Inputs, cohort: DataFrame, vocab: Vocabulary, encoded: DataFrame, joined: DataFrame | None = None
-    ):
+    def __init__(self, inputs: Inputs, cohort: DataFrame, vocab: Vocabulary, encoded: DataFrame):
         self.inputs = inputs
         self.cohort = cohort
         self.vocab = vocab
         self.encoded = encoded  # hadm_id, seq_num, icd_code, split, code_id (cohort admissions)
-        self._joined = joined  # the persisted cohort join ``encoded`` derives from
 
     @cached_property
     def sequences(self) -> DataFrame:
-        """hadm_id, split, input_ids, labels. Once checkpointed, the persisted cohort join is released (a
-        later reader of ``encoded`` recomputes it)."""
-        out = materialize(build_sequences(self.encoded, self.cohort))
-        self.release()
-        return out
-
-    def release(self) -> None:
-        """Drop the persisted cohort join (readers of ``encoded`` then recompute it from lineage)."""
-        if self._joined is not None:
-            self._joined.unpersist()
+        """hadm_id, split, input_ids, labels: arrays, for the outputs that are arrays."""
+        return materialize(build_sequences(self.encoded, self.cohort))
 
     @cached_property
     def pairs(self) -> DataFrame:
-        """hadm_id, split, pos, prev, next."""
-        return next_pairs(self.sequences)
+        """hadm_id, split, pos, prev, next in row form: no task holds an admission."""
+        return next_pairs_lead(self.encoded, self.cohort)
+
+    @cached_property
+    def sequence_ids(self) -> DataFrame:
+        """(hadm_id, split) of the admissions that have a sequence: those with a pair."""
+        return self.pairs.select("hadm_id", "split").distinct()
 
 
 def prepare(spark: SparkSession, sf_dir: str, fixture: str, train_frac: float = 0.8) -> Prepared:
     """cohort -> train vocabulary -> encoded codes -> (on use) ordered sequences (>= 2 codes) -> next-step pairs."""
     inp = inputs(spark, sf_dir, fixture)
     cohort = build_cohort(inp, train_frac)
-    joined = with_split(inp.diagnoses, cohort)  # diagnoses cross the network once for vocab and sequences
+    joined = with_split(inp.diagnoses, cohort)
     vocab = build_vocab(joined)
-    return Prepared(inp, cohort, vocab, encode_codes(joined, vocab), joined)
+    return Prepared(inp, cohort, vocab, encode_codes(joined, vocab))

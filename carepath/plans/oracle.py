@@ -144,7 +144,8 @@ ORACLE_SQL: dict[str, str] = {
     "cohort_intersection": f"WITH {prep('F3')} SELECT hadm_id FROM ids",
     "cohort_split": f"WITH {prep('F3')} SELECT hadm_id, split, rn FROM cohort",
     "cohort_split_fixed": f"""WITH {prep('F3')}
-SELECT hadm_id, CASE WHEN rn <= 50000 THEN 'train' ELSE 'test' END AS split, rn FROM cohort WHERE rn <= 55000""",
+SELECT hadm_id, CASE WHEN rn <= 1000 THEN 'train' WHEN rn <= 1100 THEN 'test' ELSE 'unused' END AS split, rn
+FROM cohort""",
     "unpad_batches": f"WITH {prep('F2')} SELECT hadm_id, split, pos, prev, next FROM pairs",
     "split_check": f"""WITH {prep('F3')}
 SELECT 'shared_admissions' AS check_name, CAST(count(*) AS BIGINT) AS n
@@ -266,6 +267,23 @@ dfreq AS (SELECT icd_code AS term, CAST(count(DISTINCT d.hadm_id) AS BIGINT) AS
           FROM diag d JOIN cohort c ON c.hadm_id = d.hadm_id WHERE c.split = 'train' AND icd_code IS NOT NULL
           GROUP BY icd_code)
 SELECT term, df, CAST(row_number() OVER (ORDER BY df DESC, term) AS BIGINT) AS rank FROM dfreq QUALIFY rank <= 200""",
+    "risk_features": f"""WITH {prep('F1')},
+tr AS (SELECT DISTINCT d.hadm_id, d.icd_code AS term FROM diag d JOIN cohort c ON c.hadm_id = d.hadm_id
+       WHERE c.split = 'train' AND d.icd_code IS NOT NULL),
+y AS (SELECT t.hadm_id, CAST(COALESCE(max(a.label), 0) AS BIGINT) AS y
+      FROM (SELECT DISTINCT hadm_id FROM tr) t LEFT JOIN adm a ON a.hadm_id = t.hadm_id GROUP BY t.hadm_id),
+per AS (SELECT y, count(*) AS n FROM y GROUP BY y),
+w AS (SELECT y, CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n) AS weight FROM per)
+SELECT tr.hadm_id, tr.term, y.y, round(w.weight, 9) AS weight
+FROM tr JOIN y ON y.hadm_id = tr.hadm_id JOIN w ON w.y = y.y""",
+    "risk_fit_check": f"""WITH {prep('F1')},
+tr AS (SELECT DISTINCT d.hadm_id, d.icd_code AS term FROM diag d JOIN cohort c ON c.hadm_id = d.hadm_id
+       WHERE c.split = 'train'),
+y AS (SELECT t.hadm_id, COALESCE(max(a.label), 0) AS y
+      FROM (SELECT DISTINCT hadm_id FROM tr) t LEFT JOIN adm a ON a.hadm_id = t.hadm_id GROUP BY t.hadm_id)
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS n_pos,
+       CAST((SELECT count(DISTINCT term) FROM tr) AS BIGINT) AS n_features,
+       round(CAST(count(*) AS DOUBLE), 6) AS weight_sum, TRUE AS stationary FROM y""",
     "clamped_scores": f"""WITH {_scores().strip()}
 SELECT hadm_id, y, z_raw, z, round(p, 9) AS p FROM scp""",
     "roc_auc": f"""WITH {_scores().strip()}
@@ -303,7 +321,16 @@ FROM cl GROUP BY lang, n_pos, n_neg""",
     "log_loss": f"""WITH {_scores().strip()}
 SELECT CAST(count(*) AS BIGINT) AS n, round(avg(greatest(z, 0.0) - z * y + ln(1 + exp(-abs(z)))), 9) AS log_loss
 FROM scp""",
-    "truncate_notes": """
+    "vectorize_notes": """
+WITH tok AS (SELECT doc_id AS hadm_id, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0B]+')) AS term
+             FROM documents),
+tf AS (SELECT hadm_id, term, count(*) AS tf FROM tok WHERE length(term) > 0 GROUP BY hadm_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM documents)
+SELECT tf.hadm_id, CAST(count(*) AS BIGINT) AS n_terms,
+       round(sum(pow(tf.tf * ln((n.n + CAST(1 AS DOUBLE)) / (df.df + 1)), 2)), 4) AS sq_norm
+FROM tf JOIN df ON df.term = tf.term, n GROUP BY tf.hadm_id""",
+    "note_token_counts": """
 SELECT hadm_id, n_tokens, least(n_tokens, 512) AS n_kept, n_tokens > 512 AS truncated
 FROM (SELECT doc_id AS hadm_id,
              CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda t: length(t) > 0)) AS BIGINT)
@@ -344,11 +371,11 @@ GROUP BY label, i""",
 SELECT e.vec_id, CAST(j AS BIGINT) AS dim,
        round(sum(e.x * (CAST(((7 * e.i + 3 * j) % 11) - 5 AS DOUBLE) / 10.0)) + CAST(j AS DOUBLE) / 10.0, 6) AS value
 FROM e, range(0, 8) t(j) GROUP BY e.vec_id, j""",
-    "topk_by_dot": """
+    "topk_by_dot": f"""WITH {prep('F1b')}
 SELECT query_id, item_id, rank, round(score, 6) AS score
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS BIGINT) AS rank
       FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id,
                    list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
-            FROM embeddings a, embeddings b) s) r
+            FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT code_id FROM vocab)) s) r
 WHERE rank <= 5""",
 }

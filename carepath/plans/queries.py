@@ -24,7 +24,7 @@ from carepath.operators.examples import assemble_examples, modality_drop_counts
 from carepath.operators.vocab import decode_codes
 from carepath.plans.fixtures import build_cohort, inputs, prepare
 from carepath.plans.report import compare_models, forecast_report
-from carepath.session import materialize
+from carepath.session import materialize, remove_folder
 from carepath.sources import tables
 
 # Parameters of the registered queries (fixed here so Spark and the oracle SQL use the same ones).
@@ -62,15 +62,15 @@ def q_cohort_split(spark: SparkSession, sf: str) -> DataFrame:
     return build_cohort(inputs(spark, sf, "F3"))
 
 
-# The reference's split sizes (first 50,000 sorted ids train, the next 5,000 test).
-REFERENCE_TRAIN_SIZE, REFERENCE_TEST_SIZE = 50_000, 5_000
+# Sizes of the fixed split in the query: small enough that every scale has train, test and unused ids.
+FIXED_TRAIN_SIZE, FIXED_TEST_SIZE = 1_000, 100
 
 
 def q_cohort_split_fixed(spark: SparkSession, sf: str) -> DataFrame:
-    """The reference's fixed-size split: a distributed top-(N+M) by id, then positions inside that bound."""
+    """The fixed-size split: the first N sorted ids train, the next M test, all others unused."""
     inp = inputs(spark, sf, "F3")
     ids = co.intersect_ids(inp.admissions.select("hadm_id"), inp.note_ids)
-    return co.split_by_position(ids, train_size=REFERENCE_TRAIN_SIZE, test_size=REFERENCE_TEST_SIZE)
+    return co.split_by_position(ids, train_size=FIXED_TRAIN_SIZE, test_size=FIXED_TEST_SIZE)
 
 
 def q_split_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,15 +98,11 @@ def q_class_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_vocab_train_only(spark: SparkSession, sf: str) -> DataFrame:
-    p = prepare(spark, sf, "F2")
-    p.release()  # the vocabulary is checkpointed; the cohort join is not needed any more
-    return p.vocab.with_unknown()
+    return prepare(spark, sf, "F2").vocab.with_unknown()
 
 
 def q_encode_with_unknown(spark: SparkSession, sf: str) -> DataFrame:
-    p = prepare(spark, sf, "F2")
-    p.release()  # the result is one projection of the join: no reuse worth a cache
-    return p.encoded.select("hadm_id", "split", "seq_num", "icd_code", "code_id")
+    return prepare(spark, sf, "F2").encoded.select("hadm_id", "split", "seq_num", "icd_code", "code_id")
 
 
 def q_ordered_sequences(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,14 +117,12 @@ def q_ordered_sequences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_next_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare(spark, sf, "F3").pairs
+    """The array form: sequences, then positions of the arrays."""
+    return sq.next_pairs(prepare(spark, sf, "F3").sequences)
 
 
 def q_next_pairs_lead(spark: SparkSession, sf: str) -> DataFrame:
-    p = prepare(spark, sf, "F3")
-    pairs = sq.next_pairs_lead(p.encoded, p.cohort)  # positions are checkpointed inside
-    p.release()
-    return pairs
+    return prepare(spark, sf, "F3").pairs
 
 
 def q_last_value_per_key(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +153,7 @@ def q_unpad_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_top_codes(spark: SparkSession, sf: str) -> DataFrame:
     p = prepare(spark, sf, "F3")
-    top = sq.top_codes(p.sequences, k=TOPK)
+    top = sq.top_codes(p.pairs, k=TOPK)
     return decode_codes(top, p.vocab).select("rank", "code", "code_id", "n")
 
 
@@ -198,7 +192,7 @@ def q_examples_joined(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_modality_drop_counts(spark: SparkSession, sf: str) -> DataFrame:
     p = prepare(spark, sf, "F2")
-    return modality_drop_counts(p.sequences, tables.note_vectors(spark, sf), p.inputs.labels)
+    return modality_drop_counts(p.sequence_ids, tables.note_vectors(spark, sf), p.inputs.labels)
 
 
 # ------------------------------------------------------------------------------------------- forecast
@@ -206,7 +200,7 @@ def q_modality_drop_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fitted(spark: SparkSession, sf: str, fixture: str, with_notes: bool):
     p = prepare(spark, sf, fixture)
-    pairs = p.pairs
+    pairs = materialize(p.pairs)
     ctx: tuple[str, ...] = ()
     if with_notes:
         pairs = pairs.join(tables.note_clusters(spark, sf), "hadm_id")
@@ -217,8 +211,8 @@ def _fitted(spark: SparkSession, sf: str, fixture: str, with_notes: bool):
 
 
 def q_next_code_model(spark: SparkSession, sf: str) -> DataFrame:
-    p, model, _, _ = _fitted(spark, sf, "F3", False)
-    return fc.rank_candidates(model, p.pairs)
+    _, model, train, test = _fitted(spark, sf, "F3", False)
+    return fc.rank_candidates(model, train.select("prev").unionByName(test.select("prev")))
 
 
 def q_forecast_topk_accuracy(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,8 +227,9 @@ def q_forecast_topk_accuracy_notes(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_forecast_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
     p = prepare(spark, sf, "F3")
-    train = p.pairs.where(F.col("split") == "train")
-    test = p.pairs.where(F.col("split") == "test")
+    pairs = materialize(p.pairs)
+    train = pairs.where(F.col("split") == "train")
+    test = pairs.where(F.col("split") == "test")
     return fc.cross_entropy(train, test, p.vocab.size, LAMBDA)
 
 
@@ -249,7 +244,17 @@ def q_final_report(spark: SparkSession, sf: str) -> DataFrame:
     if not base:
         raise RuntimeError("final_report writes its artifacts under spark.checkpoint.dir; set it to a shared folder")
     out = f"{base.rstrip('/')}/study-{uuid.uuid4().hex}"
-    return run_study(spark, inputs(spark, sf, "F1"), out, note_vectors=tables.note_vectors(spark, sf)).report
+    try:
+        result = run_study(
+            spark,
+            inputs(spark, sf, "F1"),
+            out,
+            note_vectors=tables.note_vectors(spark, sf),
+            clusters=tables.note_clusters(spark, sf),
+        )
+        return result.report  # a checkpoint: it outlives the study's folder
+    finally:
+        remove_folder(spark, out)
 
 
 def q_compare_models(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,8 +266,21 @@ def q_compare_models(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_bag_of_codes_topk_vocab(spark: SparkSession, sf: str) -> DataFrame:
     inp = inputs(spark, sf, "F2")
-    bags = rk.bag_of_codes(inp.diagnoses, build_cohort(inp), inp.labels)
-    return rk.doc_freq_vocab(bags, DF_TOPK)
+    return rk.doc_freq_vocab(rk.code_rows(inp.diagnoses, build_cohort(inp)), DF_TOPK)
+
+
+def q_risk_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The training matrix of the codes-only risk model in long form, with class weights."""
+    inp = inputs(spark, sf, "F1")
+    f = rk.risk_features(rk.code_rows(inp.diagnoses, build_cohort(inp)), inp.labels)
+    return f.select("hadm_id", "term", F.col("y").cast("long").alias("y"), F.round("weight", 9).alias("weight"))
+
+
+def q_risk_fit_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and weights of the risk fit, and whether its coefficients are stationary."""
+    inp = inputs(spark, sf, "F1")
+    bags = materialize(rk.bag_of_codes(inp.diagnoses, build_cohort(inp), inp.labels))
+    return rk.fit_check(rk.fit_risk(bags), bags)
 
 
 def _risk(spark: SparkSession, sf: str, with_notes: bool) -> DataFrame:
@@ -335,7 +353,7 @@ def q_log_loss(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------------------------- notes, vectors
 
 
-def q_truncate_notes(spark: SparkSession, sf: str) -> DataFrame:
+def q_note_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Whole-text token counts and where a 512-token encoder window would cut (no text is dropped here)."""
     n = tables.notes(spark, sf).select("hadm_id", F.size(word_tokens("text")).cast("long").alias("n_tokens"))
     return n.select(
@@ -347,9 +365,13 @@ def q_truncate_notes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_vectorize_notes(spark: SparkSession, sf: str) -> DataFrame:
-    v = vx.vectorize_notes(tables.notes(spark, sf))
-    return v.select("hadm_id", F.size("vec").cast("long").alias("dim"), F.round(F.aggregate(
-        F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"))
+    """Exact-term TF-IDF of the notes: terms, tokens and squared norm per note (idf over all notes)."""
+    notes = tables.notes(spark, sf)
+    weights = vx.term_weights(materialize(vx.note_terms(notes)), notes)
+    return weights.groupBy("hadm_id").agg(
+        F.count(F.lit(1)).cast("long").alias("n_terms"),
+        F.round(F.sum(F.col("weight") * F.col("weight")), 4).alias("sq_norm"),
+    )
 
 
 def _long_form(df: DataFrame, id_col: str, vec_col: str, out: str = "value") -> DataFrame:
@@ -382,7 +404,8 @@ def q_fused_positions(spark: SparkSession, sf: str) -> DataFrame:
     emb = _embeddings(spark, sf)
     codes = emb.select(F.col("vec_id").alias("code_id"), "vec")
     notes = emb.select(F.col("vec_id").alias("hadm_id"), "vec")
-    fused = vx.fuse_sequence_positions(p.sequences, codes, notes, gate_weights(128), GATE_BIAS)
+    positions = p.pairs.select("hadm_id", "pos", F.col("prev").alias("code_id"))
+    fused = vx.fuse_sequence_positions(positions, codes, notes, gate_weights(128), GATE_BIAS)
     return fused.select(
         "hadm_id", "pos", "code_id", F.round("gate", 9).alias("gate"), F.posexplode("fused").alias("dim", "_v")
     ).select("hadm_id", "pos", "code_id", "gate", F.col("dim").cast("long").alias("dim"), F.round("_v", 6).alias("value"))
@@ -403,8 +426,11 @@ def q_project_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_topk_by_dot(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector against the code-vector table of F1b's vocabulary (``embeddings`` rows keyed by code id)."""
     e = _embeddings(spark, sf)
-    r = vx.topk_by_dot(e, e, DOT_TOPK, q_id="vec_id", i_id="vec_id")
+    codes = prepare(spark, sf, "F1b").vocab.table.select(F.col("code_id").alias("vec_id"))
+    items = e.join(codes, "vec_id", "left_semi")
+    r = vx.topk_by_dot(e, items, DOT_TOPK, q_id="vec_id", i_id="vec_id")
     return r.select("query_id", "item_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -436,6 +462,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compare_models": q_compare_models,
     "final_report": q_final_report,
     "bag_of_codes_topk_vocab": q_bag_of_codes_topk_vocab,
+    "risk_features": q_risk_features,
+    "risk_fit_check": q_risk_fit_check,
     "risk_codes_only": q_risk_codes_only,
     "risk_with_notes": q_risk_with_notes,
     "clamped_scores": q_clamped_scores,
@@ -446,7 +474,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "calibration": q_calibration,
     "ranking_by_group": q_ranking_by_group,
     "log_loss": q_log_loss,
-    "truncate_notes": q_truncate_notes,
+    "note_token_counts": q_note_token_counts,
     "vectorize_notes": q_vectorize_notes,
     "gated_fusion": q_gated_fusion,
     "fused_positions": q_fused_positions,

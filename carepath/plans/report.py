@@ -9,19 +9,17 @@ from pyspark.sql import functions as F
 
 from carepath.functions.scalar import percent
 from carepath.operators import forecast as fc
-from carepath.operators import metrics as me
-from carepath.operators import risk as rk
-from carepath.plans.fixtures import build_cohort, inputs, prepare
+from carepath.plans.fixtures import prepare
 from carepath.schemas import REPORT_CSV_HEADER
 from carepath.session import materialize
 from carepath.sources import tables
 
 # The reference's task and model names.
 FORECASTING, MORTALITY = "Forecasting", "Mortality"
-UNIMODAL, MULTIMODAL = "Unimodal", "Multimodal"
+UNIMODAL, MULTIMODAL, BASELINE = "Unimodal", "Multimodal", "Baseline"
 
 
-def _report_row(df: DataFrame, task: str, model: str, m1: str, m2: str, m3: str | None) -> DataFrame:
+def report_row(df: DataFrame, task: str, model: str, m1: str, m2: str, m3: str | None) -> DataFrame:
     return df.select(
         F.lit(task).alias("task"),
         F.lit(model).alias("model"),
@@ -34,38 +32,17 @@ def _report_row(df: DataFrame, task: str, model: str, m1: str, m2: str, m3: str
 def forecast_report(spark: SparkSession, sf_dir: str, fixture: str = "F1b", k: int = 10) -> DataFrame:
     """Two rows: top-1/5/10 % of the codes-only model and of the model keyed by note cluster."""
     p = prepare(spark, sf_dir, fixture)
-    pairs = p.pairs.join(tables.note_clusters(spark, sf_dir), "hadm_id", "left")
+    pairs = materialize(p.pairs.join(tables.note_clusters(spark, sf_dir), "hadm_id", "left"))
     train = pairs.where(F.col("split") == "train")
     test = pairs.where(F.col("split") == "test")
     rows = []
     for model_name, ctx in ((UNIMODAL, ()), (MULTIMODAL, ("cluster",))):
         model = fc.fit_next_code(train, k, ctx)
         acc = fc.evaluate_topk(model, test)
-        rows.append(_report_row(acc, FORECASTING, model_name, "top1_pct", "top5_pct", "top10_pct"))
+        rows.append(report_row(acc, FORECASTING, model_name, "top1_pct", "top5_pct", "top10_pct"))
     return rows[0].unionByName(rows[1])
 
 
-def mortality_report(spark: SparkSession, sf_dir: str, fixture: str = "F1") -> DataFrame:
-    """Two rows: ROC-AUC and average precision of the risk model with and without the note vector.
-    The third metric is 0.0, as in the reference's results file."""
-    inp = inputs(spark, sf_dir, fixture)
-    bags = materialize(rk.bag_of_codes(inp.diagnoses, build_cohort(inp), inp.labels))
-    vecs = tables.note_vectors(spark, sf_dir)
-    rows = []
-    for model_name, v in ((MULTIMODAL, vecs), (UNIMODAL, None)):
-        scores = rk.score_risk(rk.fit_risk(bags, v), bags, v)
-        summary = me.ranking_summary(scores)
-        rows.append(_report_row(summary, MORTALITY, model_name, "roc_auc", "average_precision", None))
-    return rows[0].unionByName(rows[1])
-
-
-def combine_reports(*reports: DataFrame) -> DataFrame:
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.unionByName(r)
-    return out
-
-
 def filter_report(report: DataFrame, task: str | None = None, model_contains: str | None = None) -> DataFrame:
     """Rows of one task and/or whose model name contains a substring."""
     out = report
@@ -76,27 +53,22 @@ def filter_report(report: DataFrame, task: str | None = None, model_contains: st
     return out
 
 
-def compare_models(report: DataFrame, base: str = UNIMODAL, other: str = MULTIMODAL) -> DataFrame:
-    """Per task and metric, the two models side by side (chosen by name, not row position) and the relative
-    gain % -> (task, metric, unimodal, multimodal, gain_pct)."""
-    long = report.select(
-        "task",
-        "model",
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("metric_1", "metric_2", "metric_3")]
-            )
-        ).alias("_m"),
-    ).select("task", "model", "_m.metric", "_m.value")
-    wide = long.groupBy("task", "metric").pivot("model", [base, other]).agg(F.first("value"))
-    wide = wide.withColumnRenamed(base, base.lower()).withColumnRenamed(other, other.lower())
-    return wide.select(
-        "task",
-        "metric",
-        F.round(base.lower(), 6).alias(base.lower()),
-        F.round(other.lower(), 6).alias(other.lower()),
-        F.round(percent(F.col(other.lower()) - F.col(base.lower()), F.col(base.lower())), 6).alias("gain_pct"),
-    )
+def compare_models(report: DataFrame, base: str = UNIMODAL, other: str = MULTIMODAL, third: str | None = None) -> DataFrame:
+    """Per task and metric, the models side by side (chosen by name, not row position) and the relative gain % of
+    ``other`` over ``base`` -> (task, metric, unimodal, multimodal, gain_pct).
+
+    With ``third`` (the baseline) also its value and the gain of ``other`` over it: (baseline, gain_over_baseline_pct).
+    A model without a row for a task gives nulls.
+    """
+    metrics = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("metric_1", "metric_2", "metric_3")]
+    long = report.select("task", "model", F.explode(F.array(*metrics)).alias("_m")).select("task", "model", "_m.*")
+    names = [base, other, *([third] if third else [])]
+    wide = long.groupBy("task", "metric").pivot("model", names).agg(F.first("value"))
+    gain = lambda x, y: F.round(percent(F.col(x) - F.col(y), F.col(y)), 6)
+    out = [F.round(n, 6).alias(n.lower()) for n in names] + [gain(other, base).alias("gain_pct")]
+    if third:
+        out.append(gain(other, third).alias(f"gain_over_{third.lower()}_pct"))
+    return wide.select("task", "metric", *out)
 
 
 def format_report(report: DataFrame, digits: int = 4) -> DataFrame:
@@ -131,6 +103,17 @@ def write_report_csv(report: DataFrame, path: str) -> None:
     ).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The results file read back as (task, model, metric_1, metric_2, metric_3); columns are found by header."""
+    raw = spark.read.option("header", True).csv(path)
+    missing = [h for h in REPORT_CSV_HEADER if h not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: columns {missing} missing (found {raw.columns})")
+    task, model, *metrics = REPORT_CSV_HEADER
+    values = [F.col(f"`{h}`").try_cast("double").alias(f"metric_{i}") for i, h in enumerate(metrics, 1)]
+    return raw.select(F.col(f"`{task}`").alias("task"), F.col(f"`{model}`").alias("model"), *values)
+
+
 # The log-line patterns of the reference's training output.
 EPOCH_PATTERN = r"Epoch (\d+)"
 LOSS_PATTERN = r"Av(?:erage|g) Loss: ([0-9.]+)"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,22 @@ from carepath.operators import cohort as co
 from carepath.operators import forecast as fc
 from carepath.operators import metrics as me
 from carepath.operators import risk as rk
-from carepath.operators.cohort import TEST, TRAIN
-from carepath.operators.examples import modality_drop_counts
-from carepath.operators.sequences import build_sequences, next_pairs
+from carepath.operators.cohort import TEST, TRAIN, UNUSED
+from carepath.operators.examples import modality_drop_counts, unique_vectors
+from carepath.operators.sequences import build_sequences, next_pairs_lead
 from carepath.operators.vectors import assign_clusters, fit_note_clusters, vectorize_notes
 from carepath.operators.vocab import build_vocab, encode_codes, with_split
 from carepath.plans.fixtures import Inputs
-from carepath.plans.report import FORECASTING, MORTALITY, MULTIMODAL, UNIMODAL, compare_models, write_report_csv
+from carepath.plans.report import (
+    BASELINE,
+    FORECASTING,
+    MORTALITY,
+    MULTIMODAL,
+    UNIMODAL,
+    compare_models,
+    report_row,
+    write_report_csv,
+)
 from carepath.session import materialize
 from carepath.sources.clinical import write_artifact
 
@@ -36,7 +46,7 @@ class StudyConfig:
     k: int = 10
     note_clusters: int = 10
     seed: int = 42
-    max_features: int = rk.MAX_FEATURES
+    max_features: int | None = None  # None: the whole train vocabulary
 
 
 @dataclass(frozen=True)
@@ -47,87 +57,72 @@ class StudyResult:
     drop_counts: DataFrame
 
 
-def _row(df: DataFrame, task: str, model: str, cols: tuple[str, str, str | None]) -> DataFrame:
-    m1, m2, m3 = cols
-    return df.select(
-        F.lit(task).alias("task"),
-        F.lit(model).alias("model"),
-        F.col(m1).cast("double").alias("metric_1"),
-        F.col(m2).cast("double").alias("metric_2"),
-        (F.col(m3).cast("double") if m3 else F.lit(0.0)).alias("metric_3"),
-    )
-
-
 def run_study(
     spark: SparkSession,
     inp: Inputs,
     out_dir: str,
     note_vectors: DataFrame | None = None,
     notes: DataFrame | None = None,
+    clusters: DataFrame | None = None,
     config: StudyConfig = StudyConfig(),
 ) -> StudyResult:
     """Run every stage; artifacts go to ``out_dir`` (a shared folder on a cluster).
 
-    Note vectors come from ``note_vectors`` (hadm_id, vec) or are computed from ``notes`` (hadm_id, text).
+    Note vectors come from ``note_vectors`` (hadm_id, vec) or are computed from ``notes`` (hadm_id, text); note
+    clusters are fitted on train vectors unless ``clusters`` (hadm_id, cluster) is given. The report has a row per
+    task and model, and the baseline: bag of codes over all cohort admissions, with or without a note vector.
     """
     ids = co.intersect_ids(inp.admissions.select("hadm_id"), inp.note_ids)
     cohort = co.split_by_position(ids, config.train_frac, config.train_size, config.test_size)
-    if config.train_size is not None:  # the bounded top-(N+M) form is not checkpointed inside
-        cohort = materialize(cohort)
     write_artifact(cohort, os.path.join(out_dir, "cohort"), ["split"])
+    used = cohort.where(F.col("split") != UNUSED)
 
     if note_vectors is None:
         if notes is None:
             raise ValueError("give note_vectors or notes")
         note_vectors = vectorize_notes(
-            notes.join(cohort.select("hadm_id"), "hadm_id", "left_semi"),
-            fit_ids=cohort.where(F.col("split") == TRAIN),
+            notes.join(used.select("hadm_id"), "hadm_id", "left_semi"), fit_ids=used.where(F.col("split") == TRAIN)
         )
-    vecs = note_vectors.join(cohort.select("hadm_id"), "hadm_id", "left_semi")
-    write_artifact(vecs.join(cohort.select("hadm_id", "split"), "hadm_id"), os.path.join(out_dir, "note_vectors"),
-                   ["split"])
+    vecs = unique_vectors(note_vectors).join(used.select("hadm_id", "split"), "hadm_id")
+    write_artifact(vecs, os.path.join(out_dir, "note_vectors"), ["split"])
     vecs = spark.read.parquet(os.path.join(out_dir, "note_vectors")).select("hadm_id", "vec")
 
-    joined = with_split(inp.diagnoses, cohort)  # one network pass of the diagnoses for vocab and sequences
+    joined = with_split(inp.diagnoses, used)
     vocab = build_vocab(joined)
     write_artifact(vocab.with_unknown(), os.path.join(out_dir, "vocab"))
-    sequences = build_sequences(encode_codes(joined, vocab))
-    write_artifact(sequences, os.path.join(out_dir, "sequences"), ["split"])
+    encoded = encode_codes(joined, vocab)
+    write_artifact(build_sequences(encoded), os.path.join(out_dir, "sequences"), ["split"])
     sequences = spark.read.parquet(os.path.join(out_dir, "sequences"))
-    # The bag of codes reads the same persisted join (all codes, one-code admissions included), restricted to
-    # admissions with a vector: one evaluation population for both mortality rows, as in the reference's report.
-    bags = materialize(
-        rk.bag_of_codes(joined, None, inp.labels).join(vecs.select("hadm_id"), "hadm_id", "left_semi")
-    )
-    joined.unpersist()
+    # All codes, one-code admissions included. Both mortality models see the admissions with a vector, as in the
+    # reference's report; the baseline sees all.
+    all_bags = materialize(rk.bag_of_codes(joined, None, inp.labels))
+    bags = materialize(all_bags.join(vecs.select("hadm_id"), "hadm_id", "left_semi"))
     drops = modality_drop_counts(sequences, vecs, inp.labels)
 
-    # Forecasting: codes only, and keyed by the note cluster (KMeans fitted on train vectors). As in the
-    # reference's data loader, both models see only sequences that have a note vector (inner join).
-    pairs = next_pairs(sequences)
-    km = fit_note_clusters(vecs, cohort.where(F.col("split") == TRAIN), config.note_clusters, config.seed)
-    clusters = materialize(assign_clusters(km, vecs))
-    pairs = pairs.join(clusters, "hadm_id")
+    # Forecasting: codes only, and keyed by the note cluster. As in the reference's data loader, both models see only
+    # sequences that have a note vector (inner join).
+    if clusters is None:
+        km = fit_note_clusters(vecs, used.where(F.col("split") == TRAIN), config.note_clusters, config.seed)
+        clusters = assign_clusters(km, vecs)
+    pairs = materialize(next_pairs_lead(encoded).join(clusters, "hadm_id"))
     train, test = pairs.where(F.col("split") == TRAIN), pairs.where(F.col("split") == TEST)
     rows = []
     for name, ctx in ((UNIMODAL, ()), (MULTIMODAL, ("cluster",))):
         model = fc.fit_next_code(train, config.k, ctx)
-        rows.append(_row(fc.evaluate_topk(model, test), FORECASTING, name, ("top1_pct", "top5_pct", "top10_pct")))
-
-    # Mortality: class-weighted logistic regression with and without the note vector.
-    for name, v in ((MULTIMODAL, vecs), (UNIMODAL, None)):
-        model = rk.fit_risk(bags, v, k=config.max_features)
-        scores = materialize(rk.score_risk(model, bags, v, split=TEST))
+        fc.save_next_code(model, os.path.join(out_dir, "models", f"next_code_{name.lower()}"))
+        rows.append(report_row(fc.evaluate_topk(model, test), FORECASTING, name, "top1_pct", "top5_pct", "top10_pct"))
+
+    # Mortality: class-weighted logistic regression with and without the note vector, and the baseline.
+    for name, own, v in ((MULTIMODAL, bags, vecs), (UNIMODAL, bags, None), (BASELINE, all_bags, None)):
+        model = rk.fit_risk(own, v, k=config.max_features)
+        rk.save_risk(model, os.path.join(out_dir, "models", f"risk_{name.lower()}"))
+        scores = materialize(rk.score_risk(model, own, v, split=TEST))
         write_artifact(scores, os.path.join(out_dir, f"scores_{name.lower()}"))
-        rows.append(_row(me.ranking_summary(scores), MORTALITY, name, ("roc_auc", "average_precision", None)))
+        rows.append(report_row(me.ranking_summary(scores), MORTALITY, name, "roc_auc", "average_precision", None))
 
-    report = rows[0]
-    for r in rows[1:]:
-        report = report.unionByName(r)
-    report = materialize(report)
+    report = materialize(reduce(DataFrame.unionByName, rows))
     write_report_csv(report, os.path.join(out_dir, "final_metrics"))
-    comparison = compare_models(report)
-    return StudyResult(cohort, report, comparison, drops)
+    return StudyResult(cohort, report, compare_models(report, third=BASELINE), drops)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -139,7 +134,6 @@ def main(argv: list[str] | None = None) -> None:
     import argparse
 
     from carepath.plans.fixtures import clinical_inputs
-    from carepath.sources import clinical
 
     ap = argparse.ArgumentParser(prog="carepath.plans.workflow")
     ap.add_argument("--admissions", required=True)
@@ -157,7 +151,7 @@ def main(argv: list[str] | None = None) -> None:
         train_frac=None if args.train_size else args.train_frac, train_size=args.train_size, test_size=args.test_size
     )
     vectors = spark.read.parquet(args.vectors) if args.vectors else None
-    notes = None if vectors is not None else clinical.read_notes(spark, args.notes).select("hadm_id", "text")
+    notes = None if vectors is not None else inp.notes
     result = run_study(spark, inp, args.out, note_vectors=vectors, notes=notes, config=cfg)
     result.report.show(truncate=False)
     result.comparison.orderBy("task", "metric").show(truncate=False)

@@ -27,15 +27,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("CAREPATH_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("CAREPATH_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def is_local(master: str) -> bool:
+    """True where one JVM runs everything (``local``, ``local[8]``, ``local[*]``), not for ``local-cluster``."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder named by the session; a private one only when none is configured."""
+    """The shared checkpoint folder named by the session. A local master may go without: it gets a private one.
+
+    Any other master must name a folder that driver and executors share; a machine-local one would lose data."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
@@ -45,7 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     if current:
         return current
     if not configured:
-        # Unset: local runs and tests only. A cluster names a shared folder in spark.checkpoint.dir.
+        if not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="carepath-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -63,3 +71,9 @@ def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (lineage cut, survives executor loss) into the session's checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a file system that Spark reaches (the driver may not)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
