@@ -35,6 +35,27 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: b
     return raw.select(*cols)
 
 
+def count_rejects(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
+    """(file, column, rows, rejected): per file and typed column, the values that are there and do not parse (they are
+    null in the typed table). A pass of its own over the raw text; run it once when an extract lands."""
+    reader = spark.read.option("header", True)
+    if multiline:
+        reader = reader.option("multiLine", True).option("escape", '"').option("quote", '"')
+    raw = reader.csv(path).withColumn("_file", F.input_file_name())
+    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    checks = [
+        F.struct(
+            F.lit(f.name).alias("column"),
+            (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias("bad"),
+        )
+        for f in typed
+    ]
+    cells = raw.select(F.col("_file").alias("file"), F.explode(F.array(*checks)).alias("c"))
+    return cells.groupBy("file", F.col("c.column").alias("column")).agg(
+        F.count(F.lit(1)).cast("long").alias("rows"), F.sum(F.col("c.bad").cast("long")).alias("rejected")
+    )
+
+
 def read_admissions(spark: SparkSession, path: str) -> DataFrame:
     """(subject_id, hadm_id, hospital_expire_flag)."""
     return _read_csv(spark, path, ADMISSIONS)

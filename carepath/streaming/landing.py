@@ -27,7 +27,8 @@ def land_csv_stream(
     """Stream CSV files (header, columns ``file_columns`` in file order) into Parquet typed as ``target``.
 
     Every column is read as text and cast with ``try_cast``, so codes keep leading zeros and a malformed
-    value becomes NULL instead of failing the stream.
+    value becomes NULL instead of failing the stream. A file whose header is not ``file_columns`` in that order fails
+    the query; the file is taken again once it is mended.
     """
     raw_schema = T.StructType([T.StructField(c, T.StringType()) for c in file_columns])
     reader = spark.readStream.schema(raw_schema).option("header", True)
@@ -35,7 +36,8 @@ def land_csv_stream(
         reader = reader.option("multiLine", True).option("escape", '"')
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.csv(source_dir)
+    # Columns are matched by position, so a file whose header differs must fail rather than land in wrong columns.
+    raw = reader.option("enforceSchema", False).csv(source_dir)
     typed = raw.select(
         *[
             (F.col(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name).try_cast(f.dataType)).alias(f.name)

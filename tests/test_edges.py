@@ -151,3 +151,107 @@ def test_empty_scores(spark):
     assert (r.n_pos, r.n_neg, r.roc_auc, r.average_precision) == (0, 0, None, None)
     assert me.calibration(df).count() == 0
     assert [tuple(x) for x in me.roc_points(df).collect()] == [(None, 0.0, 0.0)]
+
+
+def test_two_vectors_or_labels_of_an_admission_give_one_example(spark):
+    from carepath.operators.examples import assemble_examples
+
+    seqs = spark.createDataFrame([(1, "train", [1], [2])], "hadm_id long, split string, input_ids array<long>, labels array<long>")
+    vecs = spark.createDataFrame([(1, 2, [1.0]), (1, 9, [0.0]), (1, 5, [3.0])], "hadm_id long, seq int, vec array<double>")
+    labels = spark.createDataFrame([(1, 0), (1, 1)], "hadm_id long, label int")
+    rows = assemble_examples(seqs, vecs, labels, vector_order="seq").collect()
+    assert [(r.vec, r.label) for r in rows] == [([0.0], 1)]
+
+
+def test_constant_and_empty_lengths(spark):
+    from carepath.operators import sequences as sq
+
+    same = spark.createDataFrame([(i, 7) for i in range(5)], "hadm_id long, length long")
+    rows = sq.length_histogram(same, bins=50).collect()
+    assert [(r.bin, r.n) for r in rows] == [(25, 5)] and abs(rows[0].lo - 7.0) < 1e-12
+    assert sq.length_density(same).count() == 0
+    assert sq.length_histogram(same.limit(0)).count() == 0 and sq.length_density(same.limit(0)).count() == 0
+
+
+def test_ks_beyond_the_model_raise(spark):
+    import pytest
+
+    train = _pairs(spark, [(1, "train", 0, 1, 2)])
+    with pytest.raises(ValueError, match="keeps 3"):
+        fc.evaluate_topk(fc.fit_next_code(train, 3), train, ks=(1, 5))
+
+
+def test_fixed_split_keeps_every_id(spark):
+    from carepath.operators import cohort as co
+
+    ids = spark.createDataFrame([(i,) for i in range(10)], "hadm_id long")
+    rows = {r.hadm_id: r.split for r in co.split_by_position(ids, train_size=4, test_size=3).collect()}
+    assert rows == {i: "train" if i < 4 else "test" if i < 7 else "unused" for i in range(10)}
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster():
+    import pytest
+
+    from carepath.session import checkpoint_dir, is_local
+
+    assert is_local("local[8]") and is_local("local") and not is_local("local-cluster[3,2,1000]") and not is_local("yarn")
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
+
+
+def test_stream_rejects_a_reordered_header(spark):
+    import os
+    import tempfile
+
+    import pytest
+
+    from carepath.schemas import DIAGNOSES
+    from carepath.streaming.landing import land_csv_stream
+
+    root = tempfile.mkdtemp(prefix="carepath-stream-header-")
+    src = os.path.join(root, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write("hadm_id,subject_id,seq_num,icd_code\n5,1,1,0389\n")
+    with pytest.raises(Exception, match="(?i)header|column"):
+        cols = ["subject_id", "hadm_id", "seq_num", "icd_code"]
+        land_csv_stream(spark, src, cols, DIAGNOSES, f"{root}/out", f"{root}/ck").awaitTermination()
+
+
+def test_row_form_pairs_have_no_exchange_on_the_admission(spark):
+    """The code rows of a hot admission are never sent to one task: after the cohort join, no exchange is on
+    hadm_id alone."""
+    import contextlib
+    import io
+
+    from carepath.operators import sequences as sq
+
+    rows = [(1, "train", i, i % 9) for i in range(3000)] + [(h, "train", j, j) for h in range(2, 600) for j in range(5)]
+    enc = spark.createDataFrame(rows, "hadm_id long, split string, seq_num int, code_id long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = sq.next_pairs_lead(enc)
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            pairs.explain("formatted")
+        assert pairs.count() == 2999 + 598 * 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    exchanges = [x for x in buf.getvalue().split("\n") if x.startswith("Arguments: hashpartitioning(hadm_id")]
+    # The only grouping by admission is of the admissions that begin a range partition, after a broadcast join.
+    assert len(exchanges) <= 2

@@ -88,7 +88,7 @@ def test_pad_one_batch(world):
 
 
 def test_top_codes(world):
-    top = decode_codes(sq.top_codes(world["seqs"], k=2), world["vocab"])
+    top = decode_codes(sq.top_codes(sq.next_pairs(world["seqs"]), k=2), world["vocab"])
     assert [(r.code, r.n) for r in top.orderBy("rank").collect()] == [("4019", 2), ("0389", 1)]
 
 

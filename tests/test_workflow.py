@@ -14,7 +14,7 @@ from tests.conftest import SF_SMALL
 def test_final_report(spark):
     rows = {(r.task, r.model): r for r in QUERIES["final_report"](spark, SF_SMALL).collect()}
     assert set(rows) == {("Forecasting", "Unimodal"), ("Forecasting", "Multimodal"),
-                         ("Mortality", "Unimodal"), ("Mortality", "Multimodal")}
+                         ("Mortality", "Unimodal"), ("Mortality", "Multimodal"), ("Mortality", "Baseline")}
     for (task, _), r in rows.items():
         if task == "Forecasting":
             assert 0 <= r.metric_1 <= r.metric_2 <= r.metric_3 <= 100
@@ -22,7 +22,7 @@ def test_final_report(spark):
             assert 0 <= r.metric_1 <= 1 and 0 <= r.metric_2 <= 1 and r.metric_3 == 0.0
 
 
-def test_topk_by_dot_blocked_equals_broadcast(spark):
+def test_topk_by_dot_does_not_depend_on_blocks(spark):
     from carepath.operators.vectors import topk_by_dot
 
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(
@@ -145,7 +145,7 @@ def test_unpad_batches_gives_back_pairs(spark):
 def test_fuse_sequence_positions_repeats_note(spark):
     from carepath.operators.vectors import fuse_sequence_positions
 
-    seqs = spark.createDataFrame([(1, "train", [5, 6], [6, 7])], "hadm_id long, split string, input_ids array<long>, labels array<long>")
+    seqs = spark.createDataFrame([(1, 0, 5), (1, 1, 6)], "hadm_id long, pos long, code_id long")
     codes = spark.createDataFrame([(5, [1.0, 2.0]), (6, [0.0, 1.0])], "code_id long, vec array<double>")
     notes = spark.createDataFrame([(1, [3.0, 5.0])], "hadm_id long, vec array<double>")
     got = {r.pos: r for r in fuse_sequence_positions(seqs, codes, notes, [.1, .2, .3, .4], .05).collect()}
@@ -154,6 +154,22 @@ def test_fuse_sequence_positions_repeats_note(spark):
     assert got[1].code_id == 6 and len(got) == 2
 
 
+def test_risk_model_round_trip_keeps_scores(spark):
+    from carepath.operators import risk as rk
+
+    rows = [(i, "train" if i % 4 else "test", ["a", "b", "c"][: 1 + i % 3], int(i % 5 == 0)) for i in range(40)]
+    bags = spark.createDataFrame(rows, "hadm_id long, split string, codes array<string>, label int")
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "hadm_id long, vec array<double>")
+    for v in (None, vectors):
+        model = rk.fit_risk(bags, v)
+        path = tempfile.mkdtemp(prefix="carepath-risk-") + "/m"
+        rk.save_risk(model, path)
+        back = rk.load_risk(spark, path)
+        assert back.vocabulary == model.vocabulary and back.with_notes == (v is not None)
+        assert sorted(rk.score_risk(back, bags, v).collect()) == sorted(rk.score_risk(model, bags, v).collect())
+    assert rk.fit_check(rk.fit_risk(bags), bags).first().stationary
+
+
 def test_report_filters(spark):
     from carepath.plans.report import filter_report
 
@@ -166,9 +182,9 @@ def test_report_filters(spark):
 
 def test_study_from_clinical_csv(spark):
     """The hand fixture as raw CSV extracts (quoted multi-line notes, codes with leading zeros) -> whole study."""
+    from carepath.operators.risk import load_risk
     from carepath.plans.fixtures import clinical_inputs
     from carepath.plans.workflow import StudyConfig, run_study
-    from carepath.sources.clinical import read_notes
 
     d = tempfile.mkdtemp(prefix="carepath-csv-")
     with open(f"{d}/admissions.csv", "w") as f:
@@ -187,8 +203,8 @@ def test_study_from_clinical_csv(spark):
             f.write(f"1,{h},{sq_},{c},9\n")
     inp = clinical_inputs(spark, f"{d}/admissions.csv", f"{d}/discharge.csv", f"{d}/diagnoses_icd.csv",
                           landed_dir=f"{d}/landed")
-    notes = read_notes(spark, f"{d}/discharge.csv").select("hadm_id", "text")
-    res = run_study(spark, inp, f"{d}/out", notes=notes,
+    assert spark.read.parquet(f"{d}/landed/notes").count() == 6  # parsed once; ids are a column of it
+    res = run_study(spark, inp, f"{d}/out", notes=inp.notes,
                     config=StudyConfig(train_frac=None, train_size=3, test_size=2, note_clusters=2, max_features=10))
     assert {r.split: r["count"] for r in res.cohort.groupBy("split").count().collect()} == {"train": 3, "test": 2}
     vocab = {r.code: r.code_id for r in spark.read.parquet(f"{d}/out/vocab").collect()}
@@ -196,7 +212,11 @@ def test_study_from_clinical_csv(spark):
     seqs = {r.hadm_id: (r.input_ids, r.labels) for r in spark.read.parquet(f"{d}/out/sequences").collect()}
     assert seqs == {101: ([3, 1], [1, 2]), 102: ([3], [2]), 104: ([3, 5], [5, 1]), 105: ([2], [3])}
     rows = {(r.task, r.model) for r in res.report.collect()}
-    assert len(rows) == 4
+    assert len(rows) == 5 and ("Mortality", "Baseline") in rows
+    third = {(r.task, r.metric): r for r in res.comparison.collect()}
+    assert third["Mortality", "metric_1"].baseline is not None and third["Forecasting", "metric_1"].baseline is None
+    model = load_risk(spark, f"{d}/out/models/risk_baseline")
+    assert set(model.vocabulary) == {"0389", "25000", "4019", "I10"} and not model.with_notes
     header = spark.read.option("header", True).csv(f"{d}/out/final_metrics").columns
     assert header == ["Task", "Model", "Top-1 / AUC", "Top-5 / AUPRC", "Top-10"]
 
@@ -218,8 +238,6 @@ def test_vectorize_notes_tfidf_values(spark):
     """Whole-text TF-IDF: a word in 1 of 3 notes gets count * ln(4/2); a word in every note gets 0."""
     import math
 
-    from pyspark.ml.feature import HashingTF
-
     from carepath.operators.vectors import vectorize_notes
 
     notes = spark.createDataFrame(
@@ -227,10 +245,10 @@ def test_vectorize_notes_tfidf_values(spark):
     )
     dim = 1 << 10
     vecs = {r.hadm_id: r.vec for r in vectorize_notes(notes, num_features=dim).collect()}
-    htf = HashingTF(numFeatures=dim)
-    assert vecs[1][htf.indexOf("alpha")] == pytest.approx(2 * math.log(4 / 2), rel=1e-6)
-    assert vecs[1][htf.indexOf("common")] == 0.0
-    assert vecs[3][htf.indexOf("gamma")] == pytest.approx(math.log(4 / 2), rel=1e-6)
+    place = lambda w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(dim))).first()[0]
+    assert vecs[1][place("alpha")] == pytest.approx(2 * math.log(4 / 2), rel=1e-6)
+    assert vecs[1][place("common")] == 0.0
+    assert vecs[3][place("gamma")] == pytest.approx(math.log(4 / 2), rel=1e-6)
     assert all(len(v) == dim for v in vecs.values())
 
 
@@ -251,14 +269,12 @@ def test_pca_projection_fit_on_train(spark):
 def test_vectorize_notes_idf_fitted_on_train_only(spark):
     import math
 
-    from pyspark.ml.feature import HashingTF
-
     from carepath.operators.vectors import vectorize_notes
 
     notes = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "alpha alpha")], "hadm_id long, text string")
     train = spark.createDataFrame([(1,), (2,)], "hadm_id long")
     vecs = {r.hadm_id: r.vec for r in vectorize_notes(notes, num_features=64, fit_ids=train).collect()}
-    i = HashingTF(numFeatures=64).indexOf("alpha")
+    i = spark.range(1).select(F.pmod(F.xxhash64(F.lit("alpha")), F.lit(64))).first()[0]
     # df(alpha) over the 2 train notes is 1: idf = ln(3/2), applied to the test note too
     assert vecs[3][i] == pytest.approx(2 * math.log(3 / 2), rel=1e-6)
 
