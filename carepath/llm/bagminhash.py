@@ -9,9 +9,12 @@ only up to the time by which the places are expected to be full, and further whe
 
 BANDS bands of ROWS places give candidates (a pair at 0.8 is missed with probability (1 - 0.8**4)**25 = 2e-6). Exact
 copies (same words) are one class representative before banding. In a bucket of up to SMALL texts all pairs are
-candidates; a larger bucket has a hub, the member that shares most buckets, and every other member is paired with it;
-members that are not similar to the hub stay for the next hub, until none is left. Pairs are verified by the exact
-overlap of their shingle multisets (32-bit shingle hashes), and linked texts form classes.
+candidates. A larger bucket is a family of edited copies or shares a long passage; its HUBS members that share most
+buckets with others (the least edited ones) are paired with every member, so the work is linear in its size. Members
+that no hub is similar to meet the others again in finer buckets, of two bands each, by the same rule. Pairs are
+verified by the exact overlap of their shingle multisets (32-bit shingle hashes), and linked texts form classes.
+What this can miss: a pair that shares large buckets only, at both levels, and is reached through no hub; in the test
+on 4,516 texts in families of up to 1,378 one text went to another class than all pairs of all buckets gave.
 
 Defined results: documents are identified by doc_id, rows with the same id are one document; a null id gets no row;
 null, empty and word-less texts are classes of their own; texts of one to four words have one shingle, the whole text;
@@ -24,10 +27,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carepath.llm.common import byte_slices, hashed, lists, narrow, stage, text_or_empty, without, words
+from carepath.llm.common import byte_slices, hashed, lists, narrow, only, stage, text_or_empty, without, words
 from carepath.llm.components import components
 
 SHINGLE = 5
@@ -35,6 +38,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 4
 PLACES = BANDS * ROWS
 SMALL = 8
+HUBS = 4
+# Distance of the two bands of a finer bucket, at most (bands are a ring).
+REACH = 3
 
 _U = np.uint64
 _GOLDEN, _MULT, _MULT2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
@@ -202,12 +208,16 @@ def sign(docs: DataFrame) -> DataFrame:
     return _word_rows(docs).mapInArrow(_sign, schema)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' multisets overlap by SIMILARITY or more."""
+def multisets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, items): the sorted shingle hashes of the documents in ``ids``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    rows = docs.select("doc_id", "text").join(involved, "doc_id", "left_semi")
-    items = stage(_word_rows(rows).mapInArrow(_multisets, f"doc_id {kind}, items array<int>"))
+    rows = only(docs.select("doc_id", "text"), ids.select("doc_id"), {"doc_id": F.col("doc_id")})
+    return stage(_word_rows(rows).mapInArrow(_multisets, f"doc_id {kind}, items array<int>"))
+
+
+def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose multisets overlap by SIMILARITY or more."""
+    kind = items.schema["doc_id"].dataType.simpleString()
     joined = (
         pairs.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a")
         .join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
@@ -216,44 +226,84 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return stage(joined.mapInArrow(_verify, f"a {kind}, b {kind}").distinct())
 
 
-def _pair(x, y):
-    return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+def _ordered(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, rep, size, weight) -> candidate pairs (a, b), and (rep, hubs) for the members of large buckets.
+
+    Buckets of up to SMALL members give all their pairs; in a larger one each member is paired with its HUBS heaviest
+    members. A large bucket is cut to its hubs before the shuffle (a ranked limit per key), so its size costs nothing.
+    """
+    small = rows.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("reps"))
+    reps = F.col("reps")
+    all_pairs = F.flatten(
+        F.transform(
+            reps,
+            lambda x, i: F.transform(F.slice(reps, i + 2, F.size(reps)), lambda y: F.struct(x.alias("a"), y.alias("b"))),
+        )
+    )
+    inner = small.select("reps").distinct().select(F.explode(all_pairs).alias("p")).select("p.a", "p.b")
+    large = rows.where(F.col("size") > SMALL)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "rep"))
+    top = large.withColumn("rank", rank).where(F.col("rank") <= HUBS).groupBy("key").agg(F.collect_list("rep").alias("hubs"))
+    near_hubs = (
+        large.select("key", "rep")
+        .join(top, "key")
+        .groupBy("rep")
+        .agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"))
+    )
+    near_hubs = stage(near_hubs.select("rep", F.array_except("hubs", F.array("rep")).alias("hubs")))
+    outer = near_hubs.select("rep", F.explode("hubs").alias("hub")).select(*_ordered(F.col("rep"), F.col("hub")))
+    return inner.union(outer).distinct(), near_hubs
 
 
 def links(docs: DataFrame, representatives: DataFrame) -> DataFrame:
     """Verified links (a, b) between representatives (rep, bands)."""
-    rows = representatives.select("rep", F.explode("bands").alias("key"))
+    exploded = representatives.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = (
-        rows.groupBy("key")
+        exploded.groupBy("key")
         .agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size"))
         .where(F.col("first") < F.col("last"))
     )
-    rows = stage(rows.join(shared.select("key", "size"), "key").distinct())
-    small = rows.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("reps"))
-    reps = F.col("reps")
-    all_pairs = F.flatten(
-        F.transform(reps, lambda x, i: F.transform(F.slice(reps, i + 2, F.size(reps)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    rows = stage(exploded.join(shared.select("key", "size"), "key"))
+    weights = stage(rows.groupBy("rep").agg(F.sum("size").alias("weight")))
+    items = multisets(docs, weights.select(F.col("rep").alias("doc_id")))
+    pairs, near_hubs = bucket_pairs(rows.join(weights, "rep").select("key", "rep", "size", "weight"))
+    pairs = stage(pairs)
+    found = verified(pairs, items)
+    reached = found.select(F.col("a").alias("rep"), F.col("b").alias("hub")).union(found.select("b", "a"))
+    to_hub = near_hubs.select("rep", F.explode("hubs").alias("hub")).join(reached, ["rep", "hub"], "left_semi")
+    alone = near_hubs.select("rep").join(to_hub.select("rep").distinct(), "rep", "left_anti").withColumn("alone", F.lit(1))
+    if not alone.take(1):
+        return found
+    finer = stage(_finer(rows, near_hubs, alone, weights))
+    more, _ = bucket_pairs(finer.select("key", "rep", "size", "weight"))
+    mark = finer.where("alone = 1").select("rep").distinct()
+    more = more.join(mark.withColumnRenamed("rep", "a"), "a", "left_semi").union(
+        more.join(mark.withColumnRenamed("rep", "b"), "b", "left_semi").select("a", "b")
     )
-    pairs = small.select("reps").distinct().select(F.explode(all_pairs).alias("p")).select("p.a", "p.b").distinct()
-    hubs = rows.groupBy("rep").agg(F.sum("size").alias("weight"))
-    large = rows.where(F.col("size") > SMALL).join(hubs, "rep").select("key", "rep", "weight")
-    found, tested = None, None
-    while True:
-        hub = large.groupBy("key").agg(F.max(F.struct("weight", "rep")).alias("h")).select("key", F.col("h.rep").alias("hub"))
-        rest = stage(
-            large.join(hub, "key").where(F.col("rep") != F.col("hub")).select("key", "rep", "weight", _pair(F.col("rep"), F.col("hub")).alias("p"))
+    more = more.distinct().join(pairs, ["a", "b"], "left_anti")
+    return found.union(verified(more, items)).distinct()
+
+
+def _finer(rows: DataFrame, near_hubs: DataFrame, alone: DataFrame, weights: DataFrame) -> DataFrame:
+    """Buckets of two bands (at most REACH apart) for the members of large buckets, where one member is ``alone``."""
+    live = rows.join(near_hubs.select("rep"), "rep", "left_semi").groupBy("rep")
+    live = live.agg(F.map_from_entries(F.collect_set(F.struct("band", "key"))).alias("live"))
+    at = lambda i: F.element_at("live", F.pmod(i, F.lit(BANDS)).cast("int"))
+    both = F.flatten(
+        F.transform(
+            F.map_keys("live"),
+            lambda i: F.transform(F.sequence(F.lit(1), F.lit(REACH)), lambda o: F.xxhash64(i, o, at(i), at(i + o)) + at(i + o) * 0),
         )
-        fresh = rest.select("p.a", "p.b").distinct()
-        fresh = pairs.union(fresh).distinct() if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
-        fresh = stage(fresh)
-        good = verified(docs, fresh)
-        found = good if found is None else stage(found.union(good))
-        tested = fresh if tested is None else stage(tested.union(fresh))
-        large = stage(
-            rest.select("key", "rep", "weight", "p.a", "p.b").join(found, ["a", "b"], "left_anti").select("key", "rep", "weight")
-        )
-        if not large.take(1):
-            return found
+    )
+    keys = live.select("rep", F.explode(F.array_compact(both)).alias("key"))
+    keys = keys.join(alone, "rep", "left").join(weights, "rep")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("alone").alias("n_alone"))
+    shared = shared.where((F.col("size") > 1) & (F.col("n_alone") > 0)).select("key", "size")
+    return keys.join(shared, "key")
 
 
 def classes(docs: DataFrame) -> DataFrame:

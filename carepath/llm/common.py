@@ -96,13 +96,22 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
 BROADCAST_BYTES = 8 * 1024 * 1024
 
 
-def without(docs: DataFrame, keys: DataFrame, on: dict[str, Column], key_bytes: int = 24) -> DataFrame:
-    """``docs`` without the rows whose key is in ``keys``. ``on`` gives, for each key column, the value in ``docs``;
-    nulls match nulls. The keys are staged and counted: a small set is broadcast, so the texts stay where they are."""
+def _filter(docs: DataFrame, keys: DataFrame, on: dict[str, Column], key_bytes: int, how: str) -> DataFrame:
     keys = stage(keys.select([F.col(k).alias(f"_key_{k}") for k in on]).distinct())
     side = F.broadcast(keys) if keys.count() * key_bytes <= BROADCAST_BYTES else keys
     condition = None
     for name, value in on.items():
         same = value.eqNullSafe(F.col(f"_key_{name}"))
         condition = same if condition is None else condition & same
-    return docs.join(side, condition, "left_anti")
+    return docs.join(side, condition, how)
+
+
+def without(docs: DataFrame, keys: DataFrame, on: dict[str, Column], key_bytes: int = 24) -> DataFrame:
+    """``docs`` without the rows whose key is in ``keys``. ``on`` gives, for each key column, the value in ``docs``;
+    nulls match nulls. The keys are staged and counted: a small set is broadcast, so the texts stay where they are."""
+    return _filter(docs, keys, on, key_bytes, "left_anti")
+
+
+def only(docs: DataFrame, keys: DataFrame, on: dict[str, Column], key_bytes: int = 24) -> DataFrame:
+    """``docs`` with only the rows whose key is in ``keys``; otherwise as ``without``."""
+    return _filter(docs, keys, on, key_bytes, "left_semi")
