@@ -174,14 +174,14 @@ def classify(docs: list[str], model: Prototypes) -> tuple[list[str], np.ndarray]
 
 def predict(docs: DataFrame, model: Prototypes, id_col: str = "doc_id", keep: tuple[Column, ...] = ()) -> DataFrame:
     """(id, kept columns, lang_pred, score) per row. The prototypes travel with the tasks: languages x dim floats."""
-    kept = docs.select(F.col(id_col).alias("doc_id"), *keep, text_or_empty().alias("text"))
-    fields = [f for f in kept.schema.fields if f.name != "text"]
+    kept = docs.select(F.col(id_col).alias("doc_id"), *keep, text_or_empty().alias("_text"))
+    fields = [f for f in kept.schema.fields if f.name != "_text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     names = [f.name for f in fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, "text"):
-            pred, score = classify(texts(batch), model)
+        for batch in byte_slices(batches, "_text"):
+            pred, score = classify(texts(batch, "_text"), model)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                 [*names, "lang_pred", "score"],
