@@ -11,9 +11,9 @@ text and ``</s>``. Control strings inside texts are escaped reversibly: every ``
 gets a backslash before it. Turns are formatted one row each; a conversation's output is its turns in order, read back
 by a parser that needs nothing but the formatted text.
 
-Defined results: a null text is empty, a null role is the empty role, a null conversation is a conversation of its own
-kind (null id); a message whose parent is missing is a root; repeated rows are turns of their own; equal turns are
-ordered by role and text; an empty table gives no conversations.
+Defined results: a null text is empty, a null role is the empty role; rows with a null conv_id are one conversation; a
+message whose parent is missing is a root; repeated rows are turns of their own; equal turns are ordered by role and
+text; an empty table gives no conversations. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -78,54 +78,61 @@ def chain(conversations: DataFrame) -> DataFrame:
     return joined.select("id", F.when(same, F.col("parent")).alias("parent"), "conv_id", "role", "text", F.lit(1.0).alias("score"))
 
 
-def ancestors(messages: DataFrame) -> list[DataFrame]:
-    """Tables (id, up, total, steps): the ancestor 2**k steps up (null beyond the root), the sum of scores of the
-    2**k messages from ``id`` on, and how many there are. The last table has no ancestor left."""
+def ancestors(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Pointer doubling -> (levels, paths).
+
+    Level k is (id, up): the ancestor 2**k steps up, for the messages that have one. ``paths`` is (id, root, total,
+    steps) of every message: its root, and the sum of scores and the number of messages on its path. A message whose
+    pointer has passed the root is finished and joins no further level, so a few deep trees cost only their own rows.
+    """
     known = messages.select(F.col("id").alias("parent"), F.lit(True).alias("_there"))
-    first = messages.join(known, "parent", "left").select(
-        "id", F.when(F.col("_there"), F.col("parent")).alias("up"),
-        F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("steps"),
+    answers = messages.where(F.col("parent").isNotNull()).join(known, "parent", "left")
+    opening = messages.where(F.col("parent").isNull()).withColumn("_there", F.lit(False))
+    first = stage(
+        answers.unionByName(opening).select(
+            "id",
+            F.when(F.col("_there"), F.col("parent")).alias("up"),
+            F.col("id").alias("top"),
+            F.coalesce("score", F.lit(0.0)).alias("total"),
+            F.lit(1).cast("long").alias("steps"),
+        )
     )
-    levels = [stage(first)]
-    while levels[-1].where(F.col("up").isNotNull()).take(1):
-        now = levels[-1]
-        above = now.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("steps").alias("_steps"))
-        levels.append(
-            stage(
-                now.join(above, "up", "left").select(
-                    "id",
-                    F.col("_up").alias("up"),
-                    (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-                    (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-                )
+    # A row covers the messages from ``id`` to ``top``; ``up`` is the next one above, null at a root.
+    now, levels = first, []
+    done = first.where(F.col("up").isNull())
+    while True:
+        going = now.where(F.col("up").isNotNull())
+        if not going.take(1):
+            return levels, done.select("id", F.col("top").alias("root"), "total", "steps")
+        levels.append(going.select("id", "up"))
+        above = going.union(done).select(
+            F.col("id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("total").alias("_total"), F.col("steps").alias("_steps")
+        )
+        now = stage(
+            going.join(above, "up").select(
+                "id",
+                F.col("_up").alias("up"),
+                F.col("_top").alias("top"),
+                (F.col("total") + F.col("_total")).alias("total"),
+                (F.col("steps") + F.col("_steps")).alias("steps"),
             )
         )
-    return levels
+        done = stage(done.union(now.where(F.col("up").isNull())))
 
 
 def best_paths(messages: DataFrame) -> DataFrame:
     """(id, root, depth): the messages on the best root-to-leaf path of each tree, depth 1 at the root."""
-    levels = ancestors(messages)
-    whole = levels[-1]
-    root = messages.select("id").join(_roots(levels), "id")
-    inner = levels[0].where(F.col("up").isNotNull()).select(F.col("up").alias("id")).distinct()
-    leaves = whole.join(inner, "id", "left_anti").join(root, "id")
+    levels, paths = ancestors(messages)
+    if levels:
+        leaves = paths.join(levels[0].select(F.col("up").alias("id")).distinct(), "id", "left_anti")
+    else:
+        leaves = paths
     rank = F.struct((F.col("total") / F.col("steps")).alias("mean"), F.col("steps"), (-F.col("id")).alias("smallest"))
     best = leaves.groupBy("root").agg(F.max(rank).alias("b")).select((-F.col("b.smallest")).alias("id"))
     path = stage(best)
-    for level in reversed(levels[:-1]):
-        up = level.where(F.col("up").isNotNull()).join(path, "id").select(F.col("up").alias("id"))
-        path = stage(path.union(up).distinct())
-    return path.join(root, "id").join(whole.select("id", F.col("steps").alias("depth")), "id")
-
-
-def _roots(levels: list[DataFrame]) -> DataFrame:
-    """(id, root), by following the longest jumps first."""
-    at = levels[0].select("id", F.col("id").alias("root"))
-    for level in reversed(levels[:-1]):
-        jump = level.where(F.col("up").isNotNull()).select(F.col("id").alias("root"), F.col("up").alias("_next"))
-        at = stage(at.join(jump, "root", "left").select("id", F.coalesce("_next", "root").alias("root")))
-    return at
+    for level in reversed(levels):
+        path = stage(path.union(level.join(path, "id").select(F.col("up").alias("id"))).distinct())
+    return path.join(paths.select("id", "root", F.col("steps").alias("depth")), "id")
 
 
 def _format(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
