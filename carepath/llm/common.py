@@ -87,6 +87,36 @@ def lists(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
 
 
+class HashLookup:
+    """Places of 64-bit keys in a fixed set. Keys are mixed by an odd factor; the top 20 bits of the product say where
+    to look among the sorted products, and a few steps at most follow."""
+
+    ODD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray):
+        mixed = np.ascontiguousarray(keys, np.int64).view(np.uint64) * self.ODD
+        self.place = np.append(np.argsort(mixed, kind="stable"), 0)
+        self.mixed = np.append(mixed[self.place[:-1]], np.uint64(0))
+        top = (self.mixed[:-1] >> np.uint64(44)).astype(np.int64)
+        self.first = np.searchsorted(top, np.arange((1 << 20) + 1))
+        self.steps = int(np.diff(self.first).max(initial=0))
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted key in the given order, -1 where it is not there."""
+        mixed = np.ascontiguousarray(wanted, np.int64).view(np.uint64) * self.ODD
+        top = (mixed >> np.uint64(44)).astype(np.int64)
+        at, end = self.first[top], self.first[top + 1]
+        out = np.full(len(mixed), -1, np.int64)
+        left = np.flatnonzero(at < end)
+        for _ in range(self.steps):
+            hit = self.mixed[at[left]] == mixed[left]
+            out[left[hit]] = self.place[at[left[hit]]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
 def narrow(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so extra columns of the input can never clash with the operator's own."""
     return df.select(*names)

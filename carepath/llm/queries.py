@@ -41,7 +41,7 @@ def op3_chat_trees(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    out = bpe_lexicon.decode(bpe_lexicon.encode(read_table(spark, sf, "documents")))
+    out = bpe_lexicon.encode(read_table(spark, sf, "documents"), decoded=True)
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return out.select(
         "doc_id",
