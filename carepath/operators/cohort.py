@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carepath.functions.scalar import percent
@@ -114,12 +114,7 @@ def class_weights(cohort: DataFrame, labels: DataFrame, split: str = TRAIN) -> D
     """Balanced class weights n / (2 * count(class)) over one split -> (label, n, weight)."""
     rows = attach_labels(cohort.where(F.col("split") == split).select("hadm_id"), labels)
     per_class = rows.groupBy("label").agg(F.count(F.lit(1)).cast("long").alias("n"))
-    # After the aggregate there is one row per class, so the un-partitioned window sees only those rows.
-    everything = Window.partitionBy()
-    return per_class.select(
-        "label",
-        "n",
-        (F.sum("n").over(everything).cast("double") / (F.count(F.lit(1)).over(everything) * F.col("n"))).alias(
-            "weight"
-        ),
-    )
+    # Two numbers pass the driver; the per-class rows stay a table.
+    total, classes = per_class.agg(F.sum("n"), F.count(F.lit(1))).first()
+    weight = F.lit(float(total or 0)) / (F.lit(classes) * F.col("n"))
+    return per_class.select("label", "n", weight.alias("weight"))

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carepath.functions.scalar import clamped_probability, count_vectorizer_tokens, sigmoid
@@ -51,18 +51,15 @@ def doc_freq_vocab(rows: DataFrame, k: int | None = None, split: str | None = TR
     """Terms by document frequency -> (term, df, rank); ties by term ascending. All terms, or the k most frequent.
 
     ``rows`` has distinct (hadm_id, code) rows (``code_rows``) or bags with a ``codes`` array. Distinct terms per
-    document make term frequency equal document frequency, so the cut is the one a binary vectorizer makes. A cut
-    ranks k rows; the full ranking comes from distributed positions.
+    document make term frequency equal document frequency, so the cut is the one a binary vectorizer makes. Ranks are
+    distributed positions, whatever k.
     """
     src = rows if split is None else rows.where(F.col("split") == split)
     code = F.explode(F.array_distinct("codes")) if "codes" in rows.columns else F.col("code")
     terms = src.select(code.alias("term")).where(F.col("term").isNotNull())
     dfreq = terms.groupBy("term").agg(F.count(F.lit(1)).cast("long").alias("df"))
-    if k is None:
-        ordered = row_index(dfreq.withColumn("_order", -F.col("df")), ["_order", "term"], "rank")
-        return ordered.select("term", "df", "rank")
-    best = dfreq.orderBy(F.desc("df"), "term").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("df"), "term")).cast("long"))
+    ordered = row_index(dfreq.withColumn("_order", -F.col("df")), ["_order", "term"], "rank").select("term", "df", "rank")
+    return ordered if k is None else ordered.where(F.col("rank") <= F.lit(k))
 
 
 def risk_features(rows: DataFrame, labels: DataFrame, split: str = TRAIN) -> DataFrame:
@@ -173,12 +170,13 @@ def fit_check(model: RiskModel, bags: DataFrame, tolerance: float = 1e-3) -> Dat
     weights = class_weights(train.select("hadm_id", "split"), train.select("hadm_id", "label"))
     rows = score_risk(model, bags, split=TRAIN).select("hadm_id", "y", sigmoid("margin").alias("p"))
     rows = materialize(rows.join(F.broadcast(weights.select(F.col("label").cast("double").alias("y"), "weight")), "y"))
+    # Sums of a fixed size pass the driver.
     totals = rows.agg(
-        F.count(F.lit(1)).cast("long").alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.sum("y").cast("long").alias("n_pos"),
         F.sum("weight").alias("weight_sum"),
         F.sum(F.col("weight") * (F.col("p") - F.col("y"))).alias("intercept"),
-    )
+    ).first()
     b = model.pipeline.stages[-1].coefficients.toArray().tolist()
     coefficients = spark.createDataFrame(list(zip(model.vocabulary, b)) or [("", 0.0)], "term string, b double")
     slopes = (
@@ -187,9 +185,10 @@ def fit_check(model: RiskModel, bags: DataFrame, tolerance: float = 1e-3) -> Dat
         .groupBy("term")
         .agg(F.sum(F.col("weight") * (F.col("p") - F.col("y"))).alias("g"))
         .join(coefficients, "term")
-        .agg(F.max(F.abs(F.col("g") + F.col("b"))).alias("steepest"), F.count(F.lit(1)).cast("long").alias("n_features"))
+        .agg(F.max(F.abs(F.col("g") + F.col("b"))).alias("steepest"), F.count(F.lit(1)).alias("n_features"))
+        .first()
     )
-    both = totals.withColumn("_one", F.lit(1)).join(slopes.withColumn("_one", F.lit(1)), "_one")
-    steepest = F.greatest(F.abs("intercept"), F.coalesce("steepest", F.lit(0.0)))
-    stationary = steepest <= F.lit(tolerance) * F.col("weight_sum")
-    return both.select("n", "n_pos", "n_features", F.round("weight_sum", 6).alias("weight_sum"), stationary.alias("stationary"))
+    weight_sum = totals.weight_sum or 0.0
+    steepest = max(abs(totals.intercept or 0.0), slopes.steepest or 0.0)
+    row = (totals.n, totals.n_pos or 0, slopes.n_features, round(weight_sum, 6), steepest <= tolerance * weight_sum)
+    return spark.createDataFrame([row], "n long, n_pos long, n_features long, weight_sum double, stationary boolean")

@@ -116,10 +116,15 @@ def _accuracy_select() -> str:
 
 def _scores() -> str:
     return """
-raw AS (SELECT l.doc_id AS hadm_id, CAST(l.toxic AS DOUBLE) AS y, CAST((d.n_chars % 41) - 20 AS DOUBLE) AS z_raw
+raw AS (SELECT l.doc_id AS hadm_id, CAST(l.toxic AS DOUBLE) AS y,
+               CASE WHEN d.doc_id % 97 = 0 THEN CAST('NaN' AS DOUBLE)
+                    ELSE CAST((d.n_chars * 7919) % 100003 AS DOUBLE) / CAST(4000.0 AS DOUBLE) - CAST(12.0 AS DOUBLE)
+               END AS z_raw
         FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
-sc AS (SELECT hadm_id, y, z_raw, greatest(CAST(-10.0 AS DOUBLE), least(CAST(10.0 AS DOUBLE), z_raw)) AS z FROM raw),
-scp AS (SELECT hadm_id, y, z_raw, z, 1.0 / (1.0 + exp(-z)) AS p FROM sc),
+sc AS (SELECT hadm_id, y, z_raw, CASE WHEN isnan(z_raw) THEN z_raw
+              ELSE greatest(CAST(-10.0 AS DOUBLE), least(CAST(10.0 AS DOUBLE), z_raw)) END AS z FROM raw),
+scp AS (SELECT hadm_id, y, z_raw, z, CASE WHEN isnan(z) THEN CAST(0.5 AS DOUBLE) ELSE 1.0 / (1.0 + exp(-z)) END AS p
+        FROM sc),
 g AS (SELECT p, sum(y) AS tp, sum(1 - y) AS fp FROM scp GROUP BY p),
 c AS (SELECT p, tp, fp,
              sum(tp) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ctp,
@@ -285,7 +290,8 @@ SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS n_pos,
        CAST((SELECT count(DISTINCT term) FROM tr) AS BIGINT) AS n_features,
        round(CAST(count(*) AS DOUBLE), 6) AS weight_sum, TRUE AS stationary FROM y""",
     "clamped_scores": f"""WITH {_scores().strip()}
-SELECT hadm_id, y, z_raw, z, round(p, 9) AS p FROM scp""",
+SELECT hadm_id, y, CASE WHEN NOT isnan(z_raw) THEN z_raw END AS z_raw, CASE WHEN NOT isnan(z) THEN z END AS z,
+       round(p, 9) AS p FROM scp""",
     "roc_auc": f"""WITH {_scores().strip()}
 SELECT CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg,
        round(sum(fp * (ctp - tp / 2.0)) / (n_pos * n_neg), 9) AS roc_auc FROM c, tot GROUP BY n_pos, n_neg""",
@@ -319,8 +325,8 @@ SELECT lang, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg,
        round(CASE WHEN n_pos = 0 THEN NULL ELSE sum(tp * ctp / (ctp + cfp)) / n_pos END, 9) AS average_precision
 FROM cl GROUP BY lang, n_pos, n_neg""",
     "log_loss": f"""WITH {_scores().strip()}
-SELECT CAST(count(*) AS BIGINT) AS n, round(avg(greatest(z, 0.0) - z * y + ln(1 + exp(-abs(z)))), 9) AS log_loss
-FROM scp""",
+SELECT CAST(count(*) AS BIGINT) AS n, round(avg(greatest(z0, 0.0) - z0 * y + ln(1 + exp(-abs(z0)))), 9) AS log_loss
+FROM (SELECT y, CASE WHEN isnan(z) THEN CAST(0 AS DOUBLE) ELSE z END AS z0 FROM scp) q""",
     "vectorize_notes": """
 WITH tok AS (SELECT doc_id AS hadm_id, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0B]+')) AS term
              FROM documents),

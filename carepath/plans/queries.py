@@ -311,11 +311,12 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_clamped_scores(spark: SparkSession, sf: str) -> DataFrame:
     s = tables.score_fixture(spark, sf)
+    number = lambda c: F.when(~F.isnan(c), c)  # noqa: E731  NaN is reported as null
     return s.select(
         "hadm_id",
         "y",
-        F.col("z").alias("z_raw"),
-        clamp("z").alias("z"),
+        number(F.col("z")).alias("z_raw"),
+        number(clamp("z")).alias("z"),
         F.round(clamped_probability("z"), 9).alias("p"),
     )
 
@@ -347,7 +348,8 @@ def q_ranking_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_log_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return me.log_loss(_scores(spark, sf), "y", "z")
+    """Loss on the clamped logits; a NaN logit counts as 0 (probability 0.5)."""
+    return me.log_loss(_scores(spark, sf).withColumn("z", F.nanvl("z", F.lit(0.0))), "y", "z")
 
 
 # ------------------------------------------------------------------------------------- notes, vectors

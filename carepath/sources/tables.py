@@ -95,12 +95,15 @@ def event_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(hadm_id, y, z) over labelled documents: y = toxic, z = n_chars % 41 - 20 (raw logit, unclamped)."""
+    """(hadm_id, y, z) over labelled documents: y = toxic, z = (n_chars * 7919 % 100003) / 4000 - 12 (raw logit with
+    many distinct values, some outside the clamp), NaN for every 97th id."""
     lab = read_table(spark, sf_dir, "labels").select(
         F.col("doc_id").cast("long").alias("hadm_id"), F.col("toxic").cast("double").alias("y")
     )
     docs = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long").alias("hadm_id"),
-        ((F.col("n_chars") % F.lit(41)) - F.lit(20)).cast("double").alias("z"),
+        F.when(F.col("doc_id") % F.lit(97) == 0, F.lit(float("nan")))
+        .otherwise((F.col("n_chars") * F.lit(7919) % F.lit(100003)).cast("double") / F.lit(4000.0) - F.lit(12.0))
+        .alias("z"),
     )
     return lab.join(docs, "hadm_id")
