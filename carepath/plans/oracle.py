@@ -224,6 +224,12 @@ FROM grid, pv GROUP BY gi, x, binw""",
 SELECT s.hadm_id, s.split, CAST(len(s.input_ids) AS BIGINT) AS n_inputs, CAST(COALESCE(a.label, 0) AS INTEGER) AS label,
        CAST(len(e.embedding) AS BIGINT) AS vec_dim, round(CAST(e.embedding[1] AS DOUBLE), 6) AS vec_first
 FROM sequences s JOIN embeddings e ON e.vec_id = s.hadm_id LEFT JOIN adm a ON a.hadm_id = s.hadm_id""",
+    "one_vector_per_admission": """
+SELECT hadm_id, round(q, 4) AS v0, round(d, 4) AS v1
+FROM (SELECT l_orderkey AS hadm_id, CAST(CAST(l_quantity AS FLOAT) AS DOUBLE) AS q,
+             CAST(CAST(l_discount AS FLOAT) AS DOUBLE) AS d,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_quantity DESC, l_discount DESC) AS r
+      FROM lineitem) t WHERE r = 1""",
     "modality_drop_counts": f"""WITH {prep('F2')}
 SELECT s.split,
        CAST(sum(CASE WHEN e.hadm_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS kept,

@@ -20,7 +20,7 @@ from carepath.operators import metrics as me
 from carepath.operators import risk as rk
 from carepath.operators import sequences as sq
 from carepath.operators import vectors as vx
-from carepath.operators.examples import assemble_examples, modality_drop_counts
+from carepath.operators.examples import assemble_examples, modality_drop_counts, unique_vectors
 from carepath.operators.vocab import decode_codes
 from carepath.plans.fixtures import build_cohort, inputs, prepare
 from carepath.plans.report import compare_models, forecast_report
@@ -190,6 +190,17 @@ def q_examples_joined(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_one_vector_per_admission(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line item is a note of its order, its numbers the note's vector: one vector per order, the last line's."""
+    notes = tables.read_table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("long").alias("hadm_id"),
+        F.col("l_linenumber").cast("long").alias("seq"),
+        F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double")).alias("vec"),
+    )
+    one = unique_vectors(notes, "seq")
+    return one.select("hadm_id", *(F.round(F.col("vec")[i].cast("double"), 4).alias(f"v{i}") for i in (0, 1)))
+
+
 def q_modality_drop_counts(spark: SparkSession, sf: str) -> DataFrame:
     p = prepare(spark, sf, "F2")
     return modality_drop_counts(p.sequence_ids, tables.note_vectors(spark, sf), p.inputs.labels)
@@ -456,6 +467,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "length_histogram": q_length_histogram,
     "length_density": q_length_density,
     "examples_joined": q_examples_joined,
+    "one_vector_per_admission": q_one_vector_per_admission,
     "modality_drop_counts": q_modality_drop_counts,
     "next_code_model": q_next_code_model,
     "forecast_topk_accuracy": q_forecast_topk_accuracy,
