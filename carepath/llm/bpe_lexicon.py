@@ -433,8 +433,8 @@ class Encoder:
 _ENCODERS: dict[tuple[int, int], Encoder] = {}
 
 
-def _encoder(source: str, lexicon: bytes) -> Encoder:
-    """One encoder per Python worker and lexicon: tasks that follow reuse its memo."""
+def shared_encoder(source: str, lexicon: bytes) -> Encoder:
+    """One encoder per Python worker and lexicon, for all tasks of the worker."""
     key = (hash(source), hash(lexicon))
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -516,7 +516,7 @@ def encode(
     names = [f.name for f in fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(source, data)
+        encoder = shared_encoder(source, data)
         decoder = Decoder(encoder.bpe)
         for batch in byte_slices(batches, "_text", ENCODE_BYTES):
             ids = _id_list(*encoder.encode_array(batch.column(batch.schema.get_field_index("_text"))))
