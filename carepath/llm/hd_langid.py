@@ -59,6 +59,8 @@ class TrigramCounts:
     letters: np.ndarray
 
     def vectors(self, dim: int = DIM) -> np.ndarray:
+        if not len(self.letters):
+            return np.zeros((0, dim), np.float32)
         codes, at = np.unique(self.letters, return_inverse=True)
         table = np.stack([letter_vector(int(c), dim) for c in codes])
         at = at.reshape(self.letters.shape)

@@ -16,7 +16,7 @@ def small_corpus(spark, folder):
     rows += [(100 + i, rows[i][1], "en", "s1") for i in range(5)]
     rows += [(200, rows[6][1].replace(" ", "  ") + " extra", "en", "s1"), (201, "too short", "en", "s1"), (202, None, "en", "s1")]
     leak = " ".join(f"bench{k}" for k in range(25))
-    rows += [(300, rows[8][1] + " " + leak, "en", "s2"), (301, rows[9][1] + " mail me.x@mail.example.com now", "en", "s2")]
+    rows += [(300, prose(rng, "en", 60) + " " + leak, "en", "s2"), (301, prose(rng, "en", 60) + " mail me.x@mail.example.com now", "en", "s2")]
     docs = spark.createDataFrame([(i, t, x, s, None if t is None else len(t)) for i, t, x, s in rows], KIND)
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
