@@ -39,14 +39,14 @@ from carepath.llm.common import HashLookup, byte_slices, lists, stage, text_or_e
 
 LEXICON_WORDS = 150_000
 # Bytes of text encoded together: the more, the fewer distinct pieces are met again.
-ENCODE_BYTES = 4_000_000
+ENCODE_BYTES = 2_000_000
 HEAP_FROM = 48
 # Words up to this many bytes are merged together, longer ones one by one.
 WIDE = 32
 NO_MERGE = 1 << 62
 # Characters whose normal form, lower case and class need no library: see the docstring.
 ODD = (
-    r"[^\x00-\x{12f}\x{131}-\x{2ff}\x{370}-\x{373}\x{375}-\x{377}\x{37b}-\x{37d}\x{384}-\x{386}\x{388}-\x{38a}"
+    r"[^\x00-\x{12f}\x{131}-\x{239}\x{23b}-\x{23d}\x{23f}-\x{2ff}\x{370}-\x{373}\x{375}-\x{377}\x{37b}-\x{37d}\x{384}-\x{386}\x{388}-\x{38a}"
     r"\x{38c}\x{38e}-\x{3a1}\x{3a3}-\x{482}\x{48a}-\x{52f}]"
 )
 # Fixed value: the pattern of words that cut_words implements.

@@ -43,7 +43,8 @@ def text_or_empty(text: str | Column = "text") -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text, in order; white space at either end makes no empty word."""
-    return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != F.lit(""))
+    inner = F.btrim(text, F.lit(SPACE_CHARS))
+    return F.when(inner == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(inner, SPACE_CLASS + "+"))
 
 
 def hashed(tokens: Column) -> Column:
@@ -72,6 +73,7 @@ def byte_slices(
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(start, stop - start)
             start, done = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()  # the worker may wait for its next task, or for none
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

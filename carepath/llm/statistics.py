@@ -111,7 +111,7 @@ def histograms(stats: DataFrame) -> DataFrame:
         *names,
         "_t",
         stripped.alias("_a"),
-        F.filter(F.split(F.lower("_t"), "[^\\p{L}]+"), lambda w: w != F.lit("")).alias("_tokens"),
+        F.split(F.lower("_t"), "[^\\p{L}]+").alias("_tokens"),
     )
     out = out.select(
         *names,
@@ -119,7 +119,14 @@ def histograms(stats: DataFrame) -> DataFrame:
         F.length("_a").alias("_l1"),
         F.regexp_replace(F.regexp_replace("_a", SPACE_CLASS + "+", ""), "\\p{Lu}+", "").alias("_b"),
         F.length(F.regexp_replace("_a", SPACE_CLASS + "+", "")).alias("_l2"),
-        F.size("_tokens").cast("long").alias("n_tokens"),
+        # The split leaves an empty token before the first or after the last letter run.
+        (
+            F.size("_tokens")
+            - (F.get("_tokens", F.lit(0)) == F.lit("")).cast("int")
+            - ((F.size("_tokens") > 1) & (F.element_at("_tokens", -1) == F.lit(""))).cast("int")
+        )
+        .cast("long")
+        .alias("n_tokens"),
         F.sort_array(F.filter("_tokens", lambda w: w.isin(vocabulary))).alias("_common"),
     )
     b = F.col("_b")
