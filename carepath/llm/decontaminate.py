@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare word n-grams of test items seed Smith-Waterman alignments in the documents.
+"""Benchmark decontamination: word n-grams of test items seed Smith-Waterman alignments in the documents.
 
 Every n-gram of a benchmark item is looked up in every document (words are runs of letters and digits, lower case).
 The lookup table holds benchmark n-grams only; it is sent to the tasks in blocks of at most MAX_GRAMS, one pass over
-the documents per block, so a benchmark of any size fits. Document frequencies of the n-grams are counted over all
-documents. An item's seeds are its rarest n-grams: those whose frequency is at most RARE_FACTOR times the median of
-the item's own, so a passage that a third of the corpus copied still has seeds, while n-grams of common words do not
-start alignments. For each (document, item) with a seed, the words around the matches are aligned with the item by
-Smith-Waterman over word hashes (match 1, mismatch and gap -0.5). The pair is reported when the score is at least
-THRESHOLD of the item's length; exact copies score 1, paraphrases with a fifth of the words replaced about 0.7.
+the documents per block, so a benchmark of any size fits. Every n-gram that a document shares with an item is a seed,
+however many documents hold it. For each (document, item) with a seed, the words around the matches are aligned with the
+item by Smith-Waterman over word hashes (match 1, mismatch and gap -0.5). The pair is reported when the score is at least
+THRESHOLD of the item's length; exact copies score 1, paraphrases with a fifth of the words replaced about 0.7. A score
+is at most the number of the item's words that occur in the region, so pairs with too few of them are not aligned.
 
 Defined results: null texts and texts or items of fewer than N words have no n-gram and are never reported; a null
 doc_id or item_id is kept as it is in the pairs; repeated rows with one doc_id count as one document; an empty table on
@@ -28,7 +27,6 @@ from carepath.llm.common import byte_slices, hashed, lists, stage, text_or_empty
 
 N = 3
 MAX_GRAMS = 2_000_000
-RARE_FACTOR = 4
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 # Cells of one block of alignments (pairs x region x item).
@@ -36,7 +34,6 @@ BLOCK_CELLS = 4_000_000
 
 _U = np.uint64
 _M = _U(0xD6E8FEB86659FD93)
-NO_ID = "null"
 
 
 def tokens(text: Column) -> Column:
@@ -161,8 +158,21 @@ def align(regions: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
+def _common(flat: np.ndarray, off: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many words of each row's item occur in its region (a hash may count one too many, never too few)."""
+    rows = len(off) - 1
+    own = [mix(np.repeat(np.arange(1, rows + 1, dtype=_U), np.diff(o)) * _M) for o in (off, at)]
+    there = np.isin(mix(words.view(_U) ^ own[1]), mix(flat.view(_U) ^ own[0]))
+    return np.bincount(np.repeat(np.arange(rows), np.diff(at))[there], minlength=rows)
+
+
 def _score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in byte_slices(batches, "region"):
+    for given in byte_slices(batches, "region"):
+        common = _common(*(np.ascontiguousarray(x) for name in ("region", "words") for x in lists(given, name)))
+        long = np.diff(lists(given, "words")[1])
+        whole = given.filter(pa.array(MATCH * common >= THRESHOLD * long))
+        if not whole.num_rows:
+            continue
         flat, off = lists(whole, "region")
         words, at = lists(whole, "words")
         cells = np.cumsum(np.diff(off) * np.diff(at))
@@ -214,16 +224,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = rows.mapInArrow(_lookup(table, empty, reach), f"doc_id {id_kind}, first long, grams array<long>, region array<long>")
         found = part if found is None else found.unionByName(part)
     found = stage(found.withColumn("cluster", F.monotonically_increasing_id()))
-    hits = found.select("cluster", F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_ID)).alias("d"), F.explode("grams").alias("gram"))
-    frequency = hits.distinct().groupBy("gram").agg(F.count_distinct("d").alias("df"))
-    counted = stage(grams.join(frequency, "gram", "left").select("item", "gram", F.coalesce("df", F.lit(0)).alias("df")).distinct())
-    usual = (
-        counted.where("df > 0")
-        .groupBy(F.col("item").alias("same"))
-        .agg(F.percentile_approx("df", 0.5, 10000).alias("usual"))
-    )
-    seeds = counted.join(usual, F.col("item").eqNullSafe(F.col("same"))).where(F.col("df") <= RARE_FACTOR * F.col("usual"))
-    seeds = seeds.select("item", "gram").distinct()
+    hits = found.select("cluster", F.explode(F.array_distinct("grams")).alias("gram"))
+    seeds = grams.select("item", "gram").distinct()
     words = items.mapInArrow(_item_words(empty), f"item {item_kind}, words array<long>").distinct()
     pairs = hits.join(seeds, "gram").select("cluster", "item").distinct()
     words = words.select(F.col("item").alias("same"), "words")

@@ -65,6 +65,17 @@ def test_copies_edits_and_clean_documents(spark):
     assert clean == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_edited_copies_next_to_an_exact_one(spark):
+    """Most n-grams of the item are in the exact copy only; those of the edited copies are all in seven documents."""
+    rng = random.Random(12)
+    item = passage(rng, 30)
+    copy = [f"r{k}" if k % 4 == 3 else w for k, w in enumerate(item)]
+    rows = [(0, " ".join(item))] + [(i, f"start {' '.join(copy)} end{i}") for i in range(1, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in dc.matches(docs, bench).collect()} == set(range(8))
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     rng = random.Random(10)
     items = [passage(rng, 15) for _ in range(12)]
