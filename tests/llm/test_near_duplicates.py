@@ -120,3 +120,14 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(low)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_that_share_large_buckets_only_and_no_hub(spark):
+    """All texts share all buckets, as with one common passage: each is near one other, few are near a hub."""
+    rng = random.Random(21)
+    base = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(150)]
+    texts = base + [t + " end" for t in base]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    bands = ", ".join(f"{k}L" for k in range(bm.BANDS))
+    found = bm.links(docs, docs.selectExpr("doc_id AS rep", f"array({bands}) AS bands"))
+    assert sorted(map(tuple, found.collect())) == [(i, i + 150) for i in range(150)]
