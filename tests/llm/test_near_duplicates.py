@@ -131,3 +131,20 @@ def test_pairs_that_share_large_buckets_only_and_no_hub(spark):
     bands = ", ".join(f"{k}L" for k in range(bm.BANDS))
     found = bm.links(docs, docs.selectExpr("doc_id AS rep", f"array({bands}) AS bands"))
     assert sorted(map(tuple, found.collect())) == [(i, i + 150) for i in range(150)]
+
+
+def test_families_of_different_hubs_are_joined(spark, monkeypatch):
+    """Drifting versions: each is near its neighbours only, and the ends of two hubs' reach are near each other."""
+    monkeypatch.setattr(bm, "SMALL", 1)
+    monkeypatch.setattr(bm, "HUBS", 1)
+    rng = random.Random(8)
+    rows = []
+    for _ in range(6):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+        for _ in range(30):
+            words[rng.randrange(120)] = f"new{rng.randint(0, 10**6)}"
+            words[rng.randrange(120)] = f"new{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string").repartition(4)  # some rows twice
+    got = {r.doc_id: r["class_id"] for r in bm.classes(docs).collect()}
+    assert got == brute_classes(rows)
