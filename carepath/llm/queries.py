@@ -8,7 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import attention_lm, bagminhash, bpe_lexicon, chat_trees, common, decontaminate, extendible, hd_langid, pii_crf, quality_classifier, quality_rules
+from carepath.llm import (
+    attention_lm,
+    bagminhash,
+    bpe_lexicon,
+    chat_trees,
+    common,
+    decontaminate,
+    extendible,
+    hd_langid,
+    periodic_runs,
+    pii_crf,
+    quality_classifier,
+    quality_rules,
+)
 from carepath.sources.tables import read_table
 
 
@@ -79,6 +92,25 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return extendible.shard(docs, n_bytes=F.col("n_bytes"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", periodic_runs.planted().alias("text"))
+    found = periodic_runs.detect(docs)
+    row = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    found = found.withColumn("_best", best)
+    length, period = F.col("_best.length"), -F.col("_best.col3")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_best.col2")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(F.lit(1000) * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(row, lambda r: F.concat(r, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_personal_data": op2_personal_data,
@@ -90,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {}
