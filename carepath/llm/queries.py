@@ -17,6 +17,7 @@ from carepath.llm import (
     decontaminate,
     extendible,
     hd_langid,
+    merkle,
     periodic_runs,
     pii_crf,
     quality_classifier,
@@ -92,6 +93,25 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return extendible.shard(docs, n_bytes=F.col("n_bytes"))
 
 
+# The letters that the contract's tampering lower-cases.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = merkle.leaf_hash(*fields, F.translate("text", UPPER, LOWER))
+    manifest = merkle.build(
+        docs,
+        leaf=merkle.leaf_hash(*fields, F.col("text")),
+        group="source",
+        order="doc_id",
+        keep=("doc_id",),
+        claimed=F.when(common.fold("doc_id", 5) == F.lit(0), tampered),
+    )
+    return merkle.verify(manifest)
+
+
 def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", periodic_runs.planted().alias("text"))
     found = periodic_runs.detect(docs)
@@ -122,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
