@@ -17,6 +17,7 @@ from carepath.llm import (
     decontaminate,
     extendible,
     hd_langid,
+    html_mincut,
     merkle,
     periodic_runs,
     pii_crf,
@@ -112,6 +113,10 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.verify(manifest)
 
 
+def op12_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_mincut.extract(read_table(spark, sf, "pages"), html_mincut.default_weights(spark))
+
+
 def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", periodic_runs.planted().alias("text"))
     found = periodic_runs.detect(docs)
@@ -143,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_html_text": op12_html_text,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
