@@ -327,8 +327,8 @@ def fit(table: DataFrame) -> Crf:
 
 _CHECKS = {
     "email": lambda x: "@" in x.strip("@"),
-    "ip": lambda x: x.count(".") == 3 and all(p.isdigit() for p in x.split(".")) and _is_ip(x),
-    "card": _is_card,
+    "ip": lambda x: _IP.fullmatch(x) is not None and _is_ip(x),
+    "card": lambda x: _CARD.fullmatch(x) is not None and _is_card(x),
     "phone": lambda x: 7 <= len(_DIGIT.findall(x)) <= 15 and _IP.fullmatch(x) is None,
     "secret": lambda x: len(x) >= 20,
 }
@@ -409,7 +409,7 @@ def all_spans(docs: Sequence[str], model: Crf) -> list[tuple[list[Span], list[Sp
         more = [
             s
             for s in tagged
-            if _CHECKS[s[0]](text[s[1] : s[2]]) and not any(s[1] < b[2] and b[1] < s[2] for b in own)
+            if not any(s[1] < b[2] and b[1] < s[2] for b in own) and _CHECKS[s[0]](text[s[1] : s[2]])
         ]
         out.append((own, sorted(own + more, key=lambda s: (KINDS.index(s[0]), s[1])) if more else own))
     return out

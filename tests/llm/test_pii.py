@@ -108,3 +108,34 @@ def test_find_and_redact_every_row(spark, model):
     assert pii.redact(docs.limit(0), model).count() == 0
     table = pii.labelled_table(spark)
     assert pii.fit(table).index.keys() == model.index.keys()
+
+
+def test_characters_that_only_look_like_digits():
+    """Every Unicode digit, number, mark and letter class beside or inside each kind: no error, ASCII digits only."""
+    import sys
+    import unicodedata
+
+    seen: dict[str, list[str]] = {}
+    for code in range(sys.maxunicode + 1):
+        c = chr(code)
+        if not 0xD800 <= code < 0xE000:
+            kind = unicodedata.category(c) + str(c.isdigit()) + str(c.isdecimal()) + str(c.isnumeric())
+            if len(seen.setdefault(kind, [])) < 3:
+                seen[kind].append(c)
+    odd = [c for group in seen.values() for c in group] + list("²¹⁴٣५④Ⅳ")
+    texts = ["server at 10.20.30.4² is up"]
+    for c in odd:
+        texts += [
+            f"server at 10.20.30.4{c} and 10.2{c}.30.4 and 1{c}.{c}.{c}.{c} is up",
+            f"card 4111 1111 1111 111{c} or 4111{c}111111111111 or {c * 16} here",
+            f"call +49 30 1234 567{c} or +{c} 30 123456 now",
+            f"mail jo{c}@example.org or jo@ex{c}mple.org{c}",
+            f"key = AKIA{c}IOSFODNN7EXAMPLE{c}abcdefghij0123456789",
+        ]
+    model = pii.train(sorted(pii.labelled_rows()))
+    for text, (own, both) in zip(texts, pii.all_spans(texts, model)):
+        assert set(own) <= set(both)
+        for kind, a, b in both:
+            if kind in ("ip", "card"):
+                assert all(c in "0123456789 .-" for c in text[a:b])
+    assert ("ip", 10, 20) in pii.all_spans(texts[:1], model)[0][0]
