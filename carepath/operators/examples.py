@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from carepath.operators.cohort import attach_labels
@@ -38,3 +38,22 @@ def modality_drop_counts(sequences: DataFrame, note_vectors: DataFrame, labels:
         F.sum((~kept).cast("int")).cast("long").alias("dropped"),
         F.sum((kept & F.col("label_missing")).cast("int")).cast("long").alias("missing_label"),
     )
+
+
+def assemble_counted(
+    sequences: DataFrame, note_vectors: DataFrame, labels: DataFrame, vector_order: str | None = None
+) -> tuple[DataFrame, Observation]:
+    """``assemble_examples`` with its counts taken in the same pass: kept, dropped (no vector) and, of the kept,
+    missing_label. The observation is filled by the first action on the examples. The tables should come from a
+    ``session.counting_session``."""
+    vectors = unique_vectors(note_vectors, vector_order)
+    marked = attach_labels(sequences.join(vectors, "hadm_id", "left"), labels)
+    kept = F.col("vec").isNotNull()
+    counts = Observation()
+    seen = marked.observe(
+        counts,
+        F.count_if(kept).alias("kept"),
+        F.count_if(~kept).alias("dropped"),
+        F.count_if(kept & F.col("label_missing")).alias("missing_label"),
+    )
+    return seen.where(kept), counts

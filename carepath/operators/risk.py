@@ -143,52 +143,90 @@ def score_risk(model: RiskModel, bags: DataFrame, note_vectors: DataFrame | None
     )
 
 
+def coefficients(model: RiskModel) -> DataFrame:
+    """(kind, term, place, b): the model's coefficients, one row each: ``code`` by term, ``note`` by place in the note
+    vector, and the ``intercept``. As many rows as the fitted model holds on the driver anyway."""
+    lr = model.pipeline.stages[-1]
+    b = lr.coefficients.toArray().tolist()
+    n = len(model.vocabulary)
+    rows = [("intercept", None, None, float(lr.intercept))]
+    rows += [("code", t, None, v) for t, v in zip(model.vocabulary, b)]
+    rows += [("note", None, i, v) for i, v in enumerate(b[n:])]
+    return SparkSession.active().createDataFrame(rows, "kind string, term string, place int, b double")
+
+
 def save_risk(model: RiskModel, path: str) -> None:
-    """Store the fitted pipeline, the vocabulary (rank, term) and whether notes are used, under ``path``."""
+    """Store under ``path`` the fitted pipeline, the vocabulary (rank, term), the coefficients as a table, and whether
+    notes are used."""
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
     spark = SparkSession.active()
     terms = spark.createDataFrame(list(enumerate(model.vocabulary, 1)), "rank long, term string")
     terms.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    coefficients(model).write.mode("overwrite").parquet(f"{path}/coefficients")
     spark.createDataFrame([(model.with_notes,)], "with_notes boolean").write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def stored_margins(
+    spark: SparkSession, path: str, bags: DataFrame, note_vectors: DataFrame | None = None
+) -> DataFrame:
+    """(hadm_id, margin) from the stored coefficients alone, by joins and sums: intercept, plus the coefficients of the
+    admission's distinct codes, plus note vector times note coefficients. Admissions as ``score_risk`` sees them."""
+    stored = spark.read.parquet(f"{path}/coefficients")
+    start = stored.where(F.col("kind") == "intercept").first()["b"]
+    codes = stored.where(F.col("kind") == "code").select("term", "b")
+    places = stored.where(F.col("kind") == "note").select("place", "b")
+    rows = bags if note_vectors is None else bags.join(note_vectors.select("hadm_id").distinct(), "hadm_id", "left_semi")
+    parts = rows.select("hadm_id", F.explode(F.array_distinct("codes")).alias("term")).join(codes, "term").select("hadm_id", "b")
+    if note_vectors is not None:
+        cells = unique_vectors(note_vectors).select("hadm_id", F.posexplode("vec").alias("place", "x"))
+        parts = parts.unionByName(cells.join(places, "place").select("hadm_id", (F.col("x").cast("double") * F.col("b")).alias("b")))
+    sums = parts.groupBy("hadm_id").agg(F.sum("b").alias("_sum"))
+    out = rows.select("hadm_id").join(sums, "hadm_id", "left")
+    return out.select("hadm_id", (F.lit(start) + F.coalesce("_sum", F.lit(0.0))).alias("margin"))
+
+
 def load_risk(spark: SparkSession, path: str) -> RiskModel:
     terms = spark.read.parquet(f"{path}/vocabulary").orderBy("rank").collect()
     with_notes = spark.read.parquet(f"{path}/meta").first()["with_notes"]
     return RiskModel(PipelineModel.load(f"{path}/pipeline"), with_notes, tuple(r["term"] for r in terms))
 
 
-def fit_check(model: RiskModel, bags: DataFrame, tolerance: float = 1e-3) -> DataFrame:
-    """(n, n_pos, n_features, weight_sum, stationary) of a codes-only model on its training rows.
+def fit_check(model: RiskModel, bags: DataFrame, note_vectors: DataFrame | None = None, tolerance: float = 1e-3) -> DataFrame:
+    """(n, n_pos, n_features, weight_sum, stationary) of a model on its training rows, with the note vectors that it was
+    fitted with, if any.
 
     ``stationary``: at the fitted coefficients b, every part of the objective's gradient,
-    b_j + sum over admissions with term j of w (p - y), is below ``tolerance`` times the weight sum; p is the
-    unclamped probability.
+    b_j + sum over admissions of w (p - y) x_j, is below ``tolerance`` times the weight sum; x_j is 1 for the codes of
+    the admission, else the note vector's value; p is the unclamped probability.
     """
     spark = bags.sparkSession
-    train = bags.where(F.col("split") == TRAIN)
+    train = _features(bags.where(F.col("split") == TRAIN), note_vectors)
     weights = class_weights(train.select("hadm_id", "split"), train.select("hadm_id", "label"))
-    rows = score_risk(model, bags, split=TRAIN).select("hadm_id", "y", sigmoid("margin").alias("p"))
+    rows = score_risk(model, bags, note_vectors, split=TRAIN).select("hadm_id", "y", sigmoid("margin").alias("p"))
     rows = materialize(rows.join(F.broadcast(weights.select(F.col("label").cast("double").alias("y"), "weight")), "y"))
+    residual = F.col("weight") * (F.col("p") - F.col("y"))
     # Sums of a fixed size pass the driver.
     totals = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("y").cast("long").alias("n_pos"),
         F.sum("weight").alias("weight_sum"),
-        F.sum(F.col("weight") * (F.col("p") - F.col("y"))).alias("intercept"),
+        F.sum(residual).alias("intercept"),
     ).first()
-    b = model.pipeline.stages[-1].coefficients.toArray().tolist()
-    coefficients = spark.createDataFrame(list(zip(model.vocabulary, b)) or [("", 0.0)], "term string, b double")
+    b = coefficients(model)
     slopes = (
         train.select("hadm_id", F.explode("codes").alias("term"))
         .join(rows, "hadm_id")
         .groupBy("term")
-        .agg(F.sum(F.col("weight") * (F.col("p") - F.col("y"))).alias("g"))
-        .join(coefficients, "term")
-        .agg(F.max(F.abs(F.col("g") + F.col("b"))).alias("steepest"), F.count(F.lit(1)).alias("n_features"))
-        .first()
+        .agg(F.sum(residual).alias("g"))
+        .join(b.where(F.col("kind") == "code").select("term", "b"), "term")
+        .select("g", "b")
     )
+    if note_vectors is not None:
+        cells = train.select("hadm_id", F.posexplode(vector_to_array("note_vec")).alias("place", "x")).join(rows, "hadm_id")
+        notes = cells.groupBy("place").agg(F.sum(residual * F.col("x")).alias("g"))
+        slopes = slopes.unionByName(notes.join(b.where(F.col("kind") == "note").select("place", "b"), "place").select("g", "b"))
+    steep = slopes.agg(F.max(F.abs(F.col("g") + F.col("b"))).alias("steepest"), F.count(F.lit(1)).alias("n_features")).first()
     weight_sum = totals.weight_sum or 0.0
-    steepest = max(abs(totals.intercept or 0.0), slopes.steepest or 0.0)
-    row = (totals.n, totals.n_pos or 0, slopes.n_features, round(weight_sum, 6), steepest <= tolerance * weight_sum)
+    steepest = max(abs(totals.intercept or 0.0), steep.steepest or 0.0)
+    row = (totals.n, totals.n_pos or 0, steep.n_features, round(weight_sum, 6), steepest <= tolerance * weight_sum)
     return spark.createDataFrame([row], "n long, n_pos long, n_features long, weight_sum double, stationary boolean")

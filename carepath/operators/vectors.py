@@ -6,7 +6,7 @@ only the dense matrix products (projection, top-k scoring) use Arrow-batched pan
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -82,11 +82,11 @@ def vectorize_notes_with(
 
 
 def fit_note_clusters(note_vectors: DataFrame, train_ids: DataFrame, k: int = 10, seed: int = 42,
-                      max_iter: int = 20) -> KMeansModel:
+                      max_iter: int = 20, tol: float = 1e-4) -> KMeansModel:
     """KMeans on the train split's note vectors only (no test information enters the clusters)."""
     train = note_vectors.join(train_ids.select("hadm_id"), "hadm_id", "left_semi")
     data = train.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(data)
+    return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features").fit(data)
 
 
 def assign_clusters(model: KMeansModel, note_vectors: DataFrame) -> DataFrame:
@@ -95,6 +95,34 @@ def assign_clusters(model: KMeansModel, note_vectors: DataFrame) -> DataFrame:
     return model.transform(data).select("hadm_id", F.col("prediction").cast("long").alias("cluster"))
 
 
+def cluster_evidence(model: KMeansModel, vectors: DataFrame) -> DataFrame:
+    """(hadm_id, cluster, off_nearest, off_mean) of the rows that the model was fitted on: how much farther the row's
+    own centre is than the nearest one, and how far that centre is from the mean of its rows. Both are 0 for clusters
+    that have settled. Distances are taken in numpy against all centres (k x dimensions, as the model holds them);
+    means are one average per cluster and dimension."""
+    centres = np.stack(model.clusterCenters())
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack([np.asarray(v, np.float64) for v in b["vec"]])
+                d = np.stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in centres], axis=1)
+                own = d[np.arange(len(d)), b["cluster"].to_numpy()]
+                yield pd.DataFrame({"hadm_id": b["hadm_id"], "cluster": b["cluster"], "off_nearest": own - d.min(axis=1)})
+
+    rows = vectors.select("hadm_id", F.col("vec").cast("array<double>").alias("vec"))
+    rows = rows.join(assign_clusters(model, vectors), "hadm_id")
+    measured = rows.mapInPandas(measure, "hadm_id long, cluster long, off_nearest double")
+    cells = rows.select("cluster", F.posexplode("vec").alias("dim", "x"))
+    means = cells.groupBy("cluster", "dim").agg(F.avg("x").alias("mean"))
+    table = [(i, j, float(v)) for i, c in enumerate(centres) for j, v in enumerate(c)]
+    held = vectors.sparkSession.createDataFrame(table, "cluster long, dim int, centre double")
+    off = means.join(held, ["cluster", "dim"]).groupBy("cluster").agg(
+        F.sqrt(F.sum((F.col("mean") - F.col("centre")) ** 2)).alias("off_mean")
+    )
+    return measured.join(off, "cluster").select("hadm_id", "cluster", "off_nearest", "off_mean")
+
+
 def gated_fusion(
     df: DataFrame, code_col: str, note_col: str, weights: Sequence[float], bias: float, out_col: str = "fused"
 ) -> DataFrame:
@@ -152,6 +180,39 @@ def apply_projection(model: "PCAModel", df: DataFrame, col: str = "vec", out_col
     return out.withColumn(out_col, vector_to_array("_proj")).drop("_features", "_proj")
 
 
+def projection_moments(projected: DataFrame, col: str = "proj") -> DataFrame:
+    """(n, dims, trace, trace_of_square, trace_of_cube, largest_covariance, descending) of the projected columns: power
+    sums of their variances, the largest covariance of two different columns in size, and whether the variances
+    descend. One Arrow map sums each partition's products (dims x dims), one aggregation sums those."""
+    spark = projected.sparkSession
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            if len(b):
+                x = np.stack([np.asarray(v, np.float64) for v in b["x"]])
+                x = np.hstack([np.ones((len(x), 1)), x])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+    sums = projected.select(F.col(col).alias("x")).mapInPandas(products, "i int, j int, v double")
+    cells = sums.groupBy("i", "j").agg(F.sum("v")).collect()  # (dims + 1)^2 numbers, as the fitted matrix has
+    d = max((r[0] for r in cells), default=0)
+    m = np.zeros((d + 1, d + 1))
+    for i, j, v in cells:
+        m[i, j] = v
+    n = m[0, 0]
+    c = (m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / max(n, 1)) / max(n - 1, 1)
+    v = np.diag(c)
+    off = float(np.abs(c - np.diag(v)).max(initial=0.0))
+    falls = bool((np.diff(v) <= 1e-12).all())
+    row = (int(n), d, *(round(float((v**p).sum()), 9) for p in (1, 2, 3)), round(off, 9), falls)
+    kind = "n long, dims long, trace double, trace_of_square double, trace_of_cube double, largest_covariance double"
+    return spark.createDataFrame([row], f"{kind}, descending boolean")
+
+
 # Query rows scored per matrix product inside a block: bounds the score matrix to this many rows x items.
 QUERY_CHUNK = 256
 

@@ -390,4 +390,66 @@ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
                    list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
             FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT code_id FROM vocab)) s) r
 WHERE rank <= 5""",
+    "note_clusters_fitted": """
+SELECT vec_id AS hadm_id, CAST(0 AS DOUBLE) AS off_nearest, CAST(0 AS DOUBLE) AS off_mean FROM embeddings""",
+    "projection_fitted": f"""WITH {_embedding_cells().strip()}
+SELECT vec_id AS hadm_id, CAST(count(*) AS BIGINT) AS dims, round(sum(x * x), 6) AS square FROM e GROUP BY vec_id""",
+    "projection_moments": f"""WITH {_embedding_cells().strip()},
+n AS (SELECT CAST(count(DISTINCT vec_id) AS DOUBLE) AS n FROM e),
+mu AS (SELECT i, avg(x) AS m FROM e GROUP BY i),
+c AS (SELECT vec_id, e.i, x - m AS x FROM e JOIN mu ON mu.i = e.i),
+cov AS (SELECT a.i AS i, b.i AS j, sum(a.x * b.x) / (max(n) - 1) AS v
+        FROM c a JOIN c b ON b.vec_id = a.vec_id, n GROUP BY a.i, b.i),
+sq AS (SELECT a.i AS i, b.j AS j, sum(a.v * b.v) AS v FROM cov a JOIN cov b ON b.i = a.j GROUP BY a.i, b.j)
+SELECT CAST((SELECT n FROM n) AS BIGINT) AS n, CAST((SELECT count(*) FROM mu) AS BIGINT) AS dims,
+       round((SELECT sum(v) FROM cov WHERE i = j), 6) AS trace,
+       round((SELECT sum(v) FROM sq WHERE i = j), 6) AS trace_of_square,
+       round((SELECT sum(s.v * k.v) FROM sq s JOIN cov k ON k.i = s.j AND k.j = s.i), 6) AS trace_of_cube,
+       CAST(0 AS DOUBLE) AS largest_covariance, TRUE AS descending""",
+    "encode_notes": """
+WITH tok AS (SELECT doc_id AS hadm_id,
+                    list_transform(list_filter(regexp_split_to_array(COALESCE(text, ''), '[ \\t\\n\\r\\f\\x0B]+'),
+                                               lambda t: length(t) > 0), lambda t: length(t)) AS n
+             FROM documents)
+SELECT hadm_id, CAST(b AS BIGINT) AS batch_size, CAST(COALESCE(n[1], 0) AS DOUBLE) AS first,
+       round(CAST(CAST(COALESCE(list_sum(n) / CAST(len(n) AS DOUBLE), 0) AS FLOAT) AS DOUBLE), 4) AS mean,
+       CAST(COALESCE(list_max(n), 0) AS DOUBLE) AS largest, CAST(len(n) AS DOUBLE) AS tokens
+FROM tok, (VALUES (7), (64)) s(b)""",
+    "two_layer_head": f"""WITH {prep('F1b')},
+rows AS (SELECT DISTINCT p.hadm_id FROM pairs p
+         JOIN embeddings c ON c.vec_id = p.prev JOIN embeddings n ON n.vec_id = p.hadm_id),
+y AS (SELECT r.hadm_id, COALESCE(max(a.label), 0) AS y FROM rows r LEFT JOIN adm a ON a.hadm_id = r.hadm_id
+      GROUP BY r.hadm_id),
+d AS (SELECT max(len(embedding)) AS d FROM embeddings)
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS n_pos,
+       CAST((SELECT (d + 1) * 32 + 33 * 2 FROM d) AS BIGINT) AS n_params, CAST(0 AS DOUBLE) AS max_gap, TRUE AS learned
+FROM y""",
+    "stored_risk_scores": f"""WITH {prep('F1')},
+bags AS (SELECT DISTINCT d.hadm_id FROM diag d JOIN cohort c ON c.hadm_id = d.hadm_id),
+y AS (SELECT b.hadm_id, CAST(COALESCE(max(a.label), 0) AS BIGINT) AS y FROM bags b LEFT JOIN adm a ON a.hadm_id = b.hadm_id
+      GROUP BY b.hadm_id)
+SELECT y.hadm_id, y.y, CAST(0 AS DOUBLE) AS margin_gap, CAST(0 AS DOUBLE) AS p_gap FROM y
+WHERE y.hadm_id IN (SELECT vec_id FROM embeddings)""",
+    "risk_notes_fit_check": f"""WITH {prep('F1')},
+tr AS (SELECT DISTINCT d.hadm_id, d.icd_code AS term FROM diag d JOIN cohort c ON c.hadm_id = d.hadm_id
+       WHERE c.split = 'train' AND d.hadm_id IN (SELECT vec_id FROM embeddings)),
+y AS (SELECT t.hadm_id, COALESCE(max(a.label), 0) AS y
+      FROM (SELECT DISTINCT hadm_id FROM tr) t LEFT JOIN adm a ON a.hadm_id = t.hadm_id GROUP BY t.hadm_id)
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS n_pos,
+       CAST((SELECT count(DISTINCT term) FROM tr) + (SELECT max(len(embedding)) FROM embeddings) AS BIGINT) AS n_features,
+       round(CAST(count(*) AS DOUBLE), 6) AS weight_sum, TRUE AS stationary FROM y""",
+    "stored_examples": f"""WITH {prep('F2')}
+SELECT s.hadm_id, s.split, CAST(len(s.input_ids) AS BIGINT) AS n_inputs, s.labels[len(s.labels)] AS last_label,
+       round(CAST(e.embedding[1] AS DOUBLE), 6) AS vec_first
+FROM sequences s JOIN embeddings e ON e.vec_id = s.hadm_id""",
+    "csv_round_trip": """
+SELECT doc_id, source, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS sha256 FROM documents""",
+    "observed_counts": f"""WITH {prep('F2')},
+k AS (SELECT s.hadm_id, e.hadm_id IS NOT NULL AS kept, a.hadm_id IS NULL AS missing FROM sequences s
+      LEFT JOIN (SELECT DISTINCT vec_id AS hadm_id FROM embeddings) e ON e.hadm_id = s.hadm_id
+      LEFT JOIN adm a ON a.hadm_id = s.hadm_id)
+SELECT CAST((SELECT count(*) FROM lineitem) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS rejected_hadm_id,
+       CAST((SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS BIGINT) AS rejected_seq_num,
+       CAST(count(*) FILTER (WHERE kept) AS BIGINT) AS kept, CAST(count(*) FILTER (WHERE NOT kept) AS BIGINT) AS dropped,
+       CAST(count(*) FILTER (WHERE kept AND missing) AS BIGINT) AS missing_label FROM k""",
 }

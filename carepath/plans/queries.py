@@ -7,6 +7,7 @@ Vectors are reported in long form (id, dim, value) so values compare as numbers,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,17 +16,20 @@ from pyspark.sql import functions as F
 
 from carepath.functions.scalar import array_to_string, clamp, clamped_probability, word_tokens
 from carepath.operators import cohort as co
+from carepath.operators import encoders as en
 from carepath.operators import forecast as fc
+from carepath.operators import heads as hd
 from carepath.operators import metrics as me
 from carepath.operators import risk as rk
 from carepath.operators import sequences as sq
 from carepath.operators import vectors as vx
-from carepath.operators.examples import assemble_examples, modality_drop_counts, unique_vectors
+from carepath.operators.examples import assemble_counted, assemble_examples, modality_drop_counts, unique_vectors
 from carepath.operators.vocab import decode_codes
 from carepath.plans.fixtures import build_cohort, inputs, prepare
 from carepath.plans.report import compare_models, forecast_report
-from carepath.session import materialize, remove_folder
-from carepath.sources import tables
+from carepath.schemas import DIAGNOSES
+from carepath.session import checkpoint_dir, counting_session, materialize, remove_folder, shuffle_partitions
+from carepath.sources import clinical, tables
 
 # Parameters of the registered queries (fixed here so Spark and the oracle SQL use the same ones).
 TOPK = 10
@@ -246,15 +250,9 @@ def q_forecast_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_final_report(spark: SparkSession, sf: str) -> DataFrame:
     """The whole study on F1 (vectors for every admission): the four-row task/model report."""
-    import uuid
-
     from carepath.plans.workflow import run_study
-    from carepath.session import checkpoint_dir
 
-    base = checkpoint_dir(spark)
-    if not base:
-        raise RuntimeError("final_report writes its artifacts under spark.checkpoint.dir; set it to a shared folder")
-    out = f"{base.rstrip('/')}/study-{uuid.uuid4().hex}"
+    out = _study_folder(spark, "study")
     try:
         result = run_study(
             spark,
@@ -447,6 +445,179 @@ def q_topk_by_dot(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("query_id", "item_id", "rank", F.round("score", 6).alias("score"))
 
 
+def q_note_clusters_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """KMeans over all vectors until its centres rest: every row at its nearest centre, every centre its rows' mean."""
+    vectors = tables.note_vectors(spark, sf)
+    model = vx.fit_note_clusters(vectors, vectors, k=TOPK, max_iter=300, tol=1e-6)
+    found = vx.cluster_evidence(model, vectors)
+    return found.select("hadm_id", F.round("off_nearest", 6).alias("off_nearest"), F.round("off_mean", 4).alias("off_mean"))
+
+
+def _fitted_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors on all principal axes of their covariance."""
+    vectors = tables.note_vectors(spark, sf)
+    dims = vectors.agg(F.max(F.size("vec"))).first()[0]
+    return vx.apply_projection(vx.fit_projection(vectors, vectors, int(dims)), vectors)
+
+
+def q_projection_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitted projection turns vectors without stretching them: squared length and dimensions of each."""
+    square = F.aggregate("proj", F.lit(0.0), lambda s, v: s + v * v)
+    rows = _fitted_projection(spark, sf)
+    return rows.select("hadm_id", F.size("proj").cast("long").alias("dims"), F.round(square, 6).alias("square"))
+
+
+def q_projection_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Variances of the projected columns: their power sums, no covariance left, in falling order."""
+    m = vx.projection_moments(_fitted_projection(spark, sf))
+    sums = [F.round(c, 6).alias(c) for c in ("trace", "trace_of_square", "trace_of_cube", "largest_covariance")]
+    return m.select("n", "dims", *sums, "descending")
+
+
+ENCODER_BATCHES = (7, 64)
+
+
+def q_encode_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every note through the encoder hook, once for each of two batch sizes: padding never shows in a vector."""
+    notes = tables.notes(spark, sf)
+    parts = []
+    for size in ENCODER_BATCHES:
+        v = vx.vectorize_notes_with(notes, en.make_length_encoder, len(en.ENCODING), batch_size=size)
+        cells = [F.round(F.col("vec")[i].cast("double"), 4).alias(c) for i, c in enumerate(en.ENCODING)]
+        parts.append(v.select("hadm_id", F.lit(size).cast("long").alias("batch_size"), *cells))
+    return parts[0].unionByName(parts[1])
+
+
+def q_two_layer_head(spark: SparkSession, sf: str) -> DataFrame:
+    """The two-layer head over fused, normalised and max-pooled admissions of F1b, trained on all of them."""
+    p = prepare(spark, sf, "F1b")
+    emb = _embeddings(spark, sf)
+    positions = p.pairs.select("hadm_id", "pos", F.col("prev").alias("code_id"))
+    fused = vx.fuse_sequence_positions(
+        positions,
+        emb.select(F.col("vec_id").alias("code_id"), "vec"),
+        emb.select(F.col("vec_id").alias("hadm_id"), "vec"),
+        gate_weights(128),
+        GATE_BIAS,
+    )
+    pooled = vx.max_pool(vx.layer_normalize(fused, "fused"), ["hadm_id"], "fused", "vec")
+    rows = materialize(co.attach_labels(pooled, p.inputs.labels).select("hadm_id", "vec", "label"))
+    return hd.head_check(hd.fit_head(rows), rows)
+
+
+def _study_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    base = checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError(f"{name} writes files under spark.checkpoint.dir; set it to a shared folder")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_stored_risk_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The with-notes risk model stored, loaded, and all admissions scored: how far each margin is from the one that the
+    stored coefficients give by joins, and the probability from the clamped margin's sigmoid."""
+    inp = inputs(spark, sf, "F1")
+    bags = materialize(rk.bag_of_codes(inp.diagnoses, build_cohort(inp), inp.labels))
+    vecs = tables.note_vectors(spark, sf)
+    out = _study_folder(spark, "risk")
+    try:
+        rk.save_risk(rk.fit_risk(bags, vecs), out)
+        loaded = rk.load_risk(spark, out)
+        scores = rk.score_risk(loaded, bags, vecs, split=None)
+        again = rk.stored_margins(spark, out, bags, vecs).withColumnRenamed("margin", "again")
+        joined = scores.join(again, "hadm_id")
+        expected = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("again")))))
+        return materialize(
+            joined.select(
+                "hadm_id",
+                F.col("y").cast("long").alias("y"),
+                F.round(F.abs(F.col("margin") - F.col("again")), 6).alias("margin_gap"),
+                F.round(F.abs(F.col("p") - expected), 6).alias("p_gap"),
+            )
+        )
+    finally:
+        remove_folder(spark, out)
+
+
+def q_risk_notes_fit_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and weights of the with-notes risk fit, and whether its coefficients are stationary."""
+    inp = inputs(spark, sf, "F1")
+    bags = materialize(rk.bag_of_codes(inp.diagnoses, build_cohort(inp), inp.labels))
+    vecs = tables.note_vectors(spark, sf)
+    return rk.fit_check(rk.fit_risk(bags, vecs), bags, vecs)
+
+
+def stored_examples(spark: SparkSession, sf: str, out: str) -> tuple[DataFrame, tuple[str, str]]:
+    """Examples of F2 from sequences and vectors stored bucketed by admission (the tables' names come back too)."""
+    p = prepare(spark, sf, "F2")
+    run = uuid.uuid4().hex
+    names = (f"sequences_{run}", f"vectors_{run}")
+    buckets = shuffle_partitions(spark)
+    sequences = clinical.write_bucketed(p.sequences, names[0], f"{out}/sequences", buckets=buckets, partition_by=["split"])
+    vectors = clinical.write_bucketed(tables.note_vectors(spark, sf), names[1], f"{out}/vectors", buckets=buckets)
+    return sequences.join(unique_vectors(vectors), "hadm_id"), names
+
+
+def q_stored_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored sequences joined with stored vectors, bucket by bucket."""
+    out, names = _study_folder(spark, "buckets"), ()
+    try:
+        joined, names = stored_examples(spark, sf, out)
+        return materialize(
+            joined.select(
+                "hadm_id",
+                "split",
+                F.size("input_ids").cast("long").alias("n_inputs"),
+                F.element_at("labels", -1).alias("last_label"),
+                F.round(F.col("vec")[0].cast("double"), 6).alias("vec_first"),
+            )
+        )
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove_folder(spark, out)
+
+
+def q_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document written as gzip CSV (quoted, over several lines) and read back with the explicit schema."""
+    docs = tables.read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    out = _study_folder(spark, "csv")
+    try:
+        clinical.write_csv(docs, out)
+        back = clinical.read_csv(spark, out, docs.schema, multiline=True, keep_empty=True)
+        return materialize(
+            back.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+        )
+    finally:
+        remove_folder(spark, out)
+
+
+# The order lines as a raw extract: the line number of a returned line is no number.
+UNREADABLE = "n/a"
+
+
+def q_observed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters that ride on the jobs: rows and unreadable values of a landing, kept and dropped examples."""
+    lines = tables.read_table(spark, sf, "lineitem")
+    number = F.when(F.col("l_returnflag") == "R", F.lit(UNREADABLE)).otherwise(F.col("l_linenumber").cast("string"))
+    raw = lines.select(
+        F.col("l_orderkey").alias("hadm_id"), number.alias("seq_num"), F.col("l_partkey").cast("string").alias("icd_code")
+    )
+    out = _study_folder(spark, "landing")
+    try:
+        clinical.write_csv(raw, f"{out}/raw")
+        landed = clinical.land_counted(spark, f"{out}/raw", DIAGNOSES, f"{out}/diagnoses")
+        own = counting_session(spark)
+        p = prepare(own, sf, "F2")
+        examples, counts = assemble_counted(p.sequences, tables.note_vectors(own, sf), p.inputs.labels)
+        clinical.land_parquet(examples, f"{out}/examples")
+        row = {**landed, **counts.get}
+    finally:
+        remove_folder(spark, out)
+    names = ("rows", "rejected_hadm_id", "rejected_seq_num", "kept", "dropped", "missing_label")
+    return spark.createDataFrame([tuple(row[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cohort_intersection": q_cohort_intersection,
     "cohort_split": q_cohort_split,
@@ -496,4 +667,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "max_pool": q_max_pool,
     "project_vectors": q_project_vectors,
     "topk_by_dot": q_topk_by_dot,
+    "note_clusters_fitted": q_note_clusters_fitted,
+    "projection_fitted": q_projection_fitted,
+    "projection_moments": q_projection_moments,
+    "encode_notes": q_encode_notes,
+    "two_layer_head": q_two_layer_head,
+    "stored_risk_scores": q_stored_risk_scores,
+    "risk_notes_fit_check": q_risk_notes_fit_check,
+    "stored_examples": q_stored_examples,
+    "csv_round_trip": q_csv_round_trip,
+    "observed_counts": q_observed_counts,
 }

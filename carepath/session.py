@@ -73,6 +73,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counting_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application, with the same settings, for jobs whose counters are read (``observe``). Spark
+    4.1 keeps the reader of an ``Observation`` in the session that ran it, and closures that capture that session (those
+    of some ML transformers) can no longer be sent to tasks; the caller's own session stays clear of it."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    return own
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of a file system that Spark reaches (the driver may not)."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
