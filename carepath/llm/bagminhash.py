@@ -10,9 +10,10 @@ only up to the time by which the places are expected to be full, and further whe
 BANDS bands of ROWS places give candidates (a pair at 0.8 is missed with probability (1 - 0.8**4)**25 = 2e-6). Exact
 copies (same words) are one class representative before banding. In a bucket of up to SMALL texts all pairs are
 candidates. A larger bucket is a family of edited copies or shares a long passage; its HUBS members that share most
-buckets with others (the least edited ones) are paired with every member. Pairs are verified by the exact overlap of
-their shingle multisets (32-bit shingle hashes), and linked texts form components. Pairs inside a component need no
-test. In a large bucket that holds several components, all pairs of members in different components are compared, block
+buckets with others (the least edited ones) are its hubs. Every member meets the best hub of all its large buckets, and
+then those other hubs that are not in its component yet. Pairs are verified by the exact overlap of their shingle
+multisets (32-bit shingle hashes), and linked texts form components. Pairs inside a component need no test. In a large
+bucket that holds several components, all pairs of members in different components are compared, block
 by block: histograms of the shingles bound the overlap from above, and pairs that the bound does not rule out are
 verified, unless a link has joined their components by then. So the classes are those of all pairs of all buckets.
 
@@ -217,13 +218,13 @@ def multisets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap by SIMILARITY or more."""
+    """The pairs (a, b) whose multisets overlap by SIMILARITY or more. Multisets whose sizes alone rule it out are not
+    shipped; so the second one of a pair is at most 1 / SIMILARITY times the first."""
     kind = items.schema["doc_id"].dataType.simpleString()
-    joined = (
-        pairs.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a")
-        .join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
-        .select("a", "b", "items_a", "items_b")
-    )
+    side = lambda n: items.select(F.col("doc_id").alias(n), F.col("items").alias(f"items_{n}"), F.size("items").alias(f"n_{n}"))
+    near = F.least("n_a", "n_b") >= F.lit(SIMILARITY) * F.greatest("n_a", "n_b") - F.lit(1e-6)
+    left, right = pairs.join(side("a"), "a"), side("b").withColumnRenamed("b", "_b")
+    joined = left.join(right, (F.col("b") == F.col("_b")) & near).select("a", "b", "items_a", "items_b")
     return stage(joined.mapInArrow(_verify, f"a {kind}, b {kind}").distinct())
 
 
@@ -231,11 +232,12 @@ def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """(key, rep, size, weight) -> candidate pairs (a, b).
+def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, rep, size, weight) -> candidate pairs (a, b) of small buckets, and (rep, hub, best) of large ones.
 
     Buckets of up to SMALL members give all their pairs; in a larger one each member is paired with its HUBS heaviest
-    members. A large bucket is cut to its hubs before the shuffle (a ranked limit per key), so its size costs nothing.
+    members, of which ``best`` marks the heaviest over all buckets of the member. A large bucket is cut to its hubs
+    before the shuffle (a ranked limit per key), so its size costs nothing.
     """
     small = rows.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("reps"))
     reps = F.col("reps")
@@ -248,15 +250,34 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     inner = small.select("reps").distinct().select(F.explode(all_pairs).alias("p")).select("p.a", "p.b")
     large = rows.where(F.col("size") > SMALL)
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "rep"))
-    top = large.withColumn("rank", rank).where(F.col("rank") <= HUBS).groupBy("key").agg(F.collect_list("rep").alias("hubs"))
+    hub = F.struct(F.col("weight"), F.col("rep").alias("hub"))
+    top = large.withColumn("rank", rank).where(F.col("rank") <= HUBS).groupBy("key").agg(F.collect_list(hub).alias("hubs"))
     near_hubs = (
         large.select("key", "rep")
         .join(top, "key")
         .groupBy("rep")
         .agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"))
+        .select("rep", F.filter("hubs", lambda h: h["hub"] != F.col("rep")).alias("hubs"))
     )
-    outer = near_hubs.select("rep", F.explode(F.array_except("hubs", F.array("rep"))).alias("hub"))
-    return inner.union(outer.select(*_ordered(F.col("rep"), F.col("hub")))).distinct()
+    outer = near_hubs.select("rep", F.explode("hubs").alias("h"), F.array_max("hubs").alias("top"))
+    return inner.distinct(), outer.select("rep", "h.hub", (F.col("h.hub") == F.col("top.hub")).alias("best"))
+
+
+def hub_links(inner: DataFrame, outer: DataFrame, items: DataFrame) -> DataFrame:
+    """Verified links of the candidate pairs: first small buckets and best hubs, then the other hubs of members that are
+    still in another component than the hub."""
+    outer = stage(outer)
+    best = outer.where("best").select(*_ordered(F.col("rep"), F.col("hub")))
+    first = verified(stage(inner.union(best).distinct()), items)
+    others = outer.where(~F.col("best")).select("rep", "hub")
+    if not others.take(1):
+        return first
+    label = components(first)
+    here = label.select(F.col("node").alias("rep"), F.col("label").alias("own"))
+    there = label.select(F.col("node").alias("hub"), F.col("label").alias("its"))
+    left = others.join(here, "rep", "left").join(there, "hub", "left")
+    left = left.where(F.coalesce("own", "rep") != F.coalesce("its", "hub"))
+    return first.union(verified(stage(left.select(*_ordered(F.col("rep"), F.col("hub"))).distinct()), items))
 
 
 def mixed(large: DataFrame, found: DataFrame) -> DataFrame:
@@ -357,7 +378,7 @@ def links(docs: DataFrame, representatives: DataFrame) -> DataFrame:
     weights = stage(rows.groupBy("rep").agg(F.sum("size").alias("weight")))
     items = multisets(docs, weights.select(F.col("rep").alias("doc_id")))
     weighed = rows.join(weights, "rep").select("key", "rep", "size", "weight")
-    found = verified(stage(bucket_pairs(weighed)), items)
+    found = hub_links(*bucket_pairs(weighed), items)
     large = stage(weighed.where(F.col("size") > SMALL).select("key", "rep", "weight").distinct())
     apart = mixed(large, found)
     if not apart.take(1):
