@@ -82,10 +82,85 @@ def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a b c " + " ".join(items[i % 12])) for i in range(24)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     whole = sorted(map(tuple, dc.matches(docs, bench).collect()))
-    monkeypatch.setattr(dc, "MAX_GRAMS", 40)
+    monkeypatch.setattr(dc, "MAX_WORDS", 40)
+    monkeypatch.setattr(dc, "ENTRIES", 50)
+    monkeypatch.setattr(dc, "BLOCK_CELLS", 60)
     assert sorted(map(tuple, dc.matches(docs, bench).collect())) == whole and len(whole) == 24
 
 
+def all_pairs(docs, items):
+    """Every document aligned with every item."""
+    import re
+
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = cut(text), cut(item)
+            if b:
+                share = plain_alignment(a, b) / len(b)
+                if share >= (1 if len(b) < 3 else dc.THRESHOLD):
+                    out[d, i] = share
+    return out
+
+
+def edited(rng, item, kind):
+    """A copy of the item with edits of one kind."""
+    if kind == "two of three":
+        return [w if k % 3 else f"x{k}" for k, w in enumerate(item, 1)]
+    if kind == "a word between all words":
+        return [x for k, w in enumerate(item) for x in (w, f"y{k}")]
+    if kind == "words left out":
+        return [w for k, w in enumerate(item) if k % 4]
+    return [w if rng.random() > 0.35 else f"z{rng.randint(0, 99)}" for w in item]
+
+
+def test_pairs_equal_an_alignment_of_all_pairs(spark):
+    """Edits down to the threshold, in texts of the same few words as the items, so common n-grams are everywhere."""
+    rng = random.Random(21)
+    vocabulary = "the of and to in a is that it for on was be with as by at from".split() + [f"w{i}" for i in range(40)]
+    some = lambda n: [rng.choice(vocabulary[: rng.choice([18, 58])]) for _ in range(n)]
+    items = {i: some(rng.choice([1, 2, 3, 4, 5, 7, 12, 20, 31])) for i in range(40)}
+    kinds = ("two of three", "a word between all words", "words left out", "random")
+    docs = {}
+    for d in range(120):
+        words = some(rng.randint(0, 60))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(words))
+            words[at:at] = edited(rng, items[rng.randrange(40)], rng.choice(kinds))
+        docs[d] = " ".join(words)
+    items = {i: " ".join(w) for i, w in items.items()}
+    got = dc.matches(
+        spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3),
+        spark.createDataFrame(list(items.items()), "item_id long, text string"),
+    )
+    got = {(r.doc_id, r.item_id): r.score for r in got.collect()}
+    want = all_pairs(docs.items(), items.items())
+    assert len(want) > 150 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_long_items_and_long_texts(spark):
+    rng = random.Random(22)
+    long_item = [f"v{rng.randint(0, 3000)}" for _ in range(8_000)]
+    common = "the of and to in a is that it for on was".split()
+    short = [rng.choice(common) if k % 3 else f"s{k}" for k in range(30)]
+    text = [rng.choice(common) for _ in range(100_000)]
+    text[60_000:60_000] = edited(rng, short, "two of three")
+    docs = [(1, " ".join(text)), (2, " ".join(edited(rng, long_item, "words left out"))), (3, " ".join(long_item[:3000]))]
+    bench = [(1, " ".join(short)), (2, " ".join(long_item))]
+    got = dc.matches(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    )
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 2)}
+
+
+def test_items_of_one_or_two_words(spark):
+    docs = spark.createDataFrame([(1, "so Forty-two it is"), (2, "forty and two"), (3, "answer")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "forty two"), (2, "ANSWER!"), (3, "..."), (4, None)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.score) for r in dc.matches(docs, bench).collect()} == {(1, 1, 1.0), (3, 2, 1.0)}
+
+
 def test_empty_sides(spark):
     docs = with_extra(documents(spark, 10))
     bench = spark.createDataFrame([(1, "some words that are not there")], "item_id long, text string")
