@@ -54,7 +54,7 @@ def test_verdicts_and_distances(spark):
     got = {r.doc_id: r for r in qr.verdicts(docs).collect()}
     assert all(got[i].kept for i in range(200))
     assert not any(got[i].kept for i in got if 1000 <= i < 3002)
-    assert got[3002].kept and got[3002].char_distance is None  # no reference: the base verdict stands
+    assert got[3002].kept and got[3002].char_distance == 0  # the only document without a language to learn from
     # the class distance of one document, from the definition
     counts = [np.array(_classes(t)) for i, t, _ in rows if i < 3000 and brute_counts(t)[4] * 100 <= 30 * brute_counts(t)[0]]
     shares = np.array([c / c.sum() for c in counts])
@@ -95,6 +95,41 @@ def test_rules_keep_rows_and_columns_as_they_are(spark):
     assert qr.keep(docs.limit(0)).count() == 0 and qr.verdicts(docs).count() == docs.count()
 
 
+def test_junk_is_rejected_among_few_documents_as_among_many(spark):
+    for n in (6, 15, 30):
+        rng = random.Random(4)
+        rows = [(i, prose(rng, "en", 120), "en") for i in range(n)] + [(1000, junk(rng, 120), "en")]
+        got = {r.doc_id: r.kept for r in qr.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        assert [i for i in got if not got[i]] == [1000]
+
+
+def test_each_language_has_its_own_reference(spark):
+    """Scripts that the word lists do not cover, in unequal shares, and documents without a language."""
+    rng = random.Random(5)
+    letters = {"ru": "абвгдежзиклмнопрст", "zh": "的一是不了人我在有他这中大来上国", None: "אבגדהוזחטיכלמנ"}
+
+    def text(lang):
+        word = lambda: "".join(rng.choice(letters[lang]) for _ in range(rng.randint(2, 7)))
+        return " ".join(word() for _ in range(90))
+
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["ru"] * 60 + ["zh"] * 30 + [None] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert qr.keep(docs).count() == 110
+    mixed = docs.unionByName(spark.createDataFrame([(500, text("zh"), "ru")], "doc_id long, text string, lang string"))
+    assert {r.doc_id for r in qr.verdicts(mixed).collect() if not r.kept} == {500}
+
+
+def test_one_text_under_two_languages_is_judged_in_each(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, "en", 120), "en") for i in range(40)]
+    text = " ".join("абвгд" if i % 2 else "жзик" for i in range(90))
+    text = " ".join(f"{w}{'аеиоу'[i % 5]}{'бвгдж'[i // 5 % 5]}{'клмнп'[i // 25]}" for i, w in enumerate(text.split()))
+    rows += [(100 + i, text.replace("а", "оуы"[i % 3]), "ru") for i in range(9)] + [(None, text, "ru"), (None, text, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = [(r.doc_id, r.lang) for r in qr.keep(docs).collect() if r.doc_id is None]
+    assert left == [(None, "ru")]
+
+
 def test_native_plan(spark):
     plan = qr.verdicts(documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
