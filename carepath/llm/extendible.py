@@ -95,13 +95,21 @@ def shard(
     n_bytes: Column | None = None,
 ) -> DataFrame:
     """``docs`` plus (shard, depth, shard_bytes, shard_rows); ``key`` defaults to doc_id, ``n_bytes`` to the text's."""
-    if limit < 1:
-        raise ValueError("the byte limit must be positive")
     key = F.col("doc_id") if key is None else key
     n_bytes = F.octet_length(F.col("text")) if n_bytes is None else n_bytes
     columns = [c for c in docs.columns if c not in OUTPUT]
-    rows = docs.withColumns({"_h": F.xxhash64(key), "_bytes": F.coalesce(n_bytes.cast("long"), F.lit(0))})
-    rows = rows.select(*columns, "_h", "_bytes")
+    # The input's columns travel in one struct, so none can clash with the columns that the split works with.
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(1).alias("_none"))
+    packed = docs.select(row.alias("_row"), F.xxhash64(key).alias("_h"), F.coalesce(n_bytes.cast("long"), F.lit(0)).alias("_bytes"))
+    out = _split(packed, limit)
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in columns], *OUTPUT)
+
+
+def _split(rows: DataFrame, limit: int) -> DataFrame:
+    """(_row, _h, _bytes) -> _row and the OUTPUT columns."""
+    if limit < 1:
+        raise ValueError("the byte limit must be positive")
+    kept = ("_row", *OUTPUT)
     narrow = rows.select("_h", "_bytes")
     total = narrow.agg(F.sum("_bytes")).first()[0] or 0
     start = min(HASH_BITS - SPARE_BITS, max(0, math.floor(math.log2(max(1, total / limit))) - 1))
@@ -112,13 +120,13 @@ def shard(
         )
         placed = stage(split_cells(cells, start, depth, limit))
         joined = rows.withColumn("cell", prefix(F.col("_h"), depth)).join(placed, "cell")
-        done.append(joined.where(~F.col("over")).select(*columns, *OUTPUT))
+        done.append(joined.where(~F.col("over")).select(*kept))
         left = placed.where("over").select("cell")
         if not left.take(1):
             break
         inside = rows.withColumn("cell", prefix(F.col("_h"), depth)).join(left, "cell", "left_semi").drop("cell")
         if depth == HASH_BITS:
-            done.append(_pages(inside, limit).select(*columns, *OUTPUT))
+            done.append(_pages(inside, limit).select(*kept))
             break
         rows, start = inside, depth + 1
         narrow, depth = rows.select("_h", "_bytes"), min(HASH_BITS, depth + ROUND_BITS)

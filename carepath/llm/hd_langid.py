@@ -30,6 +30,11 @@ MAX_LANGUAGES = 4096
 # Cells of one block's count matrix (documents x distinct trigrams): 32 MB of float32.
 BLOCK_CELLS = 8_000_000
 
+# Trigrams expanded to vectors together (with their letters' vectors), and letters whose vectors a process keeps (a byte
+# a dimension).
+VECTOR_ROWS = 4096
+KEPT_LETTERS = 32_768
+
 _LETTERS: dict[int, np.ndarray] = {}
 _IS_LETTER: np.ndarray | None = None
 
@@ -39,7 +44,9 @@ def letter_vector(code: int, dim: int = DIM) -> np.ndarray:
     found = _LETTERS.get(code)
     if found is None or len(found) != dim:
         rng = np.random.Generator(np.random.Philox(key=[SEED, code]))
-        found = rng.integers(0, 2, dim).astype(np.float32) * 2 - 1
+        found = (rng.integers(0, 2, dim) * 2 - 1).astype(np.int8)
+        if len(_LETTERS) >= KEPT_LETTERS:
+            _LETTERS.clear()
         _LETTERS[code] = found
     return found
 
@@ -58,13 +65,26 @@ class TrigramCounts:
     counts: np.ndarray
     letters: np.ndarray
 
-    def vectors(self, dim: int = DIM) -> np.ndarray:
-        if not len(self.letters):
+    def vectors(self, dim: int = DIM, rows: slice = slice(None)) -> np.ndarray:
+        """The bound vectors of the trigrams (of a stretch of them)."""
+        letters = self.letters[rows]
+        if not len(letters):
             return np.zeros((0, dim), np.float32)
-        codes, at = np.unique(self.letters, return_inverse=True)
+        codes, at = np.unique(letters, return_inverse=True)
         table = np.stack([letter_vector(int(c), dim) for c in codes])
-        at = at.reshape(self.letters.shape)
-        return table[at[:, 0]] * np.roll(table, 1, axis=1)[at[:, 1]] * np.roll(table, 2, axis=1)[at[:, 2]]
+        at = at.reshape(letters.shape)
+        out = table[at[:, 0]].astype(np.float32)
+        out *= np.roll(table, 1, axis=1)[at[:, 1]]
+        out *= np.roll(table, 2, axis=1)[at[:, 2]]
+        return out
+
+    def bundle(self, weights: np.ndarray, dim: int = DIM) -> np.ndarray:
+        """``weights`` (rows x distinct trigrams) times the trigrams' vectors, a stretch of trigrams at a time."""
+        out = np.zeros((len(weights), dim), np.float32)
+        for lo in range(0, len(self.letters), VECTOR_ROWS):
+            rows = slice(lo, lo + VECTOR_ROWS)
+            out += weights[:, rows] @ self.vectors(dim, rows)
+        return out
 
 
 def trigram_counts(docs: list[str]) -> Iterator[tuple[int, TrigramCounts]]:
@@ -113,7 +133,7 @@ def _bundle(dim: int):
                 weight = 1.0 / np.maximum(block.counts.sum(axis=1), 1)
                 names = sorted(set(own))
                 pick = np.stack([(own == x) * weight for x in names]).astype(np.float32)
-                for name, vector in zip(names, (pick @ block.counts) @ block.vectors(dim)):
+                for name, vector in zip(names, block.bundle(pick @ block.counts, dim)):
                     sums[name] = sums.get(name, 0) + vector.astype(np.float64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))],
@@ -164,7 +184,7 @@ def classify(docs: list[str], model: Prototypes) -> tuple[list[str], np.ndarray]
     for first, block in trigram_counts(docs):
         if not block.letters.size:
             continue
-        vec = block.counts @ block.vectors(dim)
+        vec = block.bundle(block.counts, dim)
         norm = np.linalg.norm(vec, axis=1)
         cosine = (vec @ model.vectors.T) / np.maximum(norm, 1e-30)[:, None]
         best = np.argmax(cosine, axis=1)

@@ -107,3 +107,43 @@ def test_one_key_with_most_rows_goes_to_pages_within_the_limit(spark):
     assert [s for s in size if size[s] > 1000] == [r.shard for r in got if r.doc_id == 9]
     assert len({r.shard for r in got if r.doc_id == 7}) == 15
     assert rows_of(extendible.shard(docs.limit(0))) == []
+
+
+def test_memory_of_texts_in_a_large_alphabet(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    text = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 650_000))  # about 2 MB, hardly a trigram twice
+    model = hd.Prototypes(["zh"], np.ones((1, hd.DIM), np.float32) / 32)
+    tracemalloc.start()
+    pred, score = hd.classify([text, "short"], model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pred == ["zh", "zh"] and peak < 500e6
+    monkeypatch.setattr(hd, "VECTOR_ROWS", 7)
+    monkeypatch.setattr(hd, "KEPT_LETTERS", 5)
+    small, again = ["The cat, the dog!", "Ünïcödé über straße", "日本語のテキスト"], None
+    (_, block), = hd.trigram_counts(small)
+    again = block.bundle(block.counts)
+    for t, row in zip(small, again):
+        assert np.allclose(row, brute_vector(t))
+
+
+def test_shards_of_a_table_with_clashing_columns(spark):
+    names = ("cell", "over", "_h", "_bytes", "_row", "_uid", "_pos", "_first", "_largest", "_at", "n_bytes", "n_rows", "a.b", "shard")
+    docs = spark.range(300).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"),
+        *[(F.col("id") * (k + 2)).alias(n) for k, n in enumerate(names)],
+    )
+    docs = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(200).select(F.lit(1).alias("_"))).drop("_"))
+    out = extendible.shard(docs, limit=200)
+    assert out.columns == [c for c in docs.columns if c != "shard"] + list(extendible.OUTPUT)
+    rows = out.collect()
+    assert len(rows) == 500
+    for r in rows:
+        assert [r[n] for n in names[:-1]] == [r.doc_id * (k + 2) for k in range(len(names) - 1)]
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r.shard, []).append(len(r.text))
+    assert all(sum(v) <= 200 or len(v) == 1 for v in sizes.values())
+    assert all(r.shard_bytes == sum(sizes[r.shard]) and r.shard_rows == len(sizes[r.shard]) for r in rows)
