@@ -24,6 +24,7 @@ from carepath.llm import (
     quality_classifier,
     quality_rules,
 )
+from carepath.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from carepath.sources.tables import read_table
 
 
@@ -151,5 +152,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_html_text": op12_html_text,
     "op13_periodic_runs": op13_periodic_runs,
 }
-
-ORACLE_SQL: dict[str, str] = {}
