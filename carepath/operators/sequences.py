@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from carepath.operators.ordering import batch_ids, row_index, shuffle_key, sorted_partitions, with_positions
+from carepath.operators.ordering import batch_ids, row_index, shuffle_key
 from carepath.operators.vocab import LABEL_PAD, PAD_ID
+from carepath.session import materialize, shuffle_partitions
 
 
 def ordered_codes(
@@ -58,39 +63,99 @@ def next_pairs(sequences: DataFrame) -> DataFrame:
     )
 
 
+_PAIR = "hadm_id long, split string, pos long, prev long, next long"
+_EDGE = "_rows long, _first_hadm long, _first_code long, _first_run long, _last_hadm long, _last_code long, _last_split string, _last_run long"
+
+
+def _steps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the sorted rows (hadm_id, split, code_id) of one range partition, and at its end one row that says how
+    the partition begins and ends. ``pos`` counts from the admission's first row in this partition; ``_part`` is set on
+    pairs of the first admission, which may have begun before."""
+    part = TaskContext.get().partitionId()
+    rows, first = 0, None
+    last: tuple | None = None  # hadm_id, code_id, split, rows of the admission so far
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        hadm, code = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hadm_id", "code_id"))
+        new = np.concatenate([[last is None or last[0] != hadm[0]], hadm[1:] != hadm[:-1]])
+        begun = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        nth = np.arange(n) - begun
+        if not new[0]:
+            nth[begun < 0] = np.arange((begun < 0).sum()) + last[3]
+        before = np.concatenate([[last[1] if last else 0], code[:-1]])
+        if first is None:
+            first = [int(hadm[0]), int(code[0]), 0]
+        inside = hadm == first[0]
+        first[2] += int(inside.sum())
+        at = np.flatnonzero(~new)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(hadm[at]),
+                batch.column("split").take(pa.array(at)),
+                pa.array(nth[at] - 1),
+                pa.array(before[at]),
+                pa.array(code[at]),
+                pa.array(np.full(len(at), part, np.int32), mask=~inside[at]),
+                *[pa.nulls(len(at), f.type) for f in _EDGE_FIELDS],
+            ],
+            _STEP_NAMES,
+        )
+        rows += n
+        last = (int(hadm[-1]), int(code[-1]), batch.column("split")[n - 1].as_py(), int(nth[-1]) + 1)
+    if rows:
+        edge = [rows, *first, last[0], last[1], last[2], last[3]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *[pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())],
+                pa.array([part], pa.int32()),
+                *[pa.array([v], f.type) for v, f in zip(edge, _EDGE_FIELDS)],
+            ],
+            _STEP_NAMES,
+        )
+
+
+_EDGE_FIELDS = [
+    pa.field(name, pa.string() if kind == "string" else pa.int64()) for name, kind in (c.split(" ") for c in _EDGE.split(", "))
+]
+_STEP_NAMES = [*(c.split(" ")[0] for c in _PAIR.split(", ")), "_part", *(f.name for f in _EDGE_FIELDS)]
+
+
 def next_pairs_lead(encoded: DataFrame, cohort: DataFrame | None = None) -> DataFrame:
     """The same pairs in row form: each code's successor in (seq_num, code_id) order, without arrays.
 
-    Code rows are range-partitioned and sorted by (hadm_id, seq_num, code_id); a scan-time row id breaks exact ties.
-    A successor is the next row of the same range partition. Two small tables cross partitions: the first row of each
-    (the successor of the last row before it), and the start of each admission that begins a partition. So an
+    Code rows are range-partitioned and sorted by (hadm_id, seq_num, code_id); a scan-time row id breaks exact ties. One
+    Arrow pass pairs each row with the one before it in its range partition and is checkpointed, so the rows are
+    shuffled once. How each partition begins and ends (one row each) passes the driver and gives what crosses
+    partitions: one pair at most per boundary, and the rows that a partition's first admission has before it. So an
     admission with a third of all rows lies in as many tasks as any other rows, and no exchange is on ``hadm_id``.
     """
-    rows = _with_split(encoded.withColumn("_tie", F.monotonically_increasing_id()), cohort).select(
-        "hadm_id", "split", "seq_num", "code_id", "_tie"
-    )
-    ranked, _ = with_positions(sorted_partitions(rows, ["hadm_id", "seq_num", "code_id", "_tie"]), "_rn")
-    heads = ranked.groupBy("_part").agg(
-        F.min("_rn").alias("_rn"), F.min_by(F.struct("hadm_id", "code_id"), "_rn").alias("_head")
-    )
+    rows = _with_split(encoded.withColumn("_tie", F.monotonically_increasing_id()), cohort)
+    order = ["hadm_id", "seq_num", "code_id", "_tie"]
+    rows = rows.where(F.col("hadm_id").isNotNull()).select("split", *order)
+    ranged = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    steps = ranged.select("hadm_id", "split", "code_id").mapInArrow(_steps, f"{_PAIR}, _part int, {_EDGE}")
+    staged = materialize(steps)
+    names = [c.split(" ")[0] for c in _PAIR.split(", ")]
+    edges = sorted(staged.where(F.col("_rows").isNotNull()).collect(), key=lambda r: r["_part"])
+    carried, crossing, before = [], [], None
+    for e in edges:  # rows of the first admission in earlier partitions
+        same = before is not None and before[0] == e["_first_hadm"]
+        carry = before[2] if same else 0
+        if same:
+            carried.append((e["_part"], carry))
+            crossing.append((e["_first_hadm"], before[3], carry - 1, before[1], e["_first_code"]))
+        whole = same and e["_first_run"] == e["_rows"]
+        before = (e["_last_hadm"], e["_last_code"], e["_last_run"] + (carry if whole else 0), e["_last_split"])
+    pairs = staged.where(F.col("_rows").isNull())
+    if not crossing:
+        return pairs.select(*names)
+    spark = staged.sparkSession
     # At most one row per range partition each.
-    next_head = heads.select((F.col("_rn") - 1).alias("_rn"), F.col("_head").alias("_next_head"))
-    split_up = heads.select(F.col("_head.hadm_id").alias("hadm_id")).distinct()
-    starts = ranked.join(F.broadcast(split_up), "hadm_id").groupBy("hadm_id").agg(F.min("_rn").alias("_start"))
-    here = Window.partitionBy("_part").orderBy("_rn")
-    own = F.struct("hadm_id", "code_id")
-    new = ~F.col("hadm_id").eqNullSafe(F.lag("hadm_id").over(here)) | F.lag("_rn").over(here).isNull()
-    staged = ranked.withColumn("_next", F.lead(own).over(here)).withColumn("_new", F.when(new, F.col("_rn")))
-    staged = staged.withColumn("_first", F.last("_new", ignorenulls=True).over(here))
-    staged = staged.join(F.broadcast(next_head), "_rn", "left").join(F.broadcast(starts), "hadm_id", "left")
-    follow = F.coalesce("_next", "_next_head")
-    return staged.where(follow["hadm_id"] == F.col("hadm_id")).select(
-        "hadm_id",
-        "split",
-        (F.col("_rn") - F.coalesce("_start", "_first")).cast("long").alias("pos"),
-        F.col("code_id").alias("prev"),
-        follow["code_id"].alias("next"),
-    )
+    shift = F.broadcast(spark.createDataFrame(carried, "_part int, _carry long"))
+    pairs = pairs.join(shift, "_part", "left").withColumn("pos", F.col("pos") + F.coalesce("_carry", F.lit(0)))
+    return pairs.select(*names).unionByName(spark.createDataFrame(crossing, _PAIR))
 
 
 def pad_batches(

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
@@ -217,12 +218,15 @@ def projection_moments(projected: DataFrame, col: str = "proj") -> DataFrame:
 QUERY_CHUNK = 256
 
 
-def _topk_block(q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, items: np.ndarray, k: int) -> pd.DataFrame:
-    """Exact top-k of one query block against one item block; ties by item id ascending.
+def _topk_block(
+    q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, items: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact top-k of one query block against one item block as (query id, item id, score); ties by item id ascending.
 
     Queries are scored ``QUERY_CHUNK`` rows at a time, so memory stays at chunk x items scores whatever the block
     sizes. Items are in id order, so the stable sort of the candidates breaks ties by id; a row whose k-th score is
-    tied with more items than ``argpartition`` returned takes them all in before the cut.
+    tied with more items than ``argpartition`` returned takes them all in before the cut. A score that is not a number
+    ranks below all others, so every query keeps its k rows.
     """
     order = np.argsort(i_ids, kind="stable")
     i_ids, items = i_ids[order], items[order]
@@ -230,15 +234,22 @@ def _topk_block(q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, items: np.n
     out = []
     for lo in range(0, len(q_ids), QUERY_CHUNK):
         s = q[lo : lo + QUERY_CHUNK] @ items.T
-        kth = -np.partition(-s, kk - 1, axis=1)[:, kk - 1 : kk]
-        row, col = np.nonzero(s >= kth)
-        value = s[row, col]
-        best = np.lexsort((col, -value, row))
+        key = np.where(np.isnan(s), -np.inf, s)
+        kth = -np.partition(-key, kk - 1, axis=1)[:, kk - 1 : kk]
+        row, col = np.nonzero(key >= kth)
+        value, rank = s[row, col], -key[row, col]
+        best = np.lexsort((col, np.isnan(value), rank, row))
         row, col, value = row[best], col[best], value[best]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         keep = place < kk
         out.append((q_ids[lo + row[keep]], i_ids[col[keep]], value[keep]))
-    return pd.DataFrame({n: np.concatenate([x[j] for x in out]) for j, n in enumerate(("query_id", "item_id", "score"))})
+    return tuple(np.concatenate([x[j] for x in out]) for j in range(3))
+
+
+def _matrix(table: pa.Table, column: str) -> np.ndarray:
+    """A column of vectors of one length as a matrix."""
+    col = table.column(column).combine_chunks()
+    return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
 
 
 def topk_by_dot(
@@ -276,14 +287,16 @@ def topk_by_dot(
         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
     )
 
-    def score_block(qs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(own):
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        q, m = np.stack(qs["v"].to_numpy()), np.stack(own["w"].to_numpy())
-        return _topk_block(qs["q"].to_numpy(np.int64), q, own["i"].to_numpy(np.int64), m, k)
+    def score_block(qs: pa.Table, own: pa.Table) -> pa.Table:
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if len(qs) and len(own):
+            ids = (t.column(c).to_numpy() for t, c in ((qs, "q"), (own, "i")))
+            found = _topk_block(next(ids), _matrix(qs, "v"), next(ids), _matrix(own, "w"), k)
+        return pa.table(dict(zip(("query_id", "item_id", "score"), found)))
 
-    scored = q_rows.groupBy("part", "block").cogroup(i_rows.groupBy("part", "block")).applyInPandas(score_block, out_schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
+    scored = q_rows.groupBy("part", "block").cogroup(i_rows.groupBy("part", "block")).applyInArrow(score_block, out_schema)
+    number = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))  # Spark would rank NaN first
+    w = Window.partitionBy("query_id").orderBy(number.desc(), F.isnan("score"), F.asc("item_id"))
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= F.lit(k))
 
 

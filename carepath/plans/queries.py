@@ -215,7 +215,7 @@ def q_modality_drop_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fitted(spark: SparkSession, sf: str, fixture: str, with_notes: bool):
     p = prepare(spark, sf, fixture)
-    pairs = materialize(p.pairs)
+    pairs = p.pairs  # rests on a checkpoint
     ctx: tuple[str, ...] = ()
     if with_notes:
         pairs = pairs.join(tables.note_clusters(spark, sf), "hadm_id")
@@ -242,9 +242,8 @@ def q_forecast_topk_accuracy_notes(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_forecast_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
     p = prepare(spark, sf, "F3")
-    pairs = materialize(p.pairs)
-    train = pairs.where(F.col("split") == "train")
-    test = pairs.where(F.col("split") == "test")
+    train = p.pairs.where(F.col("split") == "train")
+    test = p.pairs.where(F.col("split") == "test")
     return fc.cross_entropy(train, test, p.vocab.size, LAMBDA)
 
 
