@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carepath.functions.scalar import percent
@@ -27,6 +27,18 @@ class NextCodeModel:
     k: int
 
 
+def pair_counts(pairs: DataFrame, context_cols: Sequence[str] = ()) -> DataFrame:
+    """Distinct (split, context..., prev, next) with their multiplicity ``m``, staged: combined map-side, so a hot code
+    adds one row per partition. The fitting and scoring functions take these rows in place of the pairs."""
+    keys = ["split", *context_cols, "prev", "next"]
+    return materialize(pairs.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("m")))
+
+
+def _number(pairs: DataFrame) -> Column:
+    """How many pairs the rows of a group stand for."""
+    return F.sum("m") if "m" in pairs.columns else F.count(F.lit(1))
+
+
 def _top_per_key(counts: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """k best ``next`` per key by (count desc, id asc). Plans as a per-partition group limit before the final one."""
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc("next"))
@@ -38,10 +50,9 @@ def _top_per_key(counts: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
 
 
 def fit_next_code(train_pairs: DataFrame, k: int = 10, context_cols: Sequence[str] = ()) -> NextCodeModel:
-    """Count (context, prev, next) on train pairs (map-side combined) and keep k candidates per level."""
+    """Count (context, prev, next) on train pairs or their counts (map-side combined) and keep k candidates per level."""
     ctx = tuple(context_cols)
-    finest = train_pairs.groupBy(*ctx, "prev", "next").agg(F.count(F.lit(1)).alias("n"))
-    finest = materialize(finest)
+    finest = materialize(train_pairs.groupBy(*ctx, "prev", "next").agg(_number(train_pairs).alias("n")))
     level_keys: list[tuple[str, ...]] = []
     if ctx:
         level_keys.append(ctx + ("prev",))
@@ -49,8 +60,7 @@ def fit_next_code(train_pairs: DataFrame, k: int = 10, context_cols: Sequence[st
     levels = []
     for keys in level_keys:
         counts = finest if keys == ctx + ("prev",) else finest.groupBy(*keys, "next").agg(F.sum("n").alias("n"))
-        table = materialize(_top_per_key(counts, keys, k))
-        levels.append((keys, table))
+        levels.append((keys, _top_per_key(counts, keys, k)))
     overall = finest.groupBy("next").agg(F.sum("n").alias("n"))
     # k rows: the global fallback list is small by construction and travels as a literal.
     top = overall.orderBy(F.desc("n"), F.asc("next")).limit(k).collect()
@@ -140,7 +150,7 @@ def score_pair_counts(model: NextCodeModel, pairs: DataFrame) -> DataFrame:
     context) is joined to the combined rows.
     """
     keys = list(model.context_cols + ("prev",))
-    combined = materialize(pairs.groupBy(*keys, "next").agg(F.count(F.lit(1)).alias("m")))
+    combined = materialize(pairs.groupBy(*keys, "next").agg(_number(pairs).alias("m")))
     cands = rank_candidates(model, combined)
     hit = cands.select(*keys, F.col("cand").alias("next"), F.col("rank").alias("hit_rank"))
     return _join_null_safe(combined, hit, keys + ["next"], "left")
@@ -176,12 +186,12 @@ def cross_entropy(train_pairs: DataFrame, eval_pairs: DataFrame, vocab_size: int
     conditional estimate and takes the smoothed unigram alone. Only observed pairs are joined: no
     vocabulary-by-vocabulary table is built.
     """
-    c_pair = materialize(train_pairs.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("c_pair")))
+    c_pair = materialize(train_pairs.groupBy("prev", "next").agg(_number(train_pairs).alias("c_pair")))
     n_train = c_pair.agg(F.sum("c_pair")).first()[0] or 0  # one scalar from the small pair-count table
     c_prev = c_pair.groupBy("prev").agg(F.sum("c_pair").alias("c_prev"))
     c_next = c_pair.groupBy("next").agg(F.sum("c_pair").alias("c_next"))
     # Evaluation steps are combined map-side to distinct (prev, next) with a multiplicity before the joins.
-    ev = eval_pairs.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("m"))
+    ev = eval_pairs.groupBy("prev", "next").agg(_number(eval_pairs).alias("m"))
     joined = (
         ev.join(c_pair, ["prev", "next"], "left")
         .join(c_prev, "prev", "left")

@@ -69,9 +69,9 @@ def row_index_with_total(
 
 
 def shuffle_key(id_col: str | Column, seed: int) -> Column:
-    """Deterministic pseudo-random order key (reproducible, unlike ``rand()``)."""
+    """Deterministic pseudo-random order key, the same in any engine (unlike ``rand()``): md5 of ``seed:id``."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.xxhash64(c, F.lit(int(seed)))
+    return F.md5(F.concat_ws(":", F.lit(str(int(seed))), c.cast("string")))
 
 
 def batch_ids(rn: str | Column, batch_size: int) -> Column:

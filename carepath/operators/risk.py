@@ -104,11 +104,17 @@ def fit_risk(
     and fit.
     """
     train = materialize(_features(bags.where(F.col("split") == TRAIN), note_vectors))
-    vocab = [r["term"] for r in doc_freq_vocab(train, k, split=None).orderBy("rank").collect()]
+    terms = train.select(F.explode(F.array_distinct("codes")).alias("term")).where(F.col("term").isNotNull())
+    terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if k is not None:
+        terms = terms.orderBy(F.desc("df"), "term").limit(k)
+    # The driver holds a coefficient for each term anyway, so it also puts them in order.
+    vocab = [r["term"] for r in sorted(terms.collect(), key=lambda r: (-r["df"], r["term"].encode()))]
     # Balanced weights over the training rows the model sees (one row per class comes back).
-    wrows = class_weights(train.select("hadm_id", "split"), train.select("hadm_id", "label")).collect()
-    total_w = float(sum(r["weight"] * r["n"] for r in wrows))
-    wmap = F.create_map(*[x for r in wrows for x in (F.lit(int(r["label"])), F.lit(float(r["weight"])))])
+    per_class = {int(r["label"]): r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total_w = float(sum(per_class.values()))  # balanced weights add up to the number of rows
+    weights = {label: total_w / (len(per_class) * n) for label, n in per_class.items()}
+    wmap = F.create_map(*[x for label, w in weights.items() for x in (F.lit(label), F.lit(w))])
     train_x = train.withColumn("w", F.coalesce(wmap[F.col("label")], F.lit(1.0)))
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="codes", outputCol="bag", binary=True)
     inputs = ["bag", "note_vec"] if note_vectors is not None else ["bag"]

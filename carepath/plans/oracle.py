@@ -452,4 +452,23 @@ SELECT CAST((SELECT count(*) FROM lineitem) AS BIGINT) AS rows, CAST(0 AS BIGINT
        CAST((SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS BIGINT) AS rejected_seq_num,
        CAST(count(*) FILTER (WHERE kept) AS BIGINT) AS kept, CAST(count(*) FILTER (WHERE NOT kept) AS BIGINT) AS dropped,
        CAST(count(*) FILTER (WHERE kept AND missing) AS BIGINT) AS missing_label FROM k""",
+    "report_forecasting": f"""WITH {prep('F1')},
+tp AS (SELECT p.*, CAST(e.label AS BIGINT) AS cluster FROM pairs p JOIN embeddings e ON e.vec_id = p.hadm_id),
+test AS (SELECT * FROM tp WHERE split = 'test'),
+uni_acc AS (
+  WITH {_candidates(False, 'test').strip()},
+  scored AS (SELECT t.prev, t.next, m.rank AS hit_rank FROM test t LEFT JOIN merged m ON m.prev = t.prev AND m.cand = t.next)
+  {_accuracy_select()}),
+multi_acc AS (
+  WITH {_candidates(True, 'test').strip()},
+  scored AS (SELECT t.prev, t.next, m.rank AS hit_rank FROM test t
+             LEFT JOIN merged m ON m.cluster = t.cluster AND m.prev = t.prev AND m.cand = t.next)
+  {_accuracy_select()})
+SELECT 'Forecasting' AS task, 'Unimodal' AS model, top1_pct AS metric_1, top5_pct AS metric_2, top10_pct AS metric_3
+FROM uni_acc
+UNION ALL SELECT 'Forecasting', 'Multimodal', top1_pct, top5_pct, top10_pct FROM multi_acc""",
+    "shuffled_batches": f"""WITH {prep('F2')},
+b AS (SELECT hadm_id, split, row_number() OVER (PARTITION BY split ORDER BY md5('7:' || hadm_id), hadm_id) - 1 AS r
+      FROM sequences)
+SELECT hadm_id, split, CAST(r // 16 AS BIGINT) AS batch_id, CAST(r % 16 AS BIGINT) AS pos_in_batch FROM b""",
 }

@@ -34,6 +34,7 @@ from carepath.sources import clinical, tables
 # Parameters of the registered queries (fixed here so Spark and the oracle SQL use the same ones).
 TOPK = 10
 BATCH_SIZE = 16
+SHUFFLE_SEED = 7
 LAMBDA = 0.7
 DF_TOPK = 200
 NOTE_MAX_TOKENS = 512
@@ -149,9 +150,15 @@ def q_pad_batches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_shuffled_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The seeded order itself: every sequence's batch and place in it."""
+    b = sq.pad_batches(prepare(spark, sf, "F2").sequences, batch_size=BATCH_SIZE, seed=SHUFFLE_SEED)
+    return b.select("hadm_id", "split", "batch_id", "pos_in_batch")
+
+
 def q_unpad_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Padded batches (hash-shuffled order) masked back to prediction steps: equal to the unpadded pairs."""
-    b = sq.pad_batches(prepare(spark, sf, "F2").sequences, batch_size=BATCH_SIZE, seed=7)
+    b = sq.pad_batches(prepare(spark, sf, "F2").sequences, batch_size=BATCH_SIZE, seed=SHUFFLE_SEED)
     return sq.unpad_batches(b)
 
 
@@ -214,39 +221,42 @@ def q_modality_drop_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf: str, fixture: str, with_notes: bool):
+    """(model, train counts, test counts)."""
     p = prepare(spark, sf, fixture)
-    pairs = p.pairs  # rests on a checkpoint
-    ctx: tuple[str, ...] = ()
-    if with_notes:
-        pairs = pairs.join(tables.note_clusters(spark, sf), "hadm_id")
-        ctx = ("cluster",)
-    train = pairs.where(F.col("split") == "train")
-    test = pairs.where(F.col("split") == "test")
-    return p, fc.fit_next_code(train, TOPK, ctx), train, test
+    ctx = ("cluster",) if with_notes else ()
+    pairs = p.pairs.join(tables.note_clusters(spark, sf), "hadm_id") if with_notes else p.pairs
+    counts = fc.pair_counts(pairs, ctx)
+    train, test = (counts.where(F.col("split") == s) for s in (co.TRAIN, co.TEST))
+    return fc.fit_next_code(train, TOPK, ctx), train, test
 
 
 def q_next_code_model(spark: SparkSession, sf: str) -> DataFrame:
-    _, model, train, test = _fitted(spark, sf, "F3", False)
+    model, train, test = _fitted(spark, sf, "F3", False)
     return fc.rank_candidates(model, train.select("prev").unionByName(test.select("prev")))
 
 
 def q_forecast_topk_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    _, model, _, test = _fitted(spark, sf, "F3", False)
+    model, _, test = _fitted(spark, sf, "F3", False)
     return fc.evaluate_topk(model, test)
 
 
 def q_forecast_topk_accuracy_notes(spark: SparkSession, sf: str) -> DataFrame:
-    _, model, _, test = _fitted(spark, sf, "F1b", True)
+    model, _, test = _fitted(spark, sf, "F1b", True)
     return fc.evaluate_topk(model, test)
 
 
 def q_forecast_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
     p = prepare(spark, sf, "F3")
-    train = p.pairs.where(F.col("split") == "train")
-    test = p.pairs.where(F.col("split") == "test")
+    counts = fc.pair_counts(p.pairs)
+    train, test = (counts.where(F.col("split") == s) for s in (co.TRAIN, co.TEST))
     return fc.cross_entropy(train, test, p.vocab.size, LAMBDA)
 
 
+def q_report_forecasting(spark: SparkSession, sf: str) -> DataFrame:
+    """The forecasting rows of the final report, by the study's own function on the study's fixture."""
+    return forecast_report(spark, sf, "F1", TOPK, how="inner")
+
+
 def q_final_report(spark: SparkSession, sf: str) -> DataFrame:
     """The whole study on F1 (vectors for every admission): the four-row task/model report."""
     from carepath.plans.workflow import run_study
@@ -676,4 +686,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stored_examples": q_stored_examples,
     "csv_round_trip": q_csv_round_trip,
     "observed_counts": q_observed_counts,
+    "report_forecasting": q_report_forecasting,
+    "shuffled_batches": q_shuffled_batches,
 }

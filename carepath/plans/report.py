@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carepath.functions.scalar import percent
 from carepath.operators import forecast as fc
+from carepath.operators.cohort import TEST, TRAIN
+from carepath.operators.forecast import NextCodeModel
 from carepath.plans.fixtures import prepare
 from carepath.schemas import REPORT_CSV_HEADER
-from carepath.session import materialize
 from carepath.sources import tables
 
 # The reference's task and model names.
@@ -29,20 +30,26 @@ def report_row(df: DataFrame, task: str, model: str, m1: str, m2: str, m3: str |
     )
 
 
-def forecast_report(spark: SparkSession, sf_dir: str, fixture: str = "F1b", k: int = 10) -> DataFrame:
-    """Two rows: top-1/5/10 % of the codes-only model and of the model keyed by note cluster."""
-    p = prepare(spark, sf_dir, fixture)
-    pairs = materialize(p.pairs.join(tables.note_clusters(spark, sf_dir), "hadm_id", "left"))
-    train = pairs.where(F.col("split") == "train")
-    test = pairs.where(F.col("split") == "test")
+def forecasting_rows(counts: DataFrame, k: int = 10, store: Callable[[str, NextCodeModel], None] | None = None) -> DataFrame:
+    """Two rows: top-1/5/10 % of the codes-only model and of the model keyed by note cluster, from ``forecast.pair_counts``
+    with the cluster. ``store`` gets each fitted model by name."""
+    train, test = (counts.where(F.col("split") == s) for s in (TRAIN, TEST))
     rows = []
-    for model_name, ctx in ((UNIMODAL, ()), (MULTIMODAL, ("cluster",))):
+    for name, ctx in ((UNIMODAL, ()), (MULTIMODAL, ("cluster",))):
         model = fc.fit_next_code(train, k, ctx)
-        acc = fc.evaluate_topk(model, test)
-        rows.append(report_row(acc, FORECASTING, model_name, "top1_pct", "top5_pct", "top10_pct"))
+        if store:
+            store(name, model)
+        rows.append(report_row(fc.evaluate_topk(model, test), FORECASTING, name, "top1_pct", "top5_pct", "top10_pct"))
     return rows[0].unionByName(rows[1])
 
 
+def forecast_report(spark: SparkSession, sf_dir: str, fixture: str = "F1b", k: int = 10, how: str = "left") -> DataFrame:
+    """``forecasting_rows`` of a fixture. ``how`` = "inner" keeps admissions with a note cluster only, as the study does."""
+    p = prepare(spark, sf_dir, fixture)
+    pairs = p.pairs.join(tables.note_clusters(spark, sf_dir), "hadm_id", how)
+    return forecasting_rows(fc.pair_counts(pairs, ("cluster",)), k)
+
+
 def filter_report(report: DataFrame, task: str | None = None, model_contains: str | None = None) -> DataFrame:
     """Rows of one task and/or whose model name contains a substring."""
     out = report

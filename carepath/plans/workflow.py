@@ -26,11 +26,11 @@ from carepath.operators.vocab import build_vocab, encode_codes, with_split
 from carepath.plans.fixtures import Inputs
 from carepath.plans.report import (
     BASELINE,
-    FORECASTING,
     MORTALITY,
     MULTIMODAL,
     UNIMODAL,
     compare_models,
+    forecasting_rows,
     report_row,
     write_report_csv,
 )
@@ -104,13 +104,12 @@ def run_study(
     if clusters is None:
         km = fit_note_clusters(vecs, used.where(F.col("split") == TRAIN), config.note_clusters, config.seed)
         clusters = assign_clusters(km, vecs)
-    pairs = materialize(next_pairs_lead(encoded).join(clusters, "hadm_id"))
-    train, test = pairs.where(F.col("split") == TRAIN), pairs.where(F.col("split") == TEST)
-    rows = []
-    for name, ctx in ((UNIMODAL, ()), (MULTIMODAL, ("cluster",))):
-        model = fc.fit_next_code(train, config.k, ctx)
+    counts = fc.pair_counts(next_pairs_lead(encoded).join(clusters, "hadm_id"), ("cluster",))
+
+    def store(name: str, model: fc.NextCodeModel) -> None:
         fc.save_next_code(model, os.path.join(out_dir, "models", f"next_code_{name.lower()}"))
-        rows.append(report_row(fc.evaluate_topk(model, test), FORECASTING, name, "top1_pct", "top5_pct", "top10_pct"))
+
+    rows = [forecasting_rows(counts, config.k, store)]
 
     # Mortality: class-weighted logistic regression with and without the note vector, and the baseline.
     for name, own, v in ((MULTIMODAL, bags, vecs), (UNIMODAL, bags, None), (BASELINE, all_bags, None)):
