@@ -471,4 +471,27 @@ UNION ALL SELECT 'Forecasting', 'Multimodal', top1_pct, top5_pct, top10_pct FROM
 b AS (SELECT hadm_id, split, row_number() OVER (PARTITION BY split ORDER BY md5('7:' || hadm_id), hadm_id) - 1 AS r
       FROM sequences)
 SELECT hadm_id, split, CAST(r // 16 AS BIGINT) AS batch_id, CAST(r % 16 AS BIGINT) AS pos_in_batch FROM b""",
+    "tokenized_bags": f"""WITH {prep('F3')},
+rows AS (SELECT DISTINCT d.hadm_id, c.split, d.icd_code FROM diag d JOIN cohort c ON c.hadm_id = d.hadm_id),
+texts AS (SELECT hadm_id, split, lower(string_agg(icd_code, ' ')) AS t FROM rows GROUP BY hadm_id, split),
+lab AS (SELECT hadm_id, max(label) AS label FROM adm GROUP BY hadm_id)
+SELECT x.hadm_id, x.split, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\b\\w\\w+\\b'))), ' ') AS terms,
+       CAST(COALESCE(l.label, 0) AS BIGINT) AS label
+FROM texts x LEFT JOIN lab l ON l.hadm_id = x.hadm_id""",
+    "relu_vectors": f"""WITH {_embedding_cells().strip()}
+SELECT vec_id, CAST(i AS BIGINT) AS dim, round(greatest(x, CAST(0 AS DOUBLE)), 6) AS value FROM e""",
+    "formatted_stats": f"""WITH {prep('F3')},
+s AS (SELECT c.split, count(*) AS n, sum(COALESCE(a.label, 0)) AS n_pos FROM cohort c
+      LEFT JOIN adm a ON a.hadm_id = c.hadm_id GROUP BY c.split)
+SELECT split, format('{{:,}}', CAST(n AS BIGINT)) AS n, format('{{:,}}', CAST(n_pos AS BIGINT)) AS positives,
+       printf('%.2f%%', 100.0 * n_pos / n) AS rate, format('{{:,}}', CAST((SELECT n FROM vsize) + 1 AS BIGINT)) AS vocab_size
+FROM s""",
+    "training_curves": """
+WITH m AS (SELECT event_type AS run, CAST(day(ts) AS BIGINT) AS epoch, count(*) AS n FROM events GROUP BY 1, 2),
+l AS (SELECT run, epoch, CAST(n AS DOUBLE) / 1000.0 AS loss, CASE WHEN epoch % 2 = 0 THEN CAST(0.5 AS DOUBLE) END AS auc FROM m)
+SELECT run, epoch, loss, auc, round(loss - lag(loss) OVER (PARTITION BY run ORDER BY epoch), 6) AS loss_change FROM l""",
 }
+ORACLE_SQL["results_file"] = f"""WITH by_lang AS ({ORACLE_SQL['ranking_by_group']})
+SELECT 'Mortality' AS task, CASE lang WHEN 'en' THEN 'Unimodal' ELSE 'Multimodal' END AS model, roc_auc AS metric_1,
+       average_precision AS metric_2, CAST(0 AS DOUBLE) AS metric_3
+FROM by_lang WHERE lang IN ('en', 'de')"""

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.functions.scalar import array_to_string, clamp, clamped_probability, word_tokens
+from carepath.functions.scalar import array_to_string, clamp, clamped_probability, relu, word_tokens
 from carepath.operators import cohort as co
 from carepath.operators import encoders as en
 from carepath.operators import forecast as fc
@@ -26,7 +26,21 @@ from carepath.operators import vectors as vx
 from carepath.operators.examples import assemble_counted, assemble_examples, modality_drop_counts, unique_vectors
 from carepath.operators.vocab import decode_codes
 from carepath.plans.fixtures import build_cohort, inputs, prepare
-from carepath.plans.report import compare_models, forecast_report
+from carepath.plans.report import (
+    BASELINE,
+    MORTALITY,
+    MULTIMODAL,
+    UNIMODAL,
+    compare_models,
+    filter_report,
+    forecast_report,
+    format_cohort_stats,
+    parse_training_logs,
+    read_report_csv,
+    report_row,
+    write_report_csv,
+    write_training_logs,
+)
 from carepath.schemas import DIAGNOSES
 from carepath.session import checkpoint_dir, counting_session, materialize, remove_folder, shuffle_partitions
 from carepath.sources import clinical, tables
@@ -627,6 +641,66 @@ def q_observed_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([tuple(row[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
+def q_tokenized_bags(spark: SparkSession, sf: str) -> DataFrame:
+    """Bags as a text vectorizer sees them: lower-case words of two or more word characters of the joined codes."""
+    inp = inputs(spark, sf, "F3")
+    bags = rk.bag_of_codes(inp.diagnoses, build_cohort(inp), inp.labels, tokenize=True)
+    return bags.select("hadm_id", "split", F.array_join("codes", " ").alias("terms"), F.col("label").cast("long").alias("label"))
+
+
+def q_relu_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    cells = _embeddings(spark, sf).select("vec_id", F.posexplode("vec").alias("dim", "x"))
+    return cells.select("vec_id", F.col("dim").cast("long").alias("dim"), F.round(relu("x"), 6).alias("value"))
+
+
+def q_formatted_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The cohort table as it is printed, with the vocabulary size."""
+    p = prepare(spark, sf, "F3")
+    return format_cohort_stats(co.cohort_stats(p.cohort, p.inputs.labels), p.vocab.size_with_unknown)
+
+
+# Languages whose ranking metrics stand in for the three models' rows.
+REPORT_LANGUAGES = (("en", UNIMODAL), ("de", MULTIMODAL), ("fr", BASELINE))
+
+
+def q_results_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The results file: a report assembled row by row, written with its header, read back, filtered by task and model."""
+    lang = tables.read_table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("hadm_id"), "lang")
+    by_lang = materialize(me.ranking_by_group(_scores(spark, sf).join(lang, "hadm_id"), ("lang",)))
+    rows = [
+        report_row(by_lang.where(F.col("lang") == code), MORTALITY, model, "roc_auc", "average_precision", None)
+        for code, model in REPORT_LANGUAGES
+    ]
+    report = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    out = _study_folder(spark, "results")
+    try:
+        write_report_csv(report, out)
+        return materialize(filter_report(read_report_csv(spark, out), MORTALITY, "modal"))
+    finally:
+        remove_folder(spark, out)
+
+
+def q_training_curves(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss curves parsed from log lines of both forms: a run per event type, an epoch per day of the month, and as its loss the
+    day's events in thousands."""
+    ev = tables.read_table(spark, sf, "events")
+    days = ev.groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").alias("epoch")).agg(F.count(F.lit(1)).alias("n"))
+    loss = F.format_string("%.4f", F.col("n") / F.lit(1000.0))
+    short = F.format_string("Epoch %d | Avg Loss: %s | Train AUC: 0.5", F.col("epoch"), loss)
+    long = F.format_string("Epoch %d Average Loss: %s", F.col("epoch"), loss)
+    lines = days.select("run", F.when(F.col("epoch") % 2 == 0, short).otherwise(long).alias("value"))
+    other = days.select("run", F.lit("reading the next shard").alias("value"))
+    out = _study_folder(spark, "logs")
+    try:
+        write_training_logs(lines.unionByName(other), out)
+        curves = parse_training_logs(spark, [out])
+        return materialize(
+            curves.select("run", F.col("epoch").cast("long").alias("epoch"), "loss", "auc", F.round("loss_change", 6).alias("loss_change"))
+        )
+    finally:
+        remove_folder(spark, out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cohort_intersection": q_cohort_intersection,
     "cohort_split": q_cohort_split,
@@ -688,4 +762,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "observed_counts": q_observed_counts,
     "report_forecasting": q_report_forecasting,
     "shuffled_batches": q_shuffled_batches,
+    "tokenized_bags": q_tokenized_bags,
+    "relu_vectors": q_relu_vectors,
+    "formatted_stats": q_formatted_stats,
+    "results_file": q_results_file,
+    "training_curves": q_training_curves,
 }

@@ -127,12 +127,19 @@ LOSS_PATTERN = r"Av(?:erage|g) Loss: ([0-9.]+)"
 AUC_PATTERN = r"Train AUC: ([0-9.]+)"
 
 
+def write_training_logs(lines: DataFrame, path: str) -> None:
+    """Log lines (run, value) as text files in one folder per run."""
+    lines.select("run", "value").write.mode("overwrite").partitionBy("run").text(path)
+
+
 def parse_training_logs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Training-log lines -> (run, epoch, loss, auc, loss_change); lines without an epoch and loss are skipped."""
-    lines = spark.read.text(list(paths)).select(F.input_file_name().alias("_file"), "value")
-    run = F.regexp_extract("_file", r"([^/]+?)(\.[^./]*)?$", 1)
+    """Training-log lines -> (run, epoch, loss, auc, loss_change); lines without an epoch and loss are skipped. A run is a
+    file, or all files of a folder ``run=...``."""
+    read = spark.read.text(list(paths))
+    run = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
+    lines = read.select((F.col("run").cast("string") if "run" in read.columns else run).alias("run"), "value")
     parsed = lines.select(
-        run.alias("run"),
+        "run",
         F.regexp_extract("value", EPOCH_PATTERN, 1).alias("_e"),
         F.regexp_extract("value", LOSS_PATTERN, 1).alias("_l"),
         F.regexp_extract("value", AUC_PATTERN, 1).alias("_a"),
