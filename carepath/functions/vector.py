@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carepath.functions.scalar import ColumnOrName, _c, sigmoid
@@ -74,3 +76,24 @@ def layer_norm(x: ColumnOrName, eps: float = 1e-5, gain: float = 1.0, shift: flo
 
 def l2_norm(x: ColumnOrName) -> Column:
     return F.sqrt(dot(x, x))
+
+
+def is_ml_vector(df: DataFrame, col: str) -> bool:
+    """Whether the column holds Spark ML vectors (dense or sparse) rather than arrays."""
+    return isinstance(df.schema[col].dataType, VectorUDT)
+
+
+def ml_vector(df: DataFrame, col: str) -> Column:
+    """The column as Spark ML vectors; sparse ones stay sparse."""
+    return F.col(col) if is_ml_vector(df, col) else array_to_vector(F.col(col).cast("array<double>"))
+
+
+def vector_cells(df: DataFrame, *keep: str, col: str = "vec") -> DataFrame:
+    """(kept columns, place, x): one row per stored value of each vector (all of a dense one, those of a sparse one)."""
+    if is_ml_vector(df, col):
+        u = F.unwrap_udt(F.col(col))
+        dense = F.transform(u["values"], lambda v, i: F.struct(i.alias("place"), v.alias("x")))
+        sparse = F.transform(u["values"], lambda v, i: F.struct(F.get(u["indices"], i).alias("place"), v.alias("x")))
+        cells = df.select(*keep, F.explode(F.when(u["type"] == 1, dense).otherwise(sparse)).alias("_c"))
+        return cells.select(*keep, "_c.place", "_c.x")
+    return df.select(*keep, F.posexplode(F.col(col).cast("array<double>")).alias("place", "x"))

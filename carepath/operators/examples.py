@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from carepath.functions.vector import is_ml_vector
 from carepath.operators.cohort import attach_labels
 
 
 def unique_vectors(note_vectors: DataFrame, order_col: str | None = None) -> DataFrame:
     """One vector per admission -> (hadm_id, vec): the last one in ``order_col`` order (the reference's dictionary
     keeps the last it reads). Without an order, or between ties, the largest vector wins, so the result does not
-    depend on file order."""
-    vec = F.col("vec").cast("array<float>")
-    order = F.struct(F.col(order_col), vec) if order_col else vec
+    depend on file order. Arrays come out as ``array<float>``, Spark ML vectors as they are."""
+    vec = F.col("vec") if is_ml_vector(note_vectors, "vec") else F.col("vec").cast("array<float>")
+    value = F.unwrap_udt(vec) if is_ml_vector(note_vectors, "vec") else vec
+    order = F.struct(F.col(order_col), value) if order_col else value
     return note_vectors.groupBy("hadm_id").agg(F.max_by(vec, order).alias("vec"))
 
 

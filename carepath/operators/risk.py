@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carepath.functions.scalar import clamped_probability, count_vectorizer_tokens, sigmoid
+from carepath.functions.vector import ml_vector, vector_cells
 from carepath.operators.cohort import TRAIN, attach_labels, class_weights
 from carepath.operators.examples import unique_vectors
 from carepath.operators.ordering import row_index
@@ -84,8 +85,8 @@ def _features(bags: DataFrame, note_vectors: DataFrame | None) -> DataFrame:
         return bags
     # Inner join: examples without a note vector are dropped (the reference's modality filter).
     # Several vectors of one admission count as one, so no admission trains twice.
-    vectors = unique_vectors(note_vectors).select("hadm_id", array_to_vector("vec").alias("note_vec"))
-    return bags.join(vectors, "hadm_id")
+    vectors = unique_vectors(note_vectors)
+    return bags.join(vectors.select("hadm_id", ml_vector(vectors, "vec").alias("note_vec")), "hadm_id")
 
 
 def fit_risk(
@@ -184,8 +185,8 @@ def stored_margins(
     rows = bags if note_vectors is None else bags.join(note_vectors.select("hadm_id").distinct(), "hadm_id", "left_semi")
     parts = rows.select("hadm_id", F.explode(F.array_distinct("codes")).alias("term")).join(codes, "term").select("hadm_id", "b")
     if note_vectors is not None:
-        cells = unique_vectors(note_vectors).select("hadm_id", F.posexplode("vec").alias("place", "x"))
-        parts = parts.unionByName(cells.join(places, "place").select("hadm_id", (F.col("x").cast("double") * F.col("b")).alias("b")))
+        cells = vector_cells(unique_vectors(note_vectors), "hadm_id")
+        parts = parts.unionByName(cells.join(places, "place").select("hadm_id", (F.col("x") * F.col("b")).alias("b")))
     sums = parts.groupBy("hadm_id").agg(F.sum("b").alias("_sum"))
     out = rows.select("hadm_id").join(sums, "hadm_id", "left")
     return out.select("hadm_id", (F.lit(start) + F.coalesce("_sum", F.lit(0.0))).alias("margin"))
@@ -228,9 +229,10 @@ def fit_check(model: RiskModel, bags: DataFrame, note_vectors: DataFrame | None
         .select("g", "b")
     )
     if note_vectors is not None:
-        cells = train.select("hadm_id", F.posexplode(vector_to_array("note_vec")).alias("place", "x")).join(rows, "hadm_id")
+        cells = vector_cells(train, "hadm_id", col="note_vec").join(rows, "hadm_id")
         notes = cells.groupBy("place").agg(F.sum(residual * F.col("x")).alias("g"))
-        slopes = slopes.unionByName(notes.join(b.where(F.col("kind") == "note").select("place", "b"), "place").select("g", "b"))
+        places = b.where(F.col("kind") == "note").select("place", "b").join(notes, "place", "left")
+        slopes = slopes.unionByName(places.select(F.coalesce("g", F.lit(0.0)).alias("g"), "b"))
     steep = slopes.agg(F.max(F.abs(F.col("g") + F.col("b"))).alias("steepest"), F.count(F.lit(1)).alias("n_features")).first()
     weight_sum = totals.weight_sum or 0.0
     steepest = max(abs(totals.intercept or 0.0), steep.steepest or 0.0)

@@ -12,13 +12,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA, PCAModel
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, PCAModel
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carepath.functions.vector import centered, gate, normalize_centered, weighted_sum
+from carepath.functions.vector import centered, gate, ml_vector, normalize_centered, weighted_sum
 from carepath.functions.scalar import word_tokens
 from carepath.session import materialize
 
@@ -51,21 +51,26 @@ def term_weights(terms: DataFrame, notes: DataFrame, fit_ids: DataFrame | None =
     return terms.join(df, "term", "left").select("hadm_id", "term", (F.col("tf") * idf).alias("weight"))
 
 
+# Terms that the note vectors keep a place for: the most frequent ones of the fitting notes, if there are more.
+MAX_TERMS = 1 << 20
+
+
 def vectorize_notes(
-    notes: DataFrame, num_features: int = 1 << 10, text_col: str = "text", fit_ids: DataFrame | None = None
+    notes: DataFrame, max_terms: int = MAX_TERMS, text_col: str = "text", fit_ids: DataFrame | None = None
 ) -> DataFrame:
-    """Dense note vectors for the models: exact TF-IDF weights per term, then summed into ``num_features`` places by a
-    hash of the term (the model's width; the weights themselves are exact, see ``term_weights``). One vector per
-    admission, all its notes together. -> (hadm_id, vec ARRAY<FLOAT>)
+    """Note vectors for the models: exact TF-IDF, a place of its own for every term -> (hadm_id, vec), sparse Spark ML
+    vectors, one per admission, all its notes together.
+
+    Terms and document frequencies are those of ``fit_ids`` (the train split) or of all notes; the weight is
+    tf * ln((n + 1) / (df + 1)), as in ``term_weights``. Other terms have no place. The vocabulary (``max_terms`` at most)
+    is held by the driver and the tasks, as the fitted models hold a coefficient or centre value for each place.
     """
-    terms = materialize(note_terms(notes, text_col))
-    place = F.pmod(F.xxhash64("term"), F.lit(num_features)).cast("int")
-    cells = term_weights(terms, notes, fit_ids).groupBy("hadm_id", place.alias("place")).agg(F.sum("weight").alias("v"))
-    rows = cells.groupBy("hadm_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("cells"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(num_features - 1)), lambda i: F.coalesce(F.element_at("cells", i), F.lit(0.0)))
-    every = notes.select("hadm_id").distinct().join(rows, "hadm_id", "left")
-    zero = F.array_repeat(F.lit(0.0), num_features)
-    return every.select("hadm_id", F.coalesce(vec, zero).cast("array<float>").alias("vec"))
+    words = word_tokens(F.lower(F.col(text_col)))
+    tokens = notes.groupBy("hadm_id").agg(F.flatten(F.collect_list(words)).alias("words"))
+    keep = lambda df: df if fit_ids is None else df.join(fit_ids.select("hadm_id"), "hadm_id", "left_semi")
+    terms = CountVectorizer(inputCol="words", outputCol="tf", vocabSize=max_terms, minDF=1.0).fit(keep(tokens))
+    counted = materialize(terms.transform(tokens).select("hadm_id", "tf"))
+    return IDF(inputCol="tf", outputCol="vec").fit(keep(counted)).transform(counted).select("hadm_id", "vec")
 
 
 def vectorize_notes_with(
@@ -86,13 +91,13 @@ def fit_note_clusters(note_vectors: DataFrame, train_ids: DataFrame, k: int = 10
                       max_iter: int = 20, tol: float = 1e-4) -> KMeansModel:
     """KMeans on the train split's note vectors only (no test information enters the clusters)."""
     train = note_vectors.join(train_ids.select("hadm_id"), "hadm_id", "left_semi")
-    data = train.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    data = train.select(ml_vector(train, "vec").alias("features"))
     return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features").fit(data)
 
 
 def assign_clusters(model: KMeansModel, note_vectors: DataFrame) -> DataFrame:
     """(hadm_id, cluster) for every vector."""
-    data = note_vectors.select("hadm_id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    data = note_vectors.select("hadm_id", ml_vector(note_vectors, "vec").alias("features"))
     return model.transform(data).select("hadm_id", F.col("prediction").cast("long").alias("cluster"))
 
 

@@ -495,3 +495,5 @@ ORACLE_SQL["results_file"] = f"""WITH by_lang AS ({ORACLE_SQL['ranking_by_group'
 SELECT 'Mortality' AS task, CASE lang WHEN 'en' THEN 'Unimodal' ELSE 'Multimodal' END AS model, roc_auc AS metric_1,
        average_precision AS metric_2, CAST(0 AS DOUBLE) AS metric_3
 FROM by_lang WHERE lang IN ('en', 'de')"""
+# The models' vectors hold the same exact weights.
+ORACLE_SQL["note_vectors"] = ORACLE_SQL["vectorize_notes"]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carepath.functions.scalar import array_to_string, clamp, clamped_probability, relu, word_tokens
+from carepath.functions.vector import vector_cells
 from carepath.operators import cohort as co
 from carepath.operators import encoders as en
 from carepath.operators import forecast as fc
@@ -408,6 +409,15 @@ def q_vectorize_notes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_note_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The sparse note vectors that the models take: terms and squared norm per note, over the whole vocabulary."""
+    vectors = vx.vectorize_notes(tables.notes(spark, sf))
+    cells = vector_cells(vectors, "hadm_id").groupBy("hadm_id").agg(
+        F.count(F.lit(1)).cast("long").alias("n_terms"), F.round(F.sum(F.col("x") * F.col("x")), 4).alias("sq_norm")
+    )
+    return cells
+
+
 def _long_form(df: DataFrame, id_col: str, vec_col: str, out: str = "value") -> DataFrame:
     return df.select(id_col, F.posexplode(vec_col).alias("dim", "_v")).select(
         id_col, F.col("dim").cast("long").alias("dim"), F.round(F.col("_v").cast("double"), 6).alias(out)
@@ -762,6 +772,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "observed_counts": q_observed_counts,
     "report_forecasting": q_report_forecasting,
     "shuffled_batches": q_shuffled_batches,
+    "note_vectors": q_note_vectors,
     "tokenized_bags": q_tokenized_bags,
     "relu_vectors": q_relu_vectors,
     "formatted_stats": q_formatted_stats,

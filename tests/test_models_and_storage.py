@@ -6,8 +6,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from carepath.functions.vector import vector_cells
 from carepath.operators import encoders as en
 from carepath.operators import heads as hd
 from carepath.operators import risk as rk
@@ -163,3 +165,32 @@ def test_counts_ride_on_the_landing_and_the_session_stays_usable(spark, tmp_path
     assert landed.where(F.col("hadm_id").isNull()).count() == 2
     bags = spark.createDataFrame([(i, "train", ["a"] if i % 2 else ["b"], i % 2) for i in range(8)], "hadm_id long, split string, codes array<string>, label int")
     assert rk.fit_risk(bags).vocabulary == ("a", "b")
+
+
+def test_models_take_sparse_note_vectors(spark, tmp_path):
+    """Clusters, risk models and stored coefficients on exact TF-IDF vectors; several notes of one admission are one."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    notes = [(i, " ".join(rng.choice(words[30 * (i % 2) : 30 * (i % 2) + 30]) for _ in range(20))) for i in range(80)]
+    notes = spark.createDataFrame(notes + [(0, "w1 w2")], "hadm_id long, text string")
+    sparse = vx.vectorize_notes(notes).cache()
+    assert sparse.count() == 80 and sparse.first().vec.size == 60
+    dense = sparse.select("hadm_id", vector_to_array("vec").alias("vec"))
+    cells = lambda df: sorted((r.hadm_id, r.place, r.x) for r in vector_cells(df, "hadm_id").collect() if r.x)
+    assert cells(sparse) == cells(dense)
+    bags = [(i, "train" if i % 4 else "test", ["a", "b"][: 1 + i % 2], int(i % 2 == 0 or i % 7 == 0)) for i in range(80)]
+    bags = spark.createDataFrame(bags, "hadm_id long, split string, codes array<string>, label int")
+    clusters = [vx.assign_clusters(vx.fit_note_clusters(v, v, k=2), v).collect() for v in (sparse, dense)]
+    for found in clusters:
+        groups = {r.cluster: {x.hadm_id % 2 for x in found if x.cluster == r.cluster} for r in found}
+        assert sorted(map(sorted, groups.values())) == [[0], [1]]
+    margins = []
+    for name, v in (("sparse", sparse), ("dense", dense)):
+        model = rk.fit_risk(bags, v)
+        rk.save_risk(model, str(tmp_path / name))
+        want = {r.hadm_id: r.margin for r in rk.score_risk(model, bags, v, split=None).collect()}
+        got = {r.hadm_id: r.margin for r in rk.stored_margins(spark, str(tmp_path / name), bags, v).collect()}
+        assert all(math.isclose(got[i], want[i], abs_tol=1e-6) for i in want)
+        assert rk.fit_check(model, bags, v).first().stationary
+        margins.append(want)
+    assert all(math.isclose(margins[0][i], margins[1][i], abs_tol=1e-3) for i in margins[0])

@@ -243,13 +243,15 @@ def test_vectorize_notes_tfidf_values(spark):
     notes = spark.createDataFrame(
         [(1, "alpha alpha common"), (2, "beta common\ncommon"), (3, "Common gamma\tdelta")], "hadm_id long, text string"
     )
-    dim = 1 << 10
-    vecs = {r.hadm_id: r.vec for r in vectorize_notes(notes, num_features=dim).collect()}
-    place = lambda w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(dim))).first()[0]
-    assert vecs[1][place("alpha")] == pytest.approx(2 * math.log(4 / 2), rel=1e-6)
-    assert vecs[1][place("common")] == 0.0
-    assert vecs[3][place("gamma")] == pytest.approx(math.log(4 / 2), rel=1e-6)
-    assert all(len(v) == dim for v in vecs.values())
+    vecs = {r.hadm_id: r.vec for r in vectorize_notes(notes).collect()}
+    assert all(v.size == 5 for v in vecs.values())  # a place for each word
+    values = {i: sorted(v.toArray().tolist()) for i, v in vecs.items()}
+    one = math.log(4 / 2)
+    assert values[1] == pytest.approx([0, 0, 0, 0, 2 * one])
+    assert values[2] == pytest.approx([0, 0, 0, 0, one])
+    assert values[3] == pytest.approx([0, 0, 0, one, one])
+    cut = vectorize_notes(notes, max_terms=1).first().vec
+    assert cut.size == 1 and cut.toArray().tolist() == [0.0]  # the most frequent word, in every note
 
 
 def test_pca_projection_fit_on_train(spark):
@@ -273,10 +275,11 @@ def test_vectorize_notes_idf_fitted_on_train_only(spark):
 
     notes = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "alpha alpha")], "hadm_id long, text string")
     train = spark.createDataFrame([(1,), (2,)], "hadm_id long")
-    vecs = {r.hadm_id: r.vec for r in vectorize_notes(notes, num_features=64, fit_ids=train).collect()}
-    i = spark.range(1).select(F.pmod(F.xxhash64(F.lit("alpha")), F.lit(64))).first()[0]
-    # df(alpha) over the 2 train notes is 1: idf = ln(3/2), applied to the test note too
-    assert vecs[3][i] == pytest.approx(2 * math.log(3 / 2), rel=1e-6)
+    notes = notes.unionByName(spark.createDataFrame([(3, "unseen"), (4, None)], "hadm_id long, text string"))
+    vecs = {r.hadm_id: r.vec for r in vectorize_notes(notes, fit_ids=train).collect()}
+    # df(alpha) over the 2 train notes is 1: idf = ln(3/2), applied to the test note too; a word of no train note has no place
+    assert vecs[3].size == 2 and max(vecs[3].toArray()) == pytest.approx(2 * math.log(3 / 2), rel=1e-6)
+    assert vecs[4].toArray().tolist() == [0.0, 0.0]
 
 
 def test_streaming_landing_multiline_notes(spark):
