@@ -48,11 +48,12 @@ _CLOSES = {  # a start tag ends these open elements, up to the nearest of the bo
 _SCOPE = {"td", "th", "caption", "table", "button", "object", "template"}
 
 # What an element says about its text, by its name, its role attribute and the words of its class and id.
-ASIDE_TAGS = {"nav", "aside", "footer", "form", "dialog", "menu", "search"}
-ASIDE_ROLES = {
-    "navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "alertdialog", "menu",
-    "menubar", "toolbar",
-}
+ASIDE_TAGS = {"nav", "form", "dialog", "menu", "search"}
+ASIDE_ROLES = {"navigation", "banner", "search", "form", "alert", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
+# Beside the text, articles (teasers) inside included.
+SIDE_TAGS = {"aside", "footer"}
+SIDE_ROLES = {"complementary", "contentinfo"}
+SIDE_CLASSES = {"aside", "footer", "promo", "recommended", "related", "sidebar", "sponsored", "teaser", "teasers", "widget"}
 COMMENT_WORDS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "discussion", "reactions"}
 ASIDE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "consent",
@@ -66,7 +67,7 @@ MAIN_WORDS = {"article", "body", "content", "entry", "main", "post", "story", "t
 NEUTRAL_WORDS = {"with", "has", "no", "without", "open", "layout"}
 
 # Zones of the tree; a block lies in that of its nearest telling element.
-PLAIN, MAIN_TAG, MAIN_WORD, ASIDE_TAG, ASIDE_WORD, COMMENT, HEADER = range(7)
+PLAIN, MAIN_TAG, MAIN_WORD, ASIDE_TAG, ASIDE_WORD, COMMENT, HEADER, SIDE = range(8)
 
 
 @dataclass
@@ -93,7 +94,7 @@ def _names(value: str) -> list[str]:
 
 def _zone(tag: str, attributes: str, outer: int) -> int:
     """The zone that an element opens inside ``outer``."""
-    if outer in (COMMENT, ASIDE_TAG) and tag not in MAIN_TAGS:
+    if outer in (COMMENT, ASIDE_TAG, SIDE) and tag not in MAIN_TAGS:
         return outer
     if tag in ("html", "body", "head"):
         return outer
@@ -114,6 +115,8 @@ def _zone(tag: str, attributes: str, outer: int) -> int:
     words = [w - {"header"} if w & MAIN_WORDS else w for w in words]  # the heading part of an article
     if any(w & COMMENT_WORDS and not w & NEUTRAL_WORDS for w in words):
         return COMMENT
+    if tag in SIDE_TAGS or role in SIDE_ROLES or any(c.lower() in SIDE_CLASSES for c in classes):
+        return SIDE
     if tag in ASIDE_TAGS or role in ASIDE_ROLES:
         return ASIDE_TAG
     if any(w & ASIDE_WORDS and not w & NEUTRAL_WORDS for w in words):
@@ -121,7 +124,7 @@ def _zone(tag: str, attributes: str, outer: int) -> int:
     if own == ASIDE_WORD:
         return own
     if main:
-        return outer if outer == COMMENT else MAIN_TAG
+        return outer if outer == COMMENT or outer == SIDE and tag == "article" else MAIN_TAG
     if tag == "header":
         return outer if outer in (MAIN_TAG, MAIN_WORD) else HEADER
     if outer in (PLAIN, HEADER) and any(w & MAIN_WORDS for w in words):

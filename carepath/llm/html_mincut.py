@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from carepath.llm.common import byte_slices, text_or_empty, texts
 from carepath.llm.html_blocks import HEADING, PLAIN, Block, Page, labelled_pages, parse
 
-ZONES = 7
+ZONES = 8
 RIDGE = 0.05
 NEWTON_STEPS = 30
 MAX_LABELLED = 1_000_000  # bytes of labelled pages the classifier is fitted on; more raises

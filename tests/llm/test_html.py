@@ -85,6 +85,9 @@ def test_layouts_that_the_labelled_table_does_not_hold(weights):
         f'<form id="aspnet"><nav>{p}</nav><article><h1>Big</h1>{p}</article></form><section class="comments"><article>{p}</article></section>'.replace("<article><p>", '<article class="comment"><p>', 1),
         f'<div role="navigation">{p}</div><div role="main"><h1>Big</h1>{p}</div><div role="contentinfo">{p}</div>',
         f'<div class="advert">{p}<article><h1>Big</h1>{p}</article>',
+        f'<article><h1>Big</h1>{p}</article><aside><article><h3>Other</h3>{p}</article></aside>',
+        f'<main><h1>Big</h1>{p}<div class="related"><article>{p}</article></div></main><footer><article>{p}</article></footer>',
+        f'<div id="cookieConsent">{p}</div><div class="post-body"><h1>Big</h1>{p}</div><ul class="share-links"><li>{text}</li></ul>',
     ]
     for page in cases:
         assert hm.main_text(page, weights).split("\n") == ["Big", text], page
