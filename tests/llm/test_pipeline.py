@@ -70,7 +70,7 @@ def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
 
 def test_registered_queries(spark):
     names = {n.split("_")[0] for n in queries.QUERIES}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     every = {r.doc_id for r in docs.collect()}
     columns = {
