@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
@@ -89,6 +91,17 @@ def _features(bags: DataFrame, note_vectors: DataFrame | None) -> DataFrame:
     return bags.join(vectors.select("hadm_id", ml_vector(vectors, "vec").alias("note_vec")), "hadm_id")
 
 
+def _code_counter(terms: DataFrame) -> CountVectorizerModel:
+    """The binary counter of the terms, in their order. ``from_vocabulary`` sends the terms to the JVM in a call each;
+    here the JVM collects them itself."""
+    jvm = terms.sparkSession._jvm
+    words = getattr(terms.select("term")._jdf, "as")(jvm.org.apache.spark.sql.Encoders.STRING()).collect()
+    if not len(words):
+        raise ValueError("no codes to learn from")
+    cv = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", words)
+    return cv.setInputCol("codes").setOutputCol("bag").setBinary(True)
+
+
 def fit_risk(
     bags: DataFrame,
     note_vectors: DataFrame | None = None,
@@ -107,17 +120,14 @@ def fit_risk(
     train = materialize(_features(bags.where(F.col("split") == TRAIN), note_vectors))
     terms = train.select(F.explode(F.array_distinct("codes")).alias("term")).where(F.col("term").isNotNull())
     terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    if k is not None:
-        terms = terms.orderBy(F.desc("df"), "term").limit(k)
-    # The driver holds a coefficient for each term anyway, so it also puts them in order.
-    vocab = [r["term"] for r in sorted(terms.collect(), key=lambda r: (-r["df"], r["term"].encode()))]
+    terms = terms.orderBy(F.desc("df"), "term")
+    cv = _code_counter(terms if k is None else terms.limit(k))
     # Balanced weights over the training rows the model sees (one row per class comes back).
     per_class = {int(r["label"]): r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total_w = float(sum(per_class.values()))  # balanced weights add up to the number of rows
     weights = {label: total_w / (len(per_class) * n) for label, n in per_class.items()}
     wmap = F.create_map(*[x for label, w in weights.items() for x in (F.lit(label), F.lit(w))])
     train_x = train.withColumn("w", F.coalesce(wmap[F.col("label")], F.lit(1.0)))
-    cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="codes", outputCol="bag", binary=True)
     inputs = ["bag", "note_vec"] if note_vectors is not None else ["bag"]
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")
     lr = LogisticRegression(
@@ -131,8 +141,11 @@ def fit_risk(
         tol=1e-6,
     )
     prepared = assembler.transform(cv.transform(train_x)).withColumn("label_d", F.col("label").cast("double"))
-    lr_model = lr.fit(prepared)
-    return RiskModel(PipelineModel(stages=[cv, assembler, lr_model]), note_vectors is not None, tuple(vocab))
+    # The fit runs jobs on these rows for each iteration. Staged, and without the column's list of one attribute for
+    # each term, the rows' tasks carry nothing that grows with the vocabulary.
+    features = F.col("features").alias("features", metadata={"comment": "bag of codes, note vector"})
+    lr_model = lr.fit(materialize(prepared.select(features, "label_d", "w")))
+    return RiskModel(PipelineModel(stages=[cv, assembler, lr_model]), note_vectors is not None, tuple(cv.vocabulary))
 
 
 def score_risk(model: RiskModel, bags: DataFrame, note_vectors: DataFrame | None = None, split: str = "test") -> DataFrame:
@@ -154,12 +167,15 @@ def coefficients(model: RiskModel) -> DataFrame:
     """(kind, term, place, b): the model's coefficients, one row each: ``code`` by term, ``note`` by place in the note
     vector, and the ``intercept``. As many rows as the fitted model holds on the driver anyway."""
     lr = model.pipeline.stages[-1]
-    b = lr.coefficients.toArray().tolist()
-    n = len(model.vocabulary)
-    rows = [("intercept", None, None, float(lr.intercept))]
-    rows += [("code", t, None, v) for t, v in zip(model.vocabulary, b)]
-    rows += [("note", None, i, v) for i, v in enumerate(b[n:])]
-    return SparkSession.active().createDataFrame(rows, "kind string, term string, place int, b double")
+    b = lr.coefficients.toArray()
+    n, notes = len(model.vocabulary), len(b) - len(model.vocabulary)
+    columns = {
+        "kind": pa.array(["intercept"] + ["code"] * n + ["note"] * notes, pa.string()),
+        "term": pa.array([None, *model.vocabulary, *[None] * notes], pa.string()),
+        "place": pa.array([None] * (n + 1) + list(range(notes)), pa.int32()),
+        "b": pa.array(np.concatenate([[lr.intercept], b]), pa.float64()),
+    }
+    return SparkSession.active().createDataFrame(pa.table(columns))
 
 
 def save_risk(model: RiskModel, path: str) -> None:
@@ -167,7 +183,8 @@ def save_risk(model: RiskModel, path: str) -> None:
     notes are used."""
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
     spark = SparkSession.active()
-    terms = spark.createDataFrame(list(enumerate(model.vocabulary, 1)), "rank long, term string")
+    columns = [pa.array(range(1, len(model.vocabulary) + 1), pa.int64()), pa.array(model.vocabulary, pa.string())]
+    terms = spark.createDataFrame(pa.table(columns, ["rank", "term"]))
     terms.write.mode("overwrite").parquet(f"{path}/vocabulary")
     coefficients(model).write.mode("overwrite").parquet(f"{path}/coefficients")
     spark.createDataFrame([(model.with_notes,)], "with_notes boolean").write.mode("overwrite").parquet(f"{path}/meta")
@@ -193,9 +210,9 @@ def stored_margins(
 
 
 def load_risk(spark: SparkSession, path: str) -> RiskModel:
-    terms = spark.read.parquet(f"{path}/vocabulary").orderBy("rank").collect()
+    terms = spark.read.parquet(f"{path}/vocabulary").toArrow().sort_by("rank").column("term").to_pylist()
     with_notes = spark.read.parquet(f"{path}/meta").first()["with_notes"]
-    return RiskModel(PipelineModel.load(f"{path}/pipeline"), with_notes, tuple(r["term"] for r in terms))
+    return RiskModel(PipelineModel.load(f"{path}/pipeline"), with_notes, tuple(terms))
 
 
 def fit_check(model: RiskModel, bags: DataFrame, note_vectors: DataFrame | None = None, tolerance: float = 1e-3) -> DataFrame:
