@@ -40,10 +40,12 @@ def bag_of_codes(
 
     ``tokenize=True`` applies the count vectorizer's own token rule to the space-joined codes (lower case, runs
     of two or more word characters), reproducing what a text vectorizer sees; the default keeps codes whole.
-    An array holds distinct codes, so the vocabulary bounds it, not the admission's rows.
+    An array holds distinct codes, so the vocabulary bounds it, not the admission's rows. The sets are built in one
+    aggregation, which sorts and spills; distinct rows before it would hold a task's rows in hash tables as well.
     """
-    rows = code_rows(diagnoses, cohort)
-    bags = rows.groupBy("hadm_id", "split").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    if "split" not in diagnoses.columns:
+        diagnoses = diagnoses.join(cohort.select("hadm_id", "split"), "hadm_id")
+    bags = diagnoses.groupBy("hadm_id", "split").agg(F.sort_array(F.collect_set("icd_code")).alias("codes"))
     if tokenize:
         tokens = count_vectorizer_tokens(F.array_join("codes", " "))
         bags = bags.withColumn("codes", F.array_sort(F.array_distinct(tokens)))

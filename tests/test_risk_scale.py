@@ -1,4 +1,6 @@
-"""What the risk fit sends to its tasks."""
+"""What the risk fit sends to its tasks, and how bags are aggregated."""
+
+import re
 
 import pytest
 from pyspark.ml.classification import LogisticRegression
@@ -27,3 +29,15 @@ def test_fit_rows_carry_no_vocabulary(spark, monkeypatch):
     assert rk.fit_risk(bags, k=2).vocabulary == ("a", "b")
     with pytest.raises(ValueError):
         rk.fit_risk(bags.where("size(codes) = 0"))
+
+
+def test_bags_hold_no_distinct_rows_in_hash_tables(spark):
+    rows = [(1, 1, "b"), (1, 2, "a"), (1, 3, "b"), (1, 4, None), (2, 1, None), (3, 1, "c"), (None, 1, "d")]
+    diagnoses = spark.createDataFrame(rows, "hadm_id long, seq_num int, icd_code string")
+    cohort = spark.createDataFrame([(1, "train"), (2, "test"), (4, "test")], "hadm_id long, split string")
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "hadm_id long, label int")
+    bags = rk.bag_of_codes(diagnoses, cohort, labels)
+    got = sorted((r.hadm_id, r.split, r.codes, r.label) for r in bags.collect())
+    assert got == [(1, "train", ["a", "b"], 1), (2, "test", [], 0)]
+    plan = bags._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"HashAggregate\(keys=\[[^\]]*code#", plan)
