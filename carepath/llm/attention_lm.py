@@ -39,7 +39,8 @@ CLASSES, SINGLE = 64, 24
 BUCKETS = 32
 DIM = 16
 WINDOW, CONTEXT = 32, 8
-STRIDE, ROUNDS, BATCH = 32, 3, 128
+STRIDE = ROUNDS = 3  # a round trains on every STRIDE-th window, the rounds together on all of them
+BATCH = 128
 TRAIN_WINDOWS = 40_000  # windows that a task trains on in one go
 RATE, TABLE_RATE = 0.02, 0.004
 FREQUENT = 300_000
@@ -249,6 +250,12 @@ def windows(offsets: np.ndarray, turn: int | None = None) -> tuple[np.ndarray, n
 # ------------------------------------------------------------------------------------------- model
 
 
+def _one_hot(classes: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(classes), width), np.float32)
+    out[np.arange(len(classes)), classes] = 1
+    return out
+
+
 @dataclass
 class Attention:
     """Weights over classes: a class-to-class table, query, key and value rows, the output and the distance bias."""
@@ -307,32 +314,31 @@ class Attention:
     def gradient(self, classes: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> list[np.ndarray]:
         """Gradient of the mean log likelihood of the scored places, in the order of ``parts``."""
         weights, mixed = self.attend(classes, self.mask())
-        k = len(self.table)
-        logits = mixed @ self.out + self.table[classes]
-        logits -= logits.max(axis=2, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=2, keepdims=True)
-        d = -p
-        rows, cols = np.indices(classes.shape)
-        d[rows, cols, targets] += 1
-        d *= (scored / max(1, scored.sum()))[..., None].astype(np.float32)
-        hot = np.eye(k, dtype=np.float32)[classes.ravel()]
-        flat = d.reshape(-1, k)
-        g_mixed = d @ self.out.T
+        own = classes[scored]
+        logits = mixed[scored] @ self.out
+        logits += self.table[own]
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        d = logits / -logits.sum(axis=1, keepdims=True)
+        d[np.arange(len(d)), targets[scored]] += 1
+        d /= np.float32(max(1, len(d)))
+        hot = _one_hot(classes.ravel(), len(self.table))
+        g_mixed = np.zeros_like(mixed)
+        g_mixed[scored] = d @ self.out.T
         values = self.value[classes]
         g_weights = np.matmul(g_mixed, values.transpose(0, 2, 1))
-        g_s = weights * (g_weights - (g_weights * weights).sum(axis=2, keepdims=True))
+        g_s = weights * (g_weights - np.einsum("bij,bij->bi", g_weights, weights)[..., None])
         scale = np.float32(1 / np.sqrt(DIM))
         g_query = np.matmul(g_s, self.key[classes]) * scale
         g_key = np.matmul(g_s.transpose(0, 2, 1), self.query[classes]) * scale
         g_value = np.matmul(weights.transpose(0, 2, 1), g_mixed)
         lags = g_s.sum(axis=0)
         return [
-            hot.T @ flat,
+            _one_hot(own, len(self.table)).T @ d,
             hot.T @ g_query.reshape(-1, DIM),
             hot.T @ g_key.reshape(-1, DIM),
             hot.T @ g_value.reshape(-1, DIM),
-            mixed.reshape(-1, DIM).T @ flat,
+            mixed[scored].T @ d,
             np.array([np.trace(lags, offset=-i) for i in range(WINDOW)], np.float32),
         ]
 
@@ -487,12 +493,12 @@ def fit(tokens: DataFrame, bpe: Bpe) -> LanguageModel:
         table.astype(np.float32), some(), some(), some(), np.zeros((DIM, CLASSES), np.float32), np.zeros(WINDOW, np.float32)
     )
     for turn in range(ROUNDS):
-        model = _round(train, model, class_of, end, kind, turn * (STRIDE // ROUNDS))
+        model = _round(train, model, class_of, end, kind, turn)
     return LanguageModel(class_of, share, model, end, kind)
 
 
 def _round(train: DataFrame, model: Attention, class_of: np.ndarray, end: int, kind: np.dtype, turn: int) -> Attention:
-    """Tasks train from ``model`` on windows of all their documents; the result is their mean, weighted by windows."""
+    """Tasks train from ``model`` on the turn's windows of all their documents; the result is their mean, weighted by windows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, ...]] = []
