@@ -41,6 +41,10 @@ DIM = 16
 WINDOW, CONTEXT = 32, 8
 STRIDE = ROUNDS = 3  # a round trains on every STRIDE-th window, the rounds together on all of them
 BATCH = 128
+# Rows of a window that attend together; the first CONTEXT rows are scored in the first window of a text only.
+BLOCKS = ((0, CONTEXT), (CONTEXT, WINDOW))
+LAG = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None]
+SEEN, BACK = (LAG >= 0).astype(np.float32), np.maximum(LAG, 0)
 TRAIN_WINDOWS = 40_000  # windows that a task trains on in one go
 RATE, TABLE_RATE = 0.02, 0.004
 FREQUENT = 300_000
@@ -49,6 +53,8 @@ BLOCK = 256
 ALPHA, PRIOR = 0.1, 10.0
 # Bytes of text cut into ids together.
 TOKEN_BYTES = 4_000_000
+# Bytes of text whose words are hashed together, and words whose ids a worker remembers from batch to batch.
+HASH_BYTES, REMEMBERED = 500_000, 200_000
 # Pieces of a task's word counts are added up when they reach this many.
 COUNT_ROWS = 2_000_000
 
@@ -179,11 +185,13 @@ def tokenized(docs: DataFrame, unigram: Unigram, source: str, held_out: Column)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "ids"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(source, b"")
+        encoder = shared_encoder(source, b"", REMEMBERED)
         kind = id_type(encoder.bpe)
         places = HashLookup(keys)
         for batch in byte_slices(batches, "_text", TOKEN_BYTES):
-            flat, offsets = word_hashes(batch.column("_text"))
+            hashed = [word_hashes(part.column("_text")) for part in byte_slices([batch], "_text", HASH_BYTES)]
+            flat = np.concatenate([h for h, _ in hashed])
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(ends) for _, ends in hashed]))])
             place = places.find(flat)
             found = place >= 0
             doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
@@ -256,6 +264,31 @@ def _one_hot(classes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def row_blocks(scored: np.ndarray) -> Iterator[tuple[slice, np.ndarray | slice]]:
+    """(rows, windows) of the places to score: the rows of a block attend to places before the block's end only, and
+    windows without a scored place in the block are left out of it."""
+    for lo, hi in BLOCKS:
+        some = scored[:, lo:hi].any(axis=1)
+        if some.all():
+            yield slice(lo, hi), slice(None)
+        elif some.any():
+            yield slice(lo, hi), np.flatnonzero(some)
+
+
+def by_class(classes: np.ndarray) -> np.ndarray:
+    """The order of ascending classes; sixteen bits are sorted by counting."""
+    return np.argsort(classes.astype(np.uint16), kind="stable")
+
+
+def sum_rows(rows: np.ndarray, classes: np.ndarray, width: int) -> np.ndarray:
+    """Sums of the rows by class."""
+    out, count = np.zeros((width, rows.shape[1]), rows.dtype), np.bincount(classes, minlength=width)
+    some = np.flatnonzero(count)
+    if len(some):
+        out[some] = np.add.reduceat(rows.take(by_class(classes), axis=0), (np.cumsum(count) - count)[some], axis=0)
+    return out
+
+
 @dataclass
 class Attention:
     """Weights over classes: a class-to-class table, query, key and value rows, the output and the distance bias."""
@@ -275,11 +308,10 @@ class Attention:
 
     def from_flat(self, flat: np.ndarray) -> Attention:
         cut = np.cumsum([x.size for x in self.parts()])[:-1]
-        return Attention(*(a.reshape(x.shape).astype(np.float32) for a, x in zip(np.split(flat, cut), self.parts())))
+        return Attention(*(a.reshape(x.shape).astype(np.float32, copy=False) for a, x in zip(np.split(flat, cut), self.parts())))
 
     def mask(self) -> np.ndarray:
-        lag = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None]
-        return np.where(lag >= 0, self.distance[np.maximum(lag, 0)], np.float32(-1e9)).astype(np.float32)
+        return np.where(LAG >= 0, self.distance[BACK], np.float32(-1e9)).astype(np.float32)
 
     def attend(self, classes: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(weights, mixed values) of windows of classes."""
@@ -305,14 +337,63 @@ class Attention:
         so exp(query . key) is looked up, and bounds per class keep every exponential below 1."""
         pair = (self.query @ self.key.T) / np.float32(np.sqrt(DIM))
         pair = np.exp(pair - pair.max(axis=1, keepdims=True))
-        lag = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None]
-        near = np.where(lag >= 0, np.exp(self.distance - self.distance.max())[np.maximum(lag, 0)], 0)
+        near = np.exp(self.distance - self.distance.max()).take(BACK) * SEEN
         highest = (self.value @ self.out).max(axis=0)
         table = self.table - (self.table + highest).max(axis=1, keepdims=True)
-        return Scorer(self, *(x.astype(np.float32) for x in (pair, near, table)))
+        return Scorer(self, *(x.astype(np.float32, copy=False) for x in (pair, near, table)))
 
     def gradient(self, classes: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> list[np.ndarray]:
-        """Gradient of the mean log likelihood of the scored places, in the order of ``parts``."""
+        """Gradient of the mean log likelihood of the scored places, in the order of ``parts``.
+
+        Query . key depends on a pair of classes only, so its gradient is added up by pair first; the softmaxes are
+        taken from the scorer's tables and divided by their sums after the products."""
+        tables, width, at = self.scorer(), len(self.table), np.flatnonzero(scored)
+        own = classes.ravel().take(at)
+        order = by_class(own)
+        at, ends = at.take(order), np.cumsum(np.bincount(own, minlength=width)).tolist()
+        values, mixed, held = tables.mix(classes, scored)
+        mixed = mixed.reshape(-1, DIM + 1).take(at, axis=0)
+        total = mixed[:, DIM:]
+        d, mixed = tables.logits(mixed, own.take(order))
+        sums = np.exp(d, out=d) @ np.ones(width, np.float32)
+        if not tables.wide_enough(total, sums):
+            return self.plain_gradient(classes, targets, scored)
+        scale = np.float32(1 / max(1, len(at)))
+        d *= (-scale / sums)[:, None]
+        d.ravel()[np.arange(0, d.size, width) + targets.ravel().take(at)] += scale
+        g_table, ones, first = np.zeros_like(self.table), np.ones(len(at), np.float32), 0
+        for k, end in enumerate(ends):
+            if end > first:
+                np.dot(ones[first:end], d[first:end], out=g_table[k])
+            first = end
+        g_own = np.empty((len(at), DIM + 1), np.float32)
+        g_own[:, :DIM] = d @ self.out.T
+        g_own[:, DIM] = -np.einsum("ij,ij->i", g_own[:, :DIM], mixed)
+        g_own /= total
+        g_mixed = np.zeros((classes.size, DIM + 1), np.float32)
+        g_mixed[at] = g_own
+        g_mixed = g_mixed.reshape(*classes.shape, DIM + 1)
+        g_pair, lags = np.zeros(width * width), np.zeros((WINDOW, WINDOW), np.float32)
+        g_value = np.zeros((*classes.shape, DIM), np.float32)
+        for rows, some, pairs, weights in held:
+            end, g = rows.stop, g_mixed[some, rows]
+            g_s = np.matmul(g, values[some, :end].transpose(0, 2, 1))
+            g_s *= weights
+            g_pair += np.bincount(pairs.ravel(), g_s.ravel(), width * width)
+            lags[rows, :end] += g_s.sum(axis=0)
+            g_value[some, :end] += np.matmul(weights.transpose(0, 2, 1), g[..., :DIM])
+        g_pair = g_pair.reshape(width, width).astype(np.float32) / np.float32(np.sqrt(DIM))
+        return [
+            g_table,
+            g_pair @ self.key,
+            g_pair.T @ self.query,
+            sum_rows(g_value.reshape(-1, DIM), classes.ravel(), width),
+            mixed.T @ d,
+            np.bincount(BACK.ravel(), lags.ravel(), WINDOW).astype(np.float32),
+        ]
+
+    def plain_gradient(self, classes: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> list[np.ndarray]:
+        """The same gradient place by place, with every softmax bounded by its own maximum."""
         weights, mixed = self.attend(classes, self.mask())
         own = classes[scored]
         logits = mixed[scored] @ self.out
@@ -350,36 +431,59 @@ class Scorer:
     near: np.ndarray  # place x place: exp(distance bias), at most 1, 0 for later places
     table: np.ndarray
 
+    def mix(self, classes: np.ndarray, scored: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        """(value of every place and a 1, their weighted sums for the scored places, blocks). The last column of the
+        sums is that of the weights; a block is (rows, windows, pairs of classes, weights)."""
+        width = len(self.pair)
+        values = np.hstack([self.model.value, np.ones((width, 1), np.float32)]).take(classes, axis=0)
+        mixed, held = np.zeros((*classes.shape, DIM + 1), np.float32), []
+        for rows, some in row_blocks(scored):
+            own = classes[some]
+            pairs = (own[:, rows] * width)[:, :, None] + own[:, None, : rows.stop]
+            weights = self.pair.ravel().take(pairs)
+            weights *= self.near[rows, : rows.stop]
+            mixed[some, rows] = np.matmul(weights, values[some, : rows.stop])
+            held.append((rows, some, pairs, weights))
+        return values, mixed, held
+
+    def logits(self, mixed: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logits, all below 0; mixed values) of places with the given weighted sums and classes."""
+        with np.errstate(invalid="ignore", divide="ignore"):  # wide_enough looks for empty sums
+            mixed = mixed[:, :DIM] / mixed[:, DIM:]
+            logits = mixed @ self.model.out
+        logits += self.table.take(own, axis=0)
+        return logits, mixed
+
+    def wide_enough(self, total: np.ndarray, sums: np.ndarray) -> bool:
+        """False if the bounds left next to nothing of a place's weights or classes."""
+        return not total.size or bool(np.isfinite(sums).all() and min(total.min(), sums.min()) > 1e-30)
+
     def log_prob(self, classes: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> np.ndarray:
-        weights = self.pair.ravel()[classes[:, :, None] * len(self.pair) + classes[:, None, :]]
-        weights *= self.near
-        mixed = np.matmul(weights, self.model.value[classes])[scored]
-        with np.errstate(invalid="ignore"):  # an empty sum is caught below
-            mixed /= weights.sum(axis=2)[scored][:, None]
-        logits = mixed @ self.model.out
-        logits += self.table[classes[scored]]
-        pick = logits[np.arange(len(logits)), targets[scored]]
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        if total.size and (not np.isfinite(mixed).all() or total.min() < 1e-30):  # the bounds were too wide: no tables
+        at = np.flatnonzero(scored)
+        mixed = self.mix(classes, scored)[1].reshape(-1, DIM + 1).take(at, axis=0)
+        logits, _ = self.logits(mixed, classes.ravel().take(at))
+        pick = logits[np.arange(len(at)), targets.ravel().take(at)]
+        sums = np.exp(logits, out=logits) @ np.ones(len(self.table), np.float32)
+        if not self.wide_enough(mixed[:, DIM], sums):
             return self.model.log_prob(classes, targets, scored)
-        return pick - np.log(total)
+        return pick - np.log(sums)
 
 
 def train_windows(model: Attention, classes: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> Attention:
     """One pass of Adam over the windows, in a fixed shuffled order."""
     order = np.random.default_rng(len(classes)).permutation(len(classes))
-    parts = [x.copy() for x in model.parts()]
-    first, second = [np.zeros_like(x) for x in parts], [np.zeros_like(x) for x in parts]
+    flat = model.flat()
+    model = model.from_flat(flat)  # its parts are views of the flat weights
+    rate = np.full(len(flat), RATE, np.float32)
+    rate[: model.table.size] = TABLE_RATE
+    first, second = np.zeros_like(flat), np.zeros_like(flat)
     for step, lo in enumerate(range(0, len(order), BATCH), 1):
         pick = order[lo : lo + BATCH]
-        grads = Attention(*parts).gradient(classes[pick], targets[pick], scored[pick])
-        for i, g in enumerate(grads):
-            first[i] += 0.1 * (g - first[i])
-            second[i] += 0.01 * (g * g - second[i])
-            move = (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
-            parts[i] = parts[i] + np.float32(TABLE_RATE if i == 0 else RATE) * move.astype(np.float32)
-    return Attention(*parts)
+        g = np.concatenate([x.ravel() for x in model.gradient(classes[pick], targets[pick], scored[pick])])
+        first += 0.1 * (g - first)
+        second += 0.01 * (g * g - second)
+        flat += rate * ((first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8))
+    return model
 
 
 @dataclass

@@ -363,10 +363,13 @@ class Lexicon:
 
 
 class Encoder:
-    """Texts to ids, a batch at a time."""
+    """Texts to ids, a batch at a time. Merged words are remembered, ``remember`` of them at most: a batch that would
+    go beyond that starts over with its own."""
 
-    def __init__(self, bpe: Bpe, lexicon: bytes = b""):
+    def __init__(self, bpe: Bpe, lexicon: bytes = b"", remember: int = 0):
         self.bpe = bpe
+        self.remember = remember
+        self.known = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.special = pa.array(sorted(bpe.special), pa.string())
 
@@ -390,11 +393,27 @@ class Encoder:
             out[spread(first[seen], each[seen])] = self.lexicon.ids[spread(low, each[seen])]
         return out, each
 
+    def remembered_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``word_ids``; words merged for an earlier batch are looked up."""
+        known, flat, size = self.known
+        place = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = words.filter(pa.array(place < 0))
+        more, count = self.word_ids(fresh)
+        place[place < 0] = len(known) + np.arange(len(fresh))
+        flat, size = np.concatenate([flat, more]), np.concatenate([size, count])
+        each = size[place]
+        out = flat[spread((np.cumsum(size) - size)[place], each)]
+        if len(known) + len(fresh) <= self.remember:
+            self.known = pa.concat_arrays([known, fresh]), flat, size
+        elif len(words) <= self.remember:
+            self.known = pa.concat_arrays([words]), out, each
+        return out, each
+
     def _ids(self, words: pa.Array, ends: np.ndarray, special: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of texts given by their words."""
         coded = words.dictionary_encode()
         distinct, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        flat, size = self.word_ids(distinct)
+        flat, size = self.remembered_ids(distinct) if self.remember else self.word_ids(distinct)
         first = np.cumsum(size) - size
         if special:
             names = np.flatnonzero(pc.is_in(distinct, self.special).to_numpy(zero_copy_only=False))
@@ -430,15 +449,15 @@ class Encoder:
         return self.encode_array(pa.array([text], pa.string()))[0].tolist()
 
 
-_ENCODERS: dict[tuple[int, int], Encoder] = {}
+_ENCODERS: dict[tuple[int, int, int], Encoder] = {}
 
 
-def shared_encoder(source: str, lexicon: bytes) -> Encoder:
+def shared_encoder(source: str, lexicon: bytes, remember: int = 0) -> Encoder:
     """One encoder per Python worker and lexicon, for all tasks of the worker."""
-    key = (hash(source), hash(lexicon))
+    key = (hash(source), hash(lexicon), remember)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Bpe(source), lexicon)
+        _ENCODERS[key] = Encoder(Bpe(source), lexicon, remember)
     return _ENCODERS[key]
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from carepath.llm import attention_lm as lm
-from carepath.llm import common
+from carepath.llm import bpe_lexicon, common
 from tests.llm.helpers import documents, with_extra
 
 
@@ -225,3 +226,65 @@ def test_score_equals_one_place_at_a_time():
             first = start + len(window)
             start += lm.WINDOW - lm.CONTEXT
         assert math.isclose(score, total / math.log(10), rel_tol=1e-4)
+
+
+def scored_windows(count, seed):
+    """Windows of random classes: the first of a text is scored whole, the others from CONTEXT on, the last in part."""
+    rng = np.random.default_rng(seed)
+    c, t = rng.integers(0, 9, (count, lm.WINDOW)), rng.integers(0, lm.CLASSES, (count, lm.WINDOW))
+    s = np.ones(c.shape, bool)
+    s[1:, : lm.CONTEXT] = False
+    s[5::7, : lm.CONTEXT] = True
+    s[4::7, 17:] = False
+    return c, t, s
+
+
+def test_gradient_by_pairs_of_classes_equals_the_plain_one():
+    c, t, s = scored_windows(50, 2)
+    empty = np.zeros_like(s)
+    for model, mask in ((small_model(7), s), (small_model(7), empty), (small_model(7), ~s), (lm.Attention(*(x * 60 for x in small_model(7).parts())), s)):
+        for fast, plain in zip(model.gradient(c, t, mask), model.plain_gradient(c, t, mask)):
+            assert fast.shape == plain.shape and fast.dtype == np.float32
+            assert np.allclose(fast, plain, rtol=1e-4, atol=1e-5 * max(1e-3, np.abs(plain).max()))
+
+
+def test_gradient_by_pairs_of_classes_takes_less_time():
+    c, t, s = scored_windows(lm.BATCH, 3)
+    model = small_model(2)
+
+    def seconds(f):
+        best = math.inf
+        for _ in range(7):
+            start = time.process_time()
+            for _ in range(5):
+                f(c, t, s)
+            best = min(best, time.process_time() - start)
+        return best
+
+    assert seconds(model.gradient) < 0.85 * seconds(model.plain_gradient)
+
+
+def test_training_leaves_its_starting_weights_alone():
+    c, t, s = scored_windows(300, 4)
+    model = small_model(3)
+    before = model.flat().copy()
+    assert not np.array_equal(lm.train_windows(model, c, t, s).flat(), before)
+    assert np.array_equal(model.flat(), before)
+
+
+def test_merged_words_are_remembered_within_the_bound(monkeypatch):
+    with open(lm.default_path(), encoding="utf-8") as f:
+        bpe = lm.Bpe(f.read())
+    merged, merge_many = [], bpe.merge_many
+    monkeypatch.setattr(bpe, "merge_many", lambda raw, start, size: merged.append(len(size)) or merge_many(raw, start, size))
+    texts = ["the quick brown foxes", "the quick brown foxes", "brown hares, quickly", "", "a <s> b", "zebras zigzag zealously"]
+    plain = bpe_lexicon.Encoder(bpe)
+    want = [plain.encode(t) for t in texts]
+    for bound, seen in ((100, [4, 0]), (4, [4, 0])):
+        merged.clear()
+        encoder = bpe_lexicon.Encoder(bpe, b"", bound)
+        got = []
+        for t in texts:
+            got.append(encoder.encode(t))
+            assert len(encoder.known[0]) <= bound
+        assert got == want and merged[:2] == seen
