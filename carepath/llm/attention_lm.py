@@ -54,7 +54,7 @@ ALPHA, PRIOR = 0.1, 10.0
 # Bytes of text cut into ids together.
 TOKEN_BYTES = 4_000_000
 # Bytes of text whose words are hashed together, and words whose ids a worker remembers from batch to batch.
-HASH_BYTES, REMEMBERED = 500_000, 200_000
+HASH_BYTES, REMEMBERED = 500_000, 400_000
 # Pieces of a task's word counts are added up when they reach this many.
 COUNT_ROWS = 2_000_000
 
@@ -498,12 +498,12 @@ class LanguageModel:
         """log10 probability of every document of a batch."""
         inputs, targets, offsets = sequences(batch, self.end, self.kind)
         doc, places, scored = windows(offsets)
-        c_in, c_out = self.class_of[inputs], self.class_of[targets]
-        total = np.add.reduceat(self.share[targets, c_in], offsets[:-1], dtype=float) if len(offsets) > 1 else np.zeros(0)
+        c_in, c_out = self.class_of.take(inputs), self.class_of.take(targets)
+        total = np.add.reduceat(self.share.ravel().take(targets * self.share.shape[1] + c_in), offsets[:-1], dtype=float) if len(offsets) > 1 else np.zeros(0)
         scorer = self.attention.scorer()
         for lo in range(0, len(doc), BLOCK):
             at, own = places[lo : lo + BLOCK], scored[lo : lo + BLOCK]
-            log_p = scorer.log_prob(c_in[at], c_out[at], own)
+            log_p = scorer.log_prob(c_in.take(at), c_out.take(at), own)
             owner = np.repeat(doc[lo : lo + BLOCK], own.sum(axis=1))
             total += np.bincount(owner, log_p, len(total))
         return total / np.log(10)
@@ -604,6 +604,8 @@ def fit(tokens: DataFrame, bpe: Bpe) -> LanguageModel:
 def _round(train: DataFrame, model: Attention, class_of: np.ndarray, end: int, kind: np.dtype, turn: int) -> Attention:
     """Tasks train from ``model`` on the turn's windows of all their documents; the result is their mean, weighted by windows."""
 
+    small = class_of.astype(np.uint8)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, ...]] = []
 
@@ -617,7 +619,7 @@ def _round(train: DataFrame, model: Attention, class_of: np.ndarray, end: int, k
         for batch in byte_slices(batches, "ids"):
             inputs, targets, offsets = sequences(batch, end, kind)
             _, places, scored = windows(offsets, turn)
-            waiting.append((class_of[inputs[places]].astype(np.uint8), class_of[targets[places]].astype(np.uint8), scored))
+            waiting.append((small.take(inputs).take(places), small.take(targets).take(places), scored))
             if sum(len(x[0]) for x in waiting) >= TRAIN_WINDOWS:
                 yield trained()
         if sum(len(x[0]) for x in waiting):
