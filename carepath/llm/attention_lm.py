@@ -9,8 +9,10 @@ logits; the second is a share of counts, smoothed by the id's share in its class
 Ids and their contexts are counted over all training documents, and so is the class table the training starts from.
 The attention weights are trained on windows of every training document: one in STRIDE of a document's windows, one at
 least, others in each round (a fixed rate, so the work grows with the input). In each of ROUNDS rounds every task runs
-Adam over its windows from the same weights, and Spark averages the tasks' weights by window count. A text is scored in windows of WINDOW positions, CONTEXT of them
-repeated from the window before; every id is scored exactly once, with CONTEXT to WINDOW positions of context.
+Adam over its windows from the same weights, and Spark averages the tasks' weights by window count. A text is scored in
+windows of WINDOW positions, CONTEXT of them repeated from the window before; every id is scored exactly once, with
+CONTEXT to WINDOW positions of context. Training and scoring look exp(query . key) up by pair of classes; weights too
+steep for that take the plain way.
 
 The base score is the add-one unigram over words. Words are told apart by a 64-bit hash of their bytes; tasks count
 their words and Spark adds the counts up. Words frequent in the corpus (FREQUENT of them at most) are looked up in the
@@ -48,7 +50,7 @@ SEEN, BACK = (LAG >= 0).astype(np.float32), np.maximum(LAG, 0)
 TRAIN_WINDOWS = 40_000  # windows that a task trains on in one go
 RATE, TABLE_RATE = 0.02, 0.004
 FREQUENT = 300_000
-BLOCK = 256
+BLOCK = 128  # windows scored together: their logits stay near the core
 # Counts added: to each id, and in all to the ids (or classes) after one class.
 ALPHA, PRIOR = 0.1, 10.0
 # Bytes of text cut into ids together.
