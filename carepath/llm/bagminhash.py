@@ -31,7 +31,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carepath.llm.common import byte_slices, hashed, lists, narrow, only, stage, text_or_empty, without, words
+from carepath.llm.common import (
+    byte_slices,
+    gathered,
+    hashed,
+    lists,
+    narrow,
+    only,
+    stage,
+    stage_in_small_batches,
+    text_or_empty,
+    without,
+    words,
+)
 from carepath.llm.components import components
 
 SHINGLE = 5
@@ -145,7 +157,7 @@ def _text_keys(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in byte_slices(batches, "w"):
+    for batch in byte_slices(gathered(batches), "w"):
         flat, offsets = lists(batch, "w")
         flat = np.ascontiguousarray(flat, dtype=np.int64)
         sig = signatures(*weighted(*shingles(flat, offsets)), docs=batch.num_rows)
@@ -161,7 +173,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _multisets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in byte_slices(batches, "w"):
+    for batch in byte_slices(gathered(batches), "w"):
         flat, offsets = lists(batch, "w")
         doc, hashes = shingles(np.ascontiguousarray(flat, dtype=np.int64), offsets)
         keys = np.sort((doc.astype(_U) << _U(32)) | (hashes >> _U(32)))
@@ -191,7 +203,7 @@ def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
 
 
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in byte_slices(batches, "items_a"):
+    for batch in byte_slices(gathered(batches), "items_a"):
         sim = similarities(lists(batch, "items_a"), lists(batch, "items_b"))
         hit = pa.array(sim >= SIMILARITY)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(hit), batch.column("b").filter(hit)], ["a", "b"])
@@ -214,7 +226,7 @@ def multisets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, items): the sorted shingle hashes of the documents in ``ids``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = only(docs.select("doc_id", "text"), ids.select("doc_id"), {"doc_id": F.col("doc_id")})
-    return stage(_word_rows(rows).mapInArrow(_multisets, f"doc_id {kind}, items array<int>"))
+    return stage_in_small_batches(_word_rows(rows).mapInArrow(_multisets, f"doc_id {kind}, items array<int>"))
 
 
 def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -225,7 +237,7 @@ def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
     near = F.least("n_a", "n_b") >= F.lit(SIMILARITY) * F.greatest("n_a", "n_b") - F.lit(1e-6)
     left, right = pairs.join(side("a"), "a"), side("b").withColumnRenamed("b", "_b")
     joined = left.join(right, (F.col("b") == F.col("_b")) & near).select("a", "b", "items_a", "items_b")
-    return stage(joined.mapInArrow(_verify, f"a {kind}, b {kind}").distinct())
+    return stage_in_small_batches(joined.mapInArrow(_verify, f"a {kind}, b {kind}").distinct())
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
@@ -388,7 +400,7 @@ def links(docs: DataFrame, representatives: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): the class id is the smallest doc_id of the class."""
-    signed = stage(sign(narrow(docs, "doc_id", "text")))
+    signed = stage_in_small_batches(sign(narrow(docs, "doc_id", "text")))
     worded = signed.where(F.col("n_words") > 0)
     texts = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = stage(worded.join(texts, ["k1", "k2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carepath.session import materialize
@@ -18,6 +19,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 SLICE_BYTES = 2_000_000
+BATCH_ROWS = 256
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -25,6 +27,31 @@ def stage(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, an Arrow batch sent to Python holds BATCH_ROWS rows at most, or the session's own limit if lower.
+
+    ``mapInArrow`` ends a batch by rows alone (Spark's default is 10,000), whatever its bytes. The JVM doubles a batch's
+    vectors while it fills them, outside the heap, and Python holds a copy, both for each task at work.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(name, "10000"))
+    if 0 < own <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
+def stage_in_small_batches(df: DataFrame) -> DataFrame:
+    """``stage`` for a job that sends long rows to Python."""
+    with small_batches(df.sparkSession):
+        return stage(df)
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -76,6 +103,19 @@ def byte_slices(
     pa.default_memory_pool().release_unused()  # the worker may wait for its next task, or for none
 
 
+def gathered(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Join consecutive batches up to about ``limit`` bytes, so that small batches of short rows cost no more calls."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's strings, null as empty."""
     return ["" if t is None else t for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

@@ -4,8 +4,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from carepath.llm import bagminhash as bm
+from carepath.llm.common import gathered
 from carepath.llm.components import components
 from tests.llm.helpers import documents, with_extra
 
@@ -148,3 +150,43 @@ def test_families_of_different_hubs_are_joined(spark, monkeypatch):
     docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string").repartition(4)  # some rows twice
     got = {r.doc_id: r["class_id"] for r in bm.classes(docs).collect()}
     assert got == brute_classes(rows)
+
+
+def test_long_rows_reach_python_in_small_batches(spark, monkeypatch, tmp_path):
+    """4 MB of words or items are never one batch; the session keeps its own limit."""
+    folder, limit = str(tmp_path), "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def watched(name):
+        function = getattr(bm, name)
+
+        def run(batches):
+            import uuid
+
+            def seen():
+                for batch in batches:
+                    with open(f"{folder}/{name}-{uuid.uuid4().hex}", "w") as f:
+                        f.write(f"{batch.nbytes} {batch.num_rows}")
+                    yield batch
+
+            yield from function(seen())
+
+        monkeypatch.setattr(bm, name, run)
+
+    for name in ("_sign", "_multisets", "_verify"):
+        watched(name)
+    before = spark.conf.get(limit)
+    text = " ".join(f"w{k}" for k in range(1000))
+    docs = spark.createDataFrame([(n, f"{text} end{n % 900}") for n in range(1200)], "doc_id long, text string").coalesce(1)
+    assert {r.class_id for r in bm.classes(docs).collect()} == {0}
+    assert spark.conf.get(limit) == before
+    for name in ("_sign", "_multisets", "_verify"):
+        found = [[int(x) for x in p.read_text().split()] for p in tmp_path.glob(f"{name}-*")]
+        assert sum(n for _, n in found) >= 899 and max(b for b, _ in found) < 4_000_000, (name, found)
+
+
+def test_gathered_batches_keep_all_rows_in_order():
+    batches = [pa.record_batch([pa.array([[k] * (k % 7)] * 3, pa.list_(pa.int64()))], ["w"]) for k in range(50)]
+    joined = list(gathered(batches, 2000))
+    assert 1 < len(joined) < 25
+    assert [x for b in joined for x in b.column("w").to_pylist()] == [x for b in batches for x in b.column("w").to_pylist()]
+    assert list(gathered([])) == []
