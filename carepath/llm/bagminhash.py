@@ -38,6 +38,7 @@ from carepath.llm.common import (
     lists,
     narrow,
     only,
+    small_side,
     stage,
     stage_in_small_batches,
     text_or_empty,
@@ -284,7 +285,7 @@ def hub_links(inner: DataFrame, outer: DataFrame, items: DataFrame) -> DataFrame
     others = outer.where(~F.col("best")).select("rep", "hub")
     if not others.take(1):
         return first
-    label = components(first)
+    label = small_side(components(first))
     here = label.select(F.col("node").alias("rep"), F.col("label").alias("own"))
     there = label.select(F.col("node").alias("hub"), F.col("label").alias("its"))
     left = others.join(here, "rep", "left").join(there, "hub", "left")
@@ -297,7 +298,7 @@ def mixed(large: DataFrame, found: DataFrame) -> DataFrame:
 
     ``main`` says that the member is in the component with most members in the bucket.
     """
-    label = components(found).withColumnRenamed("node", "rep")
+    label = small_side(components(found)).withColumnRenamed("node", "rep")
     own = stage(large.join(label, "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label"))
     count = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     keys = count.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
@@ -362,7 +363,7 @@ def block_links(rows: DataFrame, items: DataFrame) -> DataFrame:
     """
     kind = items.schema["doc_id"].dataType.simpleString()
     sizes = stage(items.groupBy(F.col("doc_id").alias("rep")).agg(F.max(F.size("items")).alias("n")))
-    rows = stage(rows.join(sizes, "rep"))
+    rows = stage(rows.join(small_side(sizes), "rep"))
     need = lambda own: F.ceil(
         F.greatest(F.count_if(own) / BLOCK, F.sum(F.when(own, F.col("n")).otherwise(0)) / BLOCK_ITEMS)
     ).cast("int")
@@ -389,7 +390,7 @@ def links(docs: DataFrame, representatives: DataFrame) -> DataFrame:
     rows = stage(exploded.join(shared.select("key", "size"), "key"))
     weights = stage(rows.groupBy("rep").agg(F.sum("size").alias("weight")))
     items = multisets(docs, weights.select(F.col("rep").alias("doc_id")))
-    weighed = rows.join(weights, "rep").select("key", "rep", "size", "weight")
+    weighed = rows.join(small_side(weights), "rep").select("key", "rep", "size", "weight")
     found = hub_links(*bucket_pairs(weighed), items)
     large = stage(weighed.where(F.col("size") > SMALL).select("key", "rep", "weight").distinct())
     apart = mixed(large, found)
@@ -407,7 +408,7 @@ def classes(docs: DataFrame) -> DataFrame:
     near = links(narrow(docs, "doc_id", "text"), members.where(F.col("bands").isNotNull()).select("rep", "bands"))
     first = members.groupBy("doc_id").agg(F.min("rep").alias("home"), F.max("rep").alias("last"))
     same_id = members.join(first.where(F.col("home") < F.col("last")), "doc_id").where(F.col("rep") != F.col("home"))
-    label = components(near.union(same_id.select(F.col("home").alias("a"), F.col("rep").alias("b"))))
+    label = small_side(components(near.union(same_id.select(F.col("home").alias("a"), F.col("rep").alias("b")))))
     out = signed.select("doc_id").distinct().join(first.select("doc_id", F.col("home").alias("node")), "doc_id", "left")
     return out.join(label, "node", "left").select("doc_id", F.coalesce("label", "node", "doc_id").alias("class_id"))
 

@@ -168,9 +168,18 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
 BROADCAST_BYTES = 8 * 1024 * 1024
 
 
+def few(rows: DataFrame, row_bytes: int = 24) -> bool:
+    """Whether staged rows fit into a broadcast. A shuffle of few rows still writes files for each task."""
+    return rows.count() * row_bytes <= BROADCAST_BYTES
+
+
+def small_side(rows: DataFrame, row_bytes: int = 24) -> DataFrame:
+    """Staged rows as one side of a join: broadcast if they are few, so that the other side stays where it is."""
+    return F.broadcast(rows) if few(rows, row_bytes) else rows
+
+
 def _filter(docs: DataFrame, keys: DataFrame, on: dict[str, Column], key_bytes: int, how: str) -> DataFrame:
-    keys = stage(keys.select([F.col(k).alias(f"_key_{k}") for k in on]).distinct())
-    side = F.broadcast(keys) if keys.count() * key_bytes <= BROADCAST_BYTES else keys
+    side = small_side(stage(keys.select([F.col(k).alias(f"_key_{k}") for k in on]).distinct()), key_bytes)
     condition = None
     for name, value in on.items():
         same = value.eqNullSafe(F.col(f"_key_{name}"))

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from carepath.llm import bagminhash as bm
+from carepath.llm import common
 from carepath.llm.common import gathered
 from carepath.llm.components import components
 from tests.llm.helpers import documents, with_extra
@@ -124,6 +125,29 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_take_few_tasks(spark, monkeypatch):
+    rng = random.Random(8)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
+    find = {x: x for link in links for x in link}
+    for _ in find:
+        for a, b in links:
+            find[a] = find[b] = min(find[a], find[b])
+    table = spark.createDataFrame(links, "a long, b long")
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    own = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        few = components(table)
+        assert few.rdd.getNumPartitions() <= 8  # not a file or more for each of the session's partitions and each round
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+        many = components(table)
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+    assert {r.node: r.label for r in few.collect()} == {r.node: r.label for r in many.collect()} == find
+
+
 def test_pairs_that_share_large_buckets_only_and_no_hub(spark):
     """All texts share all buckets, as with one common passage: each is near one other, few are near a hub."""
     rng = random.Random(21)
