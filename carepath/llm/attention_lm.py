@@ -51,12 +51,13 @@ TRAIN_WINDOWS = 40_000  # windows that a task trains on in one go
 RATE, TABLE_RATE = 0.02, 0.004
 FREQUENT = 300_000
 BLOCK = 128  # windows scored together: their logits stay near the core
+PIECE = 256  # rows of a product over places
 # Counts added: to each id, and in all to the ids (or classes) after one class.
 ALPHA, PRIOR = 0.1, 10.0
 # Bytes of text cut into ids together.
 TOKEN_BYTES = 4_000_000
 # Bytes of text whose words are hashed together, and words whose ids a worker remembers from batch to batch.
-HASH_BYTES, REMEMBERED = 500_000, 400_000
+HASH_BYTES, REMEMBERED = 100_000, 400_000
 # Pieces of a task's word counts are added up when they reach this many.
 COUNT_ROWS = 2_000_000
 
@@ -116,6 +117,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes.view(np.int64), np.searchsorted(start, ends)
 
 
+def sliced_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of a batch's ``_text``, in slices whose prefix sums stay near the core: (hashes, offsets)."""
+    hashed = [word_hashes(part.column("_text")) for part in byte_slices([batch], "_text", HASH_BYTES)]
+    return np.concatenate([h for h, _ in hashed]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(ends) for _, ends in hashed]))])
+
+
 @dataclass
 class Unigram:
     counts: DataFrame  # (word, n), staged
@@ -140,7 +147,7 @@ def _add_up(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for batch in byte_slices(batches, "_text"):
-        word, n = np.unique(word_hashes(batch.column("_text"))[0], return_counts=True)
+        word, n = np.unique(sliced_hashes(batch)[0], return_counts=True)
         words.append(word)
         counts.append(n)
         held += len(word)
@@ -191,9 +198,7 @@ def tokenized(docs: DataFrame, unigram: Unigram, source: str, held_out: Column)
         kind = id_type(encoder.bpe)
         places = HashLookup(keys)
         for batch in byte_slices(batches, "_text", TOKEN_BYTES):
-            hashed = [word_hashes(part.column("_text")) for part in byte_slices([batch], "_text", HASH_BYTES)]
-            flat = np.concatenate([h for h, _ in hashed])
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(ends) for _, ends in hashed]))])
+            flat, offsets = sliced_hashes(batch)
             place = places.find(flat)
             found = place >= 0
             doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
@@ -291,6 +296,16 @@ def sum_rows(rows: np.ndarray, classes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b of long matrices, in pieces that stay near the core."""
+    whole = len(a) // PIECE * PIECE
+    out = a[whole:].T @ b[whole:]
+    if whole:
+        left, right = (x[:whole].reshape(-1, PIECE, x.shape[1]) for x in (a, b))
+        out += np.matmul(left.transpose(0, 2, 1), right).sum(axis=0)
+    return out
+
+
 @dataclass
 class Attention:
     """Weights over classes: a class-to-class table, query, key and value rows, the output and the distance bias."""
@@ -360,18 +375,17 @@ class Attention:
         sums = np.exp(d, out=d) @ np.ones(width, np.float32)
         if not tables.wide_enough(total, sums):
             return self.plain_gradient(classes, targets, scored)
-        scale = np.float32(1 / max(1, len(at)))
-        d *= (-scale / sums)[:, None]
-        d.ravel()[np.arange(0, d.size, width) + targets.ravel().take(at)] += scale
-        g_table, ones, first = np.zeros_like(self.table), np.ones(len(at), np.float32), 0
+        d.ravel()[np.arange(0, d.size, width) + targets.ravel().take(at)] -= sums
+        rate = np.float32(-1 / max(1, len(at))) / sums  # times d: the gradient by the logits
+        g_table, first = np.zeros_like(self.table), 0
         for k, end in enumerate(ends):
             if end > first:
-                np.dot(ones[first:end], d[first:end], out=g_table[k])
+                np.dot(rate[first:end], d[first:end], out=g_table[k])
             first = end
         g_own = np.empty((len(at), DIM + 1), np.float32)
         g_own[:, :DIM] = d @ self.out.T
         g_own[:, DIM] = -np.einsum("ij,ij->i", g_own[:, :DIM], mixed)
-        g_own /= total
+        g_own *= rate[:, None] / total
         g_mixed = np.zeros((classes.size, DIM + 1), np.float32)
         g_mixed[at] = g_own
         g_mixed = g_mixed.reshape(*classes.shape, DIM + 1)
@@ -390,7 +404,7 @@ class Attention:
             g_pair @ self.key,
             g_pair.T @ self.query,
             sum_rows(g_value.reshape(-1, DIM), classes.ravel(), width),
-            mixed.T @ d,
+            cross(mixed * rate[:, None], d),
             np.bincount(BACK.ravel(), lags.ravel(), WINDOW).astype(np.float32),
         ]
 
