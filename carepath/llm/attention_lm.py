@@ -51,7 +51,6 @@ TRAIN_WINDOWS = 40_000  # windows that a task trains on in one go
 RATE, TABLE_RATE = 0.02, 0.004
 FREQUENT = 300_000
 BLOCK = 128  # windows scored together: their logits stay near the core
-PIECE = 256  # rows of a product over places
 # Counts added: to each id, and in all to the ids (or classes) after one class.
 ALPHA, PRIOR = 0.1, 10.0
 # Bytes of text cut into ids together.
@@ -296,16 +295,6 @@ def sum_rows(rows: np.ndarray, classes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a.T @ b of long matrices, in pieces that stay near the core."""
-    whole = len(a) // PIECE * PIECE
-    out = a[whole:].T @ b[whole:]
-    if whole:
-        left, right = (x[:whole].reshape(-1, PIECE, x.shape[1]) for x in (a, b))
-        out += np.matmul(left.transpose(0, 2, 1), right).sum(axis=0)
-    return out
-
-
 @dataclass
 class Attention:
     """Weights over classes: a class-to-class table, query, key and value rows, the output and the distance bias."""
@@ -375,17 +364,18 @@ class Attention:
         sums = np.exp(d, out=d) @ np.ones(width, np.float32)
         if not tables.wide_enough(total, sums):
             return self.plain_gradient(classes, targets, scored)
-        d.ravel()[np.arange(0, d.size, width) + targets.ravel().take(at)] -= sums
-        rate = np.float32(-1 / max(1, len(at))) / sums  # times d: the gradient by the logits
-        g_table, first = np.zeros_like(self.table), 0
+        scale = np.float32(1 / max(1, len(at)))
+        d *= (-scale / sums)[:, None]
+        d.ravel()[np.arange(0, d.size, width) + targets.ravel().take(at)] += scale
+        g_table, ones, first = np.zeros_like(self.table), np.ones(len(at), np.float32), 0
         for k, end in enumerate(ends):
             if end > first:
-                np.dot(rate[first:end], d[first:end], out=g_table[k])
+                np.dot(ones[first:end], d[first:end], out=g_table[k])
             first = end
         g_own = np.empty((len(at), DIM + 1), np.float32)
         g_own[:, :DIM] = d @ self.out.T
         g_own[:, DIM] = -np.einsum("ij,ij->i", g_own[:, :DIM], mixed)
-        g_own *= rate[:, None] / total
+        g_own /= total
         g_mixed = np.zeros((classes.size, DIM + 1), np.float32)
         g_mixed[at] = g_own
         g_mixed = g_mixed.reshape(*classes.shape, DIM + 1)
@@ -404,7 +394,7 @@ class Attention:
             g_pair @ self.key,
             g_pair.T @ self.query,
             sum_rows(g_value.reshape(-1, DIM), classes.ravel(), width),
-            cross(mixed * rate[:, None], d),
+            mixed.T @ d,
             np.bincount(BACK.ravel(), lags.ravel(), WINDOW).astype(np.float32),
         ]
 
