@@ -8,18 +8,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carepath.functions.scalar import clamped_probability, count_vectorizer_tokens, sigmoid
 from carepath.functions.vector import ml_vector, vector_cells
 from carepath.operators.cohort import TRAIN, attach_labels, class_weights
 from carepath.operators.examples import unique_vectors
+from carepath.operators.logistic import SLICE, VECTOR_ROWS, WideLogisticRegression
 from carepath.operators.ordering import row_index
-from carepath.session import materialize
+from carepath.session import arrow_rows, materialize
 
 # Fixed value of the reference's baseline: iteration cap.
 MAX_ITER = 1000
@@ -79,9 +82,23 @@ def risk_features(rows: DataFrame, labels: DataFrame, split: str = TRAIN) -> Dat
 
 @dataclass(frozen=True)
 class RiskModel:
-    pipeline: PipelineModel
+    """A fitted model. The terms stay a table; ``vocabulary`` and ``pipeline`` bring them to the driver when asked for."""
+
+    terms: DataFrame  # term, rank (1..n_terms): a term's place among the coefficients is its rank - 1
+    n_terms: int
+    regression: LogisticRegressionModel
     with_notes: bool
-    vocabulary: tuple[str, ...]
+
+    @property
+    def vocabulary(self) -> tuple[str, ...]:
+        return tuple(self.terms.select("term", "rank").toArrow().sort_by("rank").column("term").to_pylist())
+
+    @property
+    def pipeline(self) -> PipelineModel:
+        """Counter, assembler and regression as one Spark ML model."""
+        inputs = ["bag", "note_vec"] if self.with_notes else ["bag"]
+        assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+        return PipelineModel(stages=[_code_counter(self.terms.orderBy("rank")), assembler, self.regression])
 
 
 def _features(bags: DataFrame, note_vectors: DataFrame | None) -> DataFrame:
@@ -104,6 +121,31 @@ def _code_counter(terms: DataFrame) -> CountVectorizerModel:
     return cv.setInputCol("codes").setOutputCol("bag").setBinary(True)
 
 
+def _vectors(rows: DataFrame, terms: DataFrame, n_terms: int, *keep: str) -> DataFrame:
+    """(kept columns, features) of staged rows: binary bag of codes and, if there is one, the note vector after it, as
+    sparse Spark ML vectors. The codes find their places by a join, and the column describes no single feature, so
+    neither the driver nor a task holds something for each term."""
+    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
+    found = keyed.select("_row", F.explode(F.array_distinct("codes")).alias("term")).join(terms.select("term", "rank"), "term")
+    found = found.groupBy("_row").agg(F.sort_array(F.collect_list((F.col("rank") - 1).cast("int"))).alias("_places"))
+    indices = F.coalesce("_places", F.array().cast("array<int>"))
+    values = F.transform(indices, lambda _: F.lit(1.0))
+    size = F.lit(n_terms)
+    if "note_vec" in rows.columns:
+        own = F.coalesce(F.unwrap_udt("note_vec"), F.raise_error(F.lit("an admission has a null note vector")))
+        keyed = keyed.withColumn("_note", own)
+        u = F.col("_note")
+        cell = lambda v, i: F.struct((F.coalesce(F.get(u["indices"], i), i) + n_terms).alias("i"), v.alias("v"))
+        cells = F.filter(F.transform(u["values"], cell), lambda c: c["v"] != 0.0)
+        indices, values = F.concat(indices, cells["i"]), F.concat(values, cells["v"])
+        size = size + F.coalesce(u["size"], F.size(u["values"]))
+    vector = F.struct(F.lit(0).cast("byte").alias("type"), size.alias("size"), indices.alias("indices"), values.alias("values"))
+    out = keyed.join(found, "_row", "left").select(*keep, vector.alias("features"))
+    schema = T.StructType([*(out.schema[c] for c in keep), T.StructField("features", VectorUDT())])
+    with arrow_rows(rows.sparkSession, VECTOR_ROWS):
+        return materialize(out.mapInArrow(lambda batches: batches, schema))  # no cast makes a vector of its cells
+
+
 def fit_risk(
     bags: DataFrame,
     note_vectors: DataFrame | None = None,
@@ -115,24 +157,21 @@ def fit_risk(
     With note vectors the training rows are the train admissions that have one; the feature vocabulary and
     the balanced class weights are computed on exactly those rows. Objective matches 1/2 |b|^2 + sum_i w_i l_i
     (C = 1, balanced weights): regParam = 1 / sum(w), no standardization, no elastic net. Every term of the train
-    vocabulary is a sparse feature unless ``k`` cuts to the most frequent; the terms come to the driver because the
-    fitted model has one coefficient for each there. The training rows are materialised once for vocabulary, weights
-    and fit.
+    vocabulary is a sparse feature unless ``k`` cuts to the most frequent; the driver holds a coefficient for each, not
+    the terms. The training rows are materialised once for vocabulary, weights and fit.
     """
     train = materialize(_features(bags.where(F.col("split") == TRAIN), note_vectors))
-    terms = train.select(F.explode(F.array_distinct("codes")).alias("term")).where(F.col("term").isNotNull())
-    terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = terms.orderBy(F.desc("df"), "term")
-    cv = _code_counter(terms if k is None else terms.limit(k))
+    terms = doc_freq_vocab(train, k, None).select("term", "rank")
+    n_terms = terms.count()
+    if not n_terms:
+        raise ValueError("no codes to learn from")
     # Balanced weights over the training rows the model sees (one row per class comes back).
     per_class = {int(r["label"]): r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total_w = float(sum(per_class.values()))  # balanced weights add up to the number of rows
     weights = {label: total_w / (len(per_class) * n) for label, n in per_class.items()}
     wmap = F.create_map(*[x for label, w in weights.items() for x in (F.lit(label), F.lit(w))])
-    train_x = train.withColumn("w", F.coalesce(wmap[F.col("label")], F.lit(1.0)))
-    inputs = ["bag", "note_vec"] if note_vectors is not None else ["bag"]
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
-    lr = LogisticRegression(
+    train = train.withColumn("w", F.coalesce(wmap[F.col("label")], F.lit(1.0))).withColumn("label_d", F.col("label").cast("double"))
+    lr = WideLogisticRegression(
         featuresCol="features",
         labelCol="label_d",
         weightCol="w",
@@ -142,12 +181,8 @@ def fit_risk(
         maxIter=max_iter,
         tol=1e-6,
     )
-    prepared = assembler.transform(cv.transform(train_x)).withColumn("label_d", F.col("label").cast("double"))
-    # The fit runs jobs on these rows for each iteration. Staged, and without the column's list of one attribute for
-    # each term, the rows' tasks carry nothing that grows with the vocabulary.
-    features = F.col("features").alias("features", metadata={"comment": "bag of codes, note vector"})
-    lr_model = lr.fit(materialize(prepared.select(features, "label_d", "w")))
-    return RiskModel(PipelineModel(stages=[cv, assembler, lr_model]), note_vectors is not None, tuple(cv.vocabulary))
+    # The fit runs jobs on these rows for each iteration: they are staged.
+    return RiskModel(terms, n_terms, lr.fit(_vectors(train, terms, n_terms, "label_d", "w")), note_vectors is not None)
 
 
 def score_risk(model: RiskModel, bags: DataFrame, note_vectors: DataFrame | None = None, split: str = "test") -> DataFrame:
@@ -155,7 +190,7 @@ def score_risk(model: RiskModel, bags: DataFrame, note_vectors: DataFrame | None
     rows = bags.where(F.col("split") == split) if split else bags
     if model.with_notes:
         rows = _features(rows, note_vectors)
-    out = model.pipeline.transform(rows)
+    out = model.regression.transform(_vectors(materialize(rows), model.terms, model.n_terms, "hadm_id", "label"))
     margin = vector_to_array("rawPrediction")[1]
     return out.select(
         "hadm_id",
@@ -167,28 +202,27 @@ def score_risk(model: RiskModel, bags: DataFrame, note_vectors: DataFrame | None
 
 def coefficients(model: RiskModel) -> DataFrame:
     """(kind, term, place, b): the model's coefficients, one row each: ``code`` by term, ``note`` by place in the note
-    vector, and the ``intercept``. As many rows as the fitted model holds on the driver anyway."""
-    lr = model.pipeline.stages[-1]
-    b = lr.coefficients.toArray()
-    n, notes = len(model.vocabulary), len(b) - len(model.vocabulary)
-    columns = {
-        "kind": pa.array(["intercept"] + ["code"] * n + ["note"] * notes, pa.string()),
-        "term": pa.array([None, *model.vocabulary, *[None] * notes], pa.string()),
-        "place": pa.array([None] * (n + 1) + list(range(notes)), pa.int32()),
-        "b": pa.array(np.concatenate([[lr.intercept], b]), pa.float64()),
-    }
-    return SparkSession.active().createDataFrame(pa.table(columns))
+    vector, and the ``intercept``. They leave the driver as numbers in slices and meet their terms in a join."""
+    spark, b = SparkSession.active(), model.regression.coefficients.toArray()
+    starts = np.arange(0, len(b), SLICE)
+    parts = pa.table({"start": pa.array(starts, pa.int64()), "b": pa.array([b[i : i + SLICE] for i in starts], pa.list_(pa.float64()))})
+    rows = spark.createDataFrame(parts).select("start", F.posexplode("b").alias("i", "b"))
+    rows = materialize(rows.select((F.col("start") + F.col("i")).alias("at"), "b"))  # else the planner takes them for few
+    terms = model.terms.select("term", (F.col("rank") - 1).alias("at"))
+    none, at = F.lit(None), (F.col("at") - model.n_terms).cast("int")
+    codes = rows.join(terms, "at").select(F.lit("code").alias("kind"), "term", none.cast("int").alias("place"), "b")
+    notes = rows.where(at >= 0).select(F.lit("note").alias("kind"), none.cast("string").alias("term"), at.alias("place"), "b")
+    start = spark.createDataFrame([("intercept", None, None, model.regression.intercept)], "kind string, term string, place int, b double")
+    return start.unionByName(codes).unionByName(notes)
 
 
 def save_risk(model: RiskModel, path: str) -> None:
     """Store under ``path`` the fitted pipeline, the vocabulary (rank, term), the coefficients as a table, and whether
     notes are used."""
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
-    spark = SparkSession.active()
-    columns = [pa.array(range(1, len(model.vocabulary) + 1), pa.int64()), pa.array(model.vocabulary, pa.string())]
-    terms = spark.createDataFrame(pa.table(columns, ["rank", "term"]))
-    terms.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    model.terms.select("rank", "term").write.mode("overwrite").parquet(f"{path}/vocabulary")
     coefficients(model).write.mode("overwrite").parquet(f"{path}/coefficients")
+    spark = SparkSession.active()
     spark.createDataFrame([(model.with_notes,)], "with_notes boolean").write.mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -212,9 +246,9 @@ def stored_margins(
 
 
 def load_risk(spark: SparkSession, path: str) -> RiskModel:
-    terms = spark.read.parquet(f"{path}/vocabulary").toArrow().sort_by("rank").column("term").to_pylist()
+    terms = materialize(spark.read.parquet(f"{path}/vocabulary").select("term", "rank"))
     with_notes = spark.read.parquet(f"{path}/meta").first()["with_notes"]
-    return RiskModel(PipelineModel.load(f"{path}/pipeline"), with_notes, tuple(terms))
+    return RiskModel(terms, terms.count(), PipelineModel.load(f"{path}/pipeline").stages[-1], with_notes)
 
 
 def fit_check(model: RiskModel, bags: DataFrame, note_vectors: DataFrame | None = None, tolerance: float = 1e-3) -> DataFrame:

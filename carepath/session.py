@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +75,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, jobs send Arrow batches of ``rows`` rows at most to Python, or the session's own limit if lower."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(name, "10000"))
+    spark.conf.set(name, rows if own <= 0 else min(own, rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def counting_session(spark: SparkSession) -> SparkSession:
     """A session of the same application, with the same settings, for jobs whose counters are read (``observe``). Spark
     4.1 keeps the reader of an ``Observation`` in the session that ran it, and closures that capture that session (those
